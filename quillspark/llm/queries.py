@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, topk, warc
+from . import decontam, linededup, secrets, tokenbin, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [r.kind for r in secrets.RULES[:3]]
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in base]
+    own = F.filter("spans", lambda s: s["rank"] < len(base))
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(own), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, payloads = warc.content_addressed(_table(spark, sf_dir, "pages"))
     found = warc.read_warc(spark, warc.write_warc(spark, records, payloads), payload=False)
@@ -28,12 +37,32 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def _remainder(n: int) -> Column:
+    """crc32(doc_id as text) mod n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs.join(labels.where(_remainder(4) != 2), "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenbin.write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenbin.document_index(spark, path)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_top_k, op4_benchmark_decontamination, op6_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op8_toxicity, op9_token_binary, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
