@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, linededup, secrets, tokenbin, topk, toxicity, warc
+from . import decontam, jaccard, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+    return found.select("doc_id", "n_tokens", "score", F.transform("nbest", lambda x: x["score"]).alias("nbest_scores"), "ids_crc32", "text_back")
+
+
 def _remainder(n: int) -> Column:
     """crc32(doc_id as text) mod n."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -66,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op8_toxicity, op9_token_binary, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
