@@ -67,7 +67,7 @@ _HITS = "array<struct<start:int,end:int>>"
 
 
 def _scan(docs: DataFrame, rows: list, n: int) -> DataFrame:
-    """docs (id, text, n_words, hits, items) with the hits of these benchmark rows added."""
+    """docs (id, text, n_words, hits, items, held) with the hits of these benchmark rows added."""
     items: dict[Words, set[str]] = {}
     for item, text in rows:
         for w in windows(tuple(alnum_words(bytes(text))), n):
@@ -92,16 +92,17 @@ def _scan(docs: DataFrame, rows: list, n: int) -> DataFrame:
                 n_words.append(len(words))
                 hits.append([{"start": a, "end": b} for a, b in _merged(spans)])
                 found.append(sorted(got))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, hit_type), pa.array(found, item_type)], names=["id", "text", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, hit_type), pa.array(found, item_type), batch.column("held")], names=["id", "text", "n_words", "hits", "items", "held"])
 
     return docs.mapInArrow(scan, docs.schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, slice_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, slice_bytes: int = 32 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of documents inside any occurrence of a benchmark window, and whether they are too many.
 
     Returns per input row: the id, ``n_words``, ``hits`` (merged word spans, end exclusive), ``items``
-    (ids as strings, sorted), ``n_hit``, ``n_items`` and ``contaminated``: n_hit > 0 and share * n_hit >= n_words.
+    (ids as strings, sorted), ``n_hit``, ``n_items`` and ``contaminated``: n_hit > 0 and share * n_hit >= n_words;
+    and the columns to ``keep``.
 
     The search tables are broadcast in slices of at most ``slice_bytes`` of benchmark text, sized by a
     count first; a larger benchmark takes one pass per slice, with the hits carried along in a stored
@@ -112,13 +113,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_of(text_col).cast("binary").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_bytes))
-    out = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"), F.struct(F.lit(0).alias("_"), *keep).alias("held"))
     for k in range(slices):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).collect()
         out = _scan(stored(out, "decontam-pass") if k else out, [tuple(r) for r in rows], window)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return (
-        out.select(F.col("id").alias(id_col), "n_words", "hits", "items")
+        out.select(F.col("id").alias(id_col), "n_words", "hits", "items", *[F.col("held")[c].alias(c) for c in keep])
         .withColumn("n_hit", n_hit)
         .withColumn("n_items", F.size("items").cast("long"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

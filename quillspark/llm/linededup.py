@@ -12,19 +12,21 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines that many documents share, except in the largest id that holds them.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least
     ``min_chars`` code points in at least ``min_docs`` distinct ids loses all its lines but those of the
-    largest such id. Returns one row per input row: the id, ``n_lines``, ``n_dropped`` and ``kept_text``.
+    largest such id. Returns one row per input row: the id, ``n_lines``, ``n_dropped``, ``kept_text``
+    and the columns to ``keep``.
 
     Null or empty text: one empty line. Rows with the same id count once, and each is cleaned; equal rows
     get equal results. A null id adds nothing to a key's count, and keys that are dropped elsewhere are
     dropped in it. Keys are compared by 128 bits of hash. A key in a third of the documents costs no task
     more than others: counts are combined before the shuffle and the join back is split by AQE.
     """
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    held = F.struct(F.lit(0).alias("_"), *keep).alias("held")
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), held).withColumn("row_hash", F.xxhash64("text"))
     lines = (
         base.select("id", "row_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select("id", "row_hash", "pos", line_key(F.col("line")).alias("key"))
@@ -49,6 +51,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.size("lines").cast("long").alias("n_lines"),
             F.coalesce(F.size("drop_pos"), F.lit(0)).cast("long").alias("n_dropped"),
             F.when(F.col("drop_pos").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-            F.col("row_hash"),
+            *[F.col("held")[c].alias(c) for c in keep],
         )
     )
