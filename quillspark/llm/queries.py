@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
+from . import decontam, jaccard, katz, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -73,7 +77,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_katz_backoff, op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
