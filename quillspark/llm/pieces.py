@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 Path = tuple[float, tuple[int, ...]]
 NEVER = float("-inf")
@@ -27,7 +27,7 @@ class Pieces:
     spaces) and line end: the cuts' best segmentations make up the text's.
     """
 
-    KEPT = 1 << 20
+    KEPT = 400_000
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces_of(model)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             found = [m.encode(t, n) for t in texts]
             nbest = [[{"score": s, "changes": [{"at": a, "n": k, "ids": ids} for a, k, ids in c]} for s, c in x] for _, x in found]
