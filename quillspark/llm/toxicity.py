@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, text_of
+from .common import alnum_words, stored, text_of
 
 #: Identity terms and their counterparts, swapped both ways.
 IDENTITY_PAIRS = (
@@ -56,11 +56,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], vocabulary: list[bytes], gap: float = 1.0, ridge: float = 1e-3, steps: int = 400, rate: float = 0.1) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], vocabulary: list[bytes], gap: float = 1.0, ridge: float = 1.0, steps: int = 400, rate: float = 0.1) -> Model:
     """Logistic regression by Adam on rows (features, features after the swap, label).
 
     The loss is the mean log loss + gap * mean((z(text) - z(swapped text))^2) over texts that the swap
-    changes + ridge * |w|^2. Both extra terms pull on weights only, not on the bias.
+    changes + ridge / 2n * |w|^2. Both extra terms pull on weights only, not on the bias.
     """
     n, v = len(rows), len(vocabulary)
     y = np.array([r[2] for r in rows], dtype=float)
@@ -82,22 +82,27 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], vocabulary: list[bytes],
         if changed:
             dz = np.bincount(d_at, d_sign * w[d_cols], len(changed))
             g[:v] += 2 * gap / len(changed) * np.bincount(d_cols, d_sign * dz[d_at], v)
-        g[:v] += 2 * ridge / 100 * w[:v]
+        g[:v] += ridge / n * w[:v]
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return Model(vocabulary, w[:v], float(w[v]))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample_rows: int = 30_000, sample_chars: int = 40_000_000, vocabulary: int = 4096, gap: float = 1.0) -> Model:
-    """Fit on a bounded sample of labelled rows.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_rows: int = 30_000, vocabulary: int = 4096, least_g2: float = 12.0, gap: float = 1.0) -> Model:
+    """Fit on a bounded sample of labelled rows: all of them, up to about ``sample_rows``.
 
-    Bounds: at most ``sample_rows`` rows and about ``sample_chars`` characters, picked by the hash of the text, so a
-    larger input gives another sample of the same size and small inputs are taken whole. Words' document
-    counts per label are made by Spark over all labelled rows; the ``vocabulary`` features with the largest
-    G2 statistic, and all identity terms, are what the model may use. Null labels are left out; without
-    both labels the model is the constant share of positives (0.5 for no rows at all).
+    Which rows is decided by the hash of their ids, on the labels table, so the sample's ids can be
+    broadcast (a few hundred kB at most) and the documents aren't shuffled. Words' document counts per label are made by
+    Spark over the sample; the ``vocabulary`` features with the largest G2 statistic, of ``least_g2`` at least,
+    and all identity terms are what the model may use. Null labels, ids and labels other than 0 and 1 are left out; without both
+    labels the model is a constant, the share of positives (a half for no rows at all).
     """
-    rows = labelled.select(text_of(text_col).cast("binary").alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
+    share = sample_rows / max(1, marked.count())
+    if share < 1:
+        marked = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    some = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(marked), "id")
+    rows = stored(some.select("text", "label"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,16 +112,16 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
                     seen.setdefault(f, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["feature", "n0", "n1"])
 
-    total = rows.agg(F.count("*"), F.sum("label"), F.sum(F.octet_length("text"))).first()
-    n, n1, chars = total[0], total[1] or 0, total[2] or 0
+    total = rows.agg(F.count("*"), F.sum("label")).first()
+    n, n1 = total[0], total[1] or 0
     if not n or n1 in (0, n):
         return Model([], np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
     a, b = F.col("n1"), F.col("n0")
     expect = (a + b) / n
     cell = lambda seen, mean: F.when(seen > 0, seen * F.log(seen / mean)).otherwise(0.0)
-    g2 = cell(a, expect * n1) + cell(b, expect * (n - n1)) + cell(n1 - a, (1 - expect) * n1) + cell((n - n1) - b, (1 - expect) * (n - n1))
+    g2 = 2 * (cell(a, expect * n1) + cell(b, expect * (n - n1)) + cell(n1 - a, (1 - expect) * n1) + cell((n - n1) - b, (1 - expect) * (n - n1)))
     counts = rows.mapInArrow(count, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(a + b > 1)
-    best = [bytes(r[0]) for r in counts.orderBy(F.round(g2, 6).desc(), "feature").limit(vocabulary).select("feature").collect()]
+    best = [bytes(r[0]) for r in counts.where(g2 >= least_g2).orderBy(F.round(g2, 6).desc(), "feature").limit(vocabulary).select("feature").collect()]
     terms = sorted(set(SWAP) - set(best))
     vocab = best + terms
     place = {w: i for i, w in enumerate(vocab)}
@@ -129,11 +134,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
             words = [alnum_words(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([np.array(ids(w), "<i4").tobytes() for w in words], pa.binary()), pa.array([np.array(ids(swapped(w)), "<i4").tobytes() for w in words], pa.binary()), batch.column(1)], names=["x", "x2", "label"])
 
-    share = min(1.0, sample_rows / n, sample_chars / max(chars, 1))
-    picked = rows.withColumn("pick", F.xxhash64("text", "label")) if share < 1 else rows
-    if share < 1:
-        picked = picked.where(F.pmod("pick", F.lit(1 << 20)) < int(share * (1 << 20))).drop("pick")
-    sample = picked.mapInArrow(to_ids, "x binary, x2 binary, label int").limit(sample_rows).collect()
+    sample = rows.mapInArrow(to_ids, "x binary, x2 binary, label int").collect()
     sample = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in sample)
     return fit([(np.frombuffer(x, "<i4"), np.frombuffer(x2, "<i4"), y) for x, x2, y in sample], vocab, gap)
 
