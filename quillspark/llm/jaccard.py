@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of, white_words
+from .common import slices, stored, text_of, white_words
 
 #: Counters of the frequency sketch: fixed size, 2 MB when broadcast.
 SKETCH = 1 << 18
 #: Stands for a null id: larger than others, so it names a component only where there is no other.
 _NO_ID = (1 << 63) - 1
 #: Buckets of up to so many nodes give pairs; larger ones are cut into chunks of about so many nodes or set members.
-SMALL, CHUNK_NODES, CHUNK_MEMBERS = 16, 256, 200_000
+SMALL, CHUNK_NODES, CHUNK_MEMBERS = 64, 256, 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -171,7 +171,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches, most=8 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             counts += np.bincount((np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
             digests = [_digest(s) for s in sets]
@@ -190,7 +190,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stored(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag")), "jaccard-nodes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, most=8 << 20):
             ids, tags, sizes, keys = [], [], [], []
             for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
                 if len(s):
@@ -204,9 +204,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in each])), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "tag", "n", "pos", "gram"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_tag(_digest(s)) for s in sets], pa.int32()), pa.array([_ranked(s, rank.value).tobytes() for s in sets], pa.binary())], names=["doc_id", "tag", "members"])
+        for batch in slices(batches, most=8 << 20):
+            seen = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), batch.column(2).to_pylist(), strict=True)
+            out = [(i, _tag(_digest(s)), _ranked(s, rank.value).tobytes()) for i, s, tags in seen if _tag(_digest(s)) in tags]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "tag", "members"])
 
     node = ["doc_id", "tag"]
     entries = base.mapInArrow(prefixes, "doc_id long, tag int, n int, pos int, gram long")
@@ -214,24 +215,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = stored(entries.join(shared, "gram").join(nodes.select(node), node, "left_semi").dropDuplicates(["gram", *node]), "jaccard-entries")
     buckets = held.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
     held = stored(held.join(buckets, "gram"), "jaccard-buckets")
-    wanted = held.select(node).distinct()
-    sets = base.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(members, "doc_id long, tag int, members binary")
-    sets = stored(sets.join(wanted, node, "left_semi").dropDuplicates(node), "jaccard-members")
-
-    # Small buckets: pairs that pass the length and positional filters, made distinct, then verified.
-    ordered = held.where(F.col("m") <= SMALL).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id", "tag", "pos"))).alias("es"))
-    need = lambda x, y: F.ceil(share * (x["n"] + y["n"]) / (100 + share))
-    fits = lambda x, y: (100 * x["n"] >= share * y["n"]) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need(x, y))
+    large = held.groupBy(node).agg(F.count_if(F.col("m") > SMALL).alias("large"))
+    small = held.where(F.col("m") <= SMALL).join(large, node)
+
+    # Small buckets: pairs that pass the length filter, and the positional one in some bucket, once each with the number of buckets in common.
+    ordered = small.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id", "tag", "pos", "large"))).alias("es"))
+    need = lambda x, y: F.ceil(share * (x + y) / (100 + share))
+    near = lambda x, y: 100 * x["n"] >= share * y["n"]
+    fits = lambda x, y: (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need(x["n"], y["n"]))
     later = lambda x, i: F.slice(F.col("es"), i + 2, F.size("es"))
-    each = F.transform("es", lambda x, i: F.transform(F.filter(later(x, i), lambda y: fits(x, y)), lambda y: F.struct(x["doc_id"].alias("a_id"), x["tag"].alias("a_tag"), y["doc_id"].alias("b_id"), y["tag"].alias("b_tag"))))
-    pairs = ordered.select(F.explode(F.flatten(each)).alias("p")).select("p.*").distinct()
+    ends = ["a_id", "a_tag", "b_id", "b_tag"]
+    pair = lambda x, y: F.struct(x["doc_id"].alias("a_id"), x["tag"].alias("a_tag"), y["doc_id"].alias("b_id"), y["tag"].alias("b_tag"), x["n"].alias("a_n"), y["n"].alias("b_n"), F.least(x["large"], y["large"]).alias("large"), fits(x, y).alias("fits"))
+    each = F.transform("es", lambda x, i: F.transform(F.filter(later(x, i), lambda y: near(x, y)), lambda y: pair(x, y)))
+    pairs = ordered.select(F.explode(F.flatten(each)).alias("p")).select("p.*").groupBy(*ends, "a_n", "b_n", "large").agg(F.count("*").alias("c"), F.bool_or("fits").alias("fits")).where("fits")
+    # Of the two prefixes one ends first; all members it leaves may be common, and in the prefixes those counted here or in large buckets.
+    rest = lambda n: F.ceil(share * F.col(n) / 100) - 1
+    pairs = stored(pairs.where(F.col("c") + F.col("large") + F.greatest(rest("a_n"), rest("b_n")) >= need(F.col("a_n"), F.col("b_n"))).select(ends), "jaccard-pairs")
+
+    # Only sets that are to be compared are made and moved.
+    of = lambda s: pairs.select(F.col(f"{s}_id").alias("doc_id"), F.col(f"{s}_tag").alias("tag"))
+    wanted = held.where(F.col("m") > SMALL).select(node).unionByName(of("a")).unionByName(of("b")).groupBy("doc_id").agg(F.collect_set("tag").alias("tags"))
+    sets = base.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "tags").mapInArrow(members, "doc_id long, tag int, members binary")
+    sets = stored(sets, "jaccard-members")
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([linked(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), share) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("tag").alias(f"{s}_tag"), F.col("members").alias(f"{s}_members"))
-    ends = ["a_id", "a_tag", "b_id", "b_tag"]
     few = pairs.join(side("a"), ["a_id", "a_tag"]).join(side("b"), ["b_id", "b_tag"]).where(verified("a_members", "b_members")).select(ends)
 
     # Large buckets: pairs of chunks.
