@@ -5,9 +5,12 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import new_path, stored
 
@@ -21,12 +24,24 @@ def base32_of_hex(hex40: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(hex40, i, 5), 16, 32), 4, "0") for i in range(1, 41, 5)]), _DIGITS, _BASE32)
 
 
+@F.pandas_udf(BinaryType())
+def _packed(payloads: pd.Series) -> pd.Series:
+    zstd = zstandard.ZstdCompressor(level=3)
+    return payloads.map(zstd.compress)
+
+
+@F.pandas_udf(BinaryType())
+def _unpacked(packed: pd.Series) -> pd.Series:
+    zstd = zstandard.ZstdDecompressor()
+    return packed.map(zstd.decompress)
+
+
 def _http(length: Column) -> Column:
     return F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit(_END))
 
 
 def content_addressed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(records, payloads), both stored: exact record headers with a payload key, and each payload once.
+    """(records, payloads), both stored: exact record headers with a payload key, and each payload once, as a zstandard frame.
 
     The key is the payload's SHA-256. Its uniqueness is verified: payloads with one key must agree in
     length and in an independent 64-bit hash, else the job fails. Of records with equal payloads of at
@@ -36,7 +51,7 @@ def content_addressed(pages: DataFrame, id_col: str = "page_id", url_col: str =
     are null. Line breaks in a url are percent-encoded, a null url is empty.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    heads = base.select("page_id", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"), F.sha2("payload", 256).alias("key"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("check"))
+    heads = base.select("page_id", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"), F.unhex(F.sha2("payload", 256)).alias("key"), F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("check"))
     heads = stored(heads, "warc-heads")  # digests are computed once
     same = heads.groupBy("key").agg(F.min("page_id").alias("first_id"), (F.min("check").eqNullSafe(F.max("check")) & (F.min("bytes") == F.max("bytes"))).alias("ok"))
     same = same.where(F.assert_true("ok", F.lit("payloads differ under one SHA-256")).isNull()).drop("ok")
@@ -57,7 +72,7 @@ def content_addressed(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 line("WARC-Record-ID", urn(F.col("page_id"))),
                 line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
                 line("WARC-Target-URI", F.col("url")),
-                line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))),
+                line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.hex("sha1")))),
                 F.when(F.col("type") == "response", "").otherwise(F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first_id"))))),
                 line("Content-Type", F.lit("application/http; msgtype=response")),
                 line("Content-Length", length.cast("string")),
@@ -68,17 +83,20 @@ def content_addressed(pages: DataFrame, id_col: str = "page_id", url_col: str =
         .select("page_id", "key", "first_id", "type", "bytes", "header")
     )
     records = stored(records, "warc-records")
-    one = records.where("type = 'response'").groupBy("key").agg(F.min("page_id").alias("page_id"))
-    holders = base.withColumn("key", F.sha2("payload", 256)).join(one.withColumnRenamed("key", "one_key"), (F.col("key") == F.col("one_key")) & base["page_id"].eqNullSafe(one["page_id"]), "left_semi")
-    payloads = stored(holders.select("key", "payload").dropDuplicates(["key"]), "warc-payloads")
+    one = records.where("type = 'response'").groupBy("key").agg(F.min("page_id").alias("one_id"))
+    holders = base.select("page_id", F.unhex(F.sha2("payload", 256)).alias("key"), _packed("payload").alias("packed")).join(one.withColumnRenamed("key", "one_key"), (F.col("key") == F.col("one_key")) & F.col("page_id").eqNullSafe(F.col("one_id")), "left_semi")
+    # A key has one holder id, so these columns are as good as the key alone, and the join's partitions serve both.
+    payloads = stored(holders.dropDuplicates(["key", "page_id"]).select("key", "packed"), "warc-payloads")
     return records, payloads
 
 
-def rebuilt(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Every record's original bytes (page_id, type, record): headers joined with payloads. A revisit has no payload."""
-    response = F.col("type") == "response"
-    held = records.withColumn("want", F.when(response, F.col("key"))).join(payloads.withColumnRenamed("key", "want"), "want", "left")
-    return held.select("page_id", "type", "bytes", F.concat(F.col("header").cast("binary"), F.coalesce("payload", F.lit(b""))).alias("record"))
+def rebuilt(records: DataFrame, payloads: DataFrame, parts: int = 0) -> DataFrame:
+    """Every record's original bytes (page_id, type, record): a response's header joined with its payload; a revisit has none."""
+    response = records.where("type = 'response'")
+    if parts:  # both sides are dealt once, for the join and for what follows
+        response, payloads = response.repartition(parts, "key"), payloads.repartition(parts, "key")
+    whole = response.join(payloads, "key").select("page_id", "type", F.concat(F.col("header").cast("binary"), _unpacked("packed")).alias("record"))
+    return whole.unionByName(records.where("type <> 'response'").select("page_id", "type", F.col("header").cast("binary").alias("record")))
 
 
 def write_warc(spark: SparkSession, records: DataFrame, payloads: DataFrame, path: str | None = None, file_bytes: int = 16 << 20) -> str:
@@ -86,7 +104,7 @@ def write_warc(spark: SparkSession, records: DataFrame, payloads: DataFrame, pat
     path = path or new_path(spark, "warc-archive")
     total = records.agg(F.sum(F.octet_length("header")), F.sum(F.when(F.col("type") == "response", F.col("bytes")))).first()
     files = max(1, -(-sum(x or 0 for x in total) // file_bytes))
-    rebuilt(records, payloads).repartition(files).select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
+    rebuilt(records, payloads, files).select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
     return path
 
 
