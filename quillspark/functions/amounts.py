@@ -43,20 +43,21 @@ def _plain(bare: Column) -> Column:
     return F.when(F.instr(bare, ",") == 0, bare).when(right, grouped)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_amount(text: Column) -> Column:
     """Exact decimal of a currency text, null where it is not one (amount_error says why)."""
-    plain = _plain(_bare(text))
-    return F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain.try_cast(EXACT))
+    number = lambda plain: F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain.try_cast(EXACT))
+    return _let(_bare(text), lambda bare: _let(_plain(bare), number))
 
 
 def amount_error(text: Column) -> Column:
     """empty, thousands, or not_a_number; null for a good amount."""
-    bare = _bare(text)
-    return (
-        F.when(text.isNull() | (bare == ""), "empty")
-        .when(_plain(bare).isNull(), "thousands")
-        .when(parse_amount(text).isNull(), "not_a_number")
-    )
+    why = lambda bare: F.when(bare == "", "empty").when(_plain(bare).isNull(), "thousands").when(parse_amount(text).isNull(), "not_a_number")
+    return F.when(text.isNull(), "empty").otherwise(_let(_bare(text), why))
 
 
 def parse_date_any(text: Column) -> Column:

@@ -129,24 +129,24 @@ def _cumulative(scored: DataFrame) -> DataFrame:
 
 def best_threshold(scored: DataFrame) -> DataFrame:
     """The score with the best F1 when everything at or above it is positive; the lowest wins ties; (0.5, 0) for no rows."""
-    total = scored.agg(F.sum("label").alias("P"))
-    f1 = F.coalesce(2 * F.col("cp") / F.nullif(F.col("cn") + F.col("P"), F.lit(0)), F.lit(0.0))
+    total = scored.agg(F.sum("label").alias("all_pos"))
+    f1 = F.coalesce(2 * F.col("cp") / F.nullif(F.col("cn") + F.col("all_pos"), F.lit(0)), F.lit(0.0))
     best = _cumulative(scored).crossJoin(F.broadcast(total)).withColumn("f1", F.round(f1, 10)).agg(F.max_by("p", F.struct("f1", -F.col("p"))).alias("threshold"), F.max("f1").alias("f1"))
     return best.select(F.coalesce("threshold", F.lit(0.5)).alias("threshold"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
 def ranking_metrics(scored: DataFrame) -> DataFrame:
     """AUROC (ties count a half) and average precision."""
-    c = _cumulative(scored).crossJoin(F.broadcast(scored.agg(F.sum("label").alias("P"), F.count("*").alias("N"))))
+    c = _cumulative(scored).crossJoin(F.broadcast(scored.agg(F.sum("label").alias("all_pos"), F.count("*").alias("all_n"))))
     neg = F.col("n") - F.col("pos")
     above = F.col("cp") - F.col("pos")
     out = c.agg(
         F.sum(neg * above + neg * F.col("pos") / 2).alias("wins"),
         F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("ap"),
-        F.max("P").alias("P"),
-        F.max("N").alias("N"),
+        F.max("all_pos").alias("all_pos"),
+        F.max("all_n").alias("all_n"),
     )
-    return out.select(F.round(F.col("wins") / F.nullif(F.col("P") * (F.col("N") - F.col("P")), F.lit(0)), 8).alias("auroc"), F.round(F.col("ap") / F.nullif(F.col("P"), F.lit(0)), 8).alias("auprc"))
+    return out.select(F.round(F.col("wins") / F.nullif(F.col("all_pos") * (F.col("all_n") - F.col("all_pos")), F.lit(0)), 8).alias("auroc"), F.round(F.col("ap") / F.nullif(F.col("all_pos"), F.lit(0)), 8).alias("auprc"))
 
 
 def recall_by_operator(scored: DataFrame, threshold: float) -> DataFrame:

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, audit, extract, text
 from ..operators import documents as D
+from ..operators import forecast as M
+from ..operators import layout as L
 from ..operators import quality as Q
 from ..operators import review as R
 from ..operators import stats as A
-from ..sources.ledger import sales_ledger, view, view_sql
+from ..sources.ledger import VIEWS, sales_ledger, view, view_sql
+from ..streaming import jobs as J
+from ..streaming.run import ran
+from . import verifier as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,3 +209,215 @@ add("j2_correction_pairs", lambda s, d: D.correction_pairs(sales_ledger(s, d), 5
 add("j3_correction_text_pairs", lambda s, d: D.correction_text_pairs(sales_ledger(s, d), 500), f"SELECT field_id, coalesce(fallback_tier, 'unknown') AS tier, field_name, original_value AS model_value, corrected_value AS human_value FROM ({_EARLY}) e JOIN (SELECT id AS field_id, field_name FROM ap_fields) f USING (field_id) JOIN ap_documents d ON d.id = e.document_id ORDER BY e.created_at DESC, field_id LIMIT 500", *_ALL)
 _NEW = "ORDER BY processed_at DESC NULLS LAST, id LIMIT 100"
 add("j4_holdouts", lambda s, d: D.holdouts(sales_ledger(s, d), 100), f"SELECT id AS document_id, 'corrected' AS kind FROM (SELECT * FROM ap_documents WHERE id IN (SELECT document_id FROM ap_corrections) {_NEW}) UNION ALL SELECT id, 'clean' FROM (SELECT * FROM ap_documents WHERE status = 'verified' AND id NOT IN (SELECT document_id FROM ap_corrections) {_NEW})", *_ALL)
+
+# Row rules
+_CUR = "CASE WHEN regexp_matches({0}, '^-?\\d+(\\.\\d+)?$') THEN TRY_CAST({0} AS DECIMAL(38,6)) END"
+_BARE = "replace(field_value, '$', '')"
+add("f1_parse_amount", lambda s, d: view(s, d, "ap_fields").where("i >= 4").select("id", amounts.parse_amount(F.col("field_value")).cast("double").alias("amount"), amounts.amount_error(F.col("field_value")).alias("error")), f"SELECT id, CAST({_CUR.format(_BARE)} AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS error FROM ap_fields WHERE i >= 4", "ap_fields")
+_DEC = {c: _CUR.format(f"replace({c}, '$', '')") for c in ("subtotal", "tax", "total_amount")}
+_AUDIT = f"""SELECT document_id, total, subtotal_amt, tax_amt, items_total, CASE WHEN coalesce(total_amount, '') <> '' AND total IS NULL THEN 'unreadable_total' WHEN total IS NULL THEN 'missing_total' WHEN subtotal_amt IS NULL OR tax_amt IS NULL THEN 'partial_data' WHEN abs(subtotal_amt + tax_amt - total) > 0.01 THEN 'math_mismatch' END AS audit_reason
+  FROM (SELECT document_id, total_amount, {_DEC['total_amount']} AS total, {_DEC['subtotal']} AS subtotal_amt, {_DEC['tax']} AS tax_amt FROM ({_VALUES})) v LEFT JOIN ({_ITEMS}) i USING (document_id)"""
+_OK = "(audit_reason IS NULL OR audit_reason = 'partial_data')"
+add("f2_audit", lambda s, d: R.audits(sales_ledger(s, d)).select("document_id", F.col("total").cast("double").alias("total"), F.col("delta").cast("double").alias("delta"), "audit_reason", "audit_ok"), f"SELECT document_id, CAST(total AS DOUBLE) AS total, CAST(subtotal_amt + tax_amt - total AS DOUBLE) AS delta, audit_reason, {_OK} AS audit_ok FROM ({_AUDIT})", "ap_fields", "ap_line_items")
+
+
+def _slip_sql() -> str:
+    near = lambda left, right: f"CASE WHEN {right} = 0 THEN abs({left}) <= 0.01 ELSE abs({left} - {right}) * 100 <= abs({right}) END"
+    s, t, total = "CAST(subtotal_amt AS DOUBLE)", "CAST(tax_amt AS DOUBLE)", "CAST(total AS DOUBLE)"
+    cases = []
+    for r in audit.RATIOS:
+        cases += [f"WHEN {s} <> 0 AND {near(f'({s} * {r} + {t})', total)} THEN 'subtotal {r}'", f"WHEN {t} <> 0 AND {near(f'({s} + {t} * {r})', total)} THEN 'tax {r}'", f"WHEN {near(f'(({s} + {t}) * {r})', total)} THEN 'total {r}'"]
+    cases += [f"WHEN items_total <> 0 AND abs({total} - items_total * {r}) * 100 <= abs(items_total * {r}) * 5 THEN 'total {r}'" for r in audit.RATIOS]
+    return f"SELECT document_id, CASE WHEN audit_reason = 'math_mismatch' THEN CASE {' '.join(cases)} END END AS slip FROM ({_AUDIT})"
+
+
+add("f3_magnitude_slip", lambda s, d: R.audits(sales_ledger(s, d)).select("document_id", F.when(F.col("slip_field").isNotNull(), F.concat_ws(" ", "slip_field", "slip_ratio")).alias("slip")), _slip_sql(), "ap_fields", "ap_line_items")
+_VALID = f"""SELECT id, document_id, field_name, field_value, CASE WHEN field_name IN ('invoice_number', 'date', 'vendor_name', 'total_amount') AND trim(coalesce(field_value, '')) = '' THEN field_name || ' is required' WHEN trim(coalesce(field_value, '')) = '' THEN NULL
+  WHEN field_name = 'invoice_number' AND NOT regexp_matches(field_value, '^INV-\\d{{4}}-\\d{{4}}$') THEN 'Invoice number must match INV-YYYY-NNNN' WHEN field_name = 'date' AND TRY_CAST(field_value AS DATE) IS NULL THEN 'Date must be YYYY-MM-DD'
+  WHEN field_name IN ('total_amount', 'subtotal', 'tax') AND ({_num('field_value')}) IS NULL THEN field_name || ' must be a number' END AS error_message FROM ap_fields"""
+add("f4_validate_fields", lambda s, d: R.validate_fields(sales_ledger(s, d)).select("id", "status", "error_message"), f"SELECT id, CASE WHEN error_message IS NULL THEN 'valid' ELSE 'invalid' END AS status, error_message FROM ({_VALID})", "ap_fields")
+add("f5_reconcile", lambda s, d: R.reconcile(sales_ledger(s, d)).select("id", "status", "error_message"), f"""SELECT v.id, CASE WHEN off OR error_message IS NOT NULL THEN 'invalid' ELSE 'valid' END AS status, CASE WHEN off THEN printf('Line items sum %.2f does not match total %.2f', CAST(items_total AS DOUBLE), amount) ELSE error_message END AS error_message
+  FROM (SELECT v.*, items_total, {_num('field_value')} AS amount, coalesce(field_name = 'total_amount' AND abs(CAST(items_total AS DOUBLE) - ({_num('field_value')})) >= 0.01, false) AS off FROM ({_VALID}) v LEFT JOIN ({_ITEMS}) i ON i.document_id = v.document_id) v""", "ap_fields", "ap_line_items")
+add("f6_parse_date_any", lambda s, d: view(s, d, "ap_documents").select("id", F.date_format(amounts.parse_date_any(F.date_format("uploaded_at", "d MMM yyyy")), "yyyy-MM-dd").alias("day")), "SELECT id, strftime(uploaded_at, '%Y-%m-%d') AS day FROM ap_documents", "ap_documents")
+add("f7_normalize_date", lambda s, d: view(s, d, "ap_documents").select("id", amounts.normalize_date(F.when(F.col("k") % 2 == 0, F.date_format("uploaded_at", "M/d/yyyy")).otherwise(F.date_format("uploaded_at", "MMMM d, yyyy"))).alias("day")), "SELECT id, strftime(uploaded_at, '%Y-%m-%d') AS day FROM ap_documents", "ap_documents")
+_AMT = r"(?:\$|€|£)?\s*([\d,]+\.\d{1,2})"
+_RX = {"invoice_number": r"(?i)invoice\s*(?:no\.?|number|#)[:\s]*([A-Z0-9\-/]+)", "date": r"\b(\d{4}-\d{2}-\d{2})\b", "total_amount": rf"(?i)(?:grand|invoice)\s+total[^\n\r]{{0,60}}?{_AMT}", "subtotal": rf"(?i)sub[-\s]?total[^\n\r]{{0,60}}?{_AMT}", "tax": rf"(?i)(?:tax|vat|gst|sales\s*tax)[^\n\r]{{0,60}}?{_AMT}", "vendor_name": r"(?im)^\s*(?:vendor|supplier|from)[:\s]+(.+?)$"}
+add("f8_extract_fields", lambda s, d: view(s, d, "ap_receipts").select("document_id", *[c.alias(n) for n, c in extract.extract_fields(F.col("text")).items()]), "SELECT document_id, " + ", ".join(f"nullif(trim(regexp_extract(text, '{rx}', 1)), '') AS {n}" for n, rx in _RX.items()) + " FROM ap_receipts", "ap_receipts")
+add("f10_norm_text", lambda s, d: view(s, d, "ap_fields").select("id", text.norm_text(F.col("field_value")).alias("a"), text.norm_plain(F.col("field_value")).alias("b")), r"SELECT id, nullif(replace(trim(regexp_replace(regexp_replace(lower(trim(field_value)), '(?i)(rs\.?|pkr|inr|usd|\$|€|£|/-)', '', 'g'), '\s+', ' ', 'g')), ',', ''), '') AS a, trim(regexp_replace(lower(field_value), '\s+', ' ', 'g')) AS b FROM ap_fields", "ap_fields")
+
+
+def _replies(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "ap_replies").select("document_id", text.parse_reply(F.col("reply")).alias("r")).select("document_id", "r.reason", "r.invoice_number", "r.vendor_name", "r.total_amount")
+
+
+_REPLY = r"SELECT document_id, b, CASE WHEN trim(reply) = '' THEN 'empty_output' WHEN b IS NULL THEN 'no_json_found' WHEN NOT json_valid(b) THEN 'json_decode_error' END AS reason FROM (SELECT document_id, reply, nullif(regexp_extract(reply, '(?s)(\{.*\})', 1), '') AS b FROM ap_replies)"
+add("f11_parse_reply", _replies, f"SELECT document_id, reason, " + ", ".join(f"CASE WHEN reason IS NULL THEN json_extract_string(b, '$.{k}') END AS {k}" for k in ("invoice_number", "vendor_name", "total_amount")) + f" FROM ({_REPLY})", "ap_replies")
+add("q9_parse_robustness", lambda s, d: Q.parse_robustness(view(s, d, "ap_replies")), f"SELECT coalesce(reason, 'ok') AS outcome, count(*) AS replies FROM ({_REPLY}) GROUP BY 1", "ap_replies")
+add("f12_cer", lambda s, d: view(s, d, "ap_pairs").select("doc_id", F.round(text.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer")), "SELECT doc_id, round(levenshtein(reference, hypothesis) / length(reference), 6) AS cer FROM ap_pairs", "ap_pairs")
+add("f12_edit_ops", lambda s, d: view(s, d, "ap_pairs").withColumn("o", text.edit_ops(text.chars(F.col("reference")), text.chars(F.col("hypothesis")))).select("doc_id", "o.*"))
+add("f12_wer", lambda s, d: view(s, d, "ap_pairs").select("doc_id", F.round(text.wer(F.col("reference"), F.col("hypothesis")), 6).alias("wer")))
+_N = r"nullif(replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '(?i)(rs\.?|pkr|inr|usd|\$|€|£|/-)', '', 'g'), '\s+', ' ', 'g')), ',', ''), '')"
+_CLASS = f"CASE WHEN t IS NOT DISTINCT FROM p THEN 'exact' WHEN levenshtein(p, t) <= 2 THEN 'fuzzy' ELSE 'wrong' END"
+_BUCKETS = f"SELECT doc_id, field_name, {_CLASS} AS bucket FROM (SELECT *, {_N.format('hypothesis')} AS p, {_N.format('reference')} AS t FROM ap_pairs)"
+_TEXTUAL = "field_name IN ('vendor_name', 'date', 'invoice_number')"
+add("f13_match_class", lambda s, d: view(s, d, "ap_pairs").where(_TEXTUAL).select("doc_id", "field_name", text.match_class(F.col("hypothesis"), F.col("reference"), F.col("field_name")).alias("bucket")), f"SELECT * FROM ({_BUCKETS}) WHERE {_TEXTUAL}", "ap_pairs")
+
+
+def _aligned(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "ap_pairs").where(_TEXTUAL)
+    return Q.align(p.select(F.col("doc_id").alias("sample"), F.col("field_name").alias("field"), F.col("hypothesis").alias("value")), p.select(F.col("doc_id").alias("sample"), F.col("field_name").alias("field"), F.col("reference").alias("value")))
+
+
+_PRF = f"SELECT field_name AS field, n_exact AS exact, 0 AS numeric_ok, fuzzy, wrong, 0 AS miss, 0 AS hallucination, 0 AS both_null, round((n_exact + fuzzy) / (n_exact + fuzzy + wrong), 3) AS precision, round((n_exact + fuzzy) / (n_exact + fuzzy + wrong), 3) AS recall, round((n_exact + fuzzy) / (n_exact + fuzzy + wrong), 3) AS f1 FROM (SELECT field_name, count(*) FILTER (bucket = 'exact') AS n_exact, count(*) FILTER (bucket = 'fuzzy') AS fuzzy, count(*) FILTER (bucket = 'wrong') AS wrong FROM ({_BUCKETS}) WHERE {_TEXTUAL} GROUP BY 1)"
+add("j7_align", _aligned, f"SELECT doc_id AS sample, field_name AS field, reference AS truth, hypothesis AS pred FROM ap_pairs WHERE {_TEXTUAL}", "ap_pairs")
+add("q5_field_prf", lambda s, d: Q.field_prf(_aligned(s, d)), _PRF, "ap_pairs")
+add("q6_field_verdicts", lambda s, d: Q.field_verdicts(Q.field_prf(_aligned(s, d))), f"SELECT field, f1, CASE WHEN f1 >= 0.8 THEN 'strong' WHEN f1 >= 0.5 THEN 'mid' ELSE 'weak' END AS verdict, CASE WHEN wrong > 0 THEN 'wrong' END AS dominant_failure FROM ({_PRF})", "ap_pairs")
+_CERS = "SELECT {0}, count(*) AS n, round(sum(levenshtein(reference, hypothesis)) / sum(length(reference)), 6) AS cer FROM ap_pairs {1} GROUP BY {0}"
+add("q1_corpus_cer", lambda s, d: Q.corpus_cer(view(s, d, "ap_pairs"), "tier"), _CERS.format("tier", ""), "ap_pairs")
+add("q2_error_rates", lambda s, d: Q.error_rates(view(s, d, "ap_pairs")).drop("wer"), "SELECT tier, field_name, count(*) AS n, round(sum(e) / sum(r), 6) AS cer, round(avg(e / greatest(r, h)), 6) AS norm_cer FROM (SELECT tier, field_name, levenshtein(reference, hypothesis) AS e, length(reference) AS r, length(hypothesis) AS h FROM ap_pairs) GROUP BY GROUPING SETS ((tier, field_name), (tier))", "ap_pairs")
+add("q3_field_error_rates", lambda s, d: Q.field_error_rates(view(s, d, "ap_pairs")), f"SELECT *, CASE WHEN cer < 0.02 THEN 'EXCELLENT' WHEN cer < 0.1 THEN 'AVERAGE' ELSE 'POOR' END AS band FROM ({_CERS.format('field_name', '')})", "ap_pairs")
+add("q4_tier_advantage", lambda s, d: Q.tier_advantage(view(s, d, "ap_pairs")), f"SELECT field_name, a.cer AS cer_a, b.cer AS cer_b, round((a.cer - b.cer) * 100, 2) AS points FROM ({_CERS.format('tier, field_name', '')}) a JOIN ({_CERS.format('tier, field_name', '')}) b USING (field_name) WHERE a.tier = 'local' AND b.tier = 'vlm'", "ap_pairs")
+_TOK = r"regexp_extract_all(lower({0}), '(\w+)', 1)"
+_F1 = f"SELECT doc_id, field_name, reference, hypothesis, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE coalesce(2.0 * list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda z: z = t)), len(list_filter(y, lambda z: z = t))))), 0) / (len(x) + len(y)) END AS f1 FROM (SELECT *, {_TOK.format('hypothesis')} AS x, {_TOK.format('reference')} AS y FROM ap_pairs)"
+add("f15_token_f1", lambda s, d: view(s, d, "ap_pairs").select("doc_id", F.round(text.token_f1(F.col("hypothesis"), F.col("reference")), 6).alias("f1")), f"SELECT doc_id, round(CAST(f1 AS DOUBLE), 6) AS f1 FROM ({_F1})", "ap_pairs")
+add("q7_exact_and_f1", lambda s, d: Q.exact_and_f1(_aligned(s, d)), rf"SELECT field_name AS field, count(*) AS n, round(avg(CAST(trim(regexp_replace(lower(hypothesis), '\s+', ' ', 'g')) = trim(regexp_replace(lower(reference), '\s+', ' ', 'g')) AS INTEGER)), 4) AS exact, round(CAST(avg(f1) AS DOUBLE), 4) AS token_f1 FROM ({_F1}) WHERE {_TEXTUAL} GROUP BY 1", "ap_pairs")
+_LAT = "SELECT *, row_number() OVER (PARTITION BY status ORDER BY file_size) - 1 AS r, count(*) OVER (PARTITION BY status) AS m FROM ap_documents"
+add("q8_latency_profile", lambda s, d: Q.latency_profile(view(s, d, "ap_documents"), "status", "file_size"), "SELECT status, count(*) AS n, min(file_size) AS min, " + ", ".join(f"min(file_size) FILTER (r = round_even({p} * (m - 1), 0)) AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + f", max(file_size) AS max, round(avg(file_size), 4) AS mean FROM ({_LAT}) GROUP BY status", "ap_documents")
+
+
+def _items_check(spark: SparkSession, sf: str) -> DataFrame:
+    items = view(spark, sf, "ap_line_items").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "description"))), lambda x: x["description"]).alias("truth"))
+    keep = F.when(F.size("truth") % 2 == 0, F.transform("truth", lambda x: F.concat(x, F.lit("!")))).otherwise(F.slice("truth", 1, F.size("truth") - 1))
+    return Q.line_item_match(items.select(F.col("document_id").alias("id"), "truth", keep.alias("pred")))
+
+
+add("q10_line_item_match", _items_check, "SELECT document_id AS id, CASE WHEN n % 2 = 0 THEN 'match' ELSE 'under' END AS count_match, CAST(CASE WHEN n % 2 = 0 THEN n ELSE n - 1 END AS INTEGER) AS matched, CAST(CASE WHEN n % 2 = 0 THEN n ELSE n - 1 END AS INTEGER) AS compared FROM (SELECT document_id, count(*) AS n FROM ap_line_items GROUP BY 1)", "ap_line_items")
+add("q11_field_coverage", lambda s, d: Q.field_coverage(view(s, d, "ap_fields").select(F.col("field_name").alias("field"), F.col("field_value").alias("value"))), "SELECT field_name AS field, count(*) AS n, count(*) FILTER (coalesce(field_value, '') <> '') AS present FROM ap_fields GROUP BY 1", "ap_fields")
+add("q12_worst_pairs", lambda s, d: Q.worst_pairs(view(s, d, "ap_pairs"), 20, "doc_id").select("doc_id", "cer"), "SELECT doc_id, round(levenshtein(reference, hypothesis) / length(reference), 6) AS cer FROM ap_pairs ORDER BY 2 DESC, 1 LIMIT 20", "ap_pairs")
+add("q12_failure_examples", lambda s, d: Q.failure_examples(_aligned(s, d)).select("sample", "field", "bucket", "rank"), f"SELECT doc_id AS sample, field_name AS field, bucket, CAST(row_number() OVER (PARTITION BY field_name ORDER BY doc_id) AS INTEGER) AS rank FROM ({_BUCKETS}) WHERE bucket = 'wrong' AND {_TEXTUAL} QUALIFY rank <= 3", "ap_pairs")
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Confidence of fields as a score, whether they were right as a label."""
+    return view(spark, sf, "ap_fields").where("confidence is not null").select("id", F.col("confidence").alias("p"), F.when(F.col("status") == "invalid", 0).otherwise(F.when(F.col("k") % 5 == 0, 0).otherwise(1)).alias("label"), F.col("field_name").alias("operator"))
+
+
+_SCORED = "SELECT id, confidence AS p, CASE WHEN status = 'invalid' OR k % 5 = 0 THEN 0 ELSE 1 END AS label, field_name AS operator FROM ap_fields WHERE confidence IS NOT NULL"
+_EDGE = " + ".join(f"CASE WHEN p >= {i / 10} THEN 1 ELSE 0 END" for i in range(1, 10))
+add("q13_ece", lambda s, d: Q.ece(_scored(s, d)), f"SELECT bin, n, round(mean_p, 8) AS mean_p, round(share, 8) AS share, round(n / sum(n) OVER () * abs(mean_p - share), 8) AS ece_part FROM (SELECT CAST({_EDGE} AS INTEGER) AS bin, count(*) AS n, avg(p) AS mean_p, avg(label) AS share FROM ({_SCORED}) GROUP BY 1)", "ap_fields")
+_CUM = f"SELECT p, n, pos, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, sum(pos) OVER () AS tp, sum(n) OVER () AS tn FROM (SELECT p, count(*) AS n, sum(label) AS pos FROM ({_SCORED}) GROUP BY p) WINDOW w AS (ORDER BY p DESC)"
+add("q14_best_threshold", lambda s, d: Q.best_threshold(_scored(s, d)), f"SELECT p AS threshold, f1 FROM (SELECT p, round(2 * cp / (cn + tp), 10) AS f1 FROM ({_CUM})) ORDER BY f1 DESC, p LIMIT 1", "ap_fields")
+add("q15_recall_by_operator", lambda s, d: Q.recall_by_operator(_scored(s, d), 0.7), f"SELECT operator, count(*) AS n, round(avg(CAST(p < 0.7 AS INTEGER)), 6) AS recall FROM ({_SCORED}) WHERE label = 0 GROUP BY 1", "ap_fields")
+add("q16_ranking_metrics", lambda s, d: Q.ranking_metrics(_scored(s, d)), f"SELECT round(sum((n - pos) * (cp - pos) + (n - pos) * pos / 2) / (any_value(tp) * (any_value(tn) - any_value(tp))), 8) AS auroc, round(sum(pos * cp / cn) / any_value(tp), 8) AS auprc FROM ({_CUM})", "ap_fields")
+add("q17_threshold_prf", lambda s, d: Q.threshold_prf(_scored(s, d), 0.7), f"SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM (SELECT count(*) FILTER (p < 0.7 AND label = 0) AS tp, count(*) FILTER (p < 0.7 AND label = 1) AS fp, count(*) FILTER (p >= 0.7 AND label = 0) AS fn FROM ({_SCORED}))", "ap_fields")
+_DOCCONF = f"""SELECT document_id, round(comp, 4) AS completeness, filled = 0 AS is_empty, round(CASE WHEN fallback_tier = 'vlm' THEN 0.8 * comp + 0.2 WHEN audit_reason IS NULL THEN greatest(0.3 * comp + 0.7 * coalesce(confidence_score, 0), 0.86) ELSE 0.6 * comp + 0.4 * coalesce(confidence_score, 0) END, 4) AS confidence, audit_reason, {_OK} AS audit_ok, fallback_tier
+  FROM (SELECT *, filled / 6 AS comp FROM (SELECT document_id, {' + '.join(f"CASE WHEN trim(coalesce({f}, '')) <> '' THEN 1 ELSE 0 END" for f in ('invoice_number', 'date', 'vendor_name', 'subtotal', 'tax', 'total_amount'))} AS filled FROM ({_VALUES}))) c JOIN ({_AUDIT}) a USING (document_id) JOIN ap_documents d ON d.id = document_id"""
+add("f16_document_confidence", _ap(R.document_confidence), f"SELECT * EXCLUDE (fallback_tier) FROM ({_DOCCONF})", *_ALL)
+add("f17_field_confidence", _ap(R.field_confidence), f"""SELECT f.id, f.document_id, field_name, round(CASE WHEN trim(coalesce(field_value, '')) = '' THEN 0.0 WHEN NOT {_OK} AND field_name IN ('subtotal', 'tax', 'total_amount') THEN least(base, 0.55) ELSE base END, 3) AS confidence
+  FROM ap_fields f JOIN ({_AUDIT}) a USING (document_id) JOIN (SELECT id AS did, CASE WHEN fallback_tier = 'vlm' THEN least(0.95, greatest(b, 0.9)) ELSE b END AS base FROM (SELECT id, fallback_tier, greatest(0.0, least(0.99, coalesce(confidence_score, 0.8))) AS b FROM ap_documents)) d ON did = f.document_id""", *_ALL)
+add("f18_gate", lambda s, d: R.gate(R.document_confidence(sales_ledger(s, d)), view(s, d, "ap_documents").select(F.col("id").alias("document_id"), "fallback_tier"), view(s, d, "ap_documents").select(F.col("id").alias("document_id"), (F.col("k") % 5).alias("attempts"))), f"""SELECT document_id, gate_reason, CASE WHEN gate_reason IS NULL THEN 'valid' WHEN k % 5 >= 3 THEN 'hitl' ELSE 'retry' END AS route, CASE WHEN gate_reason IS NULL THEN 'verified' WHEN k % 5 >= 3 THEN 'review_pending' ELSE 'processing' END AS final_status
+  FROM (SELECT document_id, CASE WHEN is_empty THEN 'no_data' WHEN NOT audit_ok THEN audit_reason WHEN coalesce(fallback_tier, 'local') <> 'vlm' AND audit_reason IS NOT DISTINCT FROM 'partial_data' THEN 'partial_data' WHEN coalesce(fallback_tier, 'local') <> 'vlm' AND confidence < 0.85 THEN 'low_confidence' END AS gate_reason FROM ({_DOCCONF})) g JOIN (SELECT id, k FROM ap_documents) x ON x.id = document_id""", *_ALL)
+
+
+def _status_log(spark: SparkSession, sf: str) -> DataFrame:
+    states = ("uploaded", "processing", "extracted", "verified", "review_pending", "approved", "rejected")
+    status = F.element_at(F.array(*map(F.lit, states)), (F.col("event_id") % 7 + 1).cast("int"))
+    return view(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
+
+
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, bs in R.TRANSITIONS.items() for b in bs)
+add("f19_invalid_transitions", lambda s, d: R.invalid_transitions(_status_log(s, d)).select("key", "seq", "before", "status"), f"SELECT key, seq, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY ts, seq) AS before FROM (SELECT user_id AS key, ts, event_id AS seq, ['uploaded', 'processing', 'extracted', 'verified', 'review_pending', 'approved', 'rejected'][event_id % 7 + 1] AS status FROM events)) WHERE before IS NOT NULL AND (before, status) NOT IN (VALUES {_PAIRS})")
+
+# Layout
+_LABELLED = "SELECT *, CASE WHEN pos % 2 = 0 THEN CASE text WHEN 'Vendor:' THEN 'vendor_name' WHEN 'Invoice No:' THEN 'invoice_number' WHEN 'Date:' THEN 'date' WHEN 'Subtotal' THEN 'subtotal' WHEN 'Tax' THEN 'tax' ELSE 'total_amount' END END AS label FROM ap_blocks"
+add("f21_classify_blocks", lambda s, d: L.classify_blocks(view(s, d, "ap_blocks")).select("document_id", "pos", "label", "amount"), f"SELECT document_id, pos, label, CASE WHEN pos IN (9, 11, 13) THEN replace(text, '$', '') END AS amount FROM ({_LABELLED})", "ap_blocks")
+add("w4_reading_order", lambda s, d: L.reading_order(view(s, d, "ap_blocks")), "SELECT document_id, 1 AS page, string_agg(line, chr(10) ORDER BY y1) AS text FROM (SELECT document_id, y1, string_agg(text, ' ' ORDER BY x1) AS line FROM ap_blocks GROUP BY 1, 2) GROUP BY 1", "ap_blocks")
+add("j5_pair_labels", lambda s, d: L.pair_labels(view(s, d, "ap_blocks")), f"SELECT a.document_id, a.label AS field_name, CASE WHEN b.pos IN (9, 11, 13) THEN replace(b.text, '$', '') ELSE b.text END AS value FROM ({_LABELLED}) a JOIN ap_blocks b ON b.document_id = a.document_id AND b.pos = a.pos + 1 WHERE a.label IS NOT NULL", "ap_blocks")
+_MONEY = "SELECT document_id, v, min(pos) AS pos FROM (SELECT document_id, pos, CAST(replace(text, '$', '') AS DECIMAL(38,6)) AS v FROM ap_blocks WHERE pos IN (9, 11, 13)) WHERE v > 0 GROUP BY 1, 2"
+add("j6_triangulate", lambda s, d: L.triangulate(L.classify_blocks(view(s, d, "ap_blocks")).where("amount is not null").select("document_id", "pos", F.col("amount").alias("value"))).select("document_id", *[F.col(c).cast("double").alias(c) for c in ("total", "subtotal", "tax")]), f"""SELECT document_id, CAST(total AS DOUBLE) AS total, CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax AS DOUBLE) AS tax FROM (SELECT t.document_id, t.v AS total, s.v AS subtotal, x.v AS tax, row_number() OVER (PARTITION BY t.document_id ORDER BY t.v DESC, s.v DESC, x.pos) AS r
+  FROM ({_MONEY}) t JOIN ({_MONEY}) s ON s.document_id = t.document_id AND s.v < t.v JOIN ({_MONEY}) x ON x.document_id = t.document_id AND x.v < t.v AND abs(x.v - (t.v - s.v)) <= 0.02 WHERE t.document_id IN (SELECT document_id FROM ({_MONEY}) GROUP BY 1 HAVING count(*) >= 3)) WHERE r = 1""", "ap_blocks")
+
+
+def _raw_ocr(spark: SparkSession, sf: str) -> DataFrame:
+    b = view(spark, sf, "ap_blocks")
+    point = lambda x, y: F.array(F.col(x), F.col(y))
+    poly = F.when(F.col("pos") % 3 == 0, F.array(F.array("x1", "y1", "x2", "y2"))).otherwise(F.array(point("x1", "y1"), point("x2", "y1"), point("x2", "y2"), point("x1", "y2")))
+    one = F.struct("pos", F.when(F.col("pos") == 5, " ").otherwise(F.col("text")).alias("text"), F.when(F.col("pos") != 7, F.col("score")).alias("score"), poly.alias("poly"))
+    g = b.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(one)).alias("b"))
+    return g.select("document_id", "page", F.col("b.text").alias("texts"), F.col("b.score").alias("scores"), F.col("b.poly").alias("polygons"))
+
+
+add("f20_flatten_ocr", lambda s, d: L.flatten_ocr(_raw_ocr(s, d)).drop("pos"), "SELECT document_id, page, text, CASE WHEN pos = 7 THEN 0.0 ELSE score END AS score, x1, y1, x2, y2 FROM ap_blocks WHERE pos <> 5", "ap_blocks")
+
+# Forecasts and anomalies
+_SERIES = f"SELECT month, total_spend AS value, row_number() OVER (ORDER BY month) - 1 AS x FROM ({_MONTH})"
+_series = lambda s, d: A.spend_by_month(sales_ledger(s, d)).select("month", F.col("total_spend").alias("value"))
+add("m5_forecast_linear", lambda s, d: M.forecast_linear(_series(s, d)), f"SELECT strftime(CAST(m || '-01' AS DATE) + k * INTERVAL 1 MONTH, '%Y-%m') AS month, round(greatest(a + b * (n + k), 0), 2) AS forecast FROM (SELECT regr_slope(value, x) AS b, regr_intercept(value, x) AS a, max(x) AS n, max(month) AS m FROM ({_SERIES})), (VALUES (1), (2), (3)) v(k)", "ap_documents", "ap_fields")
+add("m6_forecast_ar", lambda s, d: M.forecast_ar(_series(s, d)))
+_VSERIES = "SELECT vendor_name, strftime(uploaded_at, '%Y-%m') AS month, CAST(sum(CAST(coalesce({0}, 0) AS DECIMAL(18,2))) AS DOUBLE) AS value FROM ({1}) v JOIN ap_documents d ON d.id = v.document_id WHERE coalesce(vendor_name, '') <> '' GROUP BY 1, 2".format(_num("total_amount"), _VALUES)
+
+
+def _vendor_series(spark: SparkSession, sf: str) -> DataFrame:
+    ap = sales_ledger(spark, sf)
+    v = A._vendor_amounts(ap).join(ap.documents.select(F.col("id").alias("document_id"), "uploaded_at"), "document_id").where("vendor_name <> ''")
+    return v.groupBy("vendor_name", F.date_format("uploaded_at", "yyyy-MM").alias("month")).agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("value"))
+
+
+add("m5_forecast_by_vendor", lambda s, d: M.forecast_linear(_vendor_series(s, d), 1, "vendor_name").withColumn("forecast", F.round(F.col("forecast") / 1000, 0)), f"SELECT vendor_name, strftime(CAST(m || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS month, round(greatest(CASE WHEN n = 0 THEN last ELSE a + b * (n + 1) END, 0) / 1000, 0) AS forecast FROM (SELECT vendor_name, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, max(x) AS n, max(month) AS m, max_by(value, month) AS last FROM (SELECT *, row_number() OVER (PARTITION BY vendor_name ORDER BY month) - 1 AS x FROM ({_VSERIES})) GROUP BY 1)", "ap_documents", "ap_fields")
+_Z = f"SELECT document_id, n_corrections, CASE WHEN sa > 0 THEN abs((amount - ma) / sa) ELSE 0 END AS za, CASE WHEN sc > 0 THEN abs((conf - mc) / sc) ELSE 0 END AS zc FROM (SELECT *, avg(amount) OVER () AS ma, stddev_pop(amount) OVER () AS sa, avg(conf) OVER () AS mc, stddev_pop(conf) OVER () AS sc FROM (SELECT document_id, coalesce(amount, 0) AS amount, coalesce(avg_confidence, 0) AS conf, n_corrections FROM ({_STATS})))"
+add("m1_anomalies", lambda s, d: M.anomalies(A.document_stats(sales_ledger(s, d))).select("document_id", F.array_join("reasons", ",").alias("reasons"), "score"), f"SELECT document_id, concat_ws(',', CASE WHEN za > 2 THEN 'unusual_amount' END, CASE WHEN zc > 2 THEN 'unusual_confidence' END, CASE WHEN n_corrections > 3 THEN 'many_corrections' END) AS reasons, round((CAST(za > 2 AS INTEGER) + CAST(zc > 2 AS INTEGER) + CAST(n_corrections > 3 AS INTEGER)) / 3, 4) AS score FROM ({_Z}) WHERE za > 2 OR zc > 2 OR n_corrections > 3", *_ALL)
+add("m2_isolation_forest", lambda s, d: M.isolation_forest(A.document_stats(sales_ledger(s, d))))
+add("m8_insights", lambda s, d: M.insights(A.supplier_risk(A.supplier_metrics(sales_ledger(s, d))), _series(s, d), M.forecast_linear(_series(s, d)), M.anomalies(A.document_stats(sales_ledger(s, d)))))
+add("m9_calibrate", _ap(M.calibrate))
+
+# The verifier
+TODAY = "1998-08-01"
+_wide = lambda s, d: D.invoice_wide(sales_ledger(s, d))
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    return V.features(_wide(spark, sf), TODAY).select("document_id", *[F.round(f, 6).alias(f) for f in ("math_residual_relative", "math_residual_absolute", "log_total", "tax_to_subtotal_ratio", "n_line_items", "has_vendor_name", "vendor_name_length", "invoice_number_alnum_ratio", "date_within_5_years", "currency_marker_count_distinct")])
+
+
+_FDEC = f"SELECT document_id, vendor_name, invoice_number, date, total_amount, CAST({_DEC['total_amount']} AS DOUBLE) AS t, CAST({_DEC['subtotal']} AS DOUBLE) AS s, CAST({_DEC['tax']} AS DOUBLE) AS x FROM ({_VALUES})"
+add("m10_features", _features, f"""SELECT document_id, round(coalesce(round(abs(s + x - t), 6) / greatest(abs(t), 1), 0.0), 6) AS math_residual_relative, round(coalesce(abs(s + x - t), 0.0), 6) AS math_residual_absolute, round(CASE WHEN abs(t) > 1e-9 THEN log10(abs(t)) ELSE 0.0 END, 6) AS log_total, round(CASE WHEN abs(s) > 1e-9 AND x IS NOT NULL THEN x / s ELSE 0.0 END, 6) AS tax_to_subtotal_ratio, CAST(coalesce(n_items, 0) AS DOUBLE) AS n_line_items,
+  CAST(coalesce(vendor_name, '') <> '' AS DOUBLE) AS has_vendor_name, CAST(length(coalesce(vendor_name, '')) AS DOUBLE) AS vendor_name_length, round(CASE WHEN coalesce(invoice_number, '') <> '' THEN length(regexp_replace(invoice_number, '[^A-Za-z0-9]', '', 'g')) / length(invoice_number) ELSE 0.0 END, 6) AS invoice_number_alnum_ratio, CAST(coalesce(abs(date_diff('day', CAST(date AS DATE), DATE '{TODAY}')) <= 1830, false) AS DOUBLE) AS date_within_5_years, CAST(contains(coalesce(total_amount, ''), '$') AS DOUBLE) AS currency_marker_count_distinct
+  FROM ({_FDEC}) v LEFT JOIN ({_ITEMS}) i USING (document_id)""", "ap_fields", "ap_line_items")
+add("m11_corrupt", lambda s, d: V.corrupt(_wide(s, d), 2).groupBy("operator").agg(F.count("*").alias("copies")))
+add("m12_training_set", lambda s, d: V.training_set(_wide(s, d)).groupBy("label", "validation").agg(F.count("*").alias("rows")))
+
+
+def _scored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = V.features(V.training_set(_wide(spark, sf), k=1), TODAY)
+    model = V.train_verifier(labelled, rounds=5, depth=3)
+    return V.score(V.features(_wide(spark, sf), TODAY), model).select("document_id", F.round("p", 6).alias("p"), "ok", "reason", F.array_join("top_features", ",").alias("top_features"))
+
+
+add("m14_verifier_scores", _scored_documents)
+add("m4_supplier_risk_ml", lambda s, d: V.supplier_risk_ml(A.supplier_metrics(sales_ledger(s, d))))
+add("f22_target_json", lambda s, d: V.target_json(_wide(s, d)).select("document_id", F.get_json_object("target", "$.vendor_name").alias("vendor_name"), F.get_json_object("target", "$.line_items[0].description").alias("first_item")), f"SELECT document_id, vendor_name, first_item FROM ({_VALUES}) v LEFT JOIN (SELECT document_id, min_by(description, id) AS first_item FROM ap_line_items GROUP BY 1) i USING (document_id)", "ap_fields", "ap_line_items")
+
+
+# Streams
+def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+
+
+def _documents_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(VIEWS["ap_documents"], orders=_stream(spark, sf, "orders"))
+
+
+add("t1_stream_throughput", lambda s, d: ran(J.throughput(_documents_stream(s, d)), "complete"), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, count(*) AS documents FROM ap_documents GROUP BY 1", "ap_documents")
+add("t2_stream_confidence_drift", lambda s, d: ran(J.confidence_drift(_documents_stream(s, d).withColumn("conf", F.col("confidence_score"))), "complete"), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, ((2 * 10 * CAST(sum(CAST(round(confidence_score * 100) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*))) / 1000.0E0 AS avg_confidence, count(*) AS documents FROM ap_documents WHERE confidence_score IS NOT NULL GROUP BY 1", "ap_documents")
+
+
+def _stream_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    states = ("uploaded", "processing", "extracted", "verified", "review_pending", "approved", "rejected")
+    status = F.element_at(F.array(*map(F.lit, states)), (F.col("event_id") % 7 + 1).cast("int"))
+    log = _stream(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
+    return ran(J.invalid_transitions(log), "append")
+
+
+add("t3_stream_invalid_transitions", _stream_transitions, SQL["f19_invalid_transitions"])
+add("t3_stream_batch_progress", lambda s, d: ran(J.batch_progress(_documents_stream(s, d).where("batch_id is not null").select("batch_id", F.col("id").alias("document_id"), "status", F.col("k").alias("seq"))), "append"), f"SELECT batch_id, CASE WHEN failed > 0 THEN 'partial_failed' ELSE 'completed' END AS status FROM ({_BATCH}) WHERE uploaded + processing = 0", *_ALL)

@@ -88,6 +88,13 @@ VIEWS = {
           || CASE WHEN k % 7 <> 0 THEN 'Date: ' || CAST(day AS STRING) || chr(10) ELSE '' END || 'Subtotal: ' || CAST(subtotal AS STRING) || chr(10)
           || CASE WHEN k % 4 <> 0 THEN 'Tax: ' || CAST(tax AS STRING) || chr(10) ELSE '' END || 'Grand Total: $' || CAST(CAST(subtotal + tax AS DECIMAL(18,2)) AS STRING) AS text
         FROM {ap_invoices}""",
+    "ap_blocks": """
+        SELECT 'doc_' || k AS document_id, k, 1 AS page, CAST(2 * n + side AS INT) AS pos, 0.9E0 AS score,
+          CASE WHEN side = 0 THEN CASE n WHEN 1 THEN 'Vendor:' WHEN 2 THEN 'Invoice No:' WHEN 3 THEN 'Date:' WHEN 4 THEN 'Subtotal' WHEN 5 THEN 'Tax' ELSE 'Grand Total' END
+            ELSE CASE n WHEN 1 THEN vendor WHEN 2 THEN 'INV-' || k WHEN 3 THEN CAST(day AS STRING) WHEN 4 THEN CAST(subtotal AS STRING) WHEN 5 THEN CAST(tax AS STRING) ELSE '$' || CAST(CAST(subtotal + tax AS DECIMAL(18,2)) AS STRING) END END AS text,
+          CASE WHEN side = 0 THEN 10.0E0 ELSE 200.0E0 END AS x1, 20.0E0 * n + k % 3 AS y1, CASE WHEN side = 0 THEN 110.0E0 ELSE 300.0E0 END AS x2, 20.0E0 * n + k % 3 + 12 AS y2
+        FROM {ap_invoices} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) a CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) b
+        WHERE side = 1 OR (k + n) % 9 <> 0""",
     "ap_replies": """
         SELECT 'doc_' || k AS document_id, k,
           CASE WHEN k % 31 = 0 THEN '' ELSE
