@@ -9,7 +9,6 @@ backoff weights are then joined in, history by history, and summed per document.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_of, white_words
+from .common import arrow_rows, stored, text_of, white_words
 from .jaccard import _NO_ID, _mixed
 
 #: Counts up to K are discounted by Good-Turing, larger ones are trusted.
@@ -33,7 +32,7 @@ FREQUENT = 1 << 18
 #: Words whose bigrams are counted before any shuffle, so no bucket gets "of the" of all texts.
 HOT = 1024
 #: Occurrences a bucket holds about.
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 #: What a count over K gives up, so that every history leaves mass for backing off.
 TRUST = 0.01
 
@@ -53,7 +52,7 @@ def good_turing(classes: dict[int, int]) -> np.ndarray:
     return np.where((d > 0) & (d < 1), d, fallback)
 
 
-def _batches(pdf: pd.DataFrame, most: int = 6 << 20) -> Iterator[pd.DataFrame]:
+def _batches(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Rows in parts of about so many bytes of text."""
     part = pdf["text"].map(len).cumsum() // most
     for _, x in pdf.groupby(part, sort=False):
@@ -145,14 +144,24 @@ def _histories(h: np.ndarray, c2: np.ndarray, p1: np.ndarray) -> pd.DataFrame:
     return _frame("history", h=keys, n=np.bincount(g, big, len(keys)).astype(np.int64), known=np.bincount(g, np.where(big, c2, 0), len(keys)).astype(np.int64), x=np.bincount(g, p1, len(keys)), y=np.bincount(g, c2 == K + 1, len(keys)).astype(float), **_classes(g, len(keys), c2))
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+#: Ids, tags and training marks of texts; rare words' keys; histories, words and texts of bigrams. And: histories, words, counts.
+_COUNTS = ("<i8", "<i8", "<i8")
+_PACKED = ("<i8", "<i4", "?", "<i8", "<i4", "<i4", "<i4")
 
 
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))))
+def _pack(arrays: list[np.ndarray], kinds: tuple[str, ...] = _PACKED) -> bytes:
+    """Arrays of these kinds as one compressed block: their lengths first."""
+    head = np.array([len(a) for a in arrays], dtype="<i8")
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a, dtype=k).tobytes() for a, k in zip(arrays, kinds, strict=True)))
+
+
+def _unpack(data: bytes, kinds: tuple[str, ...] = _PACKED) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 8 * len(kinds), []
+    for n, k in zip(np.frombuffer(raw, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
 
 
 def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +199,7 @@ def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
             names, inv = np.unique(np.concatenate([h[o], w[o]]), return_inverse=True)
             far = names >= rare
             local = np.where(far, rare + np.cumsum(far) - 1, names).astype(np.int32)[inv]
-            rows.append((b, _pack(ids=ids[texts], tags=tags[texts], train=train[texts], rare=key_of[names[far]], h=local[: len(o)], w=local[len(o) :], d=dd.astype(np.int32))))
+            rows.append((b, _pack([ids[texts], tags[texts], train[texts], key_of[names[far]], local[: len(o)], local[len(o) :], dd])))
     settled = pd.concat(out)
     settled["bucket"] = settled["tag"] % buckets
     packed = _frame("bigrams", doc_id=np.zeros(len(rows), np.int64), payload=[r[1] for r in rows])
@@ -203,8 +212,8 @@ def _meet(known: Known, pdf: pd.DataFrame) -> pd.DataFrame:
     settled, pdf = pdf.loc[pdf["kind"] != "bigrams", _COLUMNS], pdf[pdf["kind"] == "bigrams"]
     if not len(pdf):
         return settled
-    parts = [_unpack(x) for x in pdf["payload"]]
-    rare, start = len(known.keys) + 1, len(known.keys)
+    parts = [dict(zip(("ids", "tags", "train", "rare", "h", "w", "d"), _unpack(x), strict=True)) for x in pdf["payload"]]
+    rare = len(known.keys) + 1
     shift = np.cumsum([0] + [len(p["ids"]) for p in parts])
     ids, tags, train = (np.concatenate([p[c] for p in parts]) for c in ("ids", "tags", "train"))
     d = np.concatenate([p["d"] + s for p, s in zip(parts, shift, strict=False)])
@@ -218,7 +227,7 @@ def _meet(known: Known, pdf: pd.DataFrame) -> pd.DataFrame:
     c1 = np.where(wc >= 0, np.append(known.counts, [0, 0])[wc], own[word])
     seen = first[c2 > 0]
     out = [settled, _settle(known, ids, tags, train, d, h, hc, c1, c2[inv], wc < 0), _histories(h[seen], c2[c2 > 0], known.p1(c1[seen]))]
-    out.append(_frame("counts", doc_id=np.zeros(1, np.int64), payload=[_pack(h=h[seen], w=w[seen], c=c2[c2 > 0])]))
+    out.append(_frame("counts", doc_id=np.zeros(1, np.int64), payload=[_pack([h[seen], w[seen], c2[c2 > 0]], _COUNTS)]))
     return pd.concat(out)
 
 
@@ -240,8 +249,7 @@ def bigram_counts(model: Model) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                x = _unpack(data)
-                yield pa.RecordBatch.from_arrays([pa.array(x[c]) for c in "hwc"], names=list("hwc"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpack(data, _COUNTS)], names=list("hwc"))
 
     return model.counts.select("payload").mapInArrow(unpack, "h long, w long, c long")
 
@@ -258,7 +266,9 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     (add-one unigrams) and ``score``. Null and empty texts are an end alone. A null held_out is false. Rows alike in
     id and text are scored alike. Without training texts all mass is on the unknown type: scores are 0.
     """
-    return score(fit(docs, held_out, id_col, text_col), id_col)
+    with arrow_rows(docs.sparkSession, 1000):
+        model = fit(docs, held_out, id_col, text_col)
+    return score(model, id_col)
 
 
 def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
