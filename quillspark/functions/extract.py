@@ -44,3 +44,27 @@ def block_label(text: Column) -> Column:
 def block_amount(text: Column) -> Column:
     """The number of a block that is nothing but an amount, else null."""
     return F.nullif(F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in VALUE_ONLY]), F.lit(""))
+
+_NUM = r"([\d,]+\.\d{2})"
+#: The receipt patterns, in order, and words that no merchant's line holds.
+RECEIPT = {
+    "invoice_number": (r"(?i)Invoice\s*#\s*([A-Za-z0-9\-_/]+)", r"(?i)Invoice\s*No\.?\s*[:\-]?\s*([A-Za-z0-9\-_/]+)", r"(?i)Document\s*(?:No|Number)\s*[:\-]?\s*([A-Za-z0-9\-_/]+)", r"(?i)INV\s*#?\s*([A-Za-z0-9\-_/]+)"),
+    "date": (r"Date\s*[:\-]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"Date\s*[:\-]?\s*([A-Za-z]{3,9}\s*\d{1,2},?\s*\d{4})", r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"),
+    "tax_amount": (rf"(?i)Tax\s*@\s*\d+%[:\-]?\s*{_NUM}", rf"(?i)GST[:\-]?\s*{_NUM}", rf"(?i)SST[:\-]?\s*{_NUM}", rf"(?i)Sales\s*Tax[:\-]?\s*{_NUM}"),
+    "subtotal": (rf"(?i)Sub\s*Total[:\-]?\s*{_NUM}",),
+    "discount": (rf"(?i)Discount[:\-]?\s*{_NUM}",),
+    "cash_tendered": (rf"(?i)Cash\s*Tendered[:\-]?\s*{_NUM}", rf"(?i)CASH[:\-]?\s*{_NUM}"),
+    "change": (rf"(?i)Change[:\-]?\s*{_NUM}",),
+}
+TOTALS = (rf"(?i)Grand\s*Total\s*[:\-]?\s*{_NUM}", rf"(?i)Payable\s*[:\-]?\s*{_NUM}", rf"(?i)Total\s*Amount\s*[:\-]?\s*{_NUM}", rf"(?i)TOTAL\s*RM\s*{_NUM}", rf"(?i)Total\s*[:\-]?\s*{_NUM}")
+NOT_MERCHANT = "invoice|receipt|tax|bill|order|cash|total|date|tel|phone|www|http"
+
+
+def extract_receipt(text: Column) -> dict[str, Column]:
+    """Ten receipt fields: the total is the largest match, the merchant the first of eight lines that looks like a name."""
+    first = lambda ps: F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ps])
+    values = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double")) for p in TOTALS])
+    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), 1, 8)
+    name = lambda x: (F.char_length(x) >= 3) & ~(x.rlike(r"\d") & (F.char_length(x) < 6)) & ~F.lower(x).rlike(NOT_MERCHANT)
+    out = {n: first(ps) for n, ps in RECEIPT.items()}
+    return {"merchant_name": F.get(F.filter(lines, name), F.lit(0)), "total_amount": F.format_string("%.2f", F.array_max(F.array_compact(values))), "currency": F.lit(None).cast("string"), **out}

