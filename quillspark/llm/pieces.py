@@ -27,7 +27,9 @@ class Pieces:
     spaces) and line end: the cuts' best segmentations make up the text's.
     """
 
-    KEPT = 400_000
+    KEPT = 200_000
+    #: Marks at a word's end, cut off where no piece holds the word's last character before the first mark.
+    TAIL = ".,!?;:)*%$&#"
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -45,12 +47,16 @@ class Pieces:
             self.out[i] = bytes([b])
         self.longest = max(map(len, self.scores))
         self.missing = min(s for _, s in self.scores.values()) - 10
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids_of: dict[str, bytes] = {}
-        self.score_of: dict[str, float] = {}
-        self.gap_of: dict[str, float] = {}
+        self.trie: dict = {}
+        for p, found in self.scores.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = found
+        self.inside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        # Segments of late, and those before: (ids, score, how much the second best loses).
+        self.kept: dict[str, tuple[bytes, float, float]] = {}
+        self.old: dict[str, tuple[bytes, float, float]] = {}
         self.nbest_of: dict[tuple[str, int], list[Path]] = {}
 
     def edges(self, text: str, end: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
@@ -64,30 +70,30 @@ class Pieces:
 
     def forward(self, text: str) -> tuple[list[float], list[float], list[tuple[int, tuple | None]]]:
         """Of each place: the best score up to it, the second best, and the last edge of the best."""
-        best, second, back = [0.0], [NEVER], [(0, ())]
-        get, longest = self.scores.get, self.longest
-        for end in range(1, len(text) + 1):
-            a = b = NEVER
-            last = (0, ())
-            for start in range(end - longest if end > longest else 0, end):
-                if found := get(text[start:end]):
-                    x, y = best[start] + found[1], second[start] + found[1]
-                    if x > a:
-                        a, b, last = x, (a if a > y else y), (start, found)
-                    elif x > b:
-                        b = x
-                    elif y > b:
-                        b = y
-            if text[end - 1] not in self.scores:
-                start = end - 1
-                x, y = best[start] + self.missing, second[start] + self.missing
-                if x > a:
-                    a, b, last = x, max(a, y), (start, None)
-                elif x > b:
-                    b = x
-            best.append(a)
-            second.append(b)
-            back.append(last)
+        n = len(text)
+        best, second, back = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [(0, None)] * (n + 1)
+        for start in range(n):
+            x0, y0, node = best[start], second[start], self.trie
+            for end in range(start, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is not None:
+                    x, e = x0 + found[1], end + 1
+                    if x > best[e]:
+                        y, a = y0 + found[1], best[e]
+                        second[e] = a if a > y else y
+                        best[e], back[e] = x, (start, found)
+                    elif x > second[e]:
+                        second[e] = x
+            if text[start] not in self.scores:
+                x, e = x0 + self.missing, start + 1
+                if x > best[e]:
+                    second[e] = max(best[e], y0 + self.missing)
+                    best[e], back[e] = x, (start, None)
+                elif x > second[e]:
+                    second[e] = x
         return best, second, back
 
     def nbest(self, text: str, n: int) -> list[Path]:
@@ -118,17 +124,36 @@ class Pieces:
         """A segment of one space and a word is kept as the word."""
         return segment if segment[0] in " \n" else f" {segment}"
 
-    def _learn(self, segments: set[str]) -> None:
-        for segment in segments:
-            s = self._text(segment)
-            best, second, back = self.forward(s)
-            ids, end = [], len(s)
-            while end:
-                start, found = back[end]
-                ids += (found[0],) if found else [self.byte_id[b] for b in reversed(s[start].encode())]
-                end = start
-            self.ids_of[segment] = np.array(ids[::-1], dtype="<i4").tobytes()
-            self.score_of[segment], self.gap_of[segment] = best[-1], best[-1] - second[-1]
+    def _best(self, segment: str) -> tuple[bytes, float, float]:
+        s = self._text(segment)
+        best, second, back = self.forward(s)
+        ids, end = [], len(s)
+        while end:
+            start, found = back[end]
+            ids += (found[0],) if found else [self.byte_id[b] for b in reversed(s[start].encode())]
+            end = start
+        return np.array(ids[::-1], dtype="<i4").tobytes(), best[-1], best[-1] - second[-1]
+
+    def _look(self, segment: str) -> tuple[bytes, float, float]:
+        """A segment's entry, made if need be. Between characters that no piece joins the two sides are independent."""
+        found = self.kept.get(segment) or self.old.get(segment)
+        if not found:
+            head = segment.rstrip(self.TAIL)
+            if head and head[-1] not in " \n" and len(head) < len(segment) and segment[len(head) - 1 : len(head) + 1] not in self.inside:
+                a, b = self._look(head), self._mark(segment[len(head) :])
+                found = a[0] + b[0], a[1] + b[1], min(a[2], b[2])
+            else:
+                found = self._best(segment)
+        self.kept[segment] = found
+        return found
+
+    def _mark(self, tail: str) -> tuple[bytes, float, float]:
+        """The entry of marks that follow a word without a space: a line end before them, which no piece holds, is taken off again."""
+        key = "\n" + tail
+        if key not in self.kept:
+            self.kept[key] = self.old.get(key) or self._best(key)
+        ids, score, gap = self.kept[key]
+        return ids[4:], score - self.missing, gap
 
     @staticmethod
     def segments(text: str) -> list[str]:
@@ -144,14 +169,16 @@ class Pieces:
         so only these are searched, and their n best combined.
         """
         segs = self.segments(text)
-        if len(self.ids_of) > self.KEPT:
-            self._clear()
-        if new := set(segs).difference(self.ids_of):
-            self._learn(new)
-        parts = list(map(self.ids_of.__getitem__, segs))
-        score = sum(map(self.score_of.__getitem__, segs))
+        if len(self.kept) > self.KEPT:
+            self.old, self.kept = self.kept, {}
+            self.nbest_of.clear()
+        for new in set(segs).difference(self.kept):
+            self._look(new)
+        entries = list(map(self.kept.__getitem__, segs))
+        parts = [x[0] for x in entries]
+        score = sum([x[1] for x in entries])
         ids = b"".join(parts)
-        gaps = np.fromiter(map(self.gap_of.__getitem__, segs), float, len(segs))
+        gaps = np.array([x[2] for x in entries])
         near = np.argpartition(gaps, n - 2)[: n - 1] if len(segs) >= n > 1 else np.arange(len(segs))[: n - 1]
         near = sorted(k for k in near.tolist() if gaps[k] < float("inf"))
         options = []
