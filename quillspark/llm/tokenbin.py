@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, text_of
+from .common import arrow_rows, new_path, slices, stored, text_of
 
 FRAME_BYTES = 256 << 10
 _SEEK_MAGIC, _DOCS_MAGIC, _FOOTER_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
@@ -36,7 +36,9 @@ class Encoder:
     once and kept. Where other white space begins or ends a piece, or a special token's text occurs, the
     whole text is encoded as it is."""
 
-    KEPT, TOGETHER = 1 << 19, 4096
+    KEPT, TOGETHER = 300_000, 4096
+    #: Marks that are ids of their own after a letter or digit, so "word." is "word" and ".".
+    TAIL = ".,!?;:)"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,30 +46,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end = self.whole("\n")
+        # Pieces of late, and those before: what is still in use moves over when the former are full.
         self.kept: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _encode_plain(self, pieces: list[str]) -> None:
         """Pieces are "\nword" and "word" (after a space). Many are encoded at once, with line ends, which are ids of their own, between them."""
-        kept, end = self.kept, np.frombuffer(self.line_end, dtype="<u4")
-        for lead, words in (("", [p[1:] for p in pieces if p[:1] == "\n"]), (" ", [p for p in pieces if p[:1] != "\n"])):
-            plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-            kept.update((("" if lead else "\n") + w, None) for w in words)
-            for i in range(0, len(plain), self.TOGETHER):
-                some = plain[i : i + self.TOGETHER]
-                ids = np.frombuffer(self.whole("\n".join(lead + w for w in some)), dtype="<u4")
-                cuts = np.flatnonzero(ids == end[0])
-                if len(cuts) != len(some) - 1:
+        kept, end = self.kept, np.frombuffer(self.line_end, dtype="<u4")[0]
+        for lead, some in (("", [p for p in pieces if p[0] == "\n"]), (" ", [p for p in pieces if p[0] != "\n"])):
+            for i in range(0, len(some), self.TOGETHER):
+                part = some[i : i + self.TOGETHER]
+                text = "".join(part) if not lead else "\n " + "\n ".join(part)
+                raw = self.whole(text)
+                ids = np.frombuffer(raw, dtype="<u4")
+                cuts = (4 * np.flatnonzero(ids == end)).tolist()
+                if len(cuts) != len(part):
                     raise ValueError("line ends aren't ids of their own in this tokenizer")
-                for w, part in zip(some, np.split(ids, cuts), strict=True):
-                    ids_of = part.tobytes() if part.size and part[0] == end[0] else self.line_end + part.tobytes()
-                    kept[w if lead else "\n" + w] = ids_of[4:] if lead else ids_of
+                skip = 4 if lead else 0
+                kept.update((p, raw[x + skip : y]) for p, x, y in zip(part, cuts, [*cuts[1:], len(raw)], strict=True))
+
+    def _learn(self, pieces: set[str]) -> None:
+        kept, old = self.kept, self.old
+        fresh = [p for p in pieces if p not in old]
+        kept.update((p, old[p]) for p in pieces if p in old)
+        plain, split = [], []
+        for p in fresh:
+            word = p[1:] if p[:1] == "\n" else p
+            if not word or word[0].isspace() or word[-1].isspace():
+                kept[p] = None
+                continue
+            head = p.rstrip(self.TAIL)
+            if len(head) < len(p) and head[-1:].isalnum():
+                split.append((p, head, p[len(head) :]))
+                if head not in kept and head not in pieces:
+                    plain.append(head)
+            else:
+                plain.append(p)
+        self._encode_plain(list(dict.fromkeys(plain)))
+        for p, head, tail in split:
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            kept[p] = kept[head] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > self.KEPT:
-            self.kept.clear()
+            self.old, self.kept = self.kept, {}
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         self._learn(set().union(*(set(pieces).difference(self.kept) for pieces in split)))
         out, of = [], self.kept.__getitem__
@@ -178,7 +205,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
         own, end, n = f"{root}/.{uuid.uuid4().hex}", np.uint32(end_id).astype("<u4").tobytes(), 0
         with fs.open_output_stream(own) as out:
             shard = ShardWriter(out)
-            for batch in batches:
+            for batch in slices(batches):
                 for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                     shard.add(i, ids + end)
                     n += 1
@@ -186,12 +213,18 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
         fs.move(own, f"{root}/shard-{k:06d}.zst")
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64())], names=["shard", "docs"])
 
-    placed.mapInArrow(write, "shard long, docs long").agg(F.sum("docs")).first()
+    with arrow_rows(spark, 1000):
+        placed.mapInArrow(write, "shard long, docs long").agg(F.sum("docs")).first()
     return path
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of the shards in order of writing: shard, pos, doc_id, ids (bytes), start (ids before it in all shards)."""
+def read_shards(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """Every document of the shards: shard, pos, doc_id, before (ids before it in its shard), and ids (bytes), or their
+    number and crc32 instead. Frames are decompressed one at a time."""
+    kinds = [("shard", pa.int64()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64())] + ([("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] if digests else [("ids", pa.binary())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,31 +235,20 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     before, rows, held = 0, [], 0
                     for i, ids in reader.documents():
                         d = reader.docs[i]
-                        rows.append((shard, i, None if d["null"] else int(d["doc_id"]), before, ids))
+                        rows.append((shard, i, None if d["null"] else int(d["doc_id"]), before, *((len(ids) // 4, zlib.crc32(ids)) if digests else (ids,))))
                         before, held = before + len(ids) // 4, held + len(ids)
                         if held > 8 << 20:
-                            yield _batch(rows)
+                            yield batch_of(rows)
                             rows, held = [], 0
-                    yield _batch(rows)
+                    yield batch_of(rows)
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [("shard", pa.int64()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("ids", pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.zst").load(path)
-    return files.select("path", "length").repartition(max(1, files.rdd.getNumPartitions())).mapInArrow(parse, "shard long, pos long, doc_id long, before long, ids binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.zst").load(path).select("path", "length")
+    return files.repartition(max(1, files.count() // 2)).mapInArrow(parse, "shard long, pos long, doc_id long, before long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary"))
 
 
 def document_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the shards."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            cols = [batch.column(c) for c in ("shard", "doc_id", "before")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
-
-    docs = read_shards(spark, path).mapInArrow(digest, "shard long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    docs = stored(read_shards(spark, path, digests=True), "token-index")
     # One row a shard meets in the window: their number is the input's length over shard_chars.
     shards = docs.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("shard_start", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return docs.join(shards.drop("n"), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
