@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 AMOUNT_FIELDS = ("subtotal", "tax", "total_amount")
 REPLY_KEYS = ("invoice_number", "date", "vendor_name", "subtotal", "tax", "total_amount")
@@ -95,12 +98,69 @@ def edit_ops(a: Column, b: Column) -> Column:
     return F.struct(walked["s"].alias("s"), walked["d"].alias("d"), walked["n"].alias("i"), walked["c"].alias("c"))
 
 
+def _path_counts(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Rows (s, d, i, c) of edit_ops, of pairs of texts that fit one table together."""
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    a, b = np.full((len(pairs), n.max() + 1), -1, np.int64), np.full((len(pairs), m.max() + 1), -2, np.int64)
+    for r, (x, y) in enumerate(pairs):
+        a[r, : len(x)], b[r, : len(y)] = list(map(ord, x)), list(map(ord, y))
+    rows, at = np.arange(len(pairs)), np.arange(m.max() + 1, dtype=np.int32)
+    table = np.empty((n.max() + 1, len(pairs), m.max() + 1), np.int32)
+    table[0] = at
+    for i in range(1, n.max() + 1):
+        table[i, :, 0] = i
+        table[i, :, 1:] = np.minimum(table[i - 1, :, 1:] + 1, table[i - 1, :, :-1] + (a[:, i - 1, None] != b[:, :-1]))
+        table[i] = np.minimum.accumulate(table[i] - at, axis=1) + at  # insertions
+    out = np.zeros((len(pairs), 4), np.int32)
+    i, j = n.copy(), m.copy()
+    while (left := (i > 0) | (j > 0)).any():
+        here, both = table[i, rows, j], (i > 0) & (j > 0)
+        diag, up = table[i - 1, rows, j - 1], table[i - 1, rows, j]
+        match = both & (a[rows, i - 1] == b[rows, j - 1]) & (diag == here)
+        sub = both & ~match & (diag + 1 == here)
+        dele = ~match & ~sub & (i > 0) & (up + 1 == here)
+        ins = left & ~match & ~sub & ~dele
+        out += np.stack([sub, dele, ins, match], axis=1)
+        i, j = i - (match | sub | dele), j - (match | sub | ins)
+    return out
+
+
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in "sdic"]))
+def _text_ops(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    pairs = list(zip(reference, hypothesis, strict=True))
+    out = np.array([(0, 0, 0, len(a)) for a, _ in pairs], np.int32).reshape(-1, 4)
+    # Pairs of like lengths share a table of about 16 MB; equal texts need none.
+    todo = sorted((k for k, (a, b) in enumerate(pairs) if a != b), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    while todo:
+        size, widest = 0, 0
+        while size < len(todo):
+            a, b = pairs[todo[size]]
+            widest = max(widest, len(b))
+            if size and (size + 1) * (len(a) + 1) * (widest + 1) > 1 << 22:
+                break
+            size += 1
+        now, todo = todo[:size], todo[size:]
+        out[now] = _path_counts([pairs[k] for k in now])
+    return pd.DataFrame(out, columns=list("sdic"))
+
+
+def text_edit_ops(reference: Column, hypothesis: Column) -> Column:
+    """edit_ops of two texts' characters, for many rows: tables of a batch are filled together."""
+    return _text_ops(F.coalesce(reference, F.lit("")), F.coalesce(hypothesis, F.lit("")))
+
+
 def chars(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    return F.element_at(F.element_at(_cells(words(reference), words(hypothesis)), -1), -1)
+    """Edits between two word lists. Each distinct word is written as one character, so that levenshtein counts words."""
+    bound = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  # v is computed once
+    code = lambda ws, known: F.decode(F.unhex(F.concat_ws("", F.transform(ws, lambda w: F.hex(F.array_position(known, w) + 0x4E00)))), "UTF-16BE")
+    # Beyond 20,000 words, codes would meet surrogates.
+    edits = lambda p, known: F.when(F.size(known) <= 20000, F.levenshtein(code(p["a"], known), code(p["b"], known))).otherwise(F.element_at(F.element_at(_cells(p["a"], p["b"]), -1), -1))
+    pair = F.struct(words(reference).alias("a"), words(hypothesis).alias("b"))
+    return bound(pair, lambda p: bound(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: edits(p, known)))
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:

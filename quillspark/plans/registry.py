@@ -14,7 +14,7 @@ from ..operators import layout as L
 from ..operators import quality as Q
 from ..operators import review as R
 from ..operators import stats as A
-from ..sources.ledger import VIEWS, sales_ledger, view, view_sql
+from ..sources.ledger import VIEWS, sales_ledger, text_pairs, view, view_sql
 from ..streaming import jobs as J
 from ..streaming.run import ran
 from . import verifier as V
@@ -255,8 +255,8 @@ _REPLY = r"SELECT document_id, b, CASE WHEN trim(reply) = '' THEN 'empty_output'
 add("f11_parse_reply", _replies, f"SELECT document_id, reason, " + ", ".join(f"CASE WHEN reason IS NULL THEN json_extract_string(b, '$.{k}') END AS {k}" for k in ("invoice_number", "vendor_name", "total_amount")) + f" FROM ({_REPLY})", "ap_replies")
 add("q9_parse_robustness", lambda s, d: Q.parse_robustness(view(s, d, "ap_replies")), f"SELECT coalesce(reason, 'ok') AS outcome, count(*) AS replies FROM ({_REPLY}) GROUP BY 1", "ap_replies")
 add("f12_cer", lambda s, d: view(s, d, "ap_pairs").select("doc_id", F.round(text.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer")), "SELECT doc_id, round(levenshtein(reference, hypothesis) / length(reference), 6) AS cer FROM ap_pairs", "ap_pairs")
-add("f12_edit_ops", lambda s, d: view(s, d, "ap_pairs").withColumn("o", text.edit_ops(text.chars(F.col("reference")), text.chars(F.col("hypothesis")))).select("doc_id", "o.*"))
-add("f12_wer", lambda s, d: view(s, d, "ap_pairs").select("doc_id", F.round(text.wer(F.col("reference"), F.col("hypothesis")), 6).alias("wer")))
+add("f12_edit_ops", lambda s, d: text_pairs(s, d).withColumn("o", text.text_edit_ops(F.col("reference"), F.col("hypothesis"))).select("doc_id", "pos", "o.*"))
+add("f12_wer", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.wer(F.col("reference"), F.col("hypothesis")), 6).alias("wer")))
 _N = r"nullif(replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '(?i)(rs\.?|pkr|inr|usd|\$|€|£|/-)', '', 'g'), '\s+', ' ', 'g')), ',', ''), '')"
 _CLASS = f"CASE WHEN t IS NOT DISTINCT FROM p THEN 'exact' WHEN levenshtein(p, t) <= 2 THEN 'fuzzy' ELSE 'wrong' END"
 _BUCKETS = f"SELECT doc_id, field_name, {_CLASS} AS bucket FROM (SELECT *, {_N.format('hypothesis')} AS p, {_N.format('reference')} AS t FROM ap_pairs)"
@@ -298,6 +298,27 @@ add("q12_worst_pairs", lambda s, d: Q.worst_pairs(view(s, d, "ap_pairs"), 20, "d
 add("q12_failure_examples", lambda s, d: Q.failure_examples(_aligned(s, d)).select("sample", "field", "bucket", "rank"), f"SELECT doc_id AS sample, field_name AS field, bucket, CAST(row_number() OVER (PARTITION BY field_name ORDER BY doc_id) AS INTEGER) AS rank FROM ({_BUCKETS}) WHERE bucket = 'wrong' AND {_TEXTUAL} QUALIFY rank <= 3", "ap_pairs")
 
 
+def _aligned_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = text_pairs(spark, sf).select(F.concat_ws("_", "doc_id", "pos").alias("sample"), F.col("field_name").alias("field"), "hypothesis", "reference")
+    return Q.align(p.where("hypothesis is not null").select("sample", "field", F.col("hypothesis").alias("value")), p.select("sample", "field", F.col("reference").alias("value")))
+
+
+# Over whole texts of all documents and all fields. No SQL: the other engine's levenshtein counts bytes.
+add("f12_cer_whole", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer")))
+add("f13_match_class_whole", lambda s, d: text_pairs(s, d).select("doc_id", "pos", "field_name", text.match_class(F.col("hypothesis"), F.col("reference"), F.col("field_name")).alias("bucket")))
+add("f15_token_f1_whole", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.token_f1(F.col("hypothesis"), F.col("reference")), 6).alias("f1")))
+add("j7_align_whole", _aligned_whole)
+add("q1_corpus_cer_whole", lambda s, d: Q.corpus_cer(text_pairs(s, d), "tier"))
+add("q2_error_rates_whole", lambda s, d: Q.error_rates(text_pairs(s, d)))
+add("q3_field_error_rates_whole", lambda s, d: Q.field_error_rates(text_pairs(s, d)))
+add("q4_tier_advantage_whole", lambda s, d: Q.tier_advantage(text_pairs(s, d)))
+add("q5_field_prf_whole", lambda s, d: Q.field_prf(_aligned_whole(s, d)))
+add("q6_field_verdicts_whole", lambda s, d: Q.field_verdicts(Q.field_prf(_aligned_whole(s, d))))
+add("q7_exact_and_f1_whole", lambda s, d: Q.exact_and_f1(_aligned_whole(s, d)))
+add("q12_worst_pairs_whole", lambda s, d: Q.worst_pairs(text_pairs(s, d), 20, "doc_id", "pos").select("doc_id", "pos", "cer", "ops"))
+add("q12_failure_examples_whole", lambda s, d: Q.failure_examples(_aligned_whole(s, d)).select("sample", "field", "bucket", "rank"))
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Confidence of fields as a score, whether they were right as a label."""
     return view(spark, sf, "ap_fields").where("confidence is not null").select("id", F.col("confidence").alias("p"), F.when(F.col("status") == "invalid", 0).otherwise(F.when(F.col("k") % 5 == 0, 0).otherwise(1)).alias("label"), F.col("field_name").alias("operator"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "documents": "id string, original_filename string, file_size long, status string, uploaded_by string, uploaded_at timestamp, processed_at timestamp, approved_by string, approved_at timestamp, rejected_reason string, traceability_log string, fallback_tier string, confidence_score double, batch_id string",
@@ -145,6 +146,23 @@ def view_sql(*names: str) -> str:
     return f"WITH {body} " if body else ""
 
 
+def text_pairs(spark: SparkSession, sf_dir: str, width: int = 80) -> DataFrame:
+    """Text pairs (doc_id, pos, tier, field_name, reference, hypothesis) of all documents, whatever their characters.
+
+    A text is cut after line breaks and every ``width`` characters: its references, in order of pos, are the whole
+    text. Hypotheses are made as in ap_pairs, and some are null.
+    """
+    text = F.col("text")
+    parts = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(rf"([^\n]{{0,{width - 1}}}\n|[^\n]{{1,{width}}})"), F.lit(1)))
+    cut = view(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(parts).alias("pos", "reference")).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    k, r = F.coalesce("doc_id", F.lit(0)) + F.col("pos"), F.col("reference")
+    of = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (F.pmod(k, F.lit(n)) + 1).cast("int"))
+    at = lambda n: F.pmod(k, F.lit(n)) == 0
+    tail = F.greatest(F.char_length(r) - 1 - F.pmod(k, F.lit(9)), F.lit(0)).cast("int")
+    hypothesis = F.when(at(13), None).when(at(7), F.substring(r, F.lit(1), tail)).when(at(5), F.replace(r, F.lit("e"), F.lit("c"))).when(at(11), "").otherwise(r)
+    return cut.select("doc_id", "pos", of(3, "local", "vlm", "unknown").alias("tier"), of(4, "vendor_name", "date", "total_amount", "invoice_number").alias("field_name"), "reference", hypothesis.alias("hypothesis"))
+
+
 def sales_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     """The ledger that the sales tables stand for: an order is a document, its lines are the items."""
     of = lambda name: view(spark, sf_dir, name)

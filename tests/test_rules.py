@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import amounts, audit, extract, text
 from quillspark.operators import forecast, layout, quality, review
+from quillspark.plans.registry import QUERIES
+from quillspark.sources.ledger import text_pairs, view
+
+from .conftest import SF
 
 
 def one(spark, rows, schema, **cols):
@@ -50,6 +54,40 @@ def test_edit_ops(spark):
     assert [tuple(r.o) for r in got] == [(2, 0, 0, 0), (0, 0, 3, 0), (0, 3, 0, 0), (2, 0, 1, 4), (0, 0, 0, 0), (2, 0, 0, 1)]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_whole_texts_are_compared(spark):
+    texts = {r.doc_id: r.text for r in view(spark, SF, "documents").collect()}
+    assert any(not t.isascii() for t in texts.values()) and max(map(len, texts.values())) > 1000
+    rows = text_pairs(spark, SF).select("*", F.levenshtein("reference", "hypothesis").alias("e"), text.word_edits(F.col("reference"), F.col("hypothesis")).alias("w")).collect()
+    parts = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.pos)):
+        parts[r.doc_id] = parts.get(r.doc_id, "") + r.reference
+    assert parts == texts
+    assert {r.field_name for r in rows} == {"vendor_name", "date", "total_amount", "invoice_number"}
+    assert any(r.hypothesis is None for r in rows)
+    some = [r for r in rows if r.hypothesis is not None and (r.doc_id + r.pos) % 37 == 0]
+    assert all((r.e, r.w) == (edits(r.reference, r.hypothesis), edits(r.reference.split(), r.hypothesis.split())) for r in some)
+    assert QUERIES["f12_edit_ops"](spark, SF).agg(F.sum(F.col("c") + F.col("s") + F.col("d"))).first()[0] == sum(map(len, texts.values()))
+    assert sum(r.n for r in QUERIES["q1_corpus_cer_whole"](spark, SF).collect()) == len(rows)
+
+
+def test_text_edit_ops(spark):
+    pairs = [("ab", "ba"), ("", "abc"), ("abc", ""), ("kitten", "sitting"), (None, None), ("\u00e9t\u00e9", "ete"), ("abcabba", "cbabac"), ("x" * 30 + "abc", "abcx" * 8), ("same", "same"), ("\U0001d11ea", "a")]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    got = df.select(text.text_edit_ops(F.col("a"), F.col("b")).alias("o"), text.edit_ops(text.chars(F.col("a")), text.chars(F.col("b"))).alias("q")).collect()
+    assert [r.o for r in got[:-1]] == [r.q for r in got[:-1]]
+    assert tuple(got[-1].o) == (0, 1, 0, 1)
+
+
 def test_rates(spark):
     df = spark.createDataFrame([("a b c", "a x c"), ("", "p q"), (None, None)], "a string, b string")
     got = df.select(text.cer(F.col("a"), F.col("b")).alias("c"), text.wer(F.col("a"), F.col("b")).alias("w")).collect()
