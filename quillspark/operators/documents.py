@@ -148,16 +148,18 @@ def earliest_correction(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy("field_id").agg(F.min_by("original_value", key).alias("original_value"), F.min_by("corrected_value", key).alias("corrected_value"), F.min("created_at").alias("created_at"), F.min_by("document_id", key).alias("document_id"))
 
 
-def clean_documents(ap: Ledger, limit: int) -> DataFrame:
-    """Verified, never corrected, with fields; newest processing first."""
+def clean_documents(ap: Ledger, limit: int | None = None) -> DataFrame:
+    """Verified, never corrected, with fields: all, or the newest by processing."""
     docs = ap.documents.where("status = 'verified'").withColumnRenamed("id", "document_id")
     docs = docs.join(ap.corrections.select("document_id"), "document_id", "left_anti").join(ap.fields.select("document_id"), "document_id", "left_semi")
-    return docs.orderBy(F.desc_nulls_last("processed_at"), "document_id").limit(limit).select("document_id", "processed_at")
+    docs = docs if limit is None else docs.orderBy(F.desc_nulls_last("processed_at"), "document_id").limit(limit)
+    return docs.select("document_id", "processed_at")
 
 
-def correction_pairs(ap: Ledger, limit: int) -> DataFrame:
-    """Corrected documents by id: each field after (as it is) and before (the first correction's original value)."""
-    docs = ap.corrections.select("document_id").distinct().orderBy("document_id").limit(limit)
+def correction_pairs(ap: Ledger, limit: int | None = None) -> DataFrame:
+    """Corrected documents (all, or the first by id): each field after (as it is) and before (the first correction's original value)."""
+    docs = ap.corrections.select("document_id").distinct()
+    docs = docs if limit is None else docs.orderBy("document_id").limit(limit)
     fields = ap.fields.join(docs, "document_id", "left_semi")
     before = earliest_correction(ap.corrections).select(F.col("field_id").alias("id"), F.col("original_value").alias("before"))
     both = fields.join(before, "id", "left").withColumn("before", F.coalesce("before", "field_value"))
@@ -165,11 +167,11 @@ def correction_pairs(ap: Ledger, limit: int) -> DataFrame:
     return both.groupBy("document_id").agg(*[value(n, c).alias(f"{when}_{n}") for n in FIELDS for when, c in (("before", "before"), ("after", "field_value"))])
 
 
-def correction_text_pairs(ap: Ledger, limit: int) -> DataFrame:
-    """(tier, field, model value, human value) of the newest first corrections."""
+def correction_text_pairs(ap: Ledger, limit: int | None = None) -> DataFrame:
+    """(tier, field, model value, human value) of first corrections: all, or the newest."""
     first = earliest_correction(ap.corrections)
     named = first.join(ap.fields.select(F.col("id").alias("field_id"), "field_name"), "field_id").join(ap.documents.select(F.col("id").alias("document_id"), "fallback_tier"), "document_id")
-    top = named.orderBy(F.desc("created_at"), "field_id").limit(limit)
+    top = named if limit is None else named.orderBy(F.desc("created_at"), "field_id").limit(limit)
     return top.select("field_id", F.coalesce("fallback_tier", F.lit("unknown")).alias("tier"), "field_name", F.col("original_value").alias("model_value"), F.col("corrected_value").alias("human_value"))
 
 

@@ -209,6 +209,10 @@ add("j2_correction_pairs", lambda s, d: D.correction_pairs(sales_ledger(s, d), 5
 add("j3_correction_text_pairs", lambda s, d: D.correction_text_pairs(sales_ledger(s, d), 500), f"SELECT field_id, coalesce(fallback_tier, 'unknown') AS tier, field_name, original_value AS model_value, corrected_value AS human_value FROM ({_EARLY}) e JOIN (SELECT id AS field_id, field_name FROM ap_fields) f USING (field_id) JOIN ap_documents d ON d.id = e.document_id ORDER BY e.created_at DESC, field_id LIMIT 500", *_ALL)
 _NEW = "ORDER BY processed_at DESC NULLS LAST, id LIMIT 100"
 add("j4_holdouts", lambda s, d: D.holdouts(sales_ledger(s, d), 100), f"SELECT id AS document_id, 'corrected' AS kind FROM (SELECT * FROM ap_documents WHERE id IN (SELECT document_id FROM ap_corrections) {_NEW}) UNION ALL SELECT id, 'clean' FROM (SELECT * FROM ap_documents WHERE status = 'verified' AND id NOT IN (SELECT document_id FROM ap_corrections) {_NEW})", *_ALL)
+# The same without a limit: all there is to train on.
+add("j1_clean_documents_all", lambda s, d: D.clean_documents(sales_ledger(s, d)).withColumn("processed_at", _ts("processed_at")), f"SELECT id AS document_id, {_stamp('processed_at')} AS processed_at FROM ap_documents WHERE status = 'verified' AND id NOT IN (SELECT document_id FROM ap_corrections) AND id IN (SELECT document_id FROM ap_fields)", *_ALL)
+add("j2_correction_pairs_all", lambda s, d: D.correction_pairs(sales_ledger(s, d)), f"SELECT document_id, {_PAIR} FROM (SELECT f.*, coalesce(e.original_value, field_value) AS before FROM ap_fields f LEFT JOIN ({_EARLY}) e ON e.field_id = f.id WHERE f.document_id IN (SELECT document_id FROM ap_corrections)) GROUP BY document_id", "ap_fields", "ap_corrections")
+add("j3_correction_text_pairs_all", lambda s, d: D.correction_text_pairs(sales_ledger(s, d)), f"SELECT field_id, coalesce(fallback_tier, 'unknown') AS tier, field_name, original_value AS model_value, corrected_value AS human_value FROM ({_EARLY}) e JOIN (SELECT id AS field_id, field_name FROM ap_fields) f USING (field_id) JOIN ap_documents d ON d.id = e.document_id", *_ALL)
 
 # Row rules
 _CUR = "CASE WHEN regexp_matches({0}, '^-?\\d+(\\.\\d+)?$') THEN TRY_CAST({0} AS DECIMAL(38,6)) END"

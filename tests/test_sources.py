@@ -49,6 +49,14 @@ def test_earliest_correction_wins(spark):
     assert documents.earliest_correction(df).first().original_value == "first"
 
 
+def test_training_rows_have_no_limit(spark):
+    ap = sales_ledger(spark, SF)
+    corrected = ap.corrections.select("document_id").distinct().count()
+    assert documents.correction_pairs(ap).count() == corrected > 500
+    assert documents.correction_text_pairs(ap).count() == ap.corrections.select("field_id").distinct().count() > 500
+    assert documents.clean_documents(ap).count() > documents.clean_documents(ap, 10).count() == 10
+
+
 def test_upsert_null_period(spark):
     target = spark.createDataFrame([("m", None, 1.0), ("m", "a", 2.0)], "metric_name string, period string, metric_value double")
     updates = spark.createDataFrame([("m", None, 5.0, 1), ("m", None, 6.0, 2)], "metric_name string, period string, metric_value double, at int")
