@@ -167,6 +167,13 @@ def correction_pairs(ap: Ledger, limit: int | None = None) -> DataFrame:
     return both.groupBy("document_id").agg(*[value(n, c).alias(f"{when}_{n}") for n in FIELDS for when, c in (("before", "before"), ("after", "field_value"))])
 
 
+def corrected_wide(ap: Ledger) -> tuple[DataFrame, DataFrame]:
+    """(before, after) of all corrected documents, each as wide rows; items are the same in both."""
+    pairs = correction_pairs(ap).join(invoice_wide(ap).select("document_id", "items"), "document_id", "left")
+    of = lambda when: pairs.select("document_id", *[F.col(f"{when}_{n}").alias(n) for n in FIELDS], "items")
+    return of("before"), of("after")
+
+
 def correction_text_pairs(ap: Ledger, limit: int | None = None) -> DataFrame:
     """(tier, field, model value, human value) of first corrections: all, or the newest."""
     first = earliest_correction(ap.corrections)

@@ -413,9 +413,16 @@ add("m11_corrupt", lambda s, d: V.corrupt(_wide(s, d), 2).groupBy("operator").ag
 add("m12_training_set", lambda s, d: V.training_set(_wide(s, d)).groupBy("label", "validation").agg(F.count("*").alias("rows")))
 
 
+def _training_rows(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
+    """Clean documents, their corrupted copies, and corrected documents before and after."""
+    ap = sales_ledger(spark, sf)
+    clean = D.invoice_wide(ap).join(D.clean_documents(ap).select("document_id"), "document_id", "left_semi")
+    return V.training_set(clean, *D.corrected_wide(ap), k=k)
+
+
 def _scored_documents(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = V.features(V.training_set(_wide(spark, sf), k=1), TODAY)
-    model = V.train_verifier(labelled, rounds=5, depth=3)
+    # The reference's rounds, step and negatives; depth 5 stands for its 31 leaves.
+    model = V.train_verifier(V.features(_training_rows(spark, sf, k=4), TODAY), rounds=200, step=0.05, depth=5)
     return V.score(V.features(_wide(spark, sf), TODAY), model).select("document_id", F.round("p", 6).alias("p"), "ok", "reason", F.array_join("top_features", ",").alias("top_features"))
 
 

@@ -146,10 +146,13 @@ def corrupt(wide: DataFrame, k: int = 1, seed: int = 7) -> DataFrame:
 
 
 def training_set(clean: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None, k: int = 3, share: float = 0.2, seed: int = 7) -> DataFrame:
-    """Clean rows (1), k corrupted copies of each (0), corrected documents before (0) and after (1) with weight 4; a share of each label, one row at least, is for validation."""
+    """Clean rows (1), k corrupted copies of each (0), corrected documents before (0) and after (1) with weight 4, unless both are identical; a share of each label, one row at least, is for validation."""
     base = clean.withColumns({"label": F.lit(1), "weight": F.lit(1.0), "operator": F.lit("clean"), "copy": F.lit(0)})
     out = base.unionByName(corrupt(clean, k, seed).withColumns({"label": F.lit(0), "weight": F.lit(1.0)}))
     if before is not None and after is not None:
+        print_of = lambda df, name: df.select("document_id", F.sha2(F.to_json(F.struct(*FIELDS, "items")), 256).alias(name))
+        same = print_of(before, "b").join(print_of(after, "a"), "document_id").where("a = b").select("document_id")
+        before, after = (df.join(same, "document_id", "left_anti") for df in (before, after))
         real = lambda df, y: df.withColumns({"label": F.lit(y), "weight": F.lit(4.0), "operator": F.lit("correction"), "copy": F.lit(y)})
         out = out.unionByName(real(before, 0)).unionByName(real(after, 1))
     # Ranks by hash are dealt out per label in 64 groups, so no task sorts a label.
@@ -176,6 +179,7 @@ def _probability(df: DataFrame, model) -> DataFrame:
 def train_verifier(labelled: DataFrame, rounds: int = 30, step: float = 0.1, depth: int = 4, seed: int = 42) -> Verifier:
     """Boosted trees on the features, isotonic calibration and the best-F1 threshold on the validation rows."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    labelled = labelled.select("label", "weight", "validation", *FEATURES).persist()
     train, held = labelled.where("not validation"), labelled.where("validation")
     n = labelled.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     positive = (n.n - n.p) / max(n.p, 1)
@@ -187,6 +191,7 @@ def train_verifier(labelled: DataFrame, rounds: int = 30, step: float = 0.1, dep
     cal = iso.transform(scored.drop("prediction")).withColumn("p", F.col("prediction"))
     t = best_threshold(cal.select("p", "label")).first()
     means = train.where("label = 1").agg(*[F.avg(f).alias(f) for f in FEATURES]).first().asDict()
+    labelled.unpersist()
     return Verifier(pipeline, iso, float(t.threshold), {k: float(v or 0.0) for k, v in means.items()})
 
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quillspark.operators import documents, forecast, review, stats
-from quillspark.plans import verifier
+from quillspark.plans import registry, verifier
 from quillspark.sources import files
 from quillspark.sources.ledger import SCHEMAS, Ledger, load_ledger, sales_ledger
 from quillspark.streaming import jobs
@@ -112,6 +112,25 @@ def test_training_split(spark):
     assert all(0.1 <= r.v / r.n <= 0.3 for r in rows) and len(rows) == 2
 
 
+def test_verifier_learns_from_clean_and_corrected(spark):
+    rows = registry._training_rows(spark, SF, k=1).select("document_id", "label", "weight", "operator").collect()
+    ap = sales_ledger(spark, SF)
+    clean = {r.document_id for r in documents.clean_documents(ap).collect()}
+    corrected = {r.document_id for r in ap.corrections.select("document_id").distinct().collect()}
+    assert {r.document_id for r in rows if r.operator == "clean"} == clean
+    real = [r for r in rows if r.operator == "correction"]
+    assert {r.document_id for r in real if r.label == 0} == {r.document_id for r in real if r.label == 1} == corrected
+    assert {r.weight for r in real} == {4.0}
+
+
+def test_identical_pairs_are_dropped(spark):
+    wide = documents.invoice_wide(sales_ledger(spark, SF)).where("document_id < 'doc_102'")
+    first = wide.agg(F.min("document_id")).first()[0]
+    after = wide.withColumn("date", F.when(F.col("document_id") == first, "x").otherwise(F.col("date")))
+    got = verifier.training_set(wide, wide, after, k=1).where("operator = 'correction'").select("document_id", "label").collect()
+    assert sorted((r.document_id, r.label) for r in got) == [(first, 0), (first, 1)]
+
+
 def test_score_without_model(spark):
     wide = documents.invoice_wide(sales_ledger(spark, SF)).limit(3)
     got = verifier.score(verifier.features(wide, "1998-01-01"), None).collect()
