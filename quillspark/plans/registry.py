@@ -409,8 +409,9 @@ _FDEC = f"SELECT document_id, vendor_name, invoice_number, date, total_amount, C
 add("m10_features", _features, f"""SELECT document_id, round(coalesce(round(abs(s + x - t), 6) / greatest(abs(t), 1), 0.0), 6) AS math_residual_relative, round(coalesce(abs(s + x - t), 0.0), 6) AS math_residual_absolute, round(CASE WHEN abs(t) > 1e-9 THEN log10(abs(t)) ELSE 0.0 END, 6) AS log_total, round(CASE WHEN abs(s) > 1e-9 AND x IS NOT NULL THEN x / s ELSE 0.0 END, 6) AS tax_to_subtotal_ratio, CAST(coalesce(n_items, 0) AS DOUBLE) AS n_line_items,
   CAST(coalesce(vendor_name, '') <> '' AS DOUBLE) AS has_vendor_name, CAST(length(coalesce(vendor_name, '')) AS DOUBLE) AS vendor_name_length, round(CASE WHEN coalesce(invoice_number, '') <> '' THEN length(regexp_replace(invoice_number, '[^A-Za-z0-9]', '', 'g')) / length(invoice_number) ELSE 0.0 END, 6) AS invoice_number_alnum_ratio, CAST(coalesce(abs(date_diff('day', CAST(date AS DATE), DATE '{TODAY}')) <= 1830, false) AS DOUBLE) AS date_within_5_years, CAST(contains(coalesce(total_amount, ''), '$') AS DOUBLE) AS currency_marker_count_distinct
   FROM ({_FDEC}) v LEFT JOIN ({_ITEMS}) i USING (document_id)""", "ap_fields", "ap_line_items")
-add("m11_corrupt", lambda s, d: V.corrupt(_wide(s, d), 2).groupBy("operator").agg(F.count("*").alias("copies")))
-add("m12_training_set", lambda s, d: V.training_set(_wide(s, d)).groupBy("label", "validation").agg(F.count("*").alias("rows")))
+add("m10_features_all", lambda s, d: V.features(_wide(s, d), TODAY).select("document_id", *[F.round(f, 6).alias(f) for f in V.FEATURES]))
+add("m11_corrupt", lambda s, d: V.corrupt(_wide(s, d), 2))
+add("m12_training_set", lambda s, d: _training_rows(s, d))
 
 
 def _training_rows(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:

@@ -131,6 +131,12 @@ def test_identical_pairs_are_dropped(spark):
     assert sorted((r.document_id, r.label) for r in got) == [(first, 0), (first, 1)]
 
 
+def test_verifier_queries_return_their_columns(spark):
+    assert set(verifier.FEATURES) <= set(registry.QUERIES["m10_features_all"](spark, SF).columns)
+    for name in ("m11_corrupt", "m12_training_set"):
+        assert {*verifier.FIELDS, "items", "operator"} <= set(registry.QUERIES[name](spark, SF).columns)
+
+
 def test_score_without_model(spark):
     wide = documents.invoice_wide(sales_ledger(spark, SF)).limit(3)
     got = verifier.score(verifier.features(wide, "1998-01-01"), None).collect()
