@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, text_of
+from .common import WHITE, ascii_lower, stored, text_of
+
+#: A key with over so small a share of all counted documents is heavy: there are at most so many such keys.
+HEAVY_KEYS = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -23,7 +26,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: one empty line. Rows with the same id count once, and each is cleaned; equal rows
     get equal results. A null id adds nothing to a key's count, and keys that are dropped elsewhere are
     dropped in it. Keys are compared by 128 bits of hash. A key in a third of the documents costs no task
-    more than others: counts are combined before the shuffle and the join back is split by AQE.
+    more than others: counts are combined before the shuffle, and on the way back lines of heavy keys (at most HEAVY_KEYS, so
+    they can be broadcast) get their keeper where they are and are dealt at random in the join of the others.
     """
     held = F.struct(F.lit(0).alias("_"), *keep).alias("held")
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), held).withColumn("row_hash", F.xxhash64("text"))
@@ -33,9 +37,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.char_length("key") >= min_chars)
         .select("id", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    shared = lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    shared = lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    shared = stored(shared, "line-keys")
+    share = (shared.agg(F.sum("n")).first()[0] or 0) / HEAVY_KEYS
+    heavy, light = shared.where(F.col("n") > share).select("h1", "h2", F.col("keeper").alias("heavy_keeper"), F.lit(True).alias("heavy")), shared.where(F.col("n") <= share).drop("n")
+    # A heavy line's own hash in place of its key's: no light key needs to match it.
+    marked = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").withColumn("h1", F.when(F.col("heavy"), F.xxhash64("id", "row_hash", "pos")).otherwise(F.col("h1")))
     drops = (
-        lines.join(shared, ["h1", "h2"])
+        marked.join(light, ["h1", "h2"], "left")
+        .withColumn("keeper", F.when(F.col("heavy"), F.col("heavy_keeper")).otherwise(F.col("keeper")))
+        .where(F.col("heavy") | F.col("keeper").isNotNull())
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "row_hash")
         .agg(F.collect_set("pos").alias("drop_pos"))
