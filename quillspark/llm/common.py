@@ -7,6 +7,7 @@ like any other, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,10 +26,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; a cluster fails."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
@@ -73,6 +76,63 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
             start = stop
 
 
+def joined_bytes(texts: pa.Array, lead: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts behind each other, each after ``lead``, and where each begins, with the end of all."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    whole = pc.binary_join_element_wise(pa.scalar(lead, pa.large_binary()), texts.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    at = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2], dtype=np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+def coded(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The segments of data that begin at each of the cuts, as places in the list of distinct ones."""
+    ends = np.append(cuts, len(data)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def sums_before(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def gathered(pool: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of the pool behind each other: run i has ``sizes[i]`` members from place ``first[i]``."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)]
+
+
+class Kept:
+    """What was found for keys of up to LONGEST bytes, in two generations of bounded size: the older goes when the newer is full."""
+
+    LONGEST = 64
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def take(self, keys: list[bytes], make) -> list:
+        """The values of keys; ``make`` gives those of the list of keys that aren't kept."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found = list(map(new.get, keys))
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            fresh = []
+            for i in gaps:
+                x = found[i] = old.get(keys[i])
+                if x is None:
+                    fresh.append(i)
+                else:
+                    new[keys[i]] = x
+            for i, x in zip(fresh, make([keys[i] for i in fresh]) if fresh else (), strict=True):
+                found[i] = x
+                if len(keys[i]) <= self.LONGEST:
+                    new[keys[i]] = x
+        return found
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does just that, and fast, where every character is ASCII."""
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

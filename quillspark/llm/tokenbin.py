@@ -12,7 +12,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,94 +23,100 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, new_path, slices, stored, text_of
+from .common import Kept, arrow_rows, coded, gathered, joined_bytes, new_path, slices, stored, sums_before, text_of
 
 FRAME_BYTES = 256 << 10
 _SEEK_MAGIC, _DOCS_MAGIC, _FOOTER_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 _DOCS = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("offset", "<u4"), ("n", "<u4"), ("null", "<u4")])
 
 
+def _marked(chars: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(chars)] = True
+    return out
+
+
+_SPACE = _marked(b" \t\n\x0b\x0c\r")
+_ALNUM = _marked(b for b in range(128) if chr(b).isalnum())
+_MARK = _marked(b for b in range(33, 127) if not chr(b).isalnum())
+#: \x1C-\x1F may count as white space, and so may characters that end in these two bytes (U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000).
+_MAYBE_SPACE = _SPACE | _marked(range(0x1C, 0x20))
+_SPACE_END, _SPACE_MID = _marked([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]), _marked([0xC2, 0x80, 0x81, 0x9A])
+
+
 class Encoder:
-    """The ids of texts as bytes. A text is cut before single spaces and line ends between other characters:
-    byte-level BPE never joins what stands left and right of such a place, so each piece is encoded
-    once and kept. Where other white space begins or ends a piece, or a special token's text occurs, the
-    whole text is encoded as it is."""
+    """The ids of texts. Texts are cut where byte-level BPE's rules always begin a new run of characters, so the ids of
+    the segments are those of the text; each distinct segment of a batch is looked up or encoded once.
 
-    KEPT, TOGETHER = 300_000, 4096
-    #: Marks that are ids of their own after a letter or digit, so "word." is "word" and ".".
-    TAIL = ".,!?;:)"
+    Cuts: before white space after another character; between an ASCII or Latin letter or digit and an ASCII mark;
+    after a single line end. A special token's text holds no such place but its own marks, so texts with one aren't
+    cut at marks. Where a byte might belong to white space outside ASCII nothing is cut.
+    """
+
+    KEPT, TOGETHER = 400_000, 4096
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self.whole("\n")
-        # Pieces of late, and those before: what is still in use moves over when the former are full.
-        self.kept: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-
-    def _encode_plain(self, pieces: list[str]) -> None:
-        """Pieces are "\nword" and "word" (after a space). Many are encoded at once, with line ends, which are ids of their own, between them."""
-        kept, end = self.kept, np.frombuffer(self.line_end, dtype="<u4")[0]
-        for lead, some in (("", [p for p in pieces if p[0] == "\n"]), (" ", [p for p in pieces if p[0] != "\n"])):
-            for i in range(0, len(some), self.TOGETHER):
-                part = some[i : i + self.TOGETHER]
-                text = "".join(part) if not lead else "\n " + "\n ".join(part)
-                raw = self.whole(text)
-                ids = np.frombuffer(raw, dtype="<u4")
-                cuts = (4 * np.flatnonzero(ids == end)).tolist()
-                if len(cuts) != len(part):
-                    raise ValueError("line ends aren't ids of their own in this tokenizer")
-                skip = 4 if lead else 0
-                kept.update((p, raw[x + skip : y]) for p, x, y in zip(part, cuts, [*cuts[1:], len(raw)], strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        kept, old = self.kept, self.old
-        fresh = [p for p in pieces if p not in old]
-        kept.update((p, old[p]) for p in pieces if p in old)
-        plain, split = [], []
-        for p in fresh:
-            word = p[1:] if p[:1] == "\n" else p
-            if not word or word[0].isspace() or word[-1].isspace():
-                kept[p] = None
-                continue
-            head = p.rstrip(self.TAIL)
-            if len(head) < len(p) and head[-1:].isalnum():
-                split.append((p, head, p[len(head) :]))
-                if head not in kept and head not in pieces:
-                    plain.append(head)
+        self.line_end = self.whole(b"\n")
+        if len(self.line_end) != 4:
+            raise ValueError("line ends aren't ids of their own in this tokenizer")
+        self.kept = Kept(self.KEPT)
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _make(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of new segments. Words, with a space before them or not, are encoded many at once, with line ends between them."""
+        out: list[bytes | None] = [None] * len(segments)
+        plain, end = [], np.frombuffer(self.line_end, dtype="<u4")[0]
+        for i, s in enumerate(segments):
+            word = s[1:] if s[:1] == b" " else s
+            if word.decode().isalpha():
+                plain.append(i)
             else:
-                plain.append(p)
-        self._encode_plain(list(dict.fromkeys(plain)))
-        for p, head, tail in split:
-            if tail not in self.tails:
-                self.tails[tail] = self.whole(tail)
-            kept[p] = kept[head] + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > self.KEPT:
-            self.old, self.kept = self.kept, {}
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        self._learn(set().union(*(set(pieces).difference(self.kept) for pieces in split)))
-        out, of = [], self.kept.__getitem__
-        for text, pieces in zip(texts, split, strict=True):
-            try:
-                ids = b"".join(map(of, pieces))[4:]
-            except TypeError:  # a piece that isn't plain
-                ids = None
-            out.append(self.whole(text) if ids is None or any(s in text for s in self.special) else ids)
+                out[i] = self.whole(s)
+        for k in range(0, len(plain), self.TOGETHER):
+            part = plain[k : k + self.TOGETHER]
+            raw = self.whole(b"\n" + b"\n".join([segments[i] for i in part]))
+            cuts = (4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == end)).tolist()
+            for i, x, y in zip(part, cuts, [*cuts[1:], len(raw)], strict=True):
+                out[i] = raw[x + 4 : y]
         return out
 
+    @staticmethod
+    def cuts(data: np.ndarray, at: np.ndarray, marks: bool = True) -> np.ndarray:
+        """Places in data where a segment begins: texts' own beginnings (at, with the end of all) and the places that the class names."""
+        p2, p1 = np.concatenate([[np.uint8(0)] * 2, data])[: len(data)], np.concatenate([[np.uint8(0)], data])[: len(data)]
+        space = _MAYBE_SPACE[p1] | (_SPACE_END[p1] & _SPACE_MID[p2])
+        mask = _SPACE[data] & ~space
+        latin = (p2 == 0xC3) & (p1 >= 0x80) & (p1 != 0x97) & (p1 != 0xB7)
+        if marks:
+            mask |= _MARK[data] & (_ALNUM[p1] | latin)
+        # A line end that is cut before is single unless white space follows.
+        alone = (p1 == 10) & np.concatenate([[False], mask])[: len(data)]
+        mask |= alone & (_ALNUM[data] | _MARK[data] | (data == 0xC3))
+        mask[at[:-1][at[:-1] < len(data)]] = True
+        return np.flatnonzero(mask)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and where each text's begin, with the end of all."""
+        data, at = joined_bytes(texts)
+        whole = data.tobytes()
+        cuts = self.cuts(data, at, not any(s.encode() in whole for s in self.special))
+        codes, segments = coded(data, cuts)
+        parts = self.kept.take(segments, self._make)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = gathered(np.frombuffer(b"".join(parts), "<u4"), sums_before(sizes)[:-1][codes], sizes[codes])
+        return ids, sums_before(sizes[codes])[np.searchsorted(cuts, at)]
+
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str) -> Callable[[list[str]], list[bytes]]:
+def encoder_of(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """One encoder per worker process: what it keeps serves later tasks too."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
@@ -182,18 +188,19 @@ class ShardReader:
             yield i, data[at : at + 4 * int(d["n"])]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shard_chars: int = 24_000_000) -> str:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shard_chars: int = 24_000_000, shard_docs: int = 200_000) -> str:
     """Encode whole texts and write shards in ascending id order (null ids first); returns their folder.
 
     Null texts are empty: just the end id. Rows that share an id stay separate documents, by their text's
-    hash, and rows alike in both are interchangeable. The number of shards follows the total length. A task writes
+    hash, and rows alike in both are interchangeable. The number of shards follows the total length and the number of
+    documents, so a table of many empty texts has many shards too. A task writes
     to a name of its own and then renames, so tasks that are tried again leave the same shard once.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-shards")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    chars = base.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    chars, rows = base.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-chars // shard_chars), -(-rows // shard_docs))
     placed = base.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +212,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
         own, end, n = f"{root}/.{uuid.uuid4().hex}", np.uint32(end_id).astype("<u4").tobytes(), 0
         with fs.open_output_stream(own) as out:
             shard = ShardWriter(out)
-            for batch in slices(batches):
-                for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                    shard.add(i, ids + end)
-                    n += 1
+            for batch in slices(batches, most=4 << 20):
+                ids, at = encode(batch.column(1))
+                for i, x, y in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    shard.add(i, ids[x:y].tobytes() + end)
+                n += batch.num_rows
             shard.close()
         fs.move(own, f"{root}/shard-{k:06d}.zst")
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64())], names=["shard", "docs"])
