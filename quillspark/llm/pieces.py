@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,41 +10,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import Kept, coded, gathered, joined_bytes, slices, sums_before, text_of
 
 Path = tuple[float, tuple[int, ...]]
 NEVER = float("-inf")
-#: Segments of irregular white space: a run of spaces goes with the word after it, a line end with what follows.
-_SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
+
+
+def log_probabilities(scores: dict[int, float]) -> dict[int, float]:
+    """What a segmentation sums up, by piece id: a unigram model's scores as they are.
+
+    A BPE model has merge ranks (0, -1, -2, ...) instead, which are no log probabilities: their sum would prefer many
+    early pieces to a few late ones. Its pieces get Zipf's law over the order of their merges: the r-th has ln(1 / (r H)), H such
+    that all sum to 1. Nothing is trained.
+    """
+    if any(s != int(s) for s in scores.values()):
+        return scores
+    order = sorted(scores, key=lambda i: (-scores[i], i))
+    norm = np.log(np.sum(1 / np.arange(1, len(order) + 1)))
+    return {i: float(-np.log(r) - norm) for r, i in enumerate(order, 1)}
 
 
 class Pieces:
-    """A model's pieces with their scores. Spaces stand for the model's space mark, so the mark itself is a character like others.
+    """A model's pieces with their log probabilities. Spaces stand for the model's space mark, so the mark itself is a character like others.
 
-    A character that is no piece takes its UTF-8 bytes' pieces, at the least score minus ten. No piece
-    holds a space after another character, or a line end, so a text may be cut before each space (or run of
-    spaces) and line end: the cuts' best segmentations make up the text's.
+    A character that is no piece takes its UTF-8 bytes' pieces, at the least score minus ten. A text is cut between two
+    characters that no piece holds side by side (such as before a space after a letter, around a line end): the
+    cuts' best segmentations make up the text's. Each distinct segment of a batch is looked up or searched once.
     """
 
     KEPT = 200_000
-    #: Marks at a word's end, cut off where no piece holds the word's last character before the first mark.
-    TAIL = ".,!?;:)*%$&#"
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
-        self.scores = {sp.id_to_piece(i).replace("▁", " "): (i, sp.get_score(i)) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        if any("\n" in p or " " in p.lstrip(" ") for p in self.scores):
-            raise ValueError("pieces of this model cross the places where texts are cut")
+        known = {i: sp.id_to_piece(i).replace("▁", " ") for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        worth = log_probabilities({i: sp.get_score(i) for i in known})
+        self.scores = {p: (i, worth[i]) for i, p in known.items()}
         self.byte_id = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
-        self.out = [b""] * len(ids)
+        out = [b""] * len(ids)
         for p, (i, _) in self.scores.items():
-            self.out[i] = p.encode()
+            out[i] = p.encode()
         for b, i in self.byte_id.items():
-            self.out[i] = bytes([b])
-        self.longest = max(map(len, self.scores))
+            out[i] = bytes([b])
+        self.out_sizes = np.array([len(x) for x in out], dtype=np.int64)
+        self.out_first, self.out_bytes = sums_before(self.out_sizes)[:-1], np.frombuffer(b"".join(out), np.uint8)
         self.missing = min(s for _, s in self.scores.values()) - 10
         self.trie: dict = {}
         for p, found in self.scores.items():
@@ -53,54 +63,50 @@ class Pieces:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = found
-        self.inside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
-        # Segments of late, and those before: (ids, score, how much the second best loses).
-        self.kept: dict[str, tuple[bytes, float, float]] = {}
-        self.old: dict[str, tuple[bytes, float, float]] = {}
-        self.nbest_of: dict[tuple[str, int], list[Path]] = {}
-
-    def edges(self, text: str, end: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
-        """(start, ids, score) of the lattice's edges into end."""
-        get = self.scores.get
-        for start in range(max(0, end - self.longest), end):
-            if found := get(text[start:end]):
-                yield start, (found[0],), found[1]
-        if text[end - 1] not in self.scores:
-            yield end - 1, tuple(self.byte_id[b] for b in text[end - 1].encode()), self.missing
-
-    def forward(self, text: str) -> tuple[list[float], list[float], list[tuple[int, tuple | None]]]:
-        """Of each place: the best score up to it, the second best, and the last edge of the best."""
-        n = len(text)
-        best, second, back = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [(0, None)] * (n + 1)
+        # Whether some piece holds a character with this last byte just before one with that first byte.
+        self.inside = np.zeros((256, 256), dtype=bool)
+        for p in self.scores:
+            for x, y in zip(p, p[1:], strict=False):
+                self.inside[x.encode()[-1], y.encode()[0]] = True
+        self.kept, self.kept_best = Kept(self.KEPT), Kept(self.KEPT)
+
+    def forward(self, text: str) -> tuple[list[float], list[float], list[list[tuple[int, float, int | None]]], list[int]]:
+        """Of each place: the best score up to it, the second best, the lattice's edges into it (start, score, id; None for bytes), and which is best."""
+        n, missing, trie, scores = len(text), self.missing, self.trie, self.scores
+        best, second, last = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1)
+        into: list[list] = [[] for _ in range(n + 1)]
         for start in range(n):
-            x0, y0, node = best[start], second[start], self.trie
+            x0, y0, node = best[start], second[start], trie
+            edges = []
             for end in range(start, n):
                 node = node.get(text[end])
                 if node is None:
                     break
                 found = node.get("")
                 if found is not None:
-                    x, e = x0 + found[1], end + 1
-                    if x > best[e]:
-                        y, a = y0 + found[1], best[e]
-                        second[e] = a if a > y else y
-                        best[e], back[e] = x, (start, found)
-                    elif x > second[e]:
-                        second[e] = x
-            if text[start] not in self.scores:
-                x, e = x0 + self.missing, start + 1
-                if x > best[e]:
-                    second[e] = max(best[e], y0 + self.missing)
-                    best[e], back[e] = x, (start, None)
+                    edges.append((end + 1, found[1], found[0]))
+            if text[start] not in scores:
+                edges.append((start + 1, missing, None))
+            for e, s, i in edges:
+                x, y, b = x0 + s, y0 + s, best[e]
+                if x > b:
+                    second[e] = b if b > y else y
+                    best[e], last[e] = x, len(into[e])
                 elif x > second[e]:
                     second[e] = x
-        return best, second, back
+                into[e].append((start, s, i))
+        return best, second, into, last
+
+    def ids_of(self, text: str, start: int, piece: int | None) -> tuple[int, ...]:
+        return (piece,) if piece is not None else tuple(self.byte_id[b] for b in text[start].encode())
 
     def nbest(self, text: str, n: int) -> list[Path]:
-        """The n best segmentations by A-star from the end. With exact heuristics each hypothesis stands for a whole
-        path of its score, so as many hypotheses as paths are still wanted are enough; among equals the one
-        nearest to the start goes first."""
-        best, _, _ = self.forward(text)
+        """The n best segmentations by A-star from the end: a hypothesis ranks by its score so far and the best score of what is left.
+
+        With exact heuristics each hypothesis stands for a whole path of its score, so the agenda needs no more
+        hypotheses than paths are still wanted; among equals the one nearest to the start goes first.
+        """
+        best, _, into, _ = self.forward(text)
         agenda: list[tuple] = [(-best[-1], len(text), 0, 0.0, None)]
         out: list[Path] = []
         made = 0
@@ -109,92 +115,81 @@ class Pieces:
             if end == 0:
                 ids: list[int] = []
                 while tail:
-                    ids += tail[0]
+                    ids += self.ids_of(text, *tail[0])
                     tail = tail[1]
                 out.append((-down, tuple(ids)))
                 continue
-            for start, ids, score in self.edges(text, end):
+            for start, score, piece in into[end]:
                 made += 1
-                agenda.append((-(g + score + best[start]), start, made, g + score, (ids, tail)))
-            agenda = sorted(agenda, key=lambda h: h[:3])[: n - len(out)]
+                agenda.append((-(g + score + best[start]), start, made, g + score, ((start, piece), tail)))
+            agenda = sorted(agenda)[: n - len(out)]
+        return out
+
+    def _make(self, segments: list[bytes]) -> list[tuple[bytes, float, float]]:
+        """(ids, score, how much the second best loses) of new segments."""
+        out = []
+        for s in segments:
+            text = s.decode()
+            best, second, into, last = self.forward(text)
+            ids, end = [], len(text)
+            while end:
+                start, _, piece = into[end][last[end]]
+                ids += reversed(self.ids_of(text, start, piece))
+                end = start
+            out.append((np.array(ids[::-1], dtype="<i4").tobytes(), best[-1], best[-1] - second[-1]))
         return out
 
-    @staticmethod
-    def _text(segment: str) -> str:
-        """A segment of one space and a word is kept as the word."""
-        return segment if segment[0] in " \n" else f" {segment}"
-
-    def _best(self, segment: str) -> tuple[bytes, float, float]:
-        s = self._text(segment)
-        best, second, back = self.forward(s)
-        ids, end = [], len(s)
-        while end:
-            start, found = back[end]
-            ids += (found[0],) if found else [self.byte_id[b] for b in reversed(s[start].encode())]
-            end = start
-        return np.array(ids[::-1], dtype="<i4").tobytes(), best[-1], best[-1] - second[-1]
-
-    def _look(self, segment: str) -> tuple[bytes, float, float]:
-        """A segment's entry, made if need be. Between characters that no piece joins the two sides are independent."""
-        found = self.kept.get(segment) or self.old.get(segment)
-        if not found:
-            head = segment.rstrip(self.TAIL)
-            if head and head[-1] not in " \n" and len(head) < len(segment) and segment[len(head) - 1 : len(head) + 1] not in self.inside:
-                a, b = self._look(head), self._mark(segment[len(head) :])
-                found = a[0] + b[0], a[1] + b[1], min(a[2], b[2])
-            else:
-                found = self._best(segment)
-        self.kept[segment] = found
-        return found
-
-    def _mark(self, tail: str) -> tuple[bytes, float, float]:
-        """The entry of marks that follow a word without a space: a line end before them, which no piece holds, is taken off again."""
-        key = "\n" + tail
-        if key not in self.kept:
-            self.kept[key] = self.old.get(key) or self._best(key)
-        ids, score, gap = self.kept[key]
-        return ids[4:], score - self.missing, gap
-
-    @staticmethod
-    def segments(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = (" " + text).replace("\n", " \n").split(" ")[1:]
-        return _SEGMENT.findall(" " + text) if "" in parts else parts
-
-    def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """Ids of the best segmentation, and the n best as (score, changes to the best as (place, ids there, ids instead)).
-
-        The n best of a text differ from the best in the n - 1 segments whose second best loses least,
-        so only these are searched, and their n best combined.
+    def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places where a segment begins: the texts' own beginnings, and before characters that no piece joins to the one before."""
+        before = np.concatenate([data[:1], data])[: len(data)]
+        mask = ((data & 0xC0) != 0x80) & ~self.inside[before, data]
+        mask[at[:-1]] = True
+        return np.flatnonzero(mask)
+
+    def encode(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+        """Ids of the best segmentations of all texts behind each other, where each text's begin (with the end of all), and each
+        text's n best as (score, changes to the best as (place, ids there, ids instead)).
+
+        The n best of a text differ from the best in the n - 1 segments whose second best loses least, so only these
+        are searched, and their n best combined.
         """
-        segs = self.segments(text)
-        if len(self.kept) > self.KEPT:
-            self.old, self.kept = self.kept, {}
-            self.nbest_of.clear()
-        for new in set(segs).difference(self.kept):
-            self._look(new)
-        entries = list(map(self.kept.__getitem__, segs))
-        parts = [x[0] for x in entries]
-        score = sum([x[1] for x in entries])
-        ids = b"".join(parts)
-        gaps = np.array([x[2] for x in entries])
-        near = np.argpartition(gaps, n - 2)[: n - 1] if len(segs) >= n > 1 else np.arange(len(segs))[: n - 1]
-        near = sorted(k for k in near.tolist() if gaps[k] < float("inf"))
-        options = []
-        for k in near:
-            if (segs[k], n) not in self.nbest_of:
-                self.nbest_of[segs[k], n] = self.nbest(self._text(segs[k]), n)
-            options.append(self.nbest_of[segs[k], n])
-        at = np.cumsum([0] + [len(p) // 4 for p in parts]).tolist() if near else []
-        combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for o in options:
-            combos = sorted((loss + o[0][0] - x, (*pick, i)) for loss, pick in combos for i, (x, _) in enumerate(o))[:n]
-        out = [(score - loss, [(at[k], len(parts[k]) // 4, o[i][1]) for k, o, i in zip(near, options, pick, strict=True) if i]) for loss, pick in combos]
-        return ids, out
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8")[1:]
+        # A text without characters has no segment: the space before each text is only for the others.
+        some = np.flatnonzero(np.array([len(t) > 0 for t in texts.to_pylist()], dtype=bool))
+        data, at = joined_bytes(texts.take(pa.array(some)), b" ")
+        cuts = self.cuts(data, at)
+        codes, segments = coded(data, cuts)
+        found = self.kept.take(segments, self._make)
+        parts = [x[0] for x in found]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        scores, gaps = (np.array([x[k] for x in found], dtype=float)[codes] for k in (1, 2))
+        ids = gathered(np.frombuffer(b"".join(parts), "<i4"), sums_before(sizes)[:-1][codes], sizes[codes])
+        place, first = sums_before(sizes[codes]), np.searchsorted(cuts, at)
+        totals = np.add.reduceat(scores, first[:-1]) if len(some) else np.zeros(0)
+        near = []
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            g = gaps[a:z]
+            pick = np.argpartition(g, n - 2)[: n - 1] if len(g) >= n > 1 else np.arange(len(g))[: n - 1]
+            near.append([a + k for k in sorted(pick[np.isfinite(g[pick])].tolist())])
+        searched = sorted({int(codes[k]) for ks in near for k in ks})
+        options = dict(zip(searched, self.kept_best.take([segments[c] for c in searched], lambda new: [(n, self.nbest(s.decode(), n)) for s in new]), strict=True))
+        out = []
+        for total, a, ks in zip(totals.tolist(), first[:-1].tolist(), near, strict=True):
+            combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+            found_of = [options[int(codes[k])] for k in ks]
+            found_of = [o if m == n else self.nbest(segments[codes[k]].decode(), n) for k, (m, o) in zip(ks, found_of, strict=True)]
+            for o in found_of:
+                combos = sorted((loss + o[0][0] - x, (*pick, i)) for loss, pick in combos for i, (x, _) in enumerate(o))[:n]
+            out.append([(total - loss, [(int(place[k] - place[a]), int(sizes[codes[k]]), o[i][1]) for k, o, i in zip(ks, found_of, pick, strict=True) if i]) for loss, pick in combos])
+        starts = np.zeros(len(texts) + 1, dtype=np.int64)
+        starts[some + 1] = np.diff(place[first])
+        nbest: list = [[(0.0, [])]] * len(texts)
+        for i, x in zip(some.tolist(), out, strict=True):
+            nbest[i] = x
+        return ids, np.cumsum(starts), nbest
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids stand for, a space before each text included."""
+        return gathered(self.out_bytes, self.out_first[ids], self.out_sizes[ids])
 
 
 _loaded: dict[str, Pieces] = {}
@@ -220,13 +215,14 @@ def encode(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces_of(model)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-        for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            found = [m.encode(t, n) for t in texts]
-            nbest = [[{"score": s, "changes": [{"at": a, "n": k, "ids": ids} for a, k, ids in c]} for s, c in x] for _, x in found]
-            back = [m.decode(ids) == t for (ids, _), t in zip(found, texts, strict=True)]
+        for batch in slices(batches, most=4 << 20):
+            ids, at, found = m.encode(batch.column(1), n)
+            nbest = [[{"score": s, "changes": [{"at": a, "n": k, "ids": x} for a, k, x in c]} for s, c in f] for f in found]
+            each = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            back = [m.decode(x).tobytes()[1:] == t.encode() for x, t in zip(each, batch.column(1).to_pylist(), strict=True)]
+            each = [x.tobytes() for x in each]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.binary()), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([x[0][0] for _, x in found], pa.float64()), pa.array(nbest, kind), pa.array(back), pa.array([zlib.crc32(x) for x, _ in found], pa.int64())],
+                [batch.column(0), pa.array(each, pa.binary()), pa.array(np.diff(at)), pa.array([f[0][0] for f in found], pa.float64()), pa.array(nbest, kind), pa.array(back, pa.bool_()), pa.array([zlib.crc32(x) for x in each], pa.int64())],
                 names=["id", "ids", "n_tokens", "score", "nbest", "text_back", "ids_crc32"],
             )
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,26 +239,47 @@ def test_pieces(spark):
     def all_paths(s):
         found = [[(0.0, ())]] + [[] for _ in s]
         for end in range(1, len(s) + 1):
-            for start, ids, score in m.edges(s, end):
-                found[end] += [(x + score, y + ids) for x, y in found[start]]
+            for start in range(end):
+                if s[start:end] in m.scores:
+                    piece, score = m.scores[s[start:end]]
+                    found[end] += [(x + score, (*y, piece)) for x, y in found[start]]
+            if s[end - 1] not in m.scores:
+                found[end] += [(x + m.missing, y + tuple(m.byte_id[b] for b in s[end - 1].encode())) for x, y in found[end - 1]]
         return sorted((x for x, _ in found[-1]), reverse=True)
 
     for _ in range(150):
         s = "".join(rng.choice(["a", "th", "e", " ", "  ", "\n", "é", "▁", "in", "♥", " the"]) for _ in range(rng.randint(0, 5)))
-        ids, nbest = m.encode(s, 4)
-        assert [x for x, _ in nbest] == (all_paths(" " + s)[:4] if s else [0.0])
-        assert m.decode(ids) == s
-        old = np.frombuffer(ids, "<i4").tolist()
+        other = "".join(rng.choice(["the ", "é", " in"]) for _ in range(3))
+        ids, at, both = m.encode(pa.array([other, s]), 4)
+        ids, nbest = ids[at[1] :], both[1]
+        assert [x for x, _ in nbest] == pytest.approx(all_paths(" " + s)[:4] if s else [0.0])
+        assert m.decode(ids).tobytes().decode()[1:] == s
+        old = ids.tolist()
         for score, changes in nbest:
             new = list(old)
             for at, n, put in reversed(changes):
                 new[at : at + n] = put
-            assert m.decode(np.array(new, "<i4").tobytes()) == s
+            assert m.decode(np.array(new, "<i4")).tobytes().decode()[1:] == s
     rows = [(1, "the cat\nsat"), (2, None), (2, None), (None, "x" * 5000), (3, "")]
     got = {(r.doc_id, r.n_tokens > 0, r.text_back) for r in pieces.encode(docs(spark, rows), P.path("piece_bpe_32k.model")).collect()}
     assert got == {(1, True, True), (2, False, True), (None, True, True), (3, False, True)}
 
 
+def test_pieces_near_the_library(spark):
+    """A BPE model's pieces get Zipf probabilities: segmentations stay about as short as the library's merges."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    m, sp = pieces.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert sum(math.exp(x) for _, x in m.scores.values()) == pytest.approx(1)
+    for t in ("The quick brown fox jumps over the lazy dog near the river bank.", "Machine learning models need large amounts of clean text."):
+        assert abs(len(m.encode(pa.array([t]), 1)[0]) - len(sp.encode(t))) <= 1
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 0").select("text").collect()]
+    ours, theirs = len(m.encode(pa.array(texts), 1)[0]), sum(map(len, sp.encode(texts)))
+    assert 0.95 < ours / theirs < 1.05
+    assert pieces.log_probabilities({3: -1.5, 4: -2.0}) == {3: -1.5, 4: -2.0}
+
+
 def test_toxicity():
     rows = [("that idiot again", 1), ("a fine day", 0)] * 40 + [("the woman is here idiot", 1)] * 30 + [("the man is here", 0)] * 30
     vocab = sorted({f for t, _ in rows for f in toxicity.features(alnum_words(t.encode()))} | set(toxicity.SWAP))
@@ -292,7 +314,10 @@ def test_encoder_equals_whole_texts():
     rng = random.Random(1)
     parts = [" ", " ", "\n", "a", "B", "'s", ".", "é", "\t", "1", "<|endoftext|>", "　", "!", "中", "\x1c", "​", "\u0085", "word", "²", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(5000)]
-    assert e.encode(texts) == [e.whole(t) for t in texts]
+    ids, at = e.encode(pa.array(texts))
+    assert [ids[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)] == [e.whole(t.encode()) for t in texts]
+    for t in texts[:300]:
+        assert e.encode(pa.array([t]))[0].tobytes() == e.whole(t.encode())
 
 
 def test_pipeline(spark):
@@ -322,4 +347,4 @@ def test_pipeline(spark):
     assert before.count() == after.count()
     m = pieces.Pieces(P.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in before.collect()}
-    assert all(m.decode(bytes(r.ids)) == (texts[r.doc_id] or "") for r in after.collect())
+    assert all(m.decode(np.frombuffer(bytes(r.ids), "<i4")).tobytes().decode()[1:] == (texts[r.doc_id] or "") for r in after.collect())
