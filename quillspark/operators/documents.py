@@ -65,7 +65,7 @@ def display_status(status: Column) -> Column:
     return (
         F.when(status.isNull(), "failed")
         .when(status == "verified", "review_pending")
-        .when(status.isin("preprocessed", "ocr_done", "parsed", "extracted"), "extracting")
+        .when(status.isin("locally_parsed", "vlm_reconciled"), "extracting")
         .otherwise(status)
     )
 
@@ -131,6 +131,11 @@ def document_corrections(ap: Ledger) -> DataFrame:
     return ap.corrections.select("document_id", "field_id", "original_value", "corrected_value", "reviewed_by", "created_at")
 
 
+def merge_items(fast: DataFrame, second: DataFrame) -> DataFrame:
+    """Line items of two extractors (with document_id): a document's items are the second's if it has any."""
+    return second.unionByName(fast.join(second.select("document_id"), "document_id", "left_anti"))
+
+
 def merge_tiers(fast: DataFrame, second: DataFrame, thresholds: DataFrame, default: float = 0.5) -> DataFrame:
     """(document_id, field_name, field_value, confidence) of two extractors: a low fast field gives way to a surer second one."""
     f = fast.select("document_id", "field_name", F.col("field_value").alias("f_value"), F.col("confidence").alias("f_conf"))
@@ -190,8 +195,9 @@ def holdouts(ap: Ledger, n: int) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """target with rows of updates put in or over it; the last by order wins per key, null keys match null keys."""
-    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in keys]), F.col(order)).alias("u")).select(*keys, "u.*")
+    """target with rows of updates put in or over it; the last by order (of equal ones the largest row) wins per key, null keys match null keys."""
+    rest = F.struct(*[c for c in updates.columns if c not in keys])
+    last = updates.groupBy(*keys).agg(F.max_by(rest, F.struct(F.col(order), rest)).alias("u")).select(*keys, "u.*")
     t, u = target.alias("t"), last.select(*[F.col(k).alias(f"u_{k}") for k in keys])
     match = [F.col(f"t.{k}").eqNullSafe(F.col(f"u_{k}")) for k in keys]
     cond = match[0]

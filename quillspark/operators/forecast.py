@@ -174,17 +174,18 @@ def calibrate(ap: Ledger, passes: int = 25) -> DataFrame:
 
 
 def insights(risk: DataFrame, history: DataFrame, forecast: DataFrame, n_anomalies: DataFrame) -> DataFrame:
-    """Sentences on high-risk suppliers, a next month over a fifth off the last, and anomalies; or that there are none."""
-    high = risk.agg(F.count_if(F.col("risk_score") >= 60).alias("high"))
-    last = history.agg(F.max_by("value", "month").alias("last"))
-    nxt = forecast.agg(F.min_by("forecast", "month").alias("next"))
+    """Sentences on high-risk suppliers (by name), the last forecast month more than a fifth off the last known one, and anomalies; or
+    that there is nothing. Without a known month a forecast above nothing is a rise; without a forecast nothing is said of spend."""
+    high = risk.agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("risk_score") >= 60, F.col("supplier_name")))), ", ").alias("high"))
+    last = history.agg(F.coalesce(F.max_by("value", "month"), F.lit(0.0)).alias("last"))
+    nxt = forecast.agg(F.max_by("forecast", "month").alias("next"))
     df = high.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(nxt)).crossJoin(F.broadcast(n_anomalies.agg(F.count("*").alias("odd"))))  # one row each
-    change = F.round((F.col("next") - F.col("last")) / F.nullif(F.col("last"), F.lit(0.0)) * 100, 1)
+    # The sentences.
     text = F.array_compact(
         F.array(
-            F.when(F.col("high") > 0, F.format_string("%d suppliers are at high risk", "high")),
-            F.when(change > 20, F.format_string("Spend is forecast to rise by %.1f%%", change)).when(change < -20, F.format_string("Spend is forecast to fall by %.1f%%", -change)),
-            F.when(F.col("odd") > 0, F.format_string("%d documents look anomalous", "odd")),
+            F.when(F.col("high") != "", F.format_string("High-risk suppliers detected: %s. Consider additional review.", "high")),
+            F.when(F.col("next") > F.col("last") * 1.2, "Spend is projected to increase significantly. Review budget allocations.").when(F.col("next") < F.col("last") * 0.8, "Spend is projected to decrease. Verify supplier activity."),
+            F.when(F.col("odd") > 0, F.format_string("%d anomalous document(s) detected. Review flagged documents for potential issues.", "odd")),
         )
     )
-    return df.select(F.explode(F.when(F.size(text) > 0, text).otherwise(F.array(F.lit("No significant insights")))).alias("insight"))
+    return df.select(F.explode(F.when(F.size(text) > 0, text).otherwise(F.array(F.lit("No significant concerns detected. All metrics within normal range.")))).alias("insight"))

@@ -93,13 +93,21 @@ def pair_labels(blocks: DataFrame) -> DataFrame:
     return doc.select("document_id", F.explode(claimed).alias("c")).select("document_id", "c.field_name", "c.value")
 
 
-def triangulate(amounts: DataFrame) -> DataFrame:
+def triangulate(amounts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """amounts (document_id, pos, value): total, subtotal and tax of documents with three distinct positive amounts or more,
-    where total - subtotal is within .02 of a smaller amount: the largest total wins, then subtotal, then the first tax."""
+    where total - subtotal is within .02 of a smaller amount: the largest total wins, then subtotal, then the first tax.
+
+    With known (document_id, total_amount, subtotal, tax) only missing fields are filled: a row per known document.
+    """
     a = amounts.withColumn("v", parse_amount(F.col("value"))).where("v > 0").groupBy("document_id", "v").agg(F.min("pos").alias("pos"))
     many = a.groupBy("document_id").agg(F.count("*").alias("n")).where("n >= 3").select("document_id")
     a = a.join(many, "document_id", "left_semi")
     side = lambda s: a.select("document_id", F.col("v").alias(s), F.col("pos").alias(f"{s}_pos"))
     df = side("total").join(side("subtotal"), "document_id").where("total > subtotal").join(side("tax"), "document_id").where("tax < total and abs(tax - (total - subtotal)) <= 0.02")
     best = F.min_by(F.struct("total", "subtotal", "tax"), F.struct((-F.col("total")).alias("a"), (-F.col("subtotal")).alias("b"), "tax_pos")).alias("b")
-    return df.groupBy("document_id").agg(best).select("document_id", "b.*")
+    found = df.groupBy("document_id").agg(best).select("document_id", "b.*")
+    if known is None:
+        return found
+    have = known.select("document_id", *[F.col(c).alias(f"known_{n}") for n, c in (("total", "total_amount"), ("subtotal", "subtotal"), ("tax", "tax"))])
+    text = lambda n: F.coalesce(F.nullif(F.trim(f"known_{n}"), F.lit("")), F.col(n).cast("decimal(38,2)").cast("string"))
+    return have.join(found, "document_id", "left").select("document_id", *[text(n).alias(c) for n, c in (("total", "total_amount"), ("subtotal", "subtotal"), ("tax", "tax"))])

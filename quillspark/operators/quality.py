@@ -24,6 +24,23 @@ def corpus_cer(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum(F.levenshtein(r, h)) / F.when(n > 0, n).otherwise(F.greatest(F.sum(F.char_length(h)), F.lit(1))), 6).alias("cer"))
 
 
+def corpus_rates(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Number, micro-averaged CER and WER, and mean normalised CER; all references empty: over the hypotheses' length."""
+    r, h = F.coalesce("reference", F.lit("")), F.coalesce("hypothesis", F.lit(""))
+    e = F.levenshtein(r, h)
+    df = pairs.select(*keys, e.alias("e"), F.char_length(r).alias("n"), F.char_length(h).alias("m"), T.word_edits(F.col("reference"), F.col("hypothesis")).alias("we"), F.size(T.words(F.col("reference"))).alias("wn"), F.size(T.words(F.col("hypothesis"))).alias("wm"), _safe(e, F.greatest(F.char_length(r), F.char_length(h))).alias("norm"))
+    over = lambda n, m: F.when(F.sum(n) > 0, F.sum(n)).otherwise(F.greatest(F.sum(m), F.lit(1)))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("e") / over("n", "m"), 6).alias("cer"), F.round(F.sum("we") / over("wn", "wm"), 6).alias("wer"), F.round(F.avg("norm"), 6).alias("norm_cer"))
+
+
+def tier_verdict(pairs: DataFrame, a: str = "local", b: str = "vlm") -> DataFrame:
+    """One row: both tiers' CER, their difference in points (positive: b is better) and what it means: beyond two points one is better."""
+    rates = corpus_cer(pairs.where(F.col("tier").isin(a, b)), "tier")
+    of = lambda t: F.max(F.when(F.col("tier") == t, F.col("cer")))
+    df = rates.agg(of(a).alias("cer_a"), of(b).alias("cer_b")).where("cer_a is not null and cer_b is not null").withColumn("points", F.round((F.col("cer_a") - F.col("cer_b")) * 100, 4))
+    return df.withColumn("verdict", F.when(F.col("points") > 2, "second is better").when(F.col("points") < -2, "second is worse").otherwise("similar"))
+
+
 def error_rates(pairs: DataFrame) -> DataFrame:
     """By tier and field, and by tier (field null): number, CER, WER, mean normalised CER."""
     r, h = F.coalesce("reference", F.lit("")), F.coalesce("hypothesis", F.lit(""))
@@ -34,7 +51,7 @@ def error_rates(pairs: DataFrame) -> DataFrame:
 
 
 def field_error_rates(pairs: DataFrame) -> DataFrame:
-    rates = corpus_cer(pairs.where("reference is not null"), "field_name")
+    rates = corpus_rates(pairs.where("reference is not null"), "field_name")
     return rates.withColumn("band", F.when(F.col("cer") < 0.02, "EXCELLENT").when(F.col("cer") < 0.10, "AVERAGE").otherwise("POOR"))
 
 

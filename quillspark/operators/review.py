@@ -92,33 +92,45 @@ def field_confidence(ap: Ledger) -> DataFrame:
     return df.select("id", "document_id", "field_name", F.round(conf, 3).alias("confidence"))
 
 
-def gate(confidences: DataFrame, tiers: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+def gate(confidences: DataFrame, tiers: DataFrame, attempts: DataFrame | None = None, verifier: DataFrame | None = None) -> DataFrame:
     """Decision per document: reason by precedence, then valid, retry or hitl, and the final status.
 
-    Partial data and low confidence stop the first tier only; an audit failure stops every tier.
+    tiers: (document_id, fallback_tier, ocr_confidence); verifier: (document_id, ok), as its scores have it. An audit failure
+    stops every tier. The first tier also stops for a low OCR confidence (an unknown one isn't low), partial data, and
+    what the verifier finds implausible, in this order.
     """
     df = confidences.join(tiers, "document_id")
+    df = df.withColumn("plausible", F.lit(True)) if verifier is None else df.join(verifier.select("document_id", F.col("ok").alias("plausible")), "document_id", "left")
     df = df.withColumn("attempts", F.lit(0)) if attempts is None else df.join(attempts, "document_id", "left").fillna({"attempts": 0})
     first_tier = F.coalesce("fallback_tier", F.lit("local")) != "vlm"
     reason = (
         F.when(F.col("is_empty"), "no_data")
         .when(~F.col("audit_ok"), F.col("audit_reason"))
+        .when(first_tier & (F.col("ocr_confidence") < 0.85), "low_confidence")
         .when(first_tier & F.col("audit_reason").eqNullSafe(F.lit("partial_data")), "partial_data")
-        .when(first_tier & (F.col("confidence") < 0.85), "low_confidence")
+        .when(first_tier & ~F.coalesce("plausible", F.lit(True)), "low_plausibility")
     )
     route = F.when(F.col("gate_reason").isNull(), "valid").when((F.col("attempts") >= 3) | (F.coalesce("fallback_tier", F.lit("")) == "hitl"), "hitl").otherwise("retry")
     df = df.withColumn("gate_reason", reason).withColumn("route", route)
     return df.select("document_id", "gate_reason", "route", F.when(F.col("route") == "valid", "verified").when(F.col("route") == "hitl", "review_pending").otherwise("processing").alias("final_status"))
 
 
-#: States a document may go to from each state.
+#: States a document may go to from each state; the last three are ends.
 TRANSITIONS = {
-    "uploaded": ("processing", "failed"),
-    "processing": ("extracted", "failed", "review_pending"),
-    "extracted": ("verified", "review_pending", "failed"),
-    "verified": ("approved", "review_pending"),
-    "review_pending": ("approved", "rejected", "verified"),
+    "received": ("preprocessed", "failed"),
+    "preprocessed": ("locally_parsed", "vlm_reconciled", "failed"),
+    "locally_parsed": ("verified", "vlm_reconciled", "flagged", "failed"),
+    "vlm_reconciled": ("verified", "flagged", "failed"),
+    "verified": (),
+    "flagged": (),
+    "failed": (),
 }
+#: How these states are stored.
+STORED = {"received": "uploaded", "preprocessed": "preprocessing", "locally_parsed": "locally_parsed", "vlm_reconciled": "vlm_reconciled", "verified": "verified", "flagged": "review_pending", "failed": "failed"}
+
+
+def stored_status(state: Column) -> Column:
+    return F.coalesce(*[F.when(state == k, v) for k, v in STORED.items()])
 
 
 def invalid_transitions(log: DataFrame) -> DataFrame:

@@ -96,12 +96,18 @@ def supplier_risk(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("risk_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2))
 
 
+PENALTIES = ("p_confidence", "p_very_low", "p_invalid", "p_missing", "p_corrections", "p_mismatch")
+
+
 def trust_scores(ap: Ledger) -> DataFrame:
-    """Trust of every document, 0 to 100, with penalties, reasons and priority; documents without fields get a row too."""
+    """Trust of every document, 0 to 100, with penalties (to one decimal), reasons and priority; documents without fields get a row too.
+
+    Of invalid fields the first four are named, by (created_at, id).
+    """
     fields = ap.fields.groupBy("document_id").agg(
         F.avg("confidence").alias("c"),
         F.count_if(F.col("status") == "invalid").alias("n_invalid"),
-        F.slice(F.sort_array(F.collect_set(F.when(F.col("status") == "invalid", F.col("field_name")))), 1, 4).alias("invalid_names"),
+        F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("status") == "invalid", F.struct("created_at", "id", "field_name")))), 1, 4), lambda x: x["field_name"]).alias("invalid_names"),
     )
     values = field_values(ap, *REQUIRED)
     missing = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) == "", F.lit(f)) for f in REQUIRED]))
@@ -137,20 +143,37 @@ def trust_scores(ap: Ledger) -> DataFrame:
         .when((score < 80) | (F.col("n_invalid") > 0) | (F.col("n_corrections") > 0) | (F.col("n_missing") > 0), PRIORITIES[1])
         .otherwise(PRIORITIES[0])
     )
+    percent = F.format_string("%.1f", F.bround(F.round(F.col("c") * 100, 6), 1))
+    # The reasons' texts.
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("c").isNull(), "No confidence data").when(F.col("p_confidence") > 20, "Low extraction confidence").when(F.col("p_confidence") > 8, "Moderate extraction confidence"),
-            F.when(F.col("n_invalid") > 0, F.concat(F.lit("Invalid fields: "), F.array_join("invalid_names", ", "))),
-            F.when(F.col("n_missing") > 0, F.concat(F.lit("Missing required fields: "), F.array_join("missing_fields", ", "))),
-            F.when(F.col("n_corrections") > 0, F.concat(F.col("n_corrections").cast("string"), F.lit(" corrections"))),
-            F.when(F.col("mismatch"), "Line items do not add up to the total"),
+            F.when(F.col("c").isNull(), "Confidence data unavailable (no fields extracted)")
+            .when(F.round("p_confidence", 6) > 20, F.concat(F.lit("Low extraction confidence ("), percent, F.lit("%) — high OCR uncertainty")))
+            .when(F.round("p_confidence", 6) > 8, F.concat(F.lit("Moderate extraction confidence ("), percent, F.lit("%)"))),
+            F.when(F.col("c") < 0.5, "Confidence critically below 50% — result reliability is low"),
+            F.when(F.col("n_invalid") > 0, F.concat(F.col("n_invalid").cast("string"), F.lit(" invalid field(s): "), F.array_join("invalid_names", ", "))),
+            F.when(F.col("n_missing") > 0, F.concat(F.lit("Missing required field(s): "), F.array_join(F.sort_array("missing_fields"), ", "))),
+            F.when(F.col("n_corrections") > 0, F.concat(F.col("n_corrections").cast("string"), F.lit(" human correction(s) required during review"))),
+            F.when(F.col("mismatch"), "Line-item sum does not match declared invoice total"),
         )
     )
-    return df.select("document_id", "trust_score", priority.alias("priority"), reasons.alias("reasons"), "c", "n_invalid", "n_missing", "n_corrections", "mismatch", "p_confidence", "p_very_low", "p_invalid", "p_missing", "p_corrections", "p_mismatch")
+    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("All quality checks passed")))
+    shown = lambda c: F.bround(F.round(c, 6), 1).alias(c)
+    return df.select("document_id", "trust_score", priority.alias("priority"), reasons.alias("reasons"), "c", "n_invalid", "n_missing", "n_corrections", "mismatch", *map(shown, PENALTIES))
+
+
+#: Score ranges of the distribution.
+RANGES = ((0, 20, "0-20"), (21, 40, "21-40"), (41, 60, "41-60"), (61, 80, "61-80"), (81, 100, "81-100"))
 
 
 def trust_overview(trust: DataFrame) -> DataFrame:
-    return trust.agg(F.count("*").alias("documents"), F.round(F.avg("trust_score"), 1).alias("avg_trust"), F.when(F.count("*") == 0, "No documents").alias("message"))
+    """One row: number, mean trust, both distributions as arrays of (label, n), and a message if there are none."""
+    entry = lambda label, cond: F.struct(F.lit(label).alias("label"), F.count_if(cond).alias("n"))
+    buckets = [entry(name, F.col("trust_score").between(bottom, top)) for bottom, top, name in RANGES]
+    return trust.agg(
+        F.count("*").alias("documents"), F.round(F.avg("trust_score"), 1).alias("avg_trust"), F.array(*buckets).alias("distribution"),
+        F.array(*[entry(p, F.col("priority") == p) for p in PRIORITIES]).alias("priorities"), F.when(F.count("*") == 0, "No documents").alias("message"),
+    )
 
 
 def _histogram(spark_rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
@@ -159,7 +182,7 @@ def _histogram(spark_rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
 
 def trust_distribution(trust: DataFrame) -> DataFrame:
     """Documents in five score ranges; empty ranges stay."""
-    bounds = [(20, "0-20"), (40, "21-40"), (60, "41-60"), (80, "61-80"), (100, "81-100")]
+    bounds = [(top, name) for _, top, name in RANGES]
     bucket = F.coalesce(*[F.when(F.col("trust_score") <= top, name) for top, name in bounds])
     ranges = trust.sparkSession.createDataFrame([(n, i) for i, (_, n) in enumerate(bounds)], "bucket string, pos int")
     return _histogram(ranges, trust.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("documents")), "bucket")
@@ -181,7 +204,9 @@ def vendor_risk(ap: Ledger, trust: DataFrame, with_documents: bool = False) -> D
     amount = F.when(F.col("amount") > 0, F.col("amount"))
     aggs = [
         F.count("*").alias("documents"),
+        F.sum("n_corrections").alias("total_corrections"),
         F.avg("n_corrections").alias("avg_corrections"),
+        *[F.count_if(c).alias(n) for n, c in (("with_invalid", F.col("n_invalid") > 0), ("low_trust", F.col("trust_score") < 50), ("with_missing", F.col("n_missing") > 0))],
         F.avg((F.col("n_invalid") > 0).cast("int")).alias("invalid_share"),
         F.avg((F.col("trust_score") < 50).cast("int")).alias("low_share"),
         F.avg((F.col("n_missing") > 0).cast("int")).alias("missing_share"),
@@ -203,22 +228,51 @@ def vendor_risk(ap: Ledger, trust: DataFrame, with_documents: bool = False) -> D
     total = F.col("p_corrections") + F.col("p_invalid") + F.col("p_low_trust") + F.col("p_variation") + F.col("p_missing")
     score = F.col("risk_score")
     df = df.withColumn("risk_score", F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.round(total, 6), 0).cast("int")))).withColumn("risk_level", level(score))
-    action = F.when(score >= 70, "Block until reviewed").when(score >= 50, "Review all documents").when(score >= 30, "Spot check").otherwise("No action")
-    keep = ["vendor", "documents", "risk_score", "risk_level", "avg_trust", *[c for c in df.columns if c.startswith("p_")]]
+    # Actions and reasons' texts.
+    action = (
+        F.when(score >= 70, "Escalate for compliance review — multiple risk factors present")
+        .when(score >= 50, "Flag for senior reviewer — moderate risk detected")
+        .when(score >= 30, "Standard review recommended")
+        .otherwise("Low risk — standard processing")
+    )
+    text = lambda c, places: F.format_string(f"%.{places}f", F.bround(F.round(c, 8), places))
+    average, share, spread = text(F.col("avg_corrections"), 1), text(F.col("invalid_share") * 100, 0), text(F.col("cv"), 2)
+    of_all = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("documents").cast("string"))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("avg_corrections") >= 2, F.concat(F.lit("High correction rate: avg "), average, F.lit(" corrections per document"))).when(F.col("avg_corrections") >= 1, F.concat(F.lit("Repeated human corrections: avg "), average, F.lit(" per document"))),
+            F.when(F.col("invalid_share") >= 0.5, F.concat(of_all("with_invalid"), F.lit(" documents had invalid fields ("), share, F.lit("%)"))).when(F.col("invalid_share") > 0, F.concat(F.lit("Some documents contained invalid fields ("), share, F.lit("%)"))),
+            F.when(F.col("low_trust") > 0, F.concat(of_all("low_trust"), F.lit(" documents scored below 50 on trust"))),
+            F.when(F.col("cv") > 0.5, F.concat(F.lit("High invoice amount variability (CV="), spread, F.lit(") — possible duplicate or outlier invoices"))).when(F.col("cv") > 0.3, F.concat(F.lit("Moderate invoice amount variability (CV="), spread, F.lit(")"))),
+            F.when(F.col("with_missing") > 0, F.concat(of_all("with_missing"), F.lit(" documents had missing required fields"))),
+        )
+    )
+    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("No significant risk signals detected"))).alias("reasons")
+    keep = ["vendor", "documents", "risk_score", "risk_level", "avg_trust", "total_corrections", *[c for c in df.columns if c.startswith("p_")], reasons]
     return df.select(*keep, action.alias("action"), *(["document_ids"] if with_documents else [])).orderBy(F.desc("risk_score"), "vendor")
 
 
 def dashboard(ap: Ledger) -> DataFrame:
-    """One row of totals; trust is computed once and feeds both its own figures and the vendors'."""
+    """One row of totals, with documents by status and invalid fields by name (arrays of a label and a count), anomalies and compliance."""
+    from .forecast import anomalies
+
     trust = trust_scores(ap)
+    listed = lambda df, label, n: df.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), F.col(n).alias("n")))))
+    by_status = listed(processing_stats(ap), "status", "documents").toDF("documents_by_status")
+    by_field = listed(validation_breakdown(ap), "field_name", "invalid").toDF("validation_failures")
+    odd = anomalies(document_stats(ap)).agg(F.count("*").alias("anomalies"))
+    with_corrections = compliance(ap).select("correction_rate", "avg_corrections", "with_corrections", "without_corrections")
     docs = trust.agg(
         F.count("*").alias("documents"), F.round(F.avg("trust_score"), 1).alias("avg_trust"), F.round(F.coalesce(F.avg("c"), F.lit(0.0)), 3).alias("avg_confidence"),
         F.round(F.coalesce(F.count_if(F.col("n_invalid") == 0) / F.nullif(F.count("*"), F.lit(0)) * 100, F.lit(0.0)), 2).alias("compliance_rate"),
-        *[F.count_if(F.col("priority") == p).alias(n) for p, n in zip(PRIORITIES[1:], ("needs_review", "escalate", "reject"), strict=True)],
+        F.count_if(F.col("priority") != PRIORITIES[0]).alias("needs_review"), F.count_if(F.col("priority") == PRIORITIES[2]).alias("escalate"), F.count_if(F.col("priority") == PRIORITIES[3]).alias("reject"),
+        F.count_if(F.col("n_invalid") > 0).alias("compliance_exceptions"),
     )
     spend = spend_by_vendor(ap).agg(F.round(F.coalesce(F.sum(F.col("total_spend").cast("decimal(28,2)")), F.lit(0)), 2).cast("double").alias("total_spend"))
     high = vendor_risk(ap, trust).agg(F.count_if(F.col("risk_level") == "high").alias("high_risk_vendors"))
-    return docs.crossJoin(F.broadcast(spend)).crossJoin(F.broadcast(high))  # one row each
+    for one in (spend, high, by_status, by_field, odd, with_corrections):
+        docs = docs.crossJoin(F.broadcast(one))  # one row each
+    return docs
 
 
 def sla(ap: Ledger, target_hours: int = 24) -> DataFrame:

@@ -58,8 +58,9 @@ _ALL = ("ap_documents", "ap_fields", "ap_line_items", "ap_corrections")
 _MISSING = " + ".join(f"CASE WHEN trim(coalesce({f}, '')) = '' THEN 1 ELSE 0 END" for f in ("invoice_number", "date", "vendor_name", "total_amount"))
 _TRUST = f"""
   t1 AS (SELECT d.id AS document_id, f.c, coalesce(f.n_invalid, 0) AS n_invalid, {_MISSING} AS n_missing, coalesce(n_corrections, 0) AS n_corrections,
+      n_items, coalesce(list_filter(names, lambda x: x IS NOT NULL)[:4], []) AS invalid_names, list_sort(list_filter([CASE WHEN trim(coalesce(invoice_number, '')) = '' THEN 'invoice_number' END, CASE WHEN trim(coalesce(date, '')) = '' THEN 'date' END, CASE WHEN trim(coalesce(vendor_name, '')) = '' THEN 'vendor_name' END, CASE WHEN trim(coalesce(total_amount, '')) = '' THEN 'total_amount' END], lambda x: x IS NOT NULL)) AS missing_names,
       coalesce(n_items IS NOT NULL AND abs(CAST(items_total AS DOUBLE) - ({_num('total_amount')})) >= 0.01, false) AS mismatch
-    FROM ap_documents d LEFT JOIN (SELECT document_id, avg(confidence) AS c, count(*) FILTER (status = 'invalid') AS n_invalid FROM ap_fields GROUP BY document_id) f ON f.document_id = d.id
+    FROM ap_documents d LEFT JOIN (SELECT document_id, avg(confidence) AS c, count(*) FILTER (status = 'invalid') AS n_invalid, list(field_name ORDER BY created_at, id) FILTER (status = 'invalid') AS names FROM ap_fields GROUP BY document_id) f ON f.document_id = d.id
       LEFT JOIN ({_VALUES}) v ON v.document_id = d.id LEFT JOIN ({_ITEMS}) i ON i.document_id = d.id LEFT JOIN ({_CORR}) c ON c.document_id = d.id),
   t2 AS (SELECT *, CASE WHEN c IS NULL THEN 15.0 ELSE greatest(0.0, least(30.0, (1 - c) * 30)) END + CASE WHEN c < 0.5 THEN 8 ELSE 0 END + least(20, 7 * n_invalid) + least(25, 8 * n_missing) + least(15, 5 * n_corrections) + CASE WHEN mismatch THEN 12 ELSE 0 END AS penalty FROM t1),
   t3 AS (SELECT *, CAST(greatest(0, least(100, round_even(100 - penalty, 0))) AS INTEGER) AS trust_score FROM t2),
@@ -88,7 +89,7 @@ add("a3_spend_by_month", _ap(A.spend_by_month), _MONTH, "ap_documents", "ap_fiel
 add("a8_monthly_trend", _ap(A.monthly_trend), f"SELECT * FROM ({_MONTH}) ORDER BY month DESC LIMIT 12", "ap_documents", "ap_fields")
 _STATS = f"SELECT id AS document_id, avg_confidence, CASE WHEN v.document_id IS NOT NULL THEN coalesce({_num('total_amount')}, 0) END AS amount, coalesce(n_corrections, 0) AS n_corrections FROM ap_documents LEFT JOIN (SELECT document_id, avg(confidence) AS avg_confidence FROM ap_fields GROUP BY document_id) f ON f.document_id = id LEFT JOIN ({_VALUES}) v ON v.document_id = id LEFT JOIN ({_CORR}) c ON c.document_id = id"
 add("a4_document_stats", lambda s, d: A.document_stats(sales_ledger(s, d)).withColumn("avg_confidence", F.round("avg_confidence", 8)), f"SELECT document_id, round(avg_confidence, 8) AS avg_confidence, amount, n_corrections FROM ({_STATS})", *_ALL)
-add("a5_dashboard", _ap(A.dashboard), None)
+add("a5_dashboard", lambda s, d: A.dashboard(sales_ledger(s, d)).withColumns({c: _labels(c) for c in ("documents_by_status", "validation_failures")}), None)
 add("a6_validation_breakdown", _ap(A.validation_breakdown), "SELECT field_name, count(*) AS invalid FROM ap_fields WHERE status = 'invalid' GROUP BY field_name", "ap_fields")
 add("a7_compliance", _ap(A.compliance), f"SELECT round(count(*) FILTER (n_corrections > 0) / count(*) * 100, 2) AS correction_rate, round(sum(n_corrections) / count(*), 2) AS avg_corrections, count(*) FILTER (n_corrections > 0) AS with_corrections, count(*) FILTER (n_corrections = 0) AS without_corrections FROM ({_STATS})", *_ALL)
 _METRICS = f"SELECT vendor_name AS supplier_name, count(*) AS total_documents, CAST(round(CAST(coalesce(avg(avg_confidence), 0) AS DECIMAL(18,10)), 4) AS DOUBLE) AS avg_confidence, CAST(sum(n_corrections) AS BIGINT) AS total_corrections, CAST(NULL AS DOUBLE) AS risk_score FROM ({_STATS}) s JOIN (SELECT document_id, vendor_name FROM ({_VALUES})) v USING (document_id) WHERE coalesce(vendor_name, '') <> '' GROUP BY vendor_name"
@@ -96,10 +97,23 @@ add("a9_supplier_metrics", _ap(A.supplier_metrics), _METRICS, *_ALL)
 _RISK = f"SELECT supplier_name, total_documents, avg_confidence, total_corrections, round(greatest(0, least(100, (1 - avg_confidence) * 60 + (1 - least(total_documents / 10, 1.0)) * 40)), 2) AS risk_score FROM ({_METRICS})"
 add("m3_supplier_risk", _ap(lambda ap: A.supplier_risk(A.supplier_metrics(ap))), _RISK, *_ALL)
 add("a10_supplier_list", _ap(lambda ap: A.supplier_list(A.supplier_risk(A.supplier_metrics(ap)))), f"SELECT *, CASE WHEN risk_score IS NULL THEN 'unknown' WHEN risk_score < 30 THEN 'low' WHEN risk_score < 60 THEN 'medium' ELSE 'high' END AS risk_level FROM ({_RISK})", *_ALL)
-QUERIES["a11_trust_scores"] = _trust(lambda t: t.select("document_id", "trust_score", "priority", "n_invalid", "n_missing", "n_corrections", "mismatch"))
-SQL["a11_trust_scores"] = _with_trust("SELECT document_id, trust_score, priority, n_invalid, n_missing, n_corrections, mismatch FROM trust")
-QUERIES["a12_trust_overview"] = _trust(A.trust_overview)
-SQL["a12_trust_overview"] = _with_trust("SELECT count(*) AS documents, round(avg(trust_score), 1) AS avg_trust, CAST(NULL AS VARCHAR) AS message FROM trust")
+QUERIES["a11_trust_scores"] = _trust(lambda t: t.drop("c").withColumn("reasons", F.array_join("reasons", "; ")))
+_PENALTY = "CASE WHEN c IS NULL THEN 15.0 ELSE greatest(0.0, least(30.0, (1 - c) * 30)) END"
+_PERCENT = "printf('%.1f', round_even(round(c * 100, 6), 1))"
+SQL["a11_trust_scores"] = _with_trust(f"""SELECT document_id, trust_score, priority, n_invalid, n_missing, n_corrections, mismatch, round_even(round({_PENALTY}, 6), 1) AS p_confidence, CASE WHEN c < 0.5 THEN 8.0 ELSE 0.0 END AS p_very_low, CAST(least(20, 7 * n_invalid) AS DOUBLE) AS p_invalid, CAST(least(25, 8 * n_missing) AS DOUBLE) AS p_missing, CAST(least(15, 5 * n_corrections) AS DOUBLE) AS p_corrections, CASE WHEN mismatch THEN 12.0 ELSE 0.0 END AS p_mismatch,
+  coalesce(nullif(concat_ws('; ', CASE WHEN c IS NULL THEN 'Confidence data unavailable (no fields extracted)' WHEN round({_PENALTY}, 6) > 20 THEN 'Low extraction confidence (' || {_PERCENT} || '%) — high OCR uncertainty' WHEN round({_PENALTY}, 6) > 8 THEN 'Moderate extraction confidence (' || {_PERCENT} || '%)' END,
+    CASE WHEN c < 0.5 THEN 'Confidence critically below 50% — result reliability is low' END, CASE WHEN n_invalid > 0 THEN n_invalid || ' invalid field(s): ' || array_to_string(invalid_names, ', ') END, CASE WHEN n_missing > 0 THEN 'Missing required field(s): ' || array_to_string(missing_names, ', ') END,
+    CASE WHEN n_corrections > 0 THEN n_corrections || ' human correction(s) required during review' END, CASE WHEN mismatch THEN 'Line-item sum does not match declared invoice total' END), ''), 'All quality checks passed') AS reasons FROM trust""")
+
+
+def _labels(c: str):
+    """An array of labels and counts as text."""
+    return F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["label"], x["n"].cast("string"))), ",").alias(c)
+
+
+QUERIES["a12_trust_overview"] = _trust(lambda t: A.trust_overview(t).withColumns({c: _labels(c) for c in ("distribution", "priorities")}))
+_COUNTED = lambda cases: " || ',' || ".join(f"'{label}=' || count(*) FILTER ({cond})" for label, cond in cases)
+SQL["a12_trust_overview"] = _with_trust("SELECT count(*) AS documents, round(avg(trust_score), 1) AS avg_trust, " + _COUNTED([(f"{a}-{b}", f"trust_score BETWEEN {a} AND {b}") for a, b in ((0, 20), (21, 40), (41, 60), (61, 80), (81, 100))]) + " AS distribution, " + _COUNTED([(x, f"priority = '{x}'") for x in ("Auto-Approve Candidate", "Needs Human Review", "Escalate", "Reject / Incomplete")]) + " AS priorities, CAST(NULL AS VARCHAR) AS message FROM trust")
 QUERIES["a13_trust_distribution"] = _trust(A.trust_distribution)
 SQL["a13_trust_distribution"] = _with_trust("SELECT bucket, pos, count(document_id) AS documents FROM (VALUES ('0-20', 0, 0, 20), ('21-40', 1, 21, 40), ('41-60', 2, 41, 60), ('61-80', 3, 61, 80), ('81-100', 4, 81, 100)) b(bucket, pos, lo, hi) LEFT JOIN trust ON trust_score BETWEEN lo AND hi GROUP BY bucket, pos")
 QUERIES["a14_priority_distribution"] = _trust(A.priority_distribution)
@@ -110,18 +124,21 @@ SQL["a15_flagged"] = _with_trust("SELECT document_id, trust_score, priority, CAS
 
 def _vendor_risk(spark: SparkSession, sf: str) -> DataFrame:
     ap = sales_ledger(spark, sf)
-    return A.vendor_risk(ap, A.trust_scores(ap))
+    return A.vendor_risk(ap, A.trust_scores(ap)).withColumn("reasons", F.array_join("reasons", "; "))
 
 
-_VENDOR_RISK = f"""SELECT vendor, documents, CAST(greatest(0, least(100, round_even(round(p_corrections + p_invalid + p_low_trust + p_variation + p_missing, 6), 0))) AS INTEGER) AS risk_score, avg_trust, p_corrections, p_invalid, p_low_trust, p_variation, p_missing
-  FROM (SELECT vendor, count(*) AS documents, round(avg(trust_score), 1) AS avg_trust, round(least(25, 12 * avg(n_corrections)), 2) AS p_corrections, round(25 * avg(CAST(n_invalid > 0 AS INTEGER)), 2) AS p_invalid, round(20 * avg(CAST(trust_score < 50 AS INTEGER)), 2) AS p_low_trust,
+_VENDOR_RISK = f"""SELECT vendor, documents, CAST(greatest(0, least(100, round_even(round(p_corrections + p_invalid + p_low_trust + p_variation + p_missing, 6), 0))) AS INTEGER) AS risk_score, avg_trust, total_corrections, p_corrections, p_invalid, p_low_trust, p_variation, p_missing,
+    coalesce(nullif(concat_ws('; ', CASE WHEN ac >= 2 THEN 'High correction rate: avg ' || printf('%.1f', round_even(round(ac, 8), 1)) || ' corrections per document' WHEN ac >= 1 THEN 'Repeated human corrections: avg ' || printf('%.1f', round_even(round(ac, 8), 1)) || ' per document' END,
+      CASE WHEN wi / documents >= 0.5 THEN wi || '/' || documents || ' documents had invalid fields (' || printf('%.0f', round_even(round(wi / documents * 100, 8), 0)) || '%)' WHEN wi > 0 THEN 'Some documents contained invalid fields (' || printf('%.0f', round_even(round(wi / documents * 100, 8), 0)) || '%)' END,
+      CASE WHEN lt > 0 THEN lt || '/' || documents || ' documents scored below 50 on trust' END,
+      CASE WHEN cv > 0.5 THEN 'High invoice amount variability (CV=' || printf('%.2f', round_even(round(cv, 8), 2)) || ') — possible duplicate or outlier invoices' WHEN cv > 0.3 THEN 'Moderate invoice amount variability (CV=' || printf('%.2f', round_even(round(cv, 8), 2)) || ')' END,
+      CASE WHEN wm > 0 THEN wm || '/' || documents || ' documents had missing required fields' END), ''), 'No significant risk signals detected') AS reasons
+  FROM (SELECT vendor, count(*) AS documents, CAST(sum(n_corrections) AS BIGINT) AS total_corrections, avg(n_corrections) AS ac, count(*) FILTER (n_invalid > 0) AS wi, count(*) FILTER (trust_score < 50) AS lt, count(*) FILTER (n_missing > 0) AS wm, CASE WHEN count(amount) FILTER (amount > 0) >= 2 THEN stddev_pop(amount) FILTER (amount > 0) / avg(amount) FILTER (amount > 0) ELSE 0 END AS cv, round(avg(trust_score), 1) AS avg_trust, round(least(25, 12 * avg(n_corrections)), 2) AS p_corrections, round(25 * avg(CAST(n_invalid > 0 AS INTEGER)), 2) AS p_invalid, round(20 * avg(CAST(trust_score < 50 AS INTEGER)), 2) AS p_low_trust,
       round(least(20, 20 * CASE WHEN count(amount) FILTER (amount > 0) >= 2 THEN stddev_pop(amount) FILTER (amount > 0) / avg(amount) FILTER (amount > 0) ELSE 0 END), 2) AS p_variation, round(10 * avg(CAST(n_missing > 0 AS INTEGER)), 2) AS p_missing
     FROM (SELECT document_id, trim(vendor_name) AS vendor, {_num('total_amount')} AS amount FROM ({_VALUES})) v JOIN trust USING (document_id) WHERE vendor <> '' GROUP BY vendor)"""
 QUERIES["a16_vendor_risk"] = _vendor_risk
-SQL["a16_vendor_risk"] = _with_trust(f"SELECT *, CASE WHEN risk_score < 30 THEN 'low' WHEN risk_score < 60 THEN 'medium' ELSE 'high' END AS risk_level, CASE WHEN risk_score >= 70 THEN 'Block until reviewed' WHEN risk_score >= 50 THEN 'Review all documents' WHEN risk_score >= 30 THEN 'Spot check' ELSE 'No action' END AS action FROM ({_VENDOR_RISK})")
-SQL["a5_dashboard"] = _with_trust(f"""SELECT documents, avg_trust, avg_confidence, compliance_rate, needs_review, escalate, "reject", total_spend, high_risk_vendors FROM
-  (SELECT count(*) AS documents, round(avg(trust_score), 1) AS avg_trust, round(coalesce(avg(c), 0), 3) AS avg_confidence, round(count(*) FILTER (n_invalid = 0) / count(*) * 100, 2) AS compliance_rate, count(*) FILTER (priority = 'Needs Human Review') AS needs_review, count(*) FILTER (priority = 'Escalate') AS escalate, count(*) FILTER (priority = 'Reject / Incomplete') AS "reject" FROM trust),
-  (SELECT CAST(sum(CAST(total_spend AS DECIMAL(28,2))) AS DOUBLE) AS total_spend FROM ({_SPEND})), (SELECT count(*) FILTER (risk_score >= 60) AS high_risk_vendors FROM ({_VENDOR_RISK}))""")
+SQL["a16_vendor_risk"] = _with_trust(f"SELECT *, CASE WHEN risk_score < 30 THEN 'low' WHEN risk_score < 60 THEN 'medium' ELSE 'high' END AS risk_level, CASE WHEN risk_score >= 70 THEN 'Escalate for compliance review — multiple risk factors present' WHEN risk_score >= 50 THEN 'Flag for senior reviewer — moderate risk detected' WHEN risk_score >= 30 THEN 'Standard review recommended' ELSE 'Low risk — standard processing' END AS action FROM ({_VENDOR_RISK})")
+QUERIES["s5_bi_vendor_risk"], SQL["s5_bi_vendor_risk"] = QUERIES["a16_vendor_risk"], SQL["a16_vendor_risk"]
 add("a17_sla", _ap(A.sla), "SELECT round(avg(epoch(processed_at) - epoch(uploaded_at)), 2) AS avg_processing_s, round(avg(epoch(approved_at) - epoch(uploaded_at)), 2) AS avg_approval_s, count(*) FILTER (epoch(approved_at) - epoch(uploaded_at) > 86400) AS breaches FROM ap_documents", "ap_documents")
 #: now() is a parameter; the sales tables end in these days.
 NOW = "1998-08-01 00:00:00"
@@ -177,7 +194,7 @@ add("s11_upsert", _upsert, f"SELECT 'spend' AS metric_name, CASE WHEN month <> '
 add("s12_replace_for_documents", lambda s, d: D.replace_for_documents(view(s, d, "ap_fields").select("document_id", "id", "field_value"), view(s, d, "ap_fields").where("k % 10 = 3 and i = 1").select("document_id", "id", F.lit("new").alias("field_value"))), "SELECT document_id, id, field_value FROM ap_fields WHERE document_id NOT IN (SELECT document_id FROM ap_fields WHERE k % 10 = 3 AND i = 1) UNION ALL SELECT document_id, id, 'new' FROM ap_fields WHERE k % 10 = 3 AND i = 1", "ap_fields")
 add("s14_analytics_summaries", lambda s, d: A.analytics_summaries(A.spend_by_month(sales_ledger(s, d)).select(F.lit("spend").alias("metric_name"), F.col("total_spend").alias("metric_value"), F.col("month").alias("period")), "spend"), f"SELECT 'spend' AS metric_name, total_spend AS metric_value, month AS period FROM ({_MONTH})", "ap_documents", "ap_fields")
 add("p1_list_documents", lambda s, d: D.list_documents(sales_ledger(s, d), "usr_7", include_all=True, skip=10, limit=25).withColumn("uploaded_at", _ts("uploaded_at")), f"SELECT id, original_filename, status, {_stamp('uploaded_at')} AS uploaded_at, (SELECT count(*) FROM ap_documents) AS total FROM (SELECT * FROM ap_documents ORDER BY uploaded_at DESC NULLS LAST, id LIMIT 25 OFFSET 10)", "ap_documents")
-add("p2_display_status", lambda s, d: view(s, d, "ap_documents").select("id", D.display_status(F.col("status")).alias("shown")), "SELECT id, CASE WHEN status IS NULL THEN 'failed' WHEN status = 'verified' THEN 'review_pending' ELSE status END AS shown FROM ap_documents", "ap_documents")
+add("p2_display_status", lambda s, d: view(s, d, "ap_documents").select("id", D.display_status(F.when(F.col("k") % 13 == 0, "locally_parsed").when(F.col("k") % 13 == 1, "vlm_reconciled").when(F.col("k") % 13 == 2, "preprocessing").when(F.col("k") % 13 != 3, F.col("status"))).alias("shown")), "SELECT id, CASE k % 13 WHEN 0 THEN 'extracting' WHEN 1 THEN 'extracting' WHEN 2 THEN 'preprocessing' WHEN 3 THEN 'failed' ELSE CASE WHEN status = 'verified' THEN 'review_pending' ELSE status END END AS shown FROM ap_documents", "ap_documents")
 _WIDE = f"SELECT document_id, invoice_number, date, vendor_name, subtotal, tax, total_amount FROM ({_VALUES})"
 add("p3_invoice_wide", lambda s, d: D.invoice_wide(sales_ledger(s, d)).withColumn("n_items", F.coalesce(F.size("items"), F.lit(0))).withColumn("first_item", F.get("items", F.lit(0))["description"]).drop("items"), f"SELECT v.*, coalesce(n_items, 0) AS n_items, first_item FROM ({_WIDE}) v LEFT JOIN (SELECT document_id, CAST(count(*) AS INTEGER) AS n_items, min_by(description, id) AS first_item FROM ap_line_items GROUP BY document_id) i USING (document_id)", "ap_fields", "ap_line_items")
 add("p4_amounts", lambda s, d: view(s, d, "ap_fields").where("i = 6").select("id", amounts.amt_float(F.col("field_value")).alias("strict"), amounts.amt_bi(F.col("field_value")).alias("bi"), amounts.parse_amount(F.col("field_value")).cast("double").alias("currency")), f"SELECT id, {_num('field_value')} AS strict, {_num('bi')} AS bi, CAST(bi AS DOUBLE) AS currency FROM (SELECT id, field_value, replace(replace(field_value, ',', ''), '$', '') AS bi FROM ap_fields WHERE i = 6)", "ap_fields")
@@ -201,6 +218,7 @@ add("p10_merge_tiers", lambda s, d: D.merge_tiers(view(s, d, "ap_fields").where(
   SELECT document_id, field_name, CASE WHEN take THEN s_value ELSE f_value END AS field_value, CASE WHEN take THEN s_conf ELSE f_conf END AS confidence, CASE WHEN take THEN 'second' ELSE 'fast' END AS source FROM
   (SELECT *, f_value IS NULL OR (s_value IS NOT NULL AND coalesce(f_conf, 1.0) < CASE WHEN field_name = 'date' THEN 0.8 ELSE 0.5 END AND coalesce(s_conf, 0.0) > coalesce(f_conf, 0.0)) AS take FROM
    (SELECT document_id, field_name, field_value AS f_value, confidence AS f_conf FROM ap_fields WHERE i <> 3) f FULL JOIN (SELECT document_id, field_name, 's' || field_value AS s_value, (k % 90) / 100.0E0 AS s_conf FROM ap_fields WHERE k % 4 = 1) s USING (document_id, field_name))""", "ap_fields")
+add("p10_merge_items", lambda s, d: D.merge_items(view(s, d, "ap_line_items").select("document_id", "description", "total"), view(s, d, "ap_line_items").where("total > 50000").select("document_id", F.lit("second").alias("description"), "total")), "SELECT document_id, description, total FROM ap_line_items WHERE document_id NOT IN (SELECT document_id FROM ap_line_items WHERE total > 50000) UNION ALL SELECT document_id, 'second', total FROM ap_line_items WHERE total > 50000", "ap_line_items")
 add("j1_clean_documents", lambda s, d: D.clean_documents(sales_ledger(s, d), 200).withColumn("processed_at", _ts("processed_at")), f"SELECT id AS document_id, {_stamp('processed_at')} AS processed_at FROM (SELECT * FROM ap_documents d WHERE status = 'verified' AND id NOT IN (SELECT document_id FROM ap_corrections) AND id IN (SELECT document_id FROM ap_fields) ORDER BY processed_at DESC NULLS LAST, id LIMIT 200)", *_ALL)
 _EARLY = "SELECT field_id, arg_min(original_value, id) AS original_value, arg_min(corrected_value, id) AS corrected_value, min(created_at) AS created_at, min(document_id) AS document_id FROM ap_corrections GROUP BY field_id"
 add("w1_earliest_correction", lambda s, d: D.earliest_correction(sales_ledger(s, d).corrections).withColumn("created_at", _ts("created_at")), f"SELECT field_id, original_value, corrected_value, {_stamp('created_at')} AS created_at, document_id FROM ({_EARLY})", "ap_corrections")
@@ -341,18 +359,18 @@ _DOCCONF = f"""SELECT document_id, round(comp, 4) AS completeness, filled = 0 AS
 add("f16_document_confidence", _ap(R.document_confidence), f"SELECT * EXCLUDE (fallback_tier) FROM ({_DOCCONF})", *_ALL)
 add("f17_field_confidence", _ap(R.field_confidence), f"""SELECT f.id, f.document_id, field_name, round(CASE WHEN trim(coalesce(field_value, '')) = '' THEN 0.0 WHEN NOT {_OK} AND field_name IN ('subtotal', 'tax', 'total_amount') THEN least(base, 0.55) ELSE base END, 3) AS confidence
   FROM ap_fields f JOIN ({_AUDIT}) a USING (document_id) JOIN (SELECT id AS did, CASE WHEN fallback_tier = 'vlm' THEN least(0.95, greatest(b, 0.9)) ELSE b END AS base FROM (SELECT id, fallback_tier, greatest(0.0, least(0.99, coalesce(confidence_score, 0.8))) AS b FROM ap_documents)) d ON did = f.document_id""", *_ALL)
-add("f18_gate", lambda s, d: R.gate(R.document_confidence(sales_ledger(s, d)), view(s, d, "ap_documents").select(F.col("id").alias("document_id"), "fallback_tier"), view(s, d, "ap_documents").select(F.col("id").alias("document_id"), (F.col("k") % 5).alias("attempts"))), f"""SELECT document_id, gate_reason, CASE WHEN gate_reason IS NULL THEN 'valid' WHEN k % 5 >= 3 THEN 'hitl' ELSE 'retry' END AS route, CASE WHEN gate_reason IS NULL THEN 'verified' WHEN k % 5 >= 3 THEN 'review_pending' ELSE 'processing' END AS final_status
-  FROM (SELECT document_id, CASE WHEN is_empty THEN 'no_data' WHEN NOT audit_ok THEN audit_reason WHEN coalesce(fallback_tier, 'local') <> 'vlm' AND audit_reason IS NOT DISTINCT FROM 'partial_data' THEN 'partial_data' WHEN coalesce(fallback_tier, 'local') <> 'vlm' AND confidence < 0.85 THEN 'low_confidence' END AS gate_reason FROM ({_DOCCONF})) g JOIN (SELECT id, k FROM ap_documents) x ON x.id = document_id""", *_ALL)
+add("f18_gate", lambda s, d: R.gate(R.document_confidence(sales_ledger(s, d)), view(s, d, "ap_documents").select(F.col("id").alias("document_id"), "fallback_tier", F.col("confidence_score").alias("ocr_confidence")), view(s, d, "ap_documents").select(F.col("id").alias("document_id"), (F.col("k") % 5).alias("attempts")), view(s, d, "ap_documents").select(F.col("id").alias("document_id"), (F.col("k") % 6 != 1).alias("ok"))), f"""SELECT document_id, gate_reason, CASE WHEN gate_reason IS NULL THEN 'valid' WHEN k % 5 >= 3 THEN 'hitl' ELSE 'retry' END AS route, CASE WHEN gate_reason IS NULL THEN 'verified' WHEN k % 5 >= 3 THEN 'review_pending' ELSE 'processing' END AS final_status
+  FROM (SELECT document_id, CASE WHEN is_empty THEN 'no_data' WHEN NOT audit_ok THEN audit_reason WHEN coalesce(fallback_tier, 'local') <> 'vlm' AND confidence_score < 0.85 THEN 'low_confidence' WHEN coalesce(fallback_tier, 'local') <> 'vlm' AND audit_reason IS NOT DISTINCT FROM 'partial_data' THEN 'partial_data' WHEN coalesce(fallback_tier, 'local') <> 'vlm' AND k % 6 = 1 THEN 'low_plausibility' END AS gate_reason FROM (SELECT c.*, k, confidence_score FROM ({_DOCCONF}) c JOIN ap_documents x ON x.id = c.document_id)) g JOIN (SELECT id, k FROM ap_documents) x ON x.id = document_id""", *_ALL)
 
 
 def _status_log(spark: SparkSession, sf: str) -> DataFrame:
-    states = ("uploaded", "processing", "extracted", "verified", "review_pending", "approved", "rejected")
+    states = ("received", "preprocessed", "locally_parsed", "vlm_reconciled", "verified", "flagged", "failed")
     status = F.element_at(F.array(*map(F.lit, states)), (F.col("event_id") % 7 + 1).cast("int"))
     return view(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
 
 
-_PAIRS = ", ".join(f"('{a}', '{b}')" for a, bs in R.TRANSITIONS.items() for b in bs)
-add("f19_invalid_transitions", lambda s, d: R.invalid_transitions(_status_log(s, d)).select("key", "seq", "before", "status"), f"SELECT key, seq, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY ts, seq) AS before FROM (SELECT user_id AS key, ts, event_id AS seq, ['uploaded', 'processing', 'extracted', 'verified', 'review_pending', 'approved', 'rejected'][event_id % 7 + 1] AS status FROM events)) WHERE before IS NOT NULL AND (before, status) NOT IN (VALUES {_PAIRS})")
+_PAIRS = "('received', 'preprocessed'), ('received', 'failed'), ('preprocessed', 'locally_parsed'), ('preprocessed', 'vlm_reconciled'), ('preprocessed', 'failed'), ('locally_parsed', 'verified'), ('locally_parsed', 'vlm_reconciled'), ('locally_parsed', 'flagged'), ('locally_parsed', 'failed'), ('vlm_reconciled', 'verified'), ('vlm_reconciled', 'flagged'), ('vlm_reconciled', 'failed')"
+add("f19_invalid_transitions", lambda s, d: R.invalid_transitions(_status_log(s, d)).select("key", "seq", "before", "status"), f"SELECT key, seq, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY ts, seq) AS before FROM (SELECT user_id AS key, ts, event_id AS seq, ['received', 'preprocessed', 'locally_parsed', 'vlm_reconciled', 'verified', 'flagged', 'failed'][event_id % 7 + 1] AS status FROM events)) WHERE before IS NOT NULL AND (before, status) NOT IN (VALUES {_PAIRS})")
 
 # Layout
 _LABELLED = "SELECT *, CASE WHEN pos % 2 = 0 THEN CASE text WHEN 'Vendor:' THEN 'vendor_name' WHEN 'Invoice No:' THEN 'invoice_number' WHEN 'Date:' THEN 'date' WHEN 'Subtotal' THEN 'subtotal' WHEN 'Tax' THEN 'tax' ELSE 'total_amount' END END AS label FROM ap_blocks"
@@ -389,9 +407,16 @@ def _vendor_series(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("vendor_name", F.date_format("uploaded_at", "yyyy-MM").alias("month")).agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("value"))
 
 
-add("m5_forecast_by_vendor", lambda s, d: M.forecast_linear(_vendor_series(s, d), 1, "vendor_name").withColumn("forecast", F.round(F.col("forecast") / 1000, 0)), f"SELECT vendor_name, strftime(CAST(m || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS month, round(greatest(CASE WHEN n = 0 THEN last ELSE a + b * (n + 1) END, 0) / 1000, 0) AS forecast FROM (SELECT vendor_name, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, max(x) AS n, max(month) AS m, max_by(value, month) AS last FROM (SELECT *, row_number() OVER (PARTITION BY vendor_name ORDER BY month) - 1 AS x FROM ({_VSERIES})) GROUP BY 1)", "ap_documents", "ap_fields")
+add("m5_forecast_by_vendor", lambda s, d: M.forecast_linear(_vendor_series(s, d), 1, "vendor_name"), f"SELECT vendor_name, strftime(CAST(m || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS month, round(greatest(CASE WHEN n = 0 THEN last ELSE a + b * (n + 1) END, 0), 2) AS forecast FROM (SELECT vendor_name, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, max(x) AS n, max(month) AS m, max_by(value, month) AS last FROM (SELECT *, row_number() OVER (PARTITION BY vendor_name ORDER BY month) - 1 AS x FROM ({_VSERIES})) GROUP BY 1)", "ap_documents", "ap_fields")
 _Z = f"SELECT document_id, n_corrections, CASE WHEN sa > 0 THEN abs((amount - ma) / sa) ELSE 0 END AS za, CASE WHEN sc > 0 THEN abs((conf - mc) / sc) ELSE 0 END AS zc FROM (SELECT *, avg(amount) OVER () AS ma, stddev_pop(amount) OVER () AS sa, avg(conf) OVER () AS mc, stddev_pop(conf) OVER () AS sc FROM (SELECT document_id, coalesce(amount, 0) AS amount, coalesce(avg_confidence, 0) AS conf, n_corrections FROM ({_STATS})))"
 add("m1_anomalies", lambda s, d: M.anomalies(A.document_stats(sales_ledger(s, d))).select("document_id", F.array_join("reasons", ",").alias("reasons"), "score"), f"SELECT document_id, concat_ws(',', CASE WHEN za > 2 THEN 'unusual_amount' END, CASE WHEN zc > 2 THEN 'unusual_confidence' END, CASE WHEN n_corrections > 3 THEN 'many_corrections' END) AS reasons, round((CAST(za > 2 AS INTEGER) + CAST(zc > 2 AS INTEGER) + CAST(n_corrections > 3 AS INTEGER)) / 3, 4) AS score FROM ({_Z}) WHERE za > 2 OR zc > 2 OR n_corrections > 3", *_ALL)
+_DASH = f"""SELECT documents, avg_trust, avg_confidence, compliance_rate, needs_review, escalate, "reject", compliance_exceptions, total_spend, high_risk_vendors, documents_by_status, validation_failures, anomalies, correction_rate, avg_corrections, with_corrections, without_corrections FROM
+  (SELECT count(*) AS documents, round(avg(trust_score), 1) AS avg_trust, round(coalesce(avg(c), 0), 3) AS avg_confidence, round(count(*) FILTER (n_invalid = 0) / count(*) * 100, 2) AS compliance_rate, count(*) FILTER (priority <> 'Auto-Approve Candidate') AS needs_review, count(*) FILTER (priority = 'Escalate') AS escalate, count(*) FILTER (priority = 'Reject / Incomplete') AS "reject", count(*) FILTER (n_invalid > 0) AS compliance_exceptions FROM trust),
+  (SELECT CAST(sum(CAST(total_spend AS DECIMAL(28,2))) AS DOUBLE) AS total_spend FROM ({_SPEND})), (SELECT count(*) FILTER (risk_score >= 60) AS high_risk_vendors FROM ({_VENDOR_RISK})),
+  (SELECT string_agg(status || '=' || n, ',' ORDER BY status) AS documents_by_status FROM (SELECT status, count(*) AS n FROM ap_documents GROUP BY 1)), (SELECT string_agg(field_name || '=' || n, ',' ORDER BY field_name) AS validation_failures FROM (SELECT field_name, count(*) AS n FROM ap_fields WHERE status = 'invalid' GROUP BY 1)),
+  (SELECT count(*) AS anomalies FROM ({_Z}) WHERE za > 2 OR zc > 2 OR n_corrections > 3),
+  (SELECT round(count(*) FILTER (n_corrections > 0) / count(*) * 100, 2) AS correction_rate, round(sum(n_corrections) / count(*), 2) AS avg_corrections, count(*) FILTER (n_corrections > 0) AS with_corrections, count(*) FILTER (n_corrections = 0) AS without_corrections FROM ({_STATS}))"""
+SQL["a5_dashboard"] = _with_trust(_DASH)
 add("m2_isolation_forest", lambda s, d: M.isolation_forest(A.document_stats(sales_ledger(s, d))))
 add("m8_insights", lambda s, d: M.insights(A.supplier_risk(A.supplier_metrics(sales_ledger(s, d))), _series(s, d), M.forecast_linear(_series(s, d)), M.anomalies(A.document_stats(sales_ledger(s, d)))))
 add("m9_calibrate", _ap(M.calibrate))
@@ -443,11 +468,11 @@ def _documents_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("t1_stream_throughput", lambda s, d: ran(J.throughput(_documents_stream(s, d)), "complete"), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, count(*) AS documents FROM ap_documents GROUP BY 1", "ap_documents")
-add("t2_stream_confidence_drift", lambda s, d: ran(J.confidence_drift(_documents_stream(s, d).withColumn("conf", F.col("confidence_score"))), "complete"), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, ((2 * 10 * CAST(sum(CAST(round(confidence_score * 100) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*))) / 1000.0E0 AS avg_confidence, count(*) AS documents FROM ap_documents WHERE confidence_score IS NOT NULL GROUP BY 1", "ap_documents")
+add("t2_stream_confidence_drift", lambda s, d: ran(J.confidence_drift(J.with_confidence(_documents_stream(s, d), view(s, d, "ap_fields"))), "complete"), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, CAST((2000 * sum(CAST(CAST(conf AS DECIMAL(10,6)) * 1000000 AS BIGINT)) + 1000000 * count(*)) // (2000000 * count(*)) AS BIGINT) / 1000.0E0 AS avg_confidence, count(*) AS documents FROM (SELECT uploaded_at, coalesce(confidence_score, m) AS conf FROM ap_documents LEFT JOIN (SELECT document_id, avg(confidence) AS m FROM ap_fields GROUP BY 1) f ON f.document_id = id) WHERE conf IS NOT NULL GROUP BY 1", "ap_documents", "ap_fields")
 
 
 def _stream_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    states = ("uploaded", "processing", "extracted", "verified", "review_pending", "approved", "rejected")
+    states = ("received", "preprocessed", "locally_parsed", "vlm_reconciled", "verified", "flagged", "failed")
     status = F.element_at(F.array(*map(F.lit, states)), (F.col("event_id") % 7 + 1).cast("int"))
     log = _stream(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
     return ran(J.invalid_transitions(log), "append")

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import parse_amount, parse_date_any
-from ..operators.quality import best_threshold
+from ..operators.quality import best_threshold, ece, ranking_metrics, recall_by_operator
 from ..sources.ledger import FIELDS
 
 #: The features, in order.
@@ -92,38 +93,92 @@ def features(wide: DataFrame, today: str, confidence: str | None = None) -> Data
     return num.select(*wide.columns, *[values[f].cast("double").alias(f) for f in FEATURES])
 
 
-#: Characters that scanners take for one another.
-CONFUSED = (("0", "O"), ("1", "l"), ("5", "S"), ("8", "B"), ("2", "Z"), ("6", "G"), ("9", "g"), ("4", "A"))
+#: Texts that scanners take for one another, in both directions.
+CONFUSED = (("0", "O"), ("1", "l"), ("1", "I"), ("5", "S"), ("8", "B"), ("6", "G"), ("2", "Z"), ("rn", "m"))
+#: Factors of slips and skews, foreign marks, and how many operators are tried on a row.
+SLIPS, SKEWS, MARKS, TRIED = ("10", "100", "0.1", "0.01"), ("2", "0.5", "3"), ("$", "€", "£"), 8
+AMOUNTS = ("subtotal", "tax", "total_amount")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _corruptions(u: Column) -> dict[str, tuple[Column, dict[str, Column]]]:
-    """Each operator: whether it applies, and what it makes of which columns. u is a hash that decides details."""
-    pick = lambda n, salt: F.pmod(F.xxhash64(u, F.lit(salt)), F.lit(n)).cast("int")
-    total, sub, tax = F.col("total_amount"), F.col("subtotal"), F.col("tax")
-    amount = parse_amount(total)
-    text = lambda c: F.format_string("%.2f", c.cast("double"))
-    ratio = F.element_at(F.array(*map(F.lit, (10.0, 100.0, 0.1, 0.01))), pick(4, 1) + 1)
-    place = pick(1000, 2) % F.greatest(F.char_length(total), F.lit(1)) + 1
-    items = F.col("items")
-    swapped = F.reduce(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CONFUSED]), total, lambda t, p: F.when(t != total, t).otherwise(F.replace(t, p["a"], p["b"])))
-    day = parse_date_any(F.col("date"))
-    skew = F.element_at(F.array(*map(F.lit, (2.0, 0.5, 3.0))), pick(3, 3) + 1)
-    first = lambda x, i: F.when(i == 0, x.withField("quantity", F.format_string("%.2f", x["quantity"].try_cast("double") * skew))).otherwise(x)
-    k = pick(1000, 4) % F.greatest(F.size(items), F.lit(1)) + 1
+    """Each operator: whether it applies, and what it makes of which columns. u is a hash that decides all choices."""
+    pick = lambda n, salt: F.pmod(F.xxhash64(u, F.lit(salt)), F.greatest(n if isinstance(n, Column) else F.lit(n), F.lit(1))).cast("int")
+    one_of = lambda values, salt: F.get(F.array(*map(F.lit, values)), pick(len(values), salt))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    names = lambda cs: F.array_compact(F.array(*[F.when(filled(F.col(c)), F.lit(c)) for c in cs]))
+    plain = lambda c: F.regexp_replace(c, r"[^0-9.\-]", "")
+    two = lambda v: F.bround(v, 2).cast("decimal(38,2)").cast("string")
+
+    def chosen(cs: tuple[str, ...], salt: int) -> tuple[Column, Column]:
+        name = F.get(names(cs), pick(F.size(names(cs)), salt))
+        return name, F.coalesce(*[F.when(name == c, F.col(c)) for c in cs])
+
+    def put(name: Column, cs: tuple[str, ...], value: Column) -> dict[str, Column]:
+        return {c: F.when(name == c, value).otherwise(F.col(c)) for c in cs}
+
+    def digits(raw: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(raw), F.lit(1))), lambda i: F.substring(raw, i, F.lit(1)).rlike(r"\d"))
+
+    slip_of, slip_raw = chosen(AMOUNTS, 1)
+    ratio = one_of(SLIPS, 2)
+    slipped = parse_amount(slip_raw) * ratio.cast("decimal(6,2)")
+    slipped = F.when(F.contains(slip_raw, F.lit(".")) | ratio.isin("0.1", "0.01"), two(slipped)).otherwise(slipped.cast("decimal(38,0)").cast("string"))
+    drop_of, drop_raw = chosen(AMOUNTS, 3)
+    drop_at = F.get(digits(drop_raw), pick(F.size(digits(drop_raw)), 4))
+    dropped = F.concat(F.substring(drop_raw, F.lit(1), drop_at - 1), F.substring(drop_raw, drop_at + 1, F.lit(1000)))
+    put_of, put_raw = chosen(AMOUNTS, 5)
+    put_at = F.get(digits(put_raw), pick(F.size(digits(put_raw)), 6))
+    inserted = F.concat(F.substring(put_raw, F.lit(1), put_at - 1), pick(10, 7).cast("string"), F.substring(put_raw, put_at, F.lit(1000)))
+    some = names(AMOUNTS)
+    first = pick(F.size(some), 8)
+    x, y = F.get(some, first), F.get(some, F.pmod(first + 1 + pick(F.size(some) - 1, 9), F.greatest(F.size(some), F.lit(1))).cast("int"))
+    value = lambda name: F.coalesce(*[F.when(name == c, F.col(c)) for c in AMOUNTS])
+    tax = F.col("tax")
+    flipped = F.when(parse_amount(tax) > 0, F.concat(F.lit("-"), plain(tax))).otherwise(F.replace(plain(tax), F.lit("-"), F.lit("")))
+    seen = (*AMOUNTS, "vendor_name", "invoice_number")
+    mix_of, mix_raw = chosen(seen, 10)
+    once = lambda raw, a, b: F.overlay(raw, F.lit(b), F.instr(raw, F.lit(a)), F.lit(len(a)))
+    swaps = [F.struct(F.xxhash64(u, F.lit(a), F.lit(b)).alias("h"), F.when(F.contains(mix_raw, F.lit(a)), once(mix_raw, a, b)).when(F.contains(mix_raw, F.lit(b)), once(mix_raw, b, a)).alias("new")) for a, b in CONFUSED]
+    mixed = F.get(F.array_sort(F.filter(F.array(*swaps), lambda s: s["new"].isNotNull())), F.lit(0))["new"]
+    day = F.trim("date")
+    turned = F.regexp_replace(day, r"^(\d{1,2})([/\-.])(\d{1,2})([/\-.])(\d{2,4})$", "$3$2$1$4$5")
     vendor = F.col("vendor_name")
+    n_edits = 1 + pick(F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.char_length(vendor) / 4).cast("int"))), 11)
+
+    def edit(text: Column, i: Column) -> Column:
+        roll = lambda n, salt: F.pmod(F.xxhash64(u, i, F.lit(salt)), F.greatest(n, F.lit(1))).cast("int")
+        kind, at = roll(F.lit(3), 12), roll(F.char_length(text), 13) + 1
+        head, rest, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.lit(10000)), F.substring(text, at + 1, F.lit(10000))
+        letter = lambda n: F.substring(F.lit(_LETTERS), roll(F.lit(n), 14) + 1, F.lit(1))
+        return F.when(F.char_length(text) == 0, text).when(kind == 0, F.concat(head, letter(52), after)).when(kind == 1, F.concat(head, after)).otherwise(F.concat(head, letter(26), rest))
+
+    perturbed = F.aggregate(F.sequence(F.lit(1), n_edits), vendor, edit)
+    items = F.col("items")
+    gone, twin = pick(F.size(items), 15), pick(F.size(items), 16) + 1
+    able = F.filter(F.transform(items, lambda x, i: F.when((filled(x["quantity"]) | filled(x["unit_price"])) & filled(x["total"]), i)), lambda i: i.isNotNull())
+    skew_at = F.get(able, pick(F.size(able), 17))
+    item = F.get(items, skew_at)
+    by_quantity = F.when(pick(2, 18) == 0, filled(item["quantity"])).otherwise(~filled(item["unit_price"]))
+    skew_raw = F.when(by_quantity, item["quantity"]).otherwise(item["unit_price"])
+    skewed = two(parse_amount(skew_raw) * one_of(SKEWS, 19).cast("decimal(6,2)"))
+    bent = F.transform(items, lambda x, i: F.when((i == skew_at) & by_quantity, x.withField("quantity", skewed)).when(i == skew_at, x.withField("unit_price", skewed)).otherwise(x))
+    mark_of, mark_raw = chosen(AMOUNTS, 20)
+    mark = one_of(MARKS, 21)
+    differs = lambda new, old: new.isNotNull() & (new != "") & (new != old)
     return {
-        "decimal_slip": (amount.isNotNull() & (amount != 0), {"total_amount": text(amount * ratio)}),
-        "digit_drop": (amount.isNotNull() & (F.char_length(total) > 4), {"total_amount": F.concat(F.substring(total, F.lit(1), place - 1), F.substring(total, place + 1, F.lit(100)))}),
-        "digit_insert": (amount.isNotNull(), {"total_amount": F.concat(F.substring(total, F.lit(1), place), pick(10, 5).cast("string"), F.substring(total, place + 1, F.lit(100)))}),
-        "field_swap": (sub.isNotNull() & tax.isNotNull() & (sub != tax), {"subtotal": tax, "tax": sub}),
-        "tax_sign_flip": (F.coalesce(parse_amount(tax), F.lit(0)) != 0, {"tax": text(-parse_amount(tax))}),
-        "ocr_confusion": (total.isNotNull() & (swapped != total), {"total_amount": swapped}),
-        "date_format_swap": (day.isNotNull(), {"date": F.date_format(day, "dd/MM/yyyy")}),
-        "vendor_perturb": (F.char_length(vendor) > 2, {"vendor_name": F.concat(F.substring(vendor, 1, 1), F.lit("x"), F.substring(vendor, F.lit(3), F.lit(1000)))}),
-        "line_item_drop": (F.size(items) >= 2, {"items": F.slice(items, 1, F.size(items) - 1)}),
-        "line_item_duplicate": (F.size(items) >= 1, {"items": F.concat(F.slice(items, F.lit(1), k), F.slice(items, k, F.lit(1)), F.slice(items, k + 1, F.size(items)))}),
-        "quantity_price_skew": ((F.size(items) >= 1) & F.get(items, F.lit(0))["quantity"].try_cast("double").isNotNull(), {"items": F.transform(items, first)}),
-        "currency_mismatch": (total.isNotNull() & ~total.rlike(r"[$€£]"), {"total_amount": F.concat(F.element_at(F.array(*map(F.lit, "$€£")), pick(3, 6) + 1), total)}),
+        "decimal_slip": (differs(slipped, slip_raw), put(slip_of, AMOUNTS, slipped)),
+        "digit_drop": (differs(dropped, drop_raw), put(drop_of, AMOUNTS, dropped)),
+        "digit_insert": (differs(inserted, put_raw), put(put_of, AMOUNTS, inserted)),
+        "field_swap": ((F.size(some) >= 2) & (value(x) != value(y)), {c: F.when(x == c, value(y)).when(y == c, value(x)).otherwise(F.col(c)) for c in AMOUNTS}),
+        "tax_sign_flip": (F.coalesce(parse_amount(tax), F.lit(0)) != 0, {"tax": flipped}),
+        "ocr_confusion": (differs(mixed, mix_raw), put(mix_of, seen, mixed)),
+        "date_format_swap": (differs(turned, day), {"date": turned}),
+        "vendor_perturb": ((F.char_length(vendor) >= 3) & differs(perturbed, vendor), {"vendor_name": perturbed}),
+        "line_item_drop": (F.size(items) >= 2, {"items": F.filter(items, lambda _, i: i != gone)}),
+        "line_item_duplicate": (F.size(items) >= 1, {"items": F.concat(F.slice(items, F.lit(1), twin), F.slice(items, twin, F.lit(1)), F.slice(items, twin + 1, F.size(items)))}),
+        "quantity_price_skew": (F.coalesce(parse_amount(skew_raw), F.lit(0)) != 0, {"items": bent}),
+        "currency_mismatch": (parse_amount(mark_raw).isNotNull() & ~F.contains(mark_raw, mark), put(mark_of, AMOUNTS, F.concat(mark, plain(mark_raw)))),
     }
 
 
@@ -131,12 +186,13 @@ OPERATORS = ("decimal_slip", "digit_drop", "digit_insert", "field_swap", "tax_si
 
 
 def corrupt(wide: DataFrame, k: int = 1, seed: int = 7) -> DataFrame:
-    """k corrupted copies of each row, by the first operator that applies in a hash-shuffled order; columns copy and operator are added."""
+    """k corrupted copies of each row, by the first operator that applies of the first TRIED in a hash-shuffled order (none: no copy);
+    columns copy and operator are added."""
     df = wide.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))
     u = F.xxhash64("document_id", "copy", F.lit(seed))
     ops = _corruptions(u)
-    able = F.array_compact(F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.struct(F.xxhash64(u, F.lit(n)).alias("h"), F.lit(n).alias("n"))) for n, (ok, _) in ops.items()]))
-    df = df.withColumn("operator", F.get(F.array_sort(able), F.lit(0))["n"])
+    order = F.array_sort(F.array(*[F.struct(F.xxhash64(u, F.lit(n)).alias("h"), F.lit(n).alias("n"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, (ok, _) in ops.items()]))
+    df = df.withColumn("operator", F.get(F.filter(F.slice(order, 1, TRIED), lambda x: x["ok"]), F.lit(0))["n"])
     changed = {}
     for c in (*FIELDS, "items"):
         cases = [(n, new[c]) for n, (_, new) in ops.items() if c in new]
@@ -155,12 +211,15 @@ def training_set(clean: DataFrame, before: DataFrame | None = None, after: DataF
         before, after = (df.join(same, "document_id", "left_anti") for df in (before, after))
         real = lambda df, y: df.withColumns({"label": F.lit(y), "weight": F.lit(4.0), "operator": F.lit("correction"), "copy": F.lit(y)})
         out = out.unionByName(real(before, 0)).unionByName(real(after, 1))
-    # Ranks by hash are dealt out per label in 64 groups, so no task sorts a label.
+    # The rows of least hash of a label are for validation: all of the lower of 2^16 hash ranges, and of one range the first few.
     h = F.xxhash64("document_id", "copy", "operator", F.lit(seed))
-    out = out.withColumn("_h", h).withColumn("_g", F.pmod("_h", F.lit(64)))
-    w = Window.partitionBy("label", "_g").orderBy("_h")
-    n = F.count("*").over(Window.partitionBy("label", "_g"))
-    return out.withColumn("validation", F.row_number().over(w) <= F.greatest(F.when(F.col("_g") == 0, 1).otherwise(0), F.round(n * share, 0))).drop("_h", "_g")
+    out = out.withColumns({"_h": h, "_g": F.shiftright(h, 48).cast("int")})
+    ranges = out.groupBy("label", "_g").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("label").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(1), F.bround(F.sum("_n").over(Window.partitionBy("label")) * share, 0)) - F.coalesce(F.sum("_n").over(upto), F.lit(0))
+    ranges = ranges.select("label", "_g", left.cast("long").alias("_left"))  # 2^16 rows a label at most
+    rank = F.row_number().over(Window.partitionBy("label", "_g").orderBy("_h", "document_id", "copy"))
+    return out.join(F.broadcast(ranges), ["label", "_g"]).withColumn("validation", rank <= F.col("_left")).drop("_h", "_g", "_left")
 
 
 @dataclass
@@ -170,16 +229,18 @@ class Verifier:
     threshold: float
     means: dict[str, float]
     schema_hash: str = SCHEMA_HASH
+    metrics: dict[str, float] = field(default_factory=dict)
+    recalls: dict[str, float] = field(default_factory=dict)
 
 
 def _probability(df: DataFrame, model) -> DataFrame:
     return model.transform(df).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train_verifier(labelled: DataFrame, rounds: int = 30, step: float = 0.1, depth: int = 4, seed: int = 42) -> Verifier:
-    """Boosted trees on the features, isotonic calibration and the best-F1 threshold on the validation rows."""
+def train_verifier(labelled: DataFrame, rounds: int = 200, step: float = 0.05, depth: int = 5, seed: int = 42) -> Verifier:
+    """Boosted trees on the features; isotonic calibration, the best-F1 threshold and metrics on the validation rows."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    labelled = labelled.select("label", "weight", "validation", *FEATURES).persist()
+    labelled = labelled.select("label", "weight", "validation", "operator", *FEATURES).persist()
     train, held = labelled.where("not validation"), labelled.where("validation")
     n = labelled.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     positive = (n.n - n.p) / max(n.p, 1)
@@ -189,10 +250,29 @@ def train_verifier(labelled: DataFrame, rounds: int = 30, step: float = 0.1, dep
     scored = _probability(held, pipeline)
     iso = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(scored.withColumn("label", F.col("label").cast("double")))
     cal = iso.transform(scored.drop("prediction")).withColumn("p", F.col("prediction"))
+    cal = cal.select("p", "raw", "label", "operator").persist()
     t = best_threshold(cal.select("p", "label")).first()
+    rank = ranking_metrics(cal.select("p", "label")).first()
+    error = lambda c: float(ece(cal.select(F.col(c).alias("p"), "label")).agg(F.coalesce(F.sum("ece_part"), F.lit(0.0))).first()[0])
+    metrics = {"positives": int(n.p), "negatives": int(n.n - n.p), "auroc": rank.auroc, "auprc": rank.auprc, "f1": t.f1, "ece_before": error("raw"), "ece_after": error("p")}
+    recalls = {r.operator: float(r.recall) for r in recall_by_operator(cal.select("p", "label", "operator"), float(t.threshold)).collect()}  # a row per operator
+    cal.unpersist()
     means = train.where("label = 1").agg(*[F.avg(f).alias(f) for f in FEATURES]).first().asDict()
     labelled.unpersist()
-    return Verifier(pipeline, iso, float(t.threshold), {k: float(v or 0.0) for k, v in means.items()})
+    return Verifier(pipeline, iso, float(t.threshold), {k: float(v or 0.0) for k, v in means.items()}, metrics=metrics, recalls=recalls)
+
+
+def save_verifier(verifier: Verifier, spark: SparkSession, path: str) -> None:
+    """The model, its calibration and what scoring needs to know, in one folder."""
+    verifier.model.write().overwrite().save(f"{path}/model")
+    verifier.calibrator.write().overwrite().save(f"{path}/calibration")
+    card = {"threshold": verifier.threshold, "means": verifier.means, "schema_hash": verifier.schema_hash, "metrics": verifier.metrics, "recalls": verifier.recalls}
+    spark.createDataFrame([(json.dumps(card),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
+
+
+def load_verifier(spark: SparkSession, path: str) -> Verifier:
+    card = json.loads(spark.read.text(f"{path}/card").first()[0])
+    return Verifier(PipelineModel.load(f"{path}/model"), IsotonicRegressionModel.load(f"{path}/calibration"), **card)
 
 
 def score(df: DataFrame, verifier: Verifier | None) -> DataFrame:

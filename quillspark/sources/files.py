@@ -57,9 +57,9 @@ def _dig(column, path):
 
 
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (timestamp, file, fields, raw_text): the newest entry of each file."""
+    """JSON lines (timestamp, file, fields, raw_text): the newest entry of each file; of equally new ones that with the largest text."""
     log = spark.read.schema("timestamp string, file string, fields map<string,string>, raw_text string").json(path)
-    return log.groupBy("file").agg(F.max_by(F.struct("timestamp", "fields", "raw_text"), "timestamp").alias("r")).select("file", "r.*")
+    return log.groupBy("file").agg(F.max_by(F.struct("timestamp", "fields", "raw_text"), F.struct("timestamp", "raw_text", F.to_json("fields"))).alias("r")).select("file", "r.*")
 
 
 VERSION = 1

@@ -142,7 +142,7 @@ def view_sql(*names: str) -> str:
 
     for n in names:
         add(n)
-    body = ", ".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in (*TABLES, *VIEWS)})})" for n in needed)
+    body = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n].format(**{t: t for t in (*TABLES, *VIEWS)})})" for n in needed)
     return f"WITH {body} " if body else ""
 
 

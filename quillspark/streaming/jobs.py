@@ -18,6 +18,12 @@ def throughput(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return days.agg(F.count("*").alias("documents")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "documents")
 
 
+def with_confidence(stream: DataFrame, fields: DataFrame) -> DataFrame:
+    """stream of documents with conf: their own confidence, else the mean of their fields' (a static table)."""
+    mean = fields.groupBy("document_id").agg(F.avg("confidence").alias("field_mean"))
+    return stream.join(mean, F.col("id") == F.col("document_id"), "left").withColumn("conf", F.coalesce("confidence_score", "field_mean"))
+
+
 def confidence_drift(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Daily mean of conf over documents that have it."""
     days = stream.where("conf is not null").withWatermark("uploaded_at", late).groupBy(F.window("uploaded_at", "1 day"))
