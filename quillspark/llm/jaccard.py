@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join: rare-first prefixes with length, positional and suffix filters, each pair verified once.
 
 Links of equal sets are found by a digest of the set, so the join proper runs between distinct sets
-(nodes). Results are the connected components of all links, and links that connect them, never
-all pairs of a group.
+(nodes), in two levels. The first orders shingles by a small sketch of their frequency; pairs come from
+prefix members that few nodes hold. Nodes that hold a member of many go through the second, where the
+order is by exact counts. Results are the connected components of all links, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from .common import slices, stored, text_of, white_words
 SKETCH = 1 << 18
 #: Stands for a null id: larger than others, so it names a component only where there is no other.
 _NO_ID = (1 << 63) - 1
-#: Buckets of up to so many nodes give pairs; larger ones are cut into chunks of about so many nodes or set members.
+#: Buckets of up to so many nodes give pairs; of larger ones, nodes not linked to the bucket's first are cut into chunks of about so many nodes or set members.
 SMALL, CHUNK_NODES, CHUNK_MEMBERS = 64, 256, 200_000
+#: Bits of the mark of node keys: 2,048 rows of 4 kB at most when broadcast. It only saves work: what it lets through is joined exactly.
+MARK_BITS, _ROW_BITS = 1 << 26, 1 << 15
+_NODE = ["doc_id", "tag"]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -61,11 +65,6 @@ def _digest(members: np.ndarray) -> bytes:
     return blake2b(members.tobytes(), digest_size=16).digest()
 
 
-def _tag(digest: bytes) -> int:
-    """Tells sets of one id apart, where rows repeat it."""
-    return int.from_bytes(digest[:4], "little") & 0x7FFFFFFF
-
-
 def _ranked(members: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set as sorted keys in the global order: the sketch's class in the top 12 bits, the hash's low 52 bits below."""
     keys = (rank[(members >> np.uint64(46)).astype(np.int64)] << np.uint64(52)) | (members & np.uint64((1 << 52) - 1))
@@ -126,13 +125,23 @@ class Forest:
         self.of[self.of == max(x, y)] = min(x, y)
 
 
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, tag) is among the keys, and a few more: keys are one bit each in a bitmap of fixed size."""
+    bit = F.pmod(F.xxhash64(*_NODE), F.lit(MARK_BITS))
+    where = lambda df: df.withColumns({"_row": (bit / _ROW_BITS).cast("int"), "_bit": (bit % _ROW_BITS).cast("int")})
+    bits = where(keys).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = where(rows).join(F.broadcast(bits), "_row").withColumn("_byte", byte)
+    return held.where("(_byte >> (_bit % 8)) & 1 = 1").select(rows.columns)
+
+
 def _within(share: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Links that connect two chunks of one bucket. A pair is left to the bucket of its first common prefix member."""
         pdf = pdf.sort_values(["n", "doc_id", "tag"])
-        sets = [np.frombuffer(s, dtype="<u8") for s in pdf["members"]]
+        sets = list(pdf["members"])
         pos, n, chunk, (_, i, j) = pdf["pos"].to_numpy(), pdf["n"].to_numpy(), pdf["chunk"].to_numpy(), key
-        before = [set(s[:p].tolist()) for s, p in zip(sets, pos, strict=True)]
+        before = [set(p[:k].tolist()) for p, k in zip(pdf["prefix"], pdf["place"], strict=True)]
         forest, out = Forest(len(sets)), []
         for a in range(len(sets)):
             # Shorter sets come first: the length filter bounds how far back a partner may be.
@@ -152,112 +161,153 @@ def _within(share: int):
     return run
 
 
+_ENDS = ["a_id", "a_tag", "b_id", "b_tag"]
+
+
+def _bucket_pairs(held: DataFrame, share: int) -> DataFrame:
+    """Pairs of nodes that meet in buckets of up to SMALL of held (gram, doc_id, tag, n, pos, m), each pair once: those that pass
+    the length filter, in some bucket the positional one, and of which the common members can be enough."""
+    large = held.groupBy(_NODE).agg(F.count_if(F.col("m") > SMALL).alias("large"))
+    small = held.where(F.col("m") <= SMALL).join(large, _NODE)
+    ordered = small.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id", "tag", "pos", "large"))).alias("es"))
+    need = lambda x, y: F.ceil(share * (x + y) / (100 + share))
+    near = lambda x, y: 100 * x["n"] >= share * y["n"]
+    fits = lambda x, y: (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need(x["n"], y["n"]))
+    later = lambda x, i: F.slice(F.col("es"), i + 2, F.size("es"))
+    pair = lambda x, y: F.struct(x["doc_id"].alias("a_id"), x["tag"].alias("a_tag"), y["doc_id"].alias("b_id"), y["tag"].alias("b_tag"), x["n"].alias("a_n"), y["n"].alias("b_n"), F.least(x["large"], y["large"]).alias("large"), fits(x, y).alias("fits"))
+    each = F.transform("es", lambda x, i: F.transform(F.filter(later(x, i), lambda y: near(x, y)), lambda y: pair(x, y)))
+    pairs = ordered.select(F.explode(F.flatten(each)).alias("p")).select("p.*").groupBy(*_ENDS, "a_n", "b_n", "large").agg(F.count("*").alias("c"), F.bool_or("fits").alias("fits")).where("fits")
+    # Of the two prefixes one ends first; all members it leaves may be common, and in the prefixes those counted here or in large buckets.
+    rest = lambda n: F.ceil(share * F.col(n) / 100) - 1
+    return pairs.where(F.col("c") + F.col("large") + F.greatest(rest("a_n"), rest("b_n")) >= need(F.col("a_n"), F.col("b_n"))).select(_ENDS)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs whose sets (doc_id, tag, members) link."""
+
+    @F.pandas_udf("boolean")
+    def check(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([linked(a, b, share) for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("tag").alias(f"{s}_tag"), F.col("members").alias(f"{s}_members"))
+    return pairs.join(side("a"), ["a_id", "a_tag"]).join(side("b"), ["b_id", "b_tag"]).where(check("a_members", "b_members")).select(_ENDS)
+
+
+def _exact_prefixes(sets: DataFrame, share: int) -> DataFrame:
+    """(doc_id, tag, n, prefix, skipped) of nodes by exact counts over these sets, rarest members first. Members of one
+    set only, the first so many (skipped) in the order, can't be common; a prefix of nothing else links with nobody."""
+    grams = sets.select(*_NODE, F.size("members").alias("n"), F.explode("members").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    repeated = grams.join(counts, "gram").groupBy(*_NODE, "n").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
+    skipped = (F.col("n") - F.size("g")).alias("skipped")
+    length = F.col("n") - F.ceil(share * F.col("n") / 100).cast("int") + 1
+    return repeated.select(*_NODE, "n", skipped, F.transform(F.slice("g", F.lit(1), F.greatest(length - (F.col("n") - F.size("g")), F.lit(0))), lambda x: x["gram"]).alias("prefix")).where(F.size("prefix") > 0)
+
+
+def _bucketed(entries: DataFrame) -> DataFrame:
+    """entries (gram, n, ...) of grams that two or more nodes hold, with the bucket's number of nodes (m) and of set members (total)."""
+    buckets = entries.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
+    return entries.join(buckets, "gram")
+
+
+def _large_buckets(held: DataFrame, prefixes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links of nodes that meet in large buckets. Each node is first verified against the bucket's first node: nodes linked to
+    it need no comparison among themselves. Those that aren't are compared, in chunk pairs of bounded size, with one
+    another and with the others, and only links that connect are returned."""
+    large = held.where(F.col("m") > SMALL)
+    first = large.groupBy("gram").agg(F.min(F.struct("doc_id", "tag", "n")).alias("first"))
+    large = large.join(first, "gram")
+    others = large.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))))
+    near = (100 * F.least("n", "first.n") >= share * F.greatest("n", "first.n"))
+    star = others.where(near).select(F.col("first.doc_id").alias("a_id"), F.col("first.tag").alias("a_tag"), F.col("doc_id").alias("b_id"), F.col("tag").alias("b_tag")).distinct()
+    star = stored(_verified(star, sets, share), "jaccard-star")
+    same = star.select(F.struct(F.col("a_id").alias("doc_id"), F.col("a_tag").alias("tag")).alias("_first"), F.col("b_id").alias("doc_id"), F.col("b_tag").alias("tag"), F.lit(True).alias("joined"))
+    flagged = others.withColumn("_first", F.struct("first.doc_id", "first.tag")).join(same, ["_first", *_NODE], "left").withColumn("apart", F.col("joined").isNull())
+    chunks = lambda which: F.greatest(F.ceil(F.count_if(which) / CHUNK_NODES), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / CHUNK_MEMBERS)).cast("int")
+    sizes = flagged.groupBy("gram").agg(chunks(F.col("apart")).alias("left"), chunks(~F.col("apart")).alias("right")).where("left > 0")
+    # Chunks of nodes apart are numbered first; each of the others meets only these.
+    own = F.pmod(F.xxhash64(*_NODE), F.when(F.col("apart"), F.col("left")).otherwise(F.col("right"))).cast("int") + F.when(F.col("apart"), 0).otherwise(F.col("left"))
+    partners = F.when(F.col("apart"), F.col("left") + F.col("right")).otherwise(F.col("left"))
+    dealt = flagged.join(sizes, "gram").withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    whole = prefixes.select(*_NODE, "prefix").join(sets, _NODE)
+    met = dealt.select("gram", "i", "j", *_NODE, "n", "pos", "place", "chunk").join(whole, _NODE)
+    found = met.groupBy("gram", "i", "j").applyInPandas(_within(share), "a_id long, a_tag long, b_id long, b_tag long")
+    return star.unionByName(found)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, share: int = 85) -> DataFrame:
     """Documents whose sets of word shingles link, directly or in a chain, when 100 * |A & B| >= share * |A | B|.
 
-    One row per input row: the id, ``n_shingles``, ``component_id`` (smallest id reachable, itself included) and
-    ``set`` (a digest of the set; null sets don't occur). Null or empty texts have no shingles and are
-    linked with nothing. Rows that repeat an id with other texts are separate nodes of that name; a component's
-    name is null only if all ids in it are.
-
-    The global order of shingles is by class of frequency in a sketch over all rows, rarest first, then
-    by hash: any order gives the same links, and this one keeps common passages out of prefixes. Buckets
-    of one prefix member over SMALL nodes are cut into chunks, and each pair of chunks is verified in one
-    task of bounded size that returns only links that connect, so neither rows nor tasks grow with the
-    square of a group. Shingles are compared by 52 bits of hash and their frequency class.
+    One row per input row: the id, ``n_shingles``, ``component_id`` (smallest id reachable, itself included), ``set`` (a
+    digest of the set; null sets don't occur), ``row_tag`` (a hash of the text) and ``component_tag`` (that of the row that
+    stands for the component, under the id component_id). Null or empty texts have no
+    shingles and are linked with nothing. Rows that repeat an id with other texts are separate nodes of that name; a
+    component's name is null only if all ids in it are.
+
+    The first level's order of shingles is by class of frequency in a sketch over all rows, rarest first, then by hash:
+    any order gives the same links. Pairs whose common prefix members are all in buckets over SMALL nodes are
+    pairs of nodes that hold such a member: these nodes' sets are counted exactly and joined again, by prefixes
+    that begin with the rarest members. Buckets that stay large are mostly groups of near copies, and cost a
+    comparison a node with the bucket's first one; the work grows with the square only in nodes of a bucket that
+    don't link to it. Shingles are compared by 64 bits of hash.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).cast("binary").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int64)
         for batch in slices(batches, most=8 << 20):
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
             counts += np.bincount((np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-            digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array([_tag(d) for d in digests], pa.int32()), pa.nulls(len(sets), pa.int32())], names=["doc_id", "n", "set", "tag", "counter"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([_digest(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32())], names=["doc_id", "tag", "n", "set", "counter"])
         used = np.flatnonzero(counts)
-        empty = [pa.nulls(len(used), t) for t in (pa.int32(), pa.binary(), pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(counts[used]), *empty, pa.array(used.astype(np.int32))], names=["doc_id", "n", "set", "tag", "counter"])
+        empty = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(counts[used]), *empty, pa.array(used.astype(np.int32))], names=["doc_id", "tag", "n", "set", "counter"])
 
-    described = stored(base.mapInArrow(describe, "doc_id long, n int, set binary, tag int, counter int"), "jaccard-sets")
+    described = stored(base.mapInArrow(describe, "doc_id long, tag long, n int, set binary, counter int"), "jaccard-sets")
     counts = np.zeros(SKETCH)
     for r in described.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("doc_id")).collect():  # SKETCH rows at most
         counts[r[0]] = r[1]
     rank = spark.sparkContext.broadcast(np.minimum(128 * np.log2(counts + 1), 4095).astype(np.uint64))
     rows = described.where("counter IS NULL").drop("counter")
-    # A distinct set's node is the smallest id that has it, with the set's tag.
-    nodes = stored(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag")), "jaccard-nodes")
+    # A distinct set's node is the smallest (id, tag) that has it.
+    nodes = stored(rows.where("n > 0").groupBy("set").agg(F.min(F.struct(*_NODE)).alias("node")).select("set", "node.*"), "jaccard-nodes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
-            ids, tags, sizes, keys = [], [], [], []
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
-                if len(s):
-                    keys.append(_ranked(s, rank.value)[: prefix_length(len(s), share)])
-                    ids.append(i)
-                    tags.append(_tag(_digest(s)))
-                    sizes.append(len(s))
-            if keys:
-                each = [len(k) for k in keys]
-                cols = [pa.array(np.repeat(np.array(x, dtype=t), each)) for x, t in ((ids, np.int64), (tags, np.int32), (sizes, np.int32))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in each])), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "tag", "n", "pos", "gram"])
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
+            grams = [_ranked(s, rank.value)[: prefix_length(len(s), share)].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "grams"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
-            seen = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), batch.column(2).to_pylist(), strict=True)
-            out = [(i, _tag(_digest(s)), _ranked(s, rank.value).tobytes()) for i, s, tags in seen if _tag(_digest(s)) in tags]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "tag", "members"])
-
-    node = ["doc_id", "tag"]
-    entries = base.mapInArrow(prefixes, "doc_id long, tag int, n int, pos int, gram long")
-    shared = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    held = stored(entries.join(shared, "gram").join(nodes.select(node), node, "left_semi").dropDuplicates(["gram", *node]), "jaccard-entries")
-    buckets = held.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
-    held = stored(held.join(buckets, "gram"), "jaccard-buckets")
-    large = held.groupBy(node).agg(F.count_if(F.col("m") > SMALL).alias("large"))
-    small = held.where(F.col("m") <= SMALL).join(large, node)
-
-    # Small buckets: pairs that pass the length filter, and the positional one in some bucket, once each with the number of buckets in common.
-    ordered = small.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id", "tag", "pos", "large"))).alias("es"))
-    need = lambda x, y: F.ceil(share * (x + y) / (100 + share))
-    near = lambda x, y: 100 * x["n"] >= share * y["n"]
-    fits = lambda x, y: (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need(x["n"], y["n"]))
-    later = lambda x, i: F.slice(F.col("es"), i + 2, F.size("es"))
-    ends = ["a_id", "a_tag", "b_id", "b_tag"]
-    pair = lambda x, y: F.struct(x["doc_id"].alias("a_id"), x["tag"].alias("a_tag"), y["doc_id"].alias("b_id"), y["tag"].alias("b_tag"), x["n"].alias("a_n"), y["n"].alias("b_n"), F.least(x["large"], y["large"]).alias("large"), fits(x, y).alias("fits"))
-    each = F.transform("es", lambda x, i: F.transform(F.filter(later(x, i), lambda y: near(x, y)), lambda y: pair(x, y)))
-    pairs = ordered.select(F.explode(F.flatten(each)).alias("p")).select("p.*").groupBy(*ends, "a_n", "b_n", "large").agg(F.count("*").alias("c"), F.bool_or("fits").alias("fits")).where("fits")
-    # Of the two prefixes one ends first; all members it leaves may be common, and in the prefixes those counted here or in large buckets.
-    rest = lambda n: F.ceil(share * F.col(n) / 100) - 1
-    pairs = stored(pairs.where(F.col("c") + F.col("large") + F.greatest(rest("a_n"), rest("b_n")) >= need(F.col("a_n"), F.col("b_n"))).select(ends), "jaccard-pairs")
-
-    # Only sets that are to be compared are made and moved.
-    of = lambda s: pairs.select(F.col(f"{s}_id").alias("doc_id"), F.col(f"{s}_tag").alias("tag"))
-    wanted = held.where(F.col("m") > SMALL).select(node).unionByName(of("a")).unionByName(of("b")).groupBy("doc_id").agg(F.collect_set("tag").alias("tags"))
-    sets = base.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "tags").mapInArrow(members, "doc_id long, tag int, members binary")
-    sets = stored(sets, "jaccard-members")
-
-    @F.pandas_udf("boolean")
-    def verified(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([linked(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), share) for a, b in zip(x, y, strict=True)], dtype=bool)
-
-    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("tag").alias(f"{s}_tag"), F.col("members").alias(f"{s}_members"))
-    few = pairs.join(side("a"), ["a_id", "a_tag"]).join(side("b"), ["b_id", "b_tag"]).where(verified("a_members", "b_members")).select(ends)
-
-    # Large buckets: pairs of chunks.
-    chunks = F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_MEMBERS)).cast("int")
-    dealt = held.where(F.col("m") > SMALL).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(*node), "chunks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    many = dealt.join(sets, node).select("gram", "i", "j", *node, "n", "pos", "chunk", "members").groupBy("gram", "i", "j").applyInPandas(_within(share), "a_id long, a_tag int, b_id long, b_tag int")
-
-    end = lambda s: F.struct(F.col(f"{s}_id").alias("doc_id"), F.col(f"{s}_tag").alias("tag")).alias(s)
-    roots = components(few.unionByName(many).select(end("a"), end("b")))
-    named = nodes.join(roots, F.struct("doc_id", "tag") == F.col("node"), "left").select("set", F.coalesce("root.doc_id", "doc_id").alias("component_id"))
+            sets = [np.sort(s.view(np.int64)) for s in shingle_sets(batch.column(2).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "tag", "members"])
+
+    # Only nodes' sets are worked on; rows alike in id and text are one node.
+    only = lambda df, keys, name: stored(df.join(keys.select(_NODE), _NODE, "left_semi").dropDuplicates(_NODE), name)
+    near = only(marked(base, nodes).mapInArrow(prefixes, "doc_id long, tag long, n int, grams array<long>"), nodes, "jaccard-prefixes")
+    held = stored(_bucketed(near.select(*_NODE, "n", F.posexplode("grams").alias("pos", "gram"))), "jaccard-buckets")
+    pairs = stored(_bucket_pairs(held, share), "jaccard-pairs")
+    crowded = stored(held.where(F.col("m") > SMALL).select(_NODE).distinct(), "jaccard-crowded")
+    end = lambda s: F.struct(F.col(f"{s}_id").alias("doc_id"), F.col(f"{s}_tag").alias("tag"))
+    asked = stored(crowded.unionByName(pairs.select(F.explode(F.array(end("a"), end("b"))).alias("e")).select("e.*")).distinct(), "jaccard-asked")
+    sets = only(marked(base, asked).mapInArrow(members, "doc_id long, tag long, members array<long>"), asked, "jaccard-members")
+
+    exact = stored(_exact_prefixes(sets.join(crowded, _NODE, "left_semi"), share), "jaccard-exact")
+    placed = exact.select(*_NODE, "n", "skipped", F.posexplode("prefix").alias("place", "gram")).withColumn("pos", F.col("skipped") + F.col("place"))
+    again = stored(_bucketed(placed), "jaccard-exact-buckets")
+    few = _verified(pairs.unionByName(_bucket_pairs(again, share)).distinct(), sets, share)
+    many = _large_buckets(again, exact, sets, share)
+
+    roots = components(few.unionByName(many).select(end("a").alias("a"), end("b").alias("b")))
+    named = nodes.join(roots, F.struct(*_NODE) == F.col("node"), "left").select("set", F.coalesce("root.doc_id", "doc_id").alias("component_id"), F.coalesce("root.tag", "tag").alias("component_tag"))
     real = lambda c: F.when(c != _NO_ID, c)
     return rows.join(named, "set", "left").select(
         real(F.col("doc_id")).alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         real(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"),
         F.col("set"),
+        F.col("tag").alias("row_tag"),
+        F.when(F.col("n") > 0, F.col("component_tag")).otherwise(F.col("tag")).alias("component_tag"),
     )
