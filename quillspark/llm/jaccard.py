@@ -138,7 +138,7 @@ def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def _within(share: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Links that connect two chunks of one bucket. A pair is left to the bucket of its first common prefix member."""
-        pdf = pdf.sort_values(["n", "doc_id", "tag"])
+        pdf = pdf.sort_values(["n", "node"])
         sets = list(pdf["members"])
         pos, n, chunk, (_, i, j) = pdf["pos"].to_numpy(), pdf["n"].to_numpy(), pdf["chunk"].to_numpy(), key
         before = [set(p[:k].tolist()) for p, k in zip(pdf["prefix"], pdf["place"], strict=True)]
@@ -154,60 +154,56 @@ def _within(share: int):
                 if forest.of[a] != forest.of[b] and before[a].isdisjoint(before[b]) and linked(sets[a], sets[b], share):
                     forest.join(a, b)
                     out.append((a, b))
-        ids, tags = pdf["doc_id"].to_numpy(), pdf["tag"].to_numpy()
+        ids = pdf["node"].to_numpy()
         x, y = (np.array([p[k] for p in out], dtype=int) for k in (0, 1))
-        return pd.DataFrame({"a_id": ids[x], "a_tag": tags[x], "b_id": ids[y], "b_tag": tags[y]})
+        return pd.DataFrame({"a": ids[x], "b": ids[y]})
 
     return run
 
 
-_ENDS = ["a_id", "a_tag", "b_id", "b_tag"]
-
-
 def _bucket_pairs(held: DataFrame, share: int) -> DataFrame:
-    """Pairs of nodes that meet in buckets of up to SMALL of held (gram, doc_id, tag, n, pos, m), each pair once: those that pass
+    """Pairs of nodes that meet in buckets of up to SMALL of held (gram, node, n, pos, m), each pair once: those that pass
     the length filter, in some bucket the positional one, and of which the common members can be enough."""
-    large = held.groupBy(_NODE).agg(F.count_if(F.col("m") > SMALL).alias("large"))
-    small = held.where(F.col("m") <= SMALL).join(large, _NODE)
-    ordered = small.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id", "tag", "pos", "large"))).alias("es"))
+    large = held.groupBy("node").agg(F.count_if(F.col("m") > SMALL).alias("large"))
+    small = held.where(F.col("m") <= SMALL).join(large, "node")
+    ordered = small.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", "node", "pos", "large"))).alias("es"))
     need = lambda x, y: F.ceil(share * (x + y) / (100 + share))
     near = lambda x, y: 100 * x["n"] >= share * y["n"]
     fits = lambda x, y: (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need(x["n"], y["n"]))
     later = lambda x, i: F.slice(F.col("es"), i + 2, F.size("es"))
-    pair = lambda x, y: F.struct(x["doc_id"].alias("a_id"), x["tag"].alias("a_tag"), y["doc_id"].alias("b_id"), y["tag"].alias("b_tag"), x["n"].alias("a_n"), y["n"].alias("b_n"), F.least(x["large"], y["large"]).alias("large"), fits(x, y).alias("fits"))
+    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("a_n"), y["n"].alias("b_n"), F.least(x["large"], y["large"]).alias("large"), fits(x, y).alias("fits"))
     each = F.transform("es", lambda x, i: F.transform(F.filter(later(x, i), lambda y: near(x, y)), lambda y: pair(x, y)))
-    pairs = ordered.select(F.explode(F.flatten(each)).alias("p")).select("p.*").groupBy(*_ENDS, "a_n", "b_n", "large").agg(F.count("*").alias("c"), F.bool_or("fits").alias("fits")).where("fits")
+    pairs = ordered.select(F.explode(F.flatten(each)).alias("p")).select("p.*").groupBy("a", "b", "a_n", "b_n", "large").agg(F.count("*").alias("c"), F.bool_or("fits").alias("fits")).where("fits")
     # Of the two prefixes one ends first; all members it leaves may be common, and in the prefixes those counted here or in large buckets.
     rest = lambda n: F.ceil(share * F.col(n) / 100) - 1
-    return pairs.where(F.col("c") + F.col("large") + F.greatest(rest("a_n"), rest("b_n")) >= need(F.col("a_n"), F.col("b_n"))).select(_ENDS)
+    return pairs.where(F.col("c") + F.col("large") + F.greatest(rest("a_n"), rest("b_n")) >= need(F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs whose sets (doc_id, tag, members) link."""
+    """The pairs whose sets (node, members) link."""
 
     @F.pandas_udf("boolean")
     def check(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([linked(a, b, share) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("tag").alias(f"{s}_tag"), F.col("members").alias(f"{s}_members"))
-    return pairs.join(side("a"), ["a_id", "a_tag"]).join(side("b"), ["b_id", "b_tag"]).where(check("a_members", "b_members")).select(_ENDS)
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("members").alias(f"{s}_members"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(check("a_members", "b_members")).select("a", "b")
 
 
 def _exact_prefixes(sets: DataFrame, share: int) -> DataFrame:
-    """(doc_id, tag, n, prefix, skipped) of nodes by exact counts over these sets, rarest members first. Members of one
+    """(node, n, prefix, skipped) of nodes by exact counts over these sets, rarest members first. Members of one
     set only, the first so many (skipped) in the order, can't be common; a prefix of nothing else links with nobody."""
-    grams = sets.select(*_NODE, F.size("members").alias("n"), F.explode("members").alias("gram"))
+    grams = sets.select("node", F.size("members").alias("n"), F.explode("members").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    repeated = grams.join(counts, "gram").groupBy(*_NODE, "n").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
+    repeated = grams.join(counts, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
     skipped = (F.col("n") - F.size("g")).alias("skipped")
     length = F.col("n") - F.ceil(share * F.col("n") / 100).cast("int") + 1
-    return repeated.select(*_NODE, "n", skipped, F.transform(F.slice("g", F.lit(1), F.greatest(length - (F.col("n") - F.size("g")), F.lit(0))), lambda x: x["gram"]).alias("prefix")).where(F.size("prefix") > 0)
+    return repeated.select("node", "n", skipped, F.transform(F.slice("g", F.lit(1), F.greatest(length - (F.col("n") - F.size("g")), F.lit(0))), lambda x: x["gram"]).alias("prefix")).where(F.size("prefix") > 0)
 
 
 def _bucketed(entries: DataFrame) -> DataFrame:
-    """entries (gram, n, ...) of grams that two or more nodes hold, with the bucket's number of nodes (m) and of set members (total)."""
-    buckets = entries.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
-    return entries.join(buckets, "gram")
+    """entries (gram, n, ...) of grams that two or more nodes hold, with the bucket's number of nodes (m)."""
+    return entries.join(entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")
 
 
 def _large_buckets(held: DataFrame, prefixes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -215,23 +211,22 @@ def _large_buckets(held: DataFrame, prefixes: DataFrame, sets: DataFrame, share:
     it need no comparison among themselves. Those that aren't are compared, in chunk pairs of bounded size, with one
     another and with the others, and only links that connect are returned."""
     large = held.where(F.col("m") > SMALL)
-    first = large.groupBy("gram").agg(F.min(F.struct("doc_id", "tag", "n")).alias("first"))
-    large = large.join(first, "gram")
-    others = large.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))))
-    near = (100 * F.least("n", "first.n") >= share * F.greatest("n", "first.n"))
-    star = others.where(near).select(F.col("first.doc_id").alias("a_id"), F.col("first.tag").alias("a_tag"), F.col("doc_id").alias("b_id"), F.col("tag").alias("b_tag")).distinct()
+    first = large.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"))
+    others = large.join(first, "gram").where("node <> first.node")
+    near = 100 * F.least("n", "first.n") >= share * F.greatest("n", "first.n")
+    star = others.where(near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     star = stored(_verified(star, sets, share), "jaccard-star")
-    same = star.select(F.struct(F.col("a_id").alias("doc_id"), F.col("a_tag").alias("tag")).alias("_first"), F.col("b_id").alias("doc_id"), F.col("b_tag").alias("tag"), F.lit(True).alias("joined"))
-    flagged = others.withColumn("_first", F.struct("first.doc_id", "first.tag")).join(same, ["_first", *_NODE], "left").withColumn("apart", F.col("joined").isNull())
+    same = star.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("joined"))
+    flagged = others.withColumn("hub", F.col("first.node")).join(same, ["hub", "node"], "left").withColumn("apart", F.col("joined").isNull())
     chunks = lambda which: F.greatest(F.ceil(F.count_if(which) / CHUNK_NODES), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / CHUNK_MEMBERS)).cast("int")
     sizes = flagged.groupBy("gram").agg(chunks(F.col("apart")).alias("left"), chunks(~F.col("apart")).alias("right")).where("left > 0")
     # Chunks of nodes apart are numbered first; each of the others meets only these.
-    own = F.pmod(F.xxhash64(*_NODE), F.when(F.col("apart"), F.col("left")).otherwise(F.col("right"))).cast("int") + F.when(F.col("apart"), 0).otherwise(F.col("left"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("apart"), F.col("left")).otherwise(F.col("right"))).cast("int") + F.when(F.col("apart"), 0).otherwise(F.col("left"))
     partners = F.when(F.col("apart"), F.col("left") + F.col("right")).otherwise(F.col("left"))
     dealt = flagged.join(sizes, "gram").withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    whole = prefixes.select(*_NODE, "prefix").join(sets, _NODE)
-    met = dealt.select("gram", "i", "j", *_NODE, "n", "pos", "place", "chunk").join(whole, _NODE)
-    found = met.groupBy("gram", "i", "j").applyInPandas(_within(share), "a_id long, a_tag long, b_id long, b_tag long")
+    whole = prefixes.select("node", "prefix").join(sets, "node")
+    met = dealt.select("gram", "i", "j", "node", "n", "pos", "place", "chunk").join(whole, "node")
+    found = met.groupBy("gram", "i", "j").applyInPandas(_within(share), "a long, b long")
     return star.unionByName(found)
 
 
@@ -270,8 +265,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         counts[r[0]] = r[1]
     rank = spark.sparkContext.broadcast(np.minimum(128 * np.log2(counts + 1), 4095).astype(np.uint64))
     rows = described.where("counter IS NULL").drop("counter")
-    # A distinct set's node is the smallest (id, tag) that has it.
-    nodes = stored(rows.where("n > 0").groupBy("set").agg(F.min(F.struct(*_NODE)).alias("node")).select("set", "node.*"), "jaccard-nodes")
+    # A distinct set is a node, with a number, and the smallest (id, tag) that has it.
+    nodes = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(*_NODE)).alias("x")).select("set", "x.*", F.monotonically_increasing_id().alias("node"))
+    nodes = stored(nodes, "jaccard-nodes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
@@ -285,23 +281,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "tag", "members"])
 
     # Only nodes' sets are worked on; rows alike in id and text are one node.
-    only = lambda df, keys, name: stored(df.join(keys.select(_NODE), _NODE, "left_semi").dropDuplicates(_NODE), name)
+    only = lambda df, keys, name: stored(df.join(keys.select(*_NODE, "node"), _NODE).dropDuplicates(_NODE).drop(*_NODE), name)
     near = only(marked(base, nodes).mapInArrow(prefixes, "doc_id long, tag long, n int, grams array<long>"), nodes, "jaccard-prefixes")
-    held = stored(_bucketed(near.select(*_NODE, "n", F.posexplode("grams").alias("pos", "gram"))), "jaccard-buckets")
+    held = stored(_bucketed(near.select("node", "n", F.posexplode("grams").alias("pos", "gram"))), "jaccard-buckets")
     pairs = stored(_bucket_pairs(held, share), "jaccard-pairs")
-    crowded = stored(held.where(F.col("m") > SMALL).select(_NODE).distinct(), "jaccard-crowded")
-    end = lambda s: F.struct(F.col(f"{s}_id").alias("doc_id"), F.col(f"{s}_tag").alias("tag"))
-    asked = stored(crowded.unionByName(pairs.select(F.explode(F.array(end("a"), end("b"))).alias("e")).select("e.*")).distinct(), "jaccard-asked")
+    crowded = stored(held.where(F.col("m") > SMALL).select("node").distinct(), "jaccard-crowded")
+    asked = stored(nodes.join(crowded.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node", "left_semi"), "jaccard-asked")
     sets = only(marked(base, asked).mapInArrow(members, "doc_id long, tag long, members array<long>"), asked, "jaccard-members")
 
-    exact = stored(_exact_prefixes(sets.join(crowded, _NODE, "left_semi"), share), "jaccard-exact")
-    placed = exact.select(*_NODE, "n", "skipped", F.posexplode("prefix").alias("place", "gram")).withColumn("pos", F.col("skipped") + F.col("place"))
+    exact = stored(_exact_prefixes(sets.join(crowded, "node", "left_semi"), share), "jaccard-exact")
+    placed = exact.select("node", "n", "skipped", F.posexplode("prefix").alias("place", "gram")).withColumn("pos", F.col("skipped") + F.col("place"))
     again = stored(_bucketed(placed), "jaccard-exact-buckets")
     few = _verified(pairs.unionByName(_bucket_pairs(again, share)).distinct(), sets, share)
     many = _large_buckets(again, exact, sets, share)
 
-    roots = components(few.unionByName(many).select(end("a").alias("a"), end("b").alias("b")))
-    named = nodes.join(roots, F.struct(*_NODE) == F.col("node"), "left").select("set", F.coalesce("root.doc_id", "doc_id").alias("component_id"), F.coalesce("root.tag", "tag").alias("component_tag"))
+    roots = components(few.unionByName(many)).withColumnRenamed("node", "number")
+    placed = nodes.join(roots, nodes["node"] == roots["number"], "left").withColumn("root", F.coalesce("root", nodes["node"]))
+    least = placed.groupBy("root").agg(F.min(F.struct(*_NODE)).alias("least")).withColumnRenamed("root", "_root")
+    named = placed.join(least, F.col("root") == F.col("_root")).select("set", F.col("least.doc_id").alias("component_id"), F.col("least.tag").alias("component_tag"))
     real = lambda c: F.when(c != _NO_ID, c)
     return rows.join(named, "set", "left").select(
         real(F.col("doc_id")).alias(id_col),
