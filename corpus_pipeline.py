@@ -34,10 +34,15 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest id stays; rows alike in id and text are one."""
+    """Of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest id stays, and of rows alike in id and text one.
+
+    Null ids are larger than others and of rows without an id the one of the least text hash stays. Texts without words are linked with nothing.
+    """
     found = jaccard.jaccard_components(docs, words=5, share=80)
-    keep = found.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return _columns(docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_tag") == F.col("component_tag"))).select(F.col("doc_id").alias("kept_id"), F.col("row_tag").alias("kept_tag")).distinct()
+    tagged = docs.withColumn("row_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row_tag") == F.col("kept_tag")), "left_semi").dropDuplicates(["doc_id", "row_tag"])
+    return _columns(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
