@@ -5,6 +5,10 @@ where all occurrences of it meet, with the training count of w. A bucket counts
 same pass, gives each document what does not depend on global figures: how many of its tokens
 continue a seen bigram, by count class, and which have to back off after which history. Discounts and
 backoff weights are then joined in, history by history, and summed per document.
+
+The model is a set of tables: unigrams, bigrams, and histories with their backoff weights. ``score_texts``
+evaluates any texts by joins with them, token by token: a bigram's own probability if it is there, else
+the history's weight times the word's.
 """
 
 from __future__ import annotations
@@ -15,12 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import arrow_rows, stored, text_of, white_words
+from .common import arrow_rows, slices, stored, text_of, white_words
 from .jaccard import _NO_ID, _mixed
 
 #: Counts up to K are discounted by Good-Turing, larger ones are trusted.
@@ -31,6 +38,8 @@ START, END = 0, 2
 FREQUENT = 1 << 18
 #: Words whose bigrams are counted before any shuffle, so no bucket gets "of the" of all texts.
 HOT = 1024
+#: Bytes of text that are dealt together, and folders of the stored tables.
+PART, FOLDERS = 4 << 20, 16
 #: Occurrences a bucket holds about.
 BUCKET = 1 << 20
 #: What a count over K gives up, so that every history leaves mass for backing off.
@@ -80,13 +89,14 @@ class Known:
     texts: int
     d1: np.ndarray
     free: float  # the unknown type's probability
+    scale: float  # what seen words keep; under 1 only where discounts leave nothing for the unknown type
     hot: np.ndarray  # places in keys of hot words, sorted by key
     hot_counts: np.ndarray  # training counts of pairs of START or hot words (rows) and hot words
 
     def p1(self, c: np.ndarray) -> np.ndarray:
         """Discounted unigram probability by training count; count 0 is the one unknown type, with all the mass that is left."""
         d = np.append(np.append(0.0, self.d1), 1.0)[np.minimum(c, K + 1).astype(np.int64)]
-        return np.where(c > 0, d * c / max(self.tokens, 1), self.free)
+        return np.where(c > 0, self.scale * d * c / max(self.tokens, 1), self.free)
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys among the frequent ones, -1 for others."""
@@ -96,7 +106,7 @@ class Known:
         return np.where(self.keys[at] == keys, at, -1)
 
 
-_OUT = "kind string, doc_id long, tag int, h long, n long, known long, k1 long, k2 long, k3 long, k4 long, k5 long, x double, y double, payload binary"
+_OUT = "kind string, doc_id long, tag long, h long, n long, known long, k1 long, k2 long, k3 long, k4 long, k5 long, x double, y double, payload binary"
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 
@@ -144,9 +154,8 @@ def _histories(h: np.ndarray, c2: np.ndarray, p1: np.ndarray) -> pd.DataFrame:
     return _frame("history", h=keys, n=np.bincount(g, big, len(keys)).astype(np.int64), known=np.bincount(g, np.where(big, c2, 0), len(keys)).astype(np.int64), x=np.bincount(g, p1, len(keys)), y=np.bincount(g, c2 == K + 1, len(keys)).astype(float), **_classes(g, len(keys), c2))
 
 
-#: Ids, tags and training marks of texts; rare words' keys; histories, words and texts of bigrams. And: histories, words, counts.
-_COUNTS = ("<i8", "<i8", "<i8")
-_PACKED = ("<i8", "<i4", "?", "<i8", "<i4", "<i4", "<i4")
+#: Ids, tags and training marks of texts; rare words' keys; histories, words and texts of bigrams.
+_PACKED = ("<i8", "<i8", "?", "<i8", "<i4", "<i4", "<i4")
 
 
 def _pack(arrays: list[np.ndarray], kinds: tuple[str, ...] = _PACKED) -> bytes:
@@ -166,7 +175,7 @@ def _unpack(data: bytes, kinds: tuple[str, ...] = _PACKED) -> list[np.ndarray]:
 
 def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
     """Settle the bigrams of hot words here; pack others for their buckets: of the word, if it is rare, else of the
-    history, and for hot histories of both."""
+    history, and for histories that may fill a good part of a bucket of both."""
     keys, place, d = _tokens(pdf["text"].tolist())
     ids, tags, train = pdf["doc_id"].to_numpy(), pdf["tag"].to_numpy(), ~pdf["held"].to_numpy().astype(bool)
     start, rare = len(known.keys), len(known.keys) + 1
@@ -187,19 +196,21 @@ def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
         out.append(_settle(known, ids, tags, train, d[both], key_of[hh], hh, known.counts[hw], known.hot_counts[row[hh], row[hw] - 1], np.zeros(len(hw), bool)))
     w, h, d = w[~both], h[~both], d[~both]
     mix = _mixed(key_of.view(np.uint64))
-    by = np.where(w >= rare, mix[w], np.where(is_hot[h], _mixed(mix[h] + mix[w]), mix[h]))
+    # A word outside the broadcast ones is no more frequent than the last of these.
+    least = known.counts.min(initial=0) if len(known.keys) == FREQUENT else 0
+    wide = np.concatenate([known.counts, [known.texts], np.full(len(keys), least)]) >= BUCKET // 16
+    by = np.where(w >= rare, mix[w], np.where(wide[h], _mixed(mix[h] + mix[w]), mix[h]))
     bucket = (by % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((h, w, bucket))
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    present, first = np.unique(bucket[order], return_index=True)
     rows = []
-    for b in range(buckets):
-        o = order[cut[b] : cut[b + 1]]
-        if len(o):
-            texts, dd = np.unique(d[o], return_inverse=True)
-            names, inv = np.unique(np.concatenate([h[o], w[o]]), return_inverse=True)
-            far = names >= rare
-            local = np.where(far, rare + np.cumsum(far) - 1, names).astype(np.int32)[inv]
-            rows.append((b, _pack([ids[texts], tags[texts], train[texts], key_of[names[far]], local[: len(o)], local[len(o) :], dd])))
+    for b, x, y in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        o = order[x:y]
+        texts, dd = np.unique(d[o], return_inverse=True)
+        names, inv = np.unique(np.concatenate([h[o], w[o]]), return_inverse=True)
+        far = names >= rare
+        local = np.where(far, rare + np.cumsum(far) - 1, names).astype(np.int32)[inv]
+        rows.append((b, _pack([ids[texts], tags[texts], train[texts], key_of[names[far]], local[: len(o)], local[len(o) :], dd])))
     settled = pd.concat(out)
     settled["bucket"] = settled["tag"] % buckets
     packed = _frame("bigrams", doc_id=np.zeros(len(rows), np.int64), payload=[r[1] for r in rows])
@@ -207,53 +218,50 @@ def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([settled, packed])
 
 
-def _meet(known: Known, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's bigrams: counted, settled for their texts, summed by history, and kept as a packed table. Rows settled before pass through."""
-    settled, pdf = pdf.loc[pdf["kind"] != "bigrams", _COLUMNS], pdf[pdf["kind"] == "bigrams"]
-    if not len(pdf):
-        return settled
-    parts = [dict(zip(("ids", "tags", "train", "rare", "h", "w", "d"), _unpack(x), strict=True)) for x in pdf["payload"]]
-    rare = len(known.keys) + 1
-    shift = np.cumsum([0] + [len(p["ids"]) for p in parts])
-    ids, tags, train = (np.concatenate([p[c] for p in parts]) for c in ("ids", "tags", "train"))
-    d = np.concatenate([p["d"] + s for p, s in zip(parts, shift, strict=False)])
-    fixed = np.append(known.keys, START)
-    h, w = (np.concatenate([np.append(fixed, p["rare"])[p[c]] for p in parts]) for c in "hw")
-    hc, wc = (np.concatenate([np.where(p[c] < rare, p[c], -1) for p in parts]) for c in "hw")
-    pair, first, inv = np.unique(_mixed(h.view(np.uint64) + _mixed(w.view(np.uint64))), return_index=True, return_inverse=True)
+def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
+    """A bucket's bigrams: counted, settled for their texts, summed by history, and listed with their training counts."""
+    fixed = len(known.keys)
+    ids, tags, train, far, h, w, d = [], [], [], [], [], [], []
+    texts, extra = 0, 0
+    for data in payloads:
+        i, t, on, keys, hs, ws, ds = _unpack(data)
+        shift = lambda c: np.where(c > fixed, c + np.int32(extra), c).astype(np.int32)  # noqa: B023, E731  # rare codes follow those of the parts before
+        for list_, x in ((ids, i), (tags, t), (train, on), (far, keys), (h, shift(hs)), (w, shift(ws)), (d, (ds + np.int32(texts)).astype(np.int32))):
+            list_.append(x)
+        texts, extra = texts + len(i), extra + len(keys)
+    ids, tags, train, far, h, w, d = (np.concatenate(x) for x in (ids, tags, train, far, h, w, d))
+    # Rare words of several parts get one code each.
+    own_keys, place = np.unique(far, return_inverse=True)
+    code = np.concatenate([np.arange(fixed + 1), fixed + 1 + place]).astype(np.int32)
+    key_of = np.concatenate([known.keys, [START], own_keys])
+    h, w = code[h], code[w]
+    pair, inv = np.unique(h.astype(np.int64) << 32 | w, return_inverse=True)
+    inv = inv.astype(np.int32)
     c2 = np.bincount(inv, train[d], len(pair)).astype(np.int64)
-    names, word = np.unique(w, return_inverse=True)
-    own = np.bincount(word, train[d], len(names)).astype(np.int64)  # a rare word's occurrences are all here
-    c1 = np.where(wc >= 0, np.append(known.counts, [0, 0])[wc], own[word])
-    seen = first[c2 > 0]
-    out = [settled, _settle(known, ids, tags, train, d, h, hc, c1, c2[inv], wc < 0), _histories(h[seen], c2[c2 > 0], known.p1(c1[seen]))]
-    out.append(_frame("counts", doc_id=np.zeros(1, np.int64), payload=[_pack([h[seen], w[seen], c2[c2 > 0]], _COUNTS)]))
-    return pd.concat(out)
+    pair_h, pair_w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+    rare_w = w > fixed  # a rare word's occurrences are all here
+    own = np.bincount(w[rare_w] - fixed - 1, train[d[rare_w]], len(own_keys)).astype(np.int64)
+    count_of = np.concatenate([known.counts, [0], own]).astype(np.int64)
+    seen = c2 > 0
+    yield _histories(key_of[pair_h[seen]], c2[seen], known.p1(count_of[pair_w[seen]]))
+    yield _frame("counts", h=key_of[pair_h[seen]], n=key_of[pair_w[seen]], known=c2[seen])
+    for x in np.array_split(np.argsort(d, kind="stable"), max(1, len(d) >> 18)):  # bounded frames; a text in two of them has two rows
+        hc = np.where(h[x] <= fixed, h[x], -1)
+        yield _settle(known, ids, tags, train, d[x], key_of[h[x]], hc, count_of[w[x]], c2[inv[x]], rare_w[x])
 
 
 @dataclass
 class Model:
-    """Tables of a fitted model: unigrams (w, c), histories (h, c, alpha), counts (packed bigram counts by bucket), and discounts."""
+    """Tables of a fitted model: unigrams (w, c), bigrams (h, w, c) and histories (h, c, alpha), and the discounts. Words are 64-bit keys."""
 
     unigrams: DataFrame
+    bigrams: DataFrame
     histories: DataFrame
-    counts: DataFrame
     known: Known
     d2: np.ndarray
     texts: DataFrame
 
 
-def bigram_counts(model: Model) -> DataFrame:
-    """(h, w, c) of every bigram seen in training, unpacked; hot words' are in Known.hot_counts."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpack(data, _COUNTS)], names=list("hwc"))
-
-    return model.counts.select("payload").mapInArrow(unpack, "h long, w long, c long")
-
-
 def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base-10 log probabilities of whole texts under a Katz bigram model of the texts that aren't held out.
 
@@ -262,7 +270,7 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     history leaves something to back off with. alpha(h) = (1 - sum of d c(hw) / c(h)) / (1 - sum of P(w)), over
     the w seen after h: all distributions over the training types and the unknown one sum to 1.
 
-    Returns per input row: the id, ``held_out``, ``n_tokens`` (words and the end), ``n_known``, ``train_tokens``, ``base_score``
+    The order is two. Returns per input row: the id, ``held_out``, ``n_tokens`` (words and the end), ``n_known``, ``train_tokens``, ``base_score``
     (add-one unigrams) and ``score``. Null and empty texts are an end alone. A null held_out is false. Rows alike in
     id and text are scored alike. Without training texts all mass is on the unknown type: scores are 0.
     """
@@ -276,11 +284,11 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"),
-        F.pmod(F.xxhash64(text_of(text_col)), F.lit((1 << 31) - 1)).cast("int").alias("tag"),
+        F.xxhash64(text_of(text_col)).alias("tag"),
         F.coalesce(held_out, F.lit(False)).alias("held"),
         text_of(text_col).cast("binary").alias("text"),
     )
-    train = base.where("not held").select("text")
+    train = base.where("not held").select("text", F.xxhash64("doc_id", "tag").alias("at"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +297,7 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(place, minlength=len(keys)))], names=["w", "c"])
 
     # Hot words are picked from about a hundredth of the texts: which words are hot changes no result, only where their bigrams are counted.
-    some = train.where(F.pmod(F.xxhash64("text"), F.lit(100)) == 0).mapInArrow(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    some = train.where(F.pmod("at", F.lit(100)) == 0).mapInArrow(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     hot_keys = np.unique(np.array([END, *(r[0] for r in some.orderBy(F.desc("c"), "w").limit(HOT).collect())], dtype=np.int64))
     size = len(hot_keys)
 
@@ -320,7 +328,9 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     pairs = np.zeros((size + 1) * size, dtype=np.int64)
     for r in counted.where("w is null").select("h", "c").toLocalIterator():  # HOT squared at most
         pairs[r[0]] = r[1]
-    known = Known(keys, counts, tokens, types, texts, d1, free if free > 0 else 0.5 / (tokens + 1), np.flatnonzero(np.isin(keys, hot_keys)), pairs.reshape(size + 1, size))
+    # Where no count is discounted, half a count is taken from all words for the unknown type.
+    scale = 1.0 if free > 1e-12 else 1 - 0.5 / (tokens + 1)
+    known = Known(keys, counts, tokens, types, texts, d1, free if free > 1e-12 else 1 - scale, scale, np.flatnonzero(np.isin(keys, hot_keys)), pairs.reshape(size + 1, size))
     if not tokens:
         known.hot, known.free = known.hot[:0], 1.0
 
@@ -331,13 +341,35 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for part in _batches(pdf):
+            for part in _batches(pdf, PART):
                 yield _deal(shared.value, buckets, part)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _meet(shared.value, pdf)
+    schema = to_arrow_schema(StructType.fromDDL(_OUT))
 
-    met = stored(base.mapInPandas(deal, _OUT + ", bucket long").groupBy("bucket").applyInPandas(meet, _OUT), "katz-bigrams", "kind")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket: packed ones are held until their bucket ends, settled ones pass."""
+
+        def ended(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for pdf in _meet(shared.value, held) if held else ():
+                if len(pdf):
+                    yield pa.RecordBatch.from_pandas(pdf, schema=schema, preserve_index=False)
+
+        at, held = None, []
+        for batch in batches:
+            is_packed = pc.equal(batch.column("kind"), "bigrams")
+            rest = batch.filter(pc.invert(is_packed))
+            if rest.num_rows:
+                yield rest.select(_COLUMNS).cast(schema)
+            packed = batch.filter(is_packed)
+            for b, data in zip(packed.column("bucket").to_pylist(), packed.column("payload").to_pylist(), strict=True):
+                if b != at:
+                    yield from ended(held)
+                    at, held = b, []
+                held.append(data)
+        yield from ended(held)
+
+    dealt = base.mapInPandas(deal, _OUT + ", bucket long").repartition("bucket").sortWithinPartitions("bucket")
+    met = stored(dealt.mapInArrow(meet, _OUT), "katz-bigrams", "kind")
     r, c = np.nonzero(known.hot_counts)
     hot_hist = _histories(np.append(START, hot_keys)[r], known.hot_counts[r, c], known.p1(_counts_of(known, hot_keys)[c]))
     hist = met.where("kind = 'history'").select("h", "n", "known", *_KS, "x", "y")
@@ -348,8 +380,12 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     d2 = good_turing({r: int(n[r - 1]) for r in range(1, K + 2)})
     plain = sum((r * F.col(f"k{r}") for r in range(1, K + 1)), F.col("known"))
     kept = sum((float(r * d2[r - 1]) * F.col(f"k{r}") for r in range(1, K + 1)), F.col("known") - TRUST * F.col("n"))
-    histories = stored(hist.select("h", plain.alias("c"), ((1 - kept / plain) / (1 - F.col("x"))).alias("alpha")), "katz-histories")
-    return Model(unigrams, histories, met.where("kind = 'counts'").select("payload"), known, d2, met.where("kind in ('row', 'text', 'back')").drop("payload"))
+    histories = hist.select("h", plain.alias("c"), ((1 - kept / plain) / (1 - F.col("x"))).alias("alpha"), F.pmod("h", F.lit(FOLDERS)).alias("folder"))
+    histories = stored(histories, "katz-histories", "folder").drop("folder")
+    bigrams = met.where("kind = 'counts'").select("h", F.col("n").alias("w"), F.col("known").alias("c"))
+    if len(r):  # HOT squared rows at most
+        bigrams = bigrams.unionByName(spark.createDataFrame(pd.DataFrame({"h": np.append(START, hot_keys)[r], "w": hot_keys[c], "c": known.hot_counts[r, c]})))
+    return Model(unigrams, bigrams, histories, known, d2, met.where("kind in ('row', 'text', 'back')").drop("payload"))
 
 
 _KS = [f"k{r}" for r in range(1, K + 1)]
@@ -388,3 +424,32 @@ def score(model: Model, id_col: str = "doc_id") -> DataFrame:
         (per("y") - tokens * float(np.log10(known.tokens + known.types + 1))).alias("base_score"),
         per("x").alias("score"),
     )
+
+
+def score_texts(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of any texts: the id, ``n_tokens``, ``n_known``, ``base_score`` and ``score``, from the model's tables alone.
+
+    Each token's bigram is looked up; one that isn't there takes its history's weight (1 for an unknown history)
+    times its word's probability. Rows as in katz_scores.
+    """
+    known, ids = model.known, docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).cast("binary").alias("text"))
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 20):
+            keys, place, d = _tokens(batch.column(2).to_pylist())
+            w = keys[place]
+            h = np.append(START, w[:-1])
+            h[np.append(True, d[1:] != d[:-1])] = START
+            cols = [batch.column(0).take(pa.array(d)), batch.column(1).take(pa.array(d)), pa.array(h), pa.array(w)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tag", "h", "w"])
+
+    asked = ids.dropDuplicates(["doc_id", "tag"]).mapInArrow(bigrams, "doc_id long, tag long, h long, w long").groupBy("doc_id", "tag", "h", "w").agg(F.count("*").alias("n"))
+    found = asked.join(model.bigrams.withColumnRenamed("c", "c2"), ["h", "w"], "left").join(model.histories.withColumnRenamed("c", "ch"), "h", "left").join(model.unigrams.withColumnRenamed("c", "c1"), "w", "left")
+    cut = lambda c, d: F.coalesce(*[F.when(c == r, float(d[r - 1] * r)) for r in range(1, K + 1)])
+    c1, c2 = F.col("c1"), F.col("c2")
+    p1 = F.when(c1.isNull(), known.free).otherwise(known.scale * F.coalesce(cut(c1, known.d1), c1.cast("double")) / max(known.tokens, 1))
+    p2 = F.coalesce(cut(c2, model.d2), c2 - TRUST) / F.col("ch")
+    token = F.when(c2.isNotNull(), F.log10(p2)).otherwise(F.log10(F.coalesce("alpha", F.lit(1.0))) + F.log10(p1))
+    base = F.log10(F.coalesce(c1, F.lit(0)) + 1.0) - float(np.log10(known.tokens + known.types + 1))
+    sums = found.groupBy("doc_id", "tag").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(c1.isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * base).alias("base_score"), F.sum(F.col("n") * token).alias("score"))
+    return ids.select("doc_id", "tag").join(sums, ["doc_id", "tag"]).select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias(id_col), "n_tokens", "n_known", "base_score", "score")

@@ -143,35 +143,79 @@ def test_jaccard(spark, some, monkeypatch, small):
     assert got == want
 
 
-def test_katz(spark, some):
+def good_turing(counts, k=5):
+    """Katz's discounts from a list of counts, and half a count off where they make no sense."""
+    n = [sum(c == r for c in counts) for r in range(1, k + 2)]
+    out = []
+    for r in range(1, k + 1):
+        d = None
+        if all(n) and (k + 1) * n[k] != n[0]:
+            common = (k + 1) * n[k] / n[0]
+            d = ((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common)
+        out.append(d if d is not None and 0 < d < 1 else 1 - 0.5 / r)
+    return lambda c: out[c - 1] * c if c <= k else c
+
+
+class BruteKatz:
+    def __init__(self, texts):
+        self.uni, self.bi, self.after = Counter(), Counter(), Counter()
+        for w in texts:
+            self.uni.update(w)
+            pairs = list(zip([b"", *w], w, strict=False))
+            self.bi.update(pairs)
+            self.after.update(a for a, _ in pairs)
+        self.n, self.v = sum(self.uni.values()), len(self.uni)
+        d1, d2 = good_turing(self.uni.values()), good_turing(self.bi.values())
+        left = 1 - sum(map(d1, self.uni.values())) / self.n
+        scale = 1 if left > 1e-12 else 1 - 0.5 / (self.n + 1)
+        self.free = left if left > 1e-12 else 0.5 / (self.n + 1)
+        self.p1 = lambda w: scale * d1(self.uni[w]) / self.n if self.uni[w] else self.free
+        self.seen = lambda c: d2(c) if c <= 5 else c - 0.01
+        mass, low = defaultdict(float), defaultdict(float)
+        for (h, w), c in self.bi.items():
+            mass[h] += self.seen(c) / self.after[h]
+            low[h] += self.p1(w)
+        self.alpha = lambda h: (1 - mass[h]) / (1 - low[h]) if self.after[h] else 1.0
+
+    def prob(self, h, w):
+        return self.seen(self.bi[h, w]) / self.after[h] if self.bi[h, w] else self.alpha(h) * self.p1(w)
+
+    def row(self, i, w):
+        base = sum(math.log10((self.uni[x] + 1) / (self.n + self.v + 1)) for x in w)
+        return i, len(w), sum(self.uni[x] > 0 for x in w), round(base, 6), round(sum(math.log10(self.prob(a, x)) for a, x in zip([b"", *w], w, strict=False)), 5)
+
+
+@pytest.mark.parametrize("kind", ["some", "no low counts", "small buckets"])
+def test_katz(spark, some, monkeypatch, kind):
+    if kind == "small buckets":
+        monkeypatch.setattr(katz, "BUCKET", 512)
+        monkeypatch.setattr(katz, "HOT", 3)
+        monkeypatch.setattr(katz, "FREQUENT", 20)
+        monkeypatch.setattr(katz, "PART", 2000)
+    rows = some if kind != "no low counts" else [(4 * i, "a b c a b") for i in range(9)] + [(1, "a b z c"), (5, None)]
     held = F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False))
-    got = katz.katz_scores(docs(spark, some), held).collect()
-    assert len(got) == len(some)
-    texts = [(i, [*white_words((t or "").encode()), b"\n"], bool(i is not None and i % 4 == 1)) for i, t in some]
-    uni, bi, after = Counter(), Counter(), Counter()
-    for _, w, h in texts:
-        if not h:
-            uni.update(w)
-            pairs = list(zip([b"", *w], w))
-            bi.update(pairs)
-            after.update(a for a, _ in pairs)
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = katz.good_turing(Counter(uni.values())), katz.good_turing(Counter(bi.values()))
-    cut = lambda c, d: d[c - 1] * c if c <= katz.K else c
-    free = 1 - sum(cut(c, d1) for c in uni.values()) / n
-    p1 = lambda w: cut(uni[w], d1) / n if uni[w] else free
-    mass, low = defaultdict(float), defaultdict(float)
-    seen = lambda c: d2[c - 1] * c if c <= katz.K else c - katz.TRUST
-    for (h, w), c in bi.items():
-        mass[h] += seen(c) / after[h]
-        low[h] += p1(w)
-    alpha = lambda h: (1 - mass[h]) / (1 - low[h]) if after[h] else 1.0
-    prob = lambda h, w: seen(bi[h, w]) / after[h] if bi[h, w] else alpha(h) * p1(w)
-    for h in list(after)[:20]:  # distributions sum to one
-        assert abs(sum(prob(h, w) for w in uni) + alpha(h) * free - 1) < 1e-9
-    want = Counter((i, h, len(w), sum(uni[x] > 0 for x in w), round(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), 6), round(sum(math.log10(prob(a, x)) for a, x in zip([b"", *w], w)), 5)) for i, w, h in texts)
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 5)) for r in got) == want
-    assert {r.train_tokens for r in got} == {n}
+    got = katz.katz_scores(docs(spark, rows), held).collect()
+    texts = [(i, [*white_words((t or "").encode()), b"\n"], bool(i is not None and i % 4 == 1)) for i, t in rows]
+    m = BruteKatz([w for _, w, h in texts if not h])
+    for h in list(m.after)[:20]:  # distributions sum to one
+        assert abs(sum(m.prob(h, w) for w in m.uni) + m.alpha(h) * m.free - 1) < 1e-9
+    rounded = lambda r: (r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 5))
+    assert Counter((*rounded(r), r.held_out) for r in got) == Counter((*m.row(i, w), h) for i, w, h in texts)
+    assert {r.train_tokens for r in got} == {m.n}
+    if kind == "some":  # the stored tables score other texts
+        model = katz.fit(docs(spark, rows), held)
+        assert model.bigrams.count() == len(m.bi) and model.unigrams.count() == m.v and model.histories.count() == len(m.after)
+        other = [(1, "al be never seen"), (1, "al be never seen"), (2, None), (None, "Ca  dé"), (3, rows[3][1])]
+        again = katz.score_texts(model, docs(spark, other)).collect()
+        assert Counter(map(rounded, again)) == Counter(m.row(i, [*white_words((t or "").encode()), b"\n"]) for i, t in other)
+
+
+def test_katz_tells_texts_of_one_id_apart(spark):
+    rows = [(None, f"word{k} and word{k % 7}") for k in range(3000)]
+    got = katz.katz_scores(docs(spark, rows), F.lit(False))
+    m = BruteKatz([[*white_words(t.encode()), b"\n"] for _, t in rows])
+    want = Counter(m.row(None, [*white_words(t.encode()), b"\n"])[3:] for _, t in rows)
+    assert Counter((round(r.base_score, 6), round(r.score, 5)) for r in got.collect()) == want
 
 
 def test_top_k(spark):
