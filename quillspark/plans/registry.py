@@ -276,34 +276,55 @@ def _replies(spark: SparkSession, sf: str) -> DataFrame:
 _REPLY = r"SELECT document_id, b, CASE WHEN trim(reply) = '' THEN 'empty_output' WHEN b IS NULL THEN 'no_json_found' WHEN NOT json_valid(b) THEN 'json_decode_error' END AS reason FROM (SELECT document_id, reply, nullif(regexp_extract(reply, '(?s)(\{.*\})', 1), '') AS b FROM ap_replies)"
 add("f11_parse_reply", _replies, f"SELECT document_id, reason, " + ", ".join(f"CASE WHEN reason IS NULL THEN json_extract_string(b, '$.{k}') END AS {k}" for k in ("invoice_number", "vendor_name", "total_amount")) + f" FROM ({_REPLY})", "ap_replies")
 add("q9_parse_robustness", lambda s, d: Q.parse_robustness(view(s, d, "ap_replies")), f"SELECT coalesce(reason, 'ok') AS outcome, count(*) AS replies FROM ({_REPLY}) GROUP BY 1", "ap_replies")
-add("f12_cer", lambda s, d: view(s, d, "ap_pairs").select("doc_id", F.round(text.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer")), "SELECT doc_id, round(levenshtein(reference, hypothesis) / length(reference), 6) AS cer FROM ap_pairs", "ap_pairs")
+#: The pairs of text_pairs in the other engine's SQL. Its levenshtein counts bytes: in a and b each letter outside ASCII that
+#: occurs is one control character instead, so that it counts letters.
+_LETTERS = "éóèñüçäöêßíÉÈÑÓÇÊÜÖÄÍ"
+_ONE_BYTE = lambda c: f"translate({c}, '{_LETTERS}', " + " || ".join(f"chr({k})" for k in (*range(1, 9), 11, 12, *range(14, 32))[: len(_LETTERS)]) + ")"
+_PAIRS_SQL = rf"""WITH cut AS MATERIALIZED (SELECT doc_id, unnest(parts) AS reference, generate_subscripts(parts, 1) - 1 AS pos FROM (SELECT doc_id, CASE WHEN text = '' OR text IS NULL THEN [text] ELSE regexp_extract_all(text, '([^\n]{{0,79}}\n|[^\n]{{1,80}})', 1) END AS parts FROM documents)),
+  ap_pairs AS MATERIALIZED (SELECT *, {_ONE_BYTE("coalesce(reference, '')")} AS a, {_ONE_BYTE("coalesce(hypothesis, '')")} AS b FROM (SELECT doc_id, pos, reference, CASE k % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'vlm' ELSE 'unknown' END AS tier, CASE k % 4 WHEN 0 THEN 'vendor_name' WHEN 1 THEN 'date' WHEN 2 THEN 'total_amount' ELSE 'invoice_number' END AS field_name,
+    CASE WHEN k % 13 = 0 THEN NULL WHEN k % 7 = 0 THEN substr(reference, 1, CAST(greatest(length(reference) - 1 - k % 9, 0) AS INT)) WHEN k % 5 = 0 THEN replace(reference, 'e', 'c') WHEN k % 11 = 0 THEN '' ELSE reference END AS hypothesis FROM (SELECT *, coalesce(doc_id, 0) + pos AS k FROM cut))) """
+
+
+def pairs(name: str, run: Query, sql: str) -> None:
+    """A query over all text pairs of whole documents."""
+    QUERIES[name], SQL[name] = run, _PAIRS_SQL + sql
+
+
+pairs("f12_cer", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer")), "SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(levenshtein(a, b) / CASE WHEN length(a) > 0 THEN length(a) ELSE greatest(length(b), 1) END, 6) AS cer FROM ap_pairs")
 add("f12_edit_ops", lambda s, d: text_pairs(s, d).withColumn("o", text.text_edit_ops(F.col("reference"), F.col("hypothesis"))).select("doc_id", "pos", "o.*"))
 add("f12_wer", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.wer(F.col("reference"), F.col("hypothesis")), 6).alias("wer")))
 _N = r"nullif(replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '(?i)(rs\.?|pkr|inr|usd|\$|€|£|/-)', '', 'g'), '\s+', ' ', 'g')), ',', ''), '')"
-_CLASS = f"CASE WHEN t IS NOT DISTINCT FROM p THEN 'exact' WHEN levenshtein(p, t) <= 2 THEN 'fuzzy' ELSE 'wrong' END"
-_BUCKETS = f"SELECT doc_id, field_name, {_CLASS} AS bucket FROM (SELECT *, {_N.format('hypothesis')} AS p, {_N.format('reference')} AS t FROM ap_pairs)"
-_TEXTUAL = "field_name IN ('vendor_name', 'date', 'invoice_number')"
-add("f13_match_class", lambda s, d: view(s, d, "ap_pairs").where(_TEXTUAL).select("doc_id", "field_name", text.match_class(F.col("hypothesis"), F.col("reference"), F.col("field_name")).alias("bucket")), f"SELECT * FROM ({_BUCKETS}) WHERE {_TEXTUAL}", "ap_pairs")
+_NUMBER = lambda c: rf"CASE WHEN regexp_matches({c}, '^[+-]?(\d+\.?\d*|\.\d+)$') THEN TRY_CAST({c} AS DECIMAL(38,6)) END"
+_BUCKETS = f"""SELECT doc_id, pos, doc_id || '_' || pos AS sample, field_name, CASE WHEN reference IS NULL AND hypothesis IS NULL THEN 'both_null' WHEN reference IS NULL THEN 'hallucination' WHEN hypothesis IS NULL THEN 'miss' WHEN t IS NOT DISTINCT FROM p THEN 'exact'
+  WHEN field_name = 'total_amount' AND abs({_NUMBER('p')} - {_NUMBER('t')}) <= 0.02 THEN 'numeric_ok' WHEN levenshtein({_ONE_BYTE('p')}, {_ONE_BYTE('t')}) <= 2 THEN 'fuzzy' ELSE 'wrong' END AS bucket FROM (SELECT *, {_N.format('hypothesis')} AS p, {_N.format('reference')} AS t FROM ap_pairs)"""
+pairs("f13_match_class", lambda s, d: text_pairs(s, d).select("doc_id", "pos", "field_name", text.match_class(F.col("hypothesis"), F.col("reference"), F.col("field_name")).alias("bucket")), f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, field_name, bucket FROM ({_BUCKETS})")
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "ap_pairs").where(_TEXTUAL)
-    return Q.align(p.select(F.col("doc_id").alias("sample"), F.col("field_name").alias("field"), F.col("hypothesis").alias("value")), p.select(F.col("doc_id").alias("sample"), F.col("field_name").alias("field"), F.col("reference").alias("value")))
-
-
-_PRF = f"SELECT field_name AS field, n_exact AS exact, 0 AS numeric_ok, fuzzy, wrong, 0 AS miss, 0 AS hallucination, 0 AS both_null, round((n_exact + fuzzy) / (n_exact + fuzzy + wrong), 3) AS precision, round((n_exact + fuzzy) / (n_exact + fuzzy + wrong), 3) AS recall, round((n_exact + fuzzy) / (n_exact + fuzzy + wrong), 3) AS f1 FROM (SELECT field_name, count(*) FILTER (bucket = 'exact') AS n_exact, count(*) FILTER (bucket = 'fuzzy') AS fuzzy, count(*) FILTER (bucket = 'wrong') AS wrong FROM ({_BUCKETS}) WHERE {_TEXTUAL} GROUP BY 1)"
-add("j7_align", _aligned, f"SELECT doc_id AS sample, field_name AS field, reference AS truth, hypothesis AS pred FROM ap_pairs WHERE {_TEXTUAL}", "ap_pairs")
-add("q5_field_prf", lambda s, d: Q.field_prf(_aligned(s, d)), _PRF, "ap_pairs")
-add("q6_field_verdicts", lambda s, d: Q.field_verdicts(Q.field_prf(_aligned(s, d))), f"SELECT field, f1, CASE WHEN f1 >= 0.8 THEN 'strong' WHEN f1 >= 0.5 THEN 'mid' ELSE 'weak' END AS verdict, CASE WHEN wrong > 0 THEN 'wrong' END AS dominant_failure FROM ({_PRF})", "ap_pairs")
-_CERS = "SELECT {0}, count(*) AS n, round(sum(levenshtein(reference, hypothesis)) / sum(length(reference)), 6) AS cer FROM ap_pairs {1} GROUP BY {0}"
-add("q1_corpus_cer", lambda s, d: Q.corpus_cer(view(s, d, "ap_pairs"), "tier"), _CERS.format("tier", ""), "ap_pairs")
-add("q2_error_rates", lambda s, d: Q.error_rates(view(s, d, "ap_pairs")).drop("wer"), "SELECT tier, field_name, count(*) AS n, round(sum(e) / sum(r), 6) AS cer, round(avg(e / greatest(r, h)), 6) AS norm_cer FROM (SELECT tier, field_name, levenshtein(reference, hypothesis) AS e, length(reference) AS r, length(hypothesis) AS h FROM ap_pairs) GROUP BY GROUPING SETS ((tier, field_name), (tier))", "ap_pairs")
-add("q3_field_error_rates", lambda s, d: Q.field_error_rates(view(s, d, "ap_pairs")), f"SELECT *, CASE WHEN cer < 0.02 THEN 'EXCELLENT' WHEN cer < 0.1 THEN 'AVERAGE' ELSE 'POOR' END AS band FROM ({_CERS.format('field_name', '')})", "ap_pairs")
-add("q4_tier_advantage", lambda s, d: Q.tier_advantage(view(s, d, "ap_pairs")), f"SELECT field_name, a.cer AS cer_a, b.cer AS cer_b, round((a.cer - b.cer) * 100, 2) AS points FROM ({_CERS.format('tier, field_name', '')}) a JOIN ({_CERS.format('tier, field_name', '')}) b USING (field_name) WHERE a.tier = 'local' AND b.tier = 'vlm'", "ap_pairs")
-_TOK = r"regexp_extract_all(lower({0}), '(\w+)', 1)"
-_F1 = f"SELECT doc_id, field_name, reference, hypothesis, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE coalesce(2.0 * list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda z: z = t)), len(list_filter(y, lambda z: z = t))))), 0) / (len(x) + len(y)) END AS f1 FROM (SELECT *, {_TOK.format('hypothesis')} AS x, {_TOK.format('reference')} AS y FROM ap_pairs)"
-add("f15_token_f1", lambda s, d: view(s, d, "ap_pairs").select("doc_id", F.round(text.token_f1(F.col("hypothesis"), F.col("reference")), 6).alias("f1")), f"SELECT doc_id, round(CAST(f1 AS DOUBLE), 6) AS f1 FROM ({_F1})", "ap_pairs")
-add("q7_exact_and_f1", lambda s, d: Q.exact_and_f1(_aligned(s, d)), rf"SELECT field_name AS field, count(*) AS n, round(avg(CAST(trim(regexp_replace(lower(hypothesis), '\s+', ' ', 'g')) = trim(regexp_replace(lower(reference), '\s+', ' ', 'g')) AS INTEGER)), 4) AS exact, round(CAST(avg(f1) AS DOUBLE), 4) AS token_f1 FROM ({_F1}) WHERE {_TEXTUAL} GROUP BY 1", "ap_pairs")
+    p = text_pairs(spark, sf).select(F.concat_ws("_", "doc_id", "pos").alias("sample"), F.col("field_name").alias("field"), "hypothesis", "reference")
+    return Q.align(p.where("hypothesis is not null").select("sample", "field", F.col("hypothesis").alias("value")), p.select("sample", "field", F.col("reference").alias("value")))
+
+
+_SAFE = lambda num, den: f"coalesce(({num}) / nullif({den}, 0), 0.0)"
+_PRF = f"""SELECT field, exact, numeric_ok, fuzzy, wrong, miss, hallucination, both_null, round(p, 3) AS precision, round(r, 3) AS recall, round({_SAFE('2 * p * r', 'p + r')}, 3) AS f1 FROM (SELECT *, {_SAFE('tp', 'tp + wrong + hallucination')} AS p, {_SAFE('tp', 'tp + miss + wrong')} AS r FROM (SELECT *, exact + numeric_ok + fuzzy AS tp FROM
+  (SELECT field_name AS field, {', '.join(f"count(*) FILTER (bucket = '{k}') AS {k}" for k in ('exact', 'numeric_ok', 'fuzzy', 'wrong', 'miss', 'hallucination', 'both_null'))} FROM ({_BUCKETS}) GROUP BY 1)))"""
+pairs("j7_align", _aligned, "SELECT doc_id || '_' || pos AS sample, field_name AS field, reference AS truth, hypothesis AS pred FROM ap_pairs")
+pairs("q5_field_prf", lambda s, d: Q.field_prf(_aligned(s, d)), _PRF)
+pairs("q6_field_verdicts", lambda s, d: Q.field_verdicts(Q.field_prf(_aligned(s, d))), f"SELECT field, f1, CASE WHEN f1 >= 0.8 THEN 'strong' WHEN f1 >= 0.5 THEN 'mid' ELSE 'weak' END AS verdict, CASE WHEN greatest(miss, wrong, hallucination) = 0 THEN NULL WHEN miss = greatest(miss, wrong, hallucination) THEN 'miss' WHEN wrong = greatest(miss, wrong, hallucination) THEN 'wrong' ELSE 'hallucination' END AS dominant_failure FROM ({_PRF})")
+_CERS = "SELECT {0}, count(*) AS n, round(sum(levenshtein(a, b)) / CASE WHEN sum(length(a)) > 0 THEN sum(length(a)) ELSE greatest(sum(length(b)), 1) END, 6) AS cer FROM ap_pairs {1} GROUP BY {0}"
+pairs("q1_corpus_cer", lambda s, d: Q.corpus_cer(text_pairs(s, d), "tier"), _CERS.format("tier", ""))
+add("q1_corpus_rates", lambda s, d: Q.corpus_rates(text_pairs(s, d), "tier"))
+pairs("q2_error_rates", lambda s, d: Q.error_rates(text_pairs(s, d)).drop("wer"), "SELECT tier, field_name, count(*) AS n, round(sum(e) / sum(r), 6) AS cer, round(avg(coalesce(e / nullif(greatest(r, h), 0), 0.0)), 6) AS norm_cer FROM (SELECT tier, field_name, levenshtein(a, b) AS e, length(a) AS r, length(b) AS h FROM ap_pairs) GROUP BY GROUPING SETS ((tier, field_name), (tier))")
+add("q2_error_rates_whole", lambda s, d: Q.error_rates(text_pairs(s, d)))
+_TIER_CER = f"SELECT max(cer) FILTER (tier = 'local') AS cer_a, max(cer) FILTER (tier = 'vlm') AS cer_b FROM ({_CERS.format('tier', '')})"
+pairs("q2_tier_verdict", lambda s, d: Q.tier_verdict(text_pairs(s, d)), f"SELECT cer_a, cer_b, round((cer_a - cer_b) * 100, 4) AS points, CASE WHEN round((cer_a - cer_b) * 100, 4) > 2 THEN 'second is better' WHEN round((cer_a - cer_b) * 100, 4) < -2 THEN 'second is worse' ELSE 'similar' END AS verdict FROM ({_TIER_CER})")
+pairs("q3_field_error_rates", lambda s, d: Q.field_error_rates(text_pairs(s, d)).drop("wer"), f"SELECT *, CASE WHEN cer < 0.02 THEN 'EXCELLENT' WHEN cer < 0.1 THEN 'AVERAGE' ELSE 'POOR' END AS band FROM (SELECT field_name, count(*) AS n, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(avg(coalesce(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 0.0)), 6) AS norm_cer FROM ap_pairs WHERE reference IS NOT NULL GROUP BY 1)")
+add("q3_field_error_rates_whole", lambda s, d: Q.field_error_rates(text_pairs(s, d)))
+pairs("q4_tier_advantage", lambda s, d: Q.tier_advantage(text_pairs(s, d)), f"SELECT field_name, a.cer AS cer_a, b.cer AS cer_b, round((a.cer - b.cer) * 100, 2) AS points FROM ({_CERS.format('tier, field_name', '')}) a JOIN ({_CERS.format('tier, field_name', '')}) b USING (field_name) WHERE a.tier = 'local' AND b.tier = 'vlm'")
+_TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '(\w+)', 1)"
+_F1 = f"SELECT *, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE coalesce(2.0 * list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda z: z = t)), len(list_filter(y, lambda z: z = t))))), 0) / (len(x) + len(y)) END AS f1 FROM (SELECT *, {_TOK.format('hypothesis')} AS x, {_TOK.format('reference')} AS y FROM ap_pairs)"
+pairs("f15_token_f1", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.token_f1(F.col("hypothesis"), F.col("reference")), 6).alias("f1")), f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(CAST(f1 AS DOUBLE), 6) AS f1 FROM ({_F1})")
+pairs("q7_exact_and_f1", lambda s, d: Q.exact_and_f1(_aligned(s, d)), rf"SELECT field_name AS field, count(*) AS n, round(avg(CAST(trim(regexp_replace(lower(coalesce(hypothesis, '')), '\s+', ' ', 'g')) = trim(regexp_replace(lower(reference), '\s+', ' ', 'g')) AS INTEGER)), 4) AS exact, round(CAST(avg(f1) AS DOUBLE), 4) AS token_f1 FROM ({_F1}) WHERE coalesce(reference, '') <> '' GROUP BY 1")
 _LAT = "SELECT *, row_number() OVER (PARTITION BY status ORDER BY file_size) - 1 AS r, count(*) OVER (PARTITION BY status) AS m FROM ap_documents"
 add("q8_latency_profile", lambda s, d: Q.latency_profile(view(s, d, "ap_documents"), "status", "file_size"), "SELECT status, count(*) AS n, min(file_size) AS min, " + ", ".join(f"min(file_size) FILTER (r = round_even({p} * (m - 1), 0)) AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + f", max(file_size) AS max, round(avg(file_size), 4) AS mean FROM ({_LAT}) GROUP BY status", "ap_documents")
 
@@ -316,29 +337,9 @@ def _items_check(spark: SparkSession, sf: str) -> DataFrame:
 
 add("q10_line_item_match", _items_check, "SELECT document_id AS id, CASE WHEN n % 2 = 0 THEN 'match' ELSE 'under' END AS count_match, CAST(CASE WHEN n % 2 = 0 THEN n ELSE n - 1 END AS INTEGER) AS matched, CAST(CASE WHEN n % 2 = 0 THEN n ELSE n - 1 END AS INTEGER) AS compared FROM (SELECT document_id, count(*) AS n FROM ap_line_items GROUP BY 1)", "ap_line_items")
 add("q11_field_coverage", lambda s, d: Q.field_coverage(view(s, d, "ap_fields").select(F.col("field_name").alias("field"), F.col("field_value").alias("value"))), "SELECT field_name AS field, count(*) AS n, count(*) FILTER (coalesce(field_value, '') <> '') AS present FROM ap_fields GROUP BY 1", "ap_fields")
-add("q12_worst_pairs", lambda s, d: Q.worst_pairs(view(s, d, "ap_pairs"), 20, "doc_id").select("doc_id", "cer"), "SELECT doc_id, round(levenshtein(reference, hypothesis) / length(reference), 6) AS cer FROM ap_pairs ORDER BY 2 DESC, 1 LIMIT 20", "ap_pairs")
-add("q12_failure_examples", lambda s, d: Q.failure_examples(_aligned(s, d)).select("sample", "field", "bucket", "rank"), f"SELECT doc_id AS sample, field_name AS field, bucket, CAST(row_number() OVER (PARTITION BY field_name ORDER BY doc_id) AS INTEGER) AS rank FROM ({_BUCKETS}) WHERE bucket = 'wrong' AND {_TEXTUAL} QUALIFY rank <= 3", "ap_pairs")
-
-
-def _aligned_whole(spark: SparkSession, sf: str) -> DataFrame:
-    p = text_pairs(spark, sf).select(F.concat_ws("_", "doc_id", "pos").alias("sample"), F.col("field_name").alias("field"), "hypothesis", "reference")
-    return Q.align(p.where("hypothesis is not null").select("sample", "field", F.col("hypothesis").alias("value")), p.select("sample", "field", F.col("reference").alias("value")))
-
-
-# Over whole texts of all documents and all fields. No SQL: the other engine's levenshtein counts bytes.
-add("f12_cer_whole", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer")))
-add("f13_match_class_whole", lambda s, d: text_pairs(s, d).select("doc_id", "pos", "field_name", text.match_class(F.col("hypothesis"), F.col("reference"), F.col("field_name")).alias("bucket")))
-add("f15_token_f1_whole", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.token_f1(F.col("hypothesis"), F.col("reference")), 6).alias("f1")))
-add("j7_align_whole", _aligned_whole)
-add("q1_corpus_cer_whole", lambda s, d: Q.corpus_cer(text_pairs(s, d), "tier"))
-add("q2_error_rates_whole", lambda s, d: Q.error_rates(text_pairs(s, d)))
-add("q3_field_error_rates_whole", lambda s, d: Q.field_error_rates(text_pairs(s, d)))
-add("q4_tier_advantage_whole", lambda s, d: Q.tier_advantage(text_pairs(s, d)))
-add("q5_field_prf_whole", lambda s, d: Q.field_prf(_aligned_whole(s, d)))
-add("q6_field_verdicts_whole", lambda s, d: Q.field_verdicts(Q.field_prf(_aligned_whole(s, d))))
-add("q7_exact_and_f1_whole", lambda s, d: Q.exact_and_f1(_aligned_whole(s, d)))
+pairs("q12_worst_pairs", lambda s, d: Q.worst_pairs(text_pairs(s, d), 20, "doc_id", "pos").select("doc_id", "pos", "cer"), "SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(levenshtein(a, b) / CASE WHEN length(a) > 0 THEN length(a) ELSE greatest(length(b), 1) END, 6) AS cer FROM ap_pairs ORDER BY 3 DESC, 1, 2 LIMIT 20")
 add("q12_worst_pairs_whole", lambda s, d: Q.worst_pairs(text_pairs(s, d), 20, "doc_id", "pos").select("doc_id", "pos", "cer", "ops"))
-add("q12_failure_examples_whole", lambda s, d: Q.failure_examples(_aligned_whole(s, d)).select("sample", "field", "bucket", "rank"))
+pairs("q12_failure_examples", lambda s, d: Q.failure_examples(_aligned(s, d)).select("sample", "field", "bucket", "rank"), f"SELECT sample, field_name AS field, bucket, CAST(row_number() OVER (PARTITION BY field_name ORDER BY sample) AS INTEGER) AS rank FROM ({_BUCKETS}) WHERE bucket IN ('wrong', 'miss', 'hallucination') QUALIFY rank <= 3")
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:

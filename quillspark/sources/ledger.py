@@ -104,13 +104,6 @@ VIEWS = {
               '{{"invoice_number": "INV-' || k || '", "date": "' || CAST(day AS STRING) || '", "vendor_name": ' || CASE WHEN k % 13 = 0 THEN 'null' ELSE '"' || vendor || '"' END || ', "subtotal": "' || CAST(subtotal AS STRING) || '", "tax": "' || CAST(tax AS STRING) || '", "total_amount": "' || CAST(CAST(subtotal + tax AS DECIMAL(18,2)) AS STRING) || '"}}' END
             || CASE WHEN k % 3 = 0 THEN chr(10) || '```' ELSE '' END END AS reply
         FROM {ap_invoices}""",
-    "ap_pairs": """
-        SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'vlm' ELSE 'unknown' END AS tier,
-          CASE doc_id % 4 WHEN 0 THEN 'vendor_name' WHEN 1 THEN 'date' WHEN 2 THEN 'total_amount' ELSE 'invoice_number' END AS field_name,
-          reference,
-          CASE WHEN doc_id % 7 = 0 THEN substr(reference, 1, CAST(length(reference) - 1 - doc_id % 9 AS INT)) WHEN doc_id % 5 = 0 THEN replace(reference, 'e', 'c') WHEN doc_id % 11 = 0 THEN '' ELSE reference END AS hypothesis
-        FROM (SELECT doc_id, substr(text, 1, CAST(60 + doc_id % 40 AS INT)) AS reference FROM {documents}) t
-        WHERE reference IS NOT NULL AND length(reference) >= 20 AND octet_length(encode(reference)) = length(reference)""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark")
 
@@ -119,11 +112,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A ledger view over the sales tables in sf_dir, or one of these tables."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(_spark(VIEWS[name]), **{t: view(spark, sf_dir, t) for t in _asked(name)})
-
-
-def _spark(sql: str) -> str:
-    return sql.replace("encode(reference)", "encode(reference, 'UTF-8')")
+    return spark.sql(VIEWS[name], **{t: view(spark, sf_dir, t) for t in _asked(name)})
 
 
 def _asked(name: str) -> list[str]:
@@ -150,7 +139,7 @@ def text_pairs(spark: SparkSession, sf_dir: str, width: int = 80) -> DataFrame:
     """Text pairs (doc_id, pos, tier, field_name, reference, hypothesis) of all documents, whatever their characters.
 
     A text is cut after line breaks and every ``width`` characters: its references, in order of pos, are the whole
-    text. Hypotheses are made as in ap_pairs, and some are null.
+    text. Hypotheses are references that are cut, have a letter replaced or are empty; some are null.
     """
     text = F.col("text")
     parts = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(rf"([^\n]{{0,{width - 1}}}\n|[^\n]{{1,{width}}})"), F.lit(1)))

@@ -77,7 +77,7 @@ def test_whole_texts_are_compared(spark):
     some = [r for r in rows if r.hypothesis is not None and (r.doc_id + r.pos) % 37 == 0]
     assert all((r.e, r.w) == (edits(r.reference, r.hypothesis), edits(r.reference.split(), r.hypothesis.split())) for r in some)
     assert QUERIES["f12_edit_ops"](spark, SF).agg(F.sum(F.col("c") + F.col("s") + F.col("d"))).first()[0] == sum(map(len, texts.values()))
-    assert sum(r.n for r in QUERIES["q1_corpus_cer_whole"](spark, SF).collect()) == len(rows)
+    assert sum(r.n for r in QUERIES["q1_corpus_cer"](spark, SF).collect()) == len(rows)
 
 
 def test_text_edit_ops(spark):
