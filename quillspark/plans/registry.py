@@ -14,7 +14,9 @@ from ..operators import layout as L
 from ..operators import quality as Q
 from ..operators import review as R
 from ..operators import stats as A
+from ..sources import files as S
 from ..sources.ledger import VIEWS, sales_ledger, text_pairs, view, view_sql
+from ..sources.shared import shared_folder
 from ..streaming import jobs as J
 from ..streaming.run import ran
 from . import verifier as V
@@ -232,6 +234,69 @@ add("j1_clean_documents_all", lambda s, d: D.clean_documents(sales_ledger(s, d))
 add("j2_correction_pairs_all", lambda s, d: D.correction_pairs(sales_ledger(s, d)), f"SELECT document_id, {_PAIR} FROM (SELECT f.*, coalesce(e.original_value, field_value) AS before FROM ap_fields f LEFT JOIN ({_EARLY}) e ON e.field_id = f.id WHERE f.document_id IN (SELECT document_id FROM ap_corrections)) GROUP BY document_id", "ap_fields", "ap_corrections")
 add("j3_correction_text_pairs_all", lambda s, d: D.correction_text_pairs(sales_ledger(s, d)), f"SELECT field_id, coalesce(fallback_tier, 'unknown') AS tier, field_name, original_value AS model_value, corrected_value AS human_value FROM ({_EARLY}) e JOIN (SELECT id AS field_id, field_name FROM ap_fields) f USING (field_id) JOIN ap_documents d ON d.id = e.document_id", *_ALL)
 
+# Files: what a job wrote to the shared folder is read back
+def _csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "csv")
+    S.write_csv(D.bi_line_items(sales_ledger(spark, sf)), path)
+    return spark.read.option("header", True).schema("document_id string, description string, quantity double, unit_price double, total double").csv(path)
+
+
+add("s6_csv_line_items", _csv, "SELECT document_id, description, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price, CAST(total AS DOUBLE) AS total FROM ap_line_items", "ap_line_items")
+
+
+def _labels_of_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """A label file for each supplier, as JSON or lines, and an image for most: written by tasks."""
+    path = shared_folder(spark, "receipts")
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    lines = F.concat(F.lit("Company\t"), name, F.lit("\nDATE: 1998-01-02\n total:"), k.cast("string"), F.lit("\nnote:\n"))
+    body = F.when(k % 2 == 0, F.to_json(F.struct(name.alias("company"), F.lit("1998-01-02").alias("Date"), k.cast("string").alias("total"), F.lit("").alias("note")))).otherwise(lines)
+    label, image = F.concat(F.lit("labels/s"), k.cast("string"), F.lit(".txt")), F.concat(F.lit("images/s"), k.cast("string"), F.lit(".png"))
+    files = view(spark, sf, "supplier").select(F.explode(F.array(F.struct(label.alias("name"), body.alias("body")), F.struct(F.when(k % 5 != 0, image).alias("name"), F.lit("x").alias("body")))).alias("f")).select("f.*").where("name is not null")
+    S.write_small_files(files, path)
+    got = S.read_receipt_labels(spark, f"{path}/images", f"{path}/labels")
+    return got.select("sample", *[F.try_element_at("fields", F.lit(c)).alias(c) for c in ("vendor_name", "date", "total_amount", "note")])
+
+
+add("s7_receipt_labels", _labels_of_suppliers, "SELECT 's' || s_suppkey AS sample, s_name AS vendor_name, '1998-01-02' AS date, CAST(s_suppkey AS VARCHAR) AS total_amount, CAST(NULL AS VARCHAR) AS note FROM supplier WHERE s_suppkey % 5 <> 0")
+
+
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    wide = D.invoice_wide(sales_ledger(spark, sf))
+    item = lambda x: F.struct(x["description"].alias("nm"), x["quantity"].alias("cnt"), x["unit_price"].alias("unitprice"), x["total"].alias("price"))
+    menu = F.when(F.size("items") == 1, F.to_json(item(F.get("items", F.lit(0))))).otherwise(F.to_json(F.transform("items", item)))
+    rest = F.to_json(F.struct(F.struct(F.col("subtotal").alias("subtotal_price"), F.col("tax").alias("tax_price")).alias("sub_total"), F.struct(F.col("total_amount").alias("total_price")).alias("total")))
+    truth = F.concat(F.lit('{"gt_parse": {"menu": '), F.coalesce(menu, F.lit("[]")), F.lit(", "), F.substring(rest, 2, 1 << 20), F.lit("}"))
+    got = S.parse_nested_truth(wide.select("document_id", truth.alias("ground_truth")))
+    return got.select("document_id", "subtotal", "tax", "total_amount", F.size("items").alias("n_items"), F.get("items", F.lit(0))["description"].alias("first_item"))
+
+
+add("s8_nested_truth", _nested, f"SELECT document_id, subtotal, tax, total_amount, coalesce(n_items, 0) AS n_items, first_item FROM ({_VALUES}) v LEFT JOIN (SELECT document_id, CAST(count(*) AS INTEGER) AS n_items, min_by(description, id) AS first_item FROM ap_line_items GROUP BY document_id) i USING (document_id)", "ap_fields", "ap_line_items")
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "log")
+    f = view(spark, sf, "ap_fields").where("i = 6")
+    at = F.concat(F.lit("2025-01-0"), (F.col("k") % 9 + 1).cast("string"))
+    entry = lambda when, text: f.select(when.alias("timestamp"), F.concat(F.lit("f"), (F.col("k") % 1000).cast("string")).alias("file"), F.create_map("field_name", "field_value").alias("fields"), text.alias("raw_text"))
+    entry(at, F.col("id")).unionByName(entry(F.lit("2024-12-31"), F.lit("old"))).write.json(path)
+    return S.read_prediction_log(spark, path).select("file", "timestamp", "raw_text", F.try_element_at("fields", F.lit("total_amount")).alias("total_amount"))
+
+
+add("s9_prediction_log", _log, "SELECT file, max(timestamp) AS timestamp, max_by(id, (timestamp, id)) AS raw_text, max_by(field_value, (timestamp, id)) AS total_amount FROM (SELECT '2025-01-0' || (k % 9 + 1) AS timestamp, 'f' || (k % 1000) AS file, id, field_value FROM ap_fields WHERE i = 6) GROUP BY file", "ap_fields")
+
+
+def _saved_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "thresholds")
+    learned = view(spark, sf, "ap_fields").where("status <> 'invalid' and confidence is not null").groupBy("field_name").agg(F.round(F.min("confidence") + 0.1, 4).alias("threshold"))
+    S.save_thresholds(learned.where("field_name <> 'date'"), f"{path}/now")
+    S.save_thresholds(learned, f"{path}/old", version=S.VERSION - 1)  # of another version: none of it is read
+    saved = S.load_thresholds(spark, f"{path}/now").unionByName(S.load_thresholds(spark, f"{path}/old"))
+    return R.review_queue(sales_ledger(spark, sf), saved).where("review").groupBy("field_name").agg(F.count("*").alias("reviewed"))
+
+
+add("s13_thresholds", _saved_thresholds, f"SELECT field_name, count(*) AS reviewed FROM (SELECT *, CASE field_name WHEN 'total_amount' THEN 5.0 WHEN 'invoice_number' THEN 4.0 WHEN 'date' THEN 3.0 WHEN 'vendor_name' THEN 2.0 ELSE 1.0 END AS w FROM ap_fields) f LEFT JOIN (SELECT field_name, round(min(confidence) + 0.1, 4) AS t FROM ap_fields WHERE status <> 'invalid' AND confidence IS NOT NULL AND field_name <> 'date' GROUP BY 1) l USING (field_name) WHERE status = 'invalid' OR confidence IS NULL OR confidence < greatest(coalesce(t, 0.5), least(0.99, 1 - 0.1 / w)) GROUP BY 1", "ap_fields")
+add("p8_reject", lambda s, d: D.reject(sales_ledger(s, d), view(s, d, "ap_documents").where("status = 'review_pending'").select(F.col("id").alias("document_id"), F.lit("blurred").alias("reason"))), "SELECT id, 'rejected' AS status, 'blurred' AS rejected_reason FROM ap_documents WHERE status = 'review_pending'", "ap_documents")
+
 # Row rules
 _CUR = "CASE WHEN regexp_matches({0}, '^-?\\d+(\\.\\d+)?$') THEN TRY_CAST({0} AS DECIMAL(38,6)) END"
 _BARE = "replace(field_value, '$', '')"
@@ -449,11 +514,23 @@ def _training_rows(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
 
 def _scored_documents(spark: SparkSession, sf: str) -> DataFrame:
     # The reference's rounds, step and negatives; depth 5 stands for its 31 leaves.
-    model = V.train_verifier(V.features(_training_rows(spark, sf, k=4), TODAY), rounds=200, step=0.05, depth=5)
+    model = V.train_verifier(V.features(_training_rows(spark, sf, k=4), TODAY))
     return V.score(V.features(_wide(spark, sf), TODAY), model).select("document_id", F.round("p", 6).alias("p"), "ok", "reason", F.array_join("top_features", ",").alias("top_features"))
 
 
 add("m14_verifier_scores", _scored_documents)
+
+
+def _verifier_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of a verifier that was trained, saved and loaded again."""
+    path = shared_folder(spark, "verifier")
+    V.save_verifier(V.train_verifier(V.features(_training_rows(spark, sf, k=4), TODAY)), spark, path)
+    card = V.load_verifier(spark, path)
+    rows = [*card.metrics.items(), ("threshold", card.threshold), *((f"recall of {k}", v) for k, v in sorted(card.recalls.items()))]
+    return spark.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
+
+
+add("m13_train_verifier", _verifier_report)
 add("m4_supplier_risk_ml", lambda s, d: V.supplier_risk_ml(A.supplier_metrics(sales_ledger(s, d))))
 add("f22_target_json", lambda s, d: V.target_json(_wide(s, d)).select("document_id", F.get_json_object("target", "$.vendor_name").alias("vendor_name"), F.get_json_object("target", "$.line_items[0].description").alias("first_item")), f"SELECT document_id, vendor_name, first_item FROM ({_VALUES}) v LEFT JOIN (SELECT document_id, min_by(description, id) AS first_item FROM ap_line_items GROUP BY 1) i USING (document_id)", "ap_fields", "ap_line_items")
 
@@ -481,3 +558,17 @@ def _stream_transitions(spark: SparkSession, sf: str) -> DataFrame:
 
 add("t3_stream_invalid_transitions", _stream_transitions, SQL["f19_invalid_transitions"])
 add("t3_stream_batch_progress", lambda s, d: ran(J.batch_progress(_documents_stream(s, d).where("batch_id is not null").select("batch_id", F.col("id").alias("document_id"), "status", F.col("k").alias("seq"))), "append"), f"SELECT batch_id, CASE WHEN failed > 0 THEN 'partial_failed' ELSE 'completed' END AS status FROM ({_BATCH}) WHERE uploaded + processing = 0", *_ALL)
+
+
+def _recalibrations(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections as they come: how many there are, and how many recalibrations they call for."""
+    path = shared_folder(spark, "corrections")
+    view(spark, sf, "ap_corrections").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    job = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    job.foreachBatch(J.recalibrate_every(10, lambda: None, f"{path}/counts")).start().awaitTermination()
+    n = J.corrections_seen(spark, f"{path}/counts", 1 << 62)
+    return spark.createDataFrame([(n, n // 10)], "corrections long, due long")
+
+
+add("t4_recalibrations", _recalibrations, "SELECT count(*) AS corrections, count(*) // 10 AS due FROM ap_corrections", "ap_corrections")

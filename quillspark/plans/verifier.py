@@ -241,8 +241,9 @@ def train_verifier(labelled: DataFrame, rounds: int = 200, step: float = 0.05, d
     """Boosted trees on the features; isotonic calibration, the best-F1 threshold and metrics on the validation rows."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     labelled = labelled.select("label", "weight", "validation", "operator", *FEATURES).persist()
-    train, held = labelled.where("not validation"), labelled.where("validation")
     n = labelled.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
+    # Each round is a few jobs over all rows: few rows need few tasks.
+    train, held = labelled.where("not validation").coalesce(max(1, n.n // 20_000)).persist(), labelled.where("validation")
     positive = (n.n - n.p) / max(n.p, 1)
     gbt = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, weightCol="w")
     model = gbt.fit(assembler.transform(train.withColumn("w", F.col("weight") * F.when(F.col("label") == 1, positive).otherwise(1.0))))
@@ -259,6 +260,7 @@ def train_verifier(labelled: DataFrame, rounds: int = 200, step: float = 0.05, d
     cal.unpersist()
     means = train.where("label = 1").agg(*[F.avg(f).alias(f) for f in FEATURES]).first().asDict()
     labelled.unpersist()
+    train.unpersist()
     return Verifier(pipeline, iso, float(t.threshold), {k: float(v or 0.0) for k, v in means.items()}, metrics=metrics, recalls=recalls)
 
 

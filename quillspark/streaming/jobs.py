@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,52 +30,81 @@ def confidence_drift(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return days.agg(F.round(F.avg(F.col("conf").cast("decimal(10,6)")), 3).cast("double").alias("avg_confidence"), F.count("*").alias("documents")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "avg_confidence", "documents")
 
 
-def invalid_transitions(stream: DataFrame) -> DataFrame:
-    """stream (key, ts, seq, status): steps that aren't allowed. The last status of each key is the state; events older than it are ignored."""
+def _timeout(kept_ms: int | None) -> str:
+    """State is kept for good where kept_ms is null: a run over what is available now would never end otherwise."""
+    return GroupStateTimeout.NoTimeout if kept_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def invalid_transitions(stream: DataFrame, kept_ms: int | None = None) -> DataFrame:
+    """stream (key, ts, seq, status): steps that aren't allowed, in the order of (ts, seq).
+
+    The state of a key is its last status and its place in that order; events at or before it are ignored. Keys that are
+    silent for kept_ms, if it is given, are forgotten. A micro-batch's events of one key are sorted in one task.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, at = state.get if state.exists else (None, -1)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, *at = state.get if state.exists else (None, -(1 << 62), -(1 << 62))
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         out = []
-        for seq, status in zip(rows["seq"], rows["status"], strict=True):
-            if seq <= at:
+        for ts, seq, status in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["seq"], rows["status"], strict=True):
+            if (int(ts), int(seq)) <= tuple(at):
                 continue
             if last is not None and status not in TRANSITIONS.get(last, ()):
                 out.append((key[0], int(seq), last, status))
-            last, at = status, int(seq)
-        state.update((last, at))
+            last, at = status, (int(ts), int(seq))
+        state.update((last, *at))
+        if kept_ms is not None:
+            state.setTimeoutDuration(kept_ms)
         yield pd.DataFrame(out, columns=["key", "seq", "before", "status"])
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key long, seq long, before string, status string", "status string, seq long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("key").applyInPandasWithState(run, "key long, seq long, before string, status string", "status string, ts long, seq long", "append", _timeout(kept_ms))
 
 
-def batch_progress(stream: DataFrame) -> DataFrame:
-    """stream (batch_id, document_id, status, seq): the newest status of each document is kept; a batch is given once it ends."""
+def batch_progress(stream: DataFrame, kept_ms: int | None = None) -> DataFrame:
+    """stream (batch_id, document_id, status, seq): the newest status of each document is kept until its batch ends, which gives the
+    batch; later events of it are ignored. Batches that are silent for kept_ms, if it is given, are forgotten."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         docs, ended = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, False)
         for pdf in batches:
             for d, s, q in zip(pdf["document_id"], pdf["status"], pdf["seq"], strict=True):
-                if q > docs.get(d, ["", -1])[1]:
+                if not ended and q > docs.get(d, ["", -1])[1]:
                     docs[d] = [s, int(q)]
         states = [s for s, _ in docs.values()]
         done = not ended and not any(s in ("uploaded", "processing") for s in states)
-        state.update((json.dumps(docs), bool(ended or done)))
+        state.update(("{}" if ended or done else json.dumps(docs), bool(ended or done)))
+        if kept_ms is not None:
+            state.setTimeoutDuration(kept_ms)
         yield pd.DataFrame([(key[0], "partial_failed" if "failed" in states else "completed")] if done else [], columns=["batch_id", "status"])
 
-    return stream.groupBy("batch_id").applyInPandasWithState(run, "batch_id string, status string", "docs string, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("batch_id").applyInPandasWithState(run, "batch_id string, status string", "docs string, ended boolean", "append", _timeout(kept_ms))
 
 
-def recalibrate_every(n: int, calibrate: Callable[[], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over corrections: calls calibrate each time another n have come."""
-    seen = {"count": 0, "done": 0}
+def recalibrate_every(n: int, calibrate: Callable[[], None], path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over corrections: calls calibrate each time another n have come.
 
-    def run(batch: DataFrame, _: int) -> None:
-        seen["count"] += batch.count()
-        if seen["count"] // n > seen["done"]:
-            seen["done"] = seen["count"] // n
+    Each micro-batch's number is a small table under path, by the batch's id: a restart goes on from there, and a batch
+    that is given again counts once.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        now, before = corrections_seen(batch.sparkSession, path, batch_id + 1), corrections_seen(batch.sparkSession, path, batch_id)
+        if now // n > before // n:
             calibrate()
 
     return run
+
+
+def corrections_seen(spark: SparkSession, path: str, below: int) -> int:
+    """Corrections of the micro-batches before this one."""
+    counts = spark.read.schema("n long, batch long").parquet(path).where(F.col("batch") < below)
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

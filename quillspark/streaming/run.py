@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 
+from ..sources.shared import shared_folder
+
 
 def ran(stream: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream after all available input: appended rows from a table in the shared folder, small complete results from memory."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    writer = stream.writeStream.option("checkpointLocation", f"{shared}/{name}-state").outputMode(mode).trigger(availableNow=True)
+    """The result of a stream after all available input, from a table in the shared folder: appended rows, or the last complete result."""
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
+    writer = stream.writeStream.option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", f"{shared}/{name}").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{shared}/{name}")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        spark.createDataFrame([], stream.schema).write.parquet(path)  # for a stream without any batch
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
