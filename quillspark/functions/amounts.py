@@ -11,7 +11,7 @@ EXACT = "decimal(38,6)"
 #: Formats of dates, first match wins, each with the shape that guards it.
 DATE_FORMATS = (
     ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"), ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"), ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"), ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"), ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"), ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"), ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
     ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"), ("d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$"),
     ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"), ("MMMM d, yyyy", r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$"),
 )

@@ -16,14 +16,30 @@ PATTERNS = {
     "tax": (rf"(?i)(?:tax|vat|gst|sales\s*tax)[^\n\r]{{0,60}}?{_AMT}",),
     "vendor_name": (r"(?im)^\s*(?:vendor|supplier|from)[:\s]+(.+?)$",),
 }
-#: Whole-block labels of each field.
+#: Whole-block labels of each field, in order.
 LABELS = {
-    "total_amount": r"(?i)^\s*(?:grand\s+total|invoice\s+total|total\s+due|total\s+payable|total\s+amount|amount\s+due|amount\s+paid|balance\s+due|total)\s*:?\s*$",
-    "subtotal": r"(?i)^\s*sub[-\s]?total\s*:?\s*$",
-    "tax": r"(?i)^\s*(?:sales\s*tax|vat|gst|tax)\s*:?\s*$",
-    "invoice_number": r"(?i)^\s*(?:invoice\s*(?:no\.?|number|#)\s*:?|(?:invoice|inv)\s*#)\s*$",
-    "date": r"(?i)^\s*(?:(?:invoice\s+)?date|due\s+date)\s*:?\s*$",
-    "vendor_name": r"(?i)^\s*(?:vendor|supplier|from|bill\s+from)\s*:?\s*$",
+    "total_amount": (
+        r"(?i)^\s*grand\s+total\s*:?\s*$",
+        r"(?i)^\s*invoice\s+total\s*:?\s*$",
+        r"(?i)^\s*total\s+due\s*:?\s*$",
+        r"(?i)^\s*total\s+payable\s*:?\s*$",
+        r"(?i)^\s*total\s+amount\s*:?\s*$",
+        r"(?i)^\s*amount\s+due\s*:?\s*$",
+        r"(?i)^\s*amount\s+paid\s*:?\s*$",
+        r"(?i)^\s*balance\s+due\s*:?\s*$",
+        r"(?i)^\s*total\s*:?\s*$",
+    ),
+    "subtotal": (r"(?i)^\s*sub[-\s]?total\s*:?\s*$",),
+    "tax": (r"(?i)^\s*(?:sales\s*tax|vat|gst|tax)\s*:?\s*$",),
+    "invoice_number": (
+        r"(?i)^\s*invoice\s*(?:no\.?|number|#)\s*:?\s*$",
+        r"(?i)^\s*(?:invoice|inv)\s*#\s*$",
+    ),
+    "date": (
+        r"(?i)^\s*(?:invoice\s+)?date\s*:?\s*$",
+        r"(?i)^\s*due\s+date\s*:?\s*$",
+    ),
+    "vendor_name": (r"(?i)^\s*(?:vendor|supplier|from|bill\s+from)\s*:?\s*$",),
 }
 VALUE_ONLY = (r"(?i)^\s*(?:\$|€|£)\s*([\d,]+(?:\.\d{1,2})?)\s*$", r"^\s*([\d,]+\.\d{1,2})\s*$")
 
@@ -38,7 +54,7 @@ def extract_fields(text: Column) -> dict[str, Column]:
 
 
 def block_label(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in LABELS.items()])
+    return F.coalesce(*[F.when(text.rlike(p), name) for name, ps in LABELS.items() for p in ps])
 
 
 def block_amount(text: Column) -> Column:
@@ -48,16 +64,28 @@ def block_amount(text: Column) -> Column:
 _NUM = r"([\d,]+\.\d{2})"
 #: The receipt patterns, in order, and words that no merchant's line holds.
 RECEIPT = {
-    "invoice_number": (r"(?i)Invoice\s*#\s*([A-Za-z0-9\-_/]+)", r"(?i)Invoice\s*No\.?\s*[:\-]?\s*([A-Za-z0-9\-_/]+)", r"(?i)Document\s*(?:No|Number)\s*[:\-]?\s*([A-Za-z0-9\-_/]+)", r"(?i)INV\s*#?\s*([A-Za-z0-9\-_/]+)"),
-    "date": (r"Date\s*[:\-]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"Date\s*[:\-]?\s*([A-Za-z]{3,9}\s*\d{1,2},?\s*\d{4})", r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"),
+    "invoice_number": (
+        r"(?i)Invoice\s*#\s*([A-Za-z0-9\-_/]+)",
+        r"(?i)Invoice\s*No\.?\s*[:\-]?\s*([A-Za-z0-9\-_/]+)",
+        r"(?i)INVOICE\s*NO\.?\s*[:\-]?\s*([A-Za-z0-9\-_/]+)",
+        r"(?i)Document\s*(?:No|Number)\s*[:\-]?\s*([A-Za-z0-9\-_/]+)",
+        r"(?i)INV\s*#?\s*([A-Za-z0-9\-_/]+)",
+    ),
+    "date": (
+        r"Date\s*[:\-]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+        r"Invoice\s*Date\s*[:\-]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+        r"Date\s*[:\-]?\s*([A-Za-z]{3,9}\s*\d{1,2},?\s*\d{4})",
+        r"Invoice\s*Date\s*[:\-]?\s*([A-Za-z]{3,9}\s*\d{1,2},?\s*\d{4})",
+        r"(\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b)",
+    ),
     "tax_amount": (rf"(?i)Tax\s*@\s*\d+%[:\-]?\s*{_NUM}", rf"(?i)GST[:\-]?\s*{_NUM}", rf"(?i)SST[:\-]?\s*{_NUM}", rf"(?i)Sales\s*Tax[:\-]?\s*{_NUM}"),
-    "subtotal": (rf"(?i)Sub\s*Total[:\-]?\s*{_NUM}",),
+    "subtotal": (rf"(?i)Sub\s*Total[:\-]?\s*{_NUM}", rf"(?i)Subtotal[:\-]?\s*{_NUM}"),
     "discount": (rf"(?i)Discount[:\-]?\s*{_NUM}",),
     "cash_tendered": (rf"(?i)Cash\s*Tendered[:\-]?\s*{_NUM}", rf"(?i)CASH[:\-]?\s*{_NUM}"),
     "change": (rf"(?i)Change[:\-]?\s*{_NUM}",),
 }
 TOTALS = (rf"(?i)Grand\s*Total\s*[:\-]?\s*{_NUM}", rf"(?i)Payable\s*[:\-]?\s*{_NUM}", rf"(?i)Total\s*Amount\s*[:\-]?\s*{_NUM}", rf"(?i)TOTAL\s*RM\s*{_NUM}", rf"(?i)Total\s*[:\-]?\s*{_NUM}")
-NOT_MERCHANT = "invoice|receipt|tax|bill|order|cash|total|date|tel|phone|www|http"
+NOT_MERCHANT = ("invoice", "receipt", "tax", "bill", "order", "cash", "total", "date", "tel", "phone", "www", "http")
 
 
 def extract_receipt(text: Column) -> dict[str, Column]:
@@ -65,6 +93,15 @@ def extract_receipt(text: Column) -> dict[str, Column]:
     first = lambda ps: F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ps])
     values = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double")) for p in TOTALS])
     lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), 1, 8)
-    name = lambda x: (F.char_length(x) >= 3) & ~(x.rlike(r"\d") & (F.char_length(x) < 6)) & ~F.lower(x).rlike(NOT_MERCHANT)
+    name = lambda x: (F.char_length(x) >= 3) & ~(x.rlike(r"\d") & (F.char_length(x) < 6)) & ~F.lower(x).rlike("|".join(NOT_MERCHANT))
     out = {n: first(ps) for n, ps in RECEIPT.items()}
     return {"merchant_name": F.get(F.filter(lines, name), F.lit(0)), "total_amount": F.format_string("%.2f", F.array_max(F.array_compact(values))), "currency": F.lit(None).cast("string"), **out}
+
+
+def extract_all(text: Column, given: dict[str, Column], paired: dict[str, Column]) -> dict[str, Column]:
+    """Each field by precedence: the given value, what stands by its label in the layout, then the patterns. Blank counts as none.
+
+    Amounts that are still missing are for operators.layout.triangulate, with these as known.
+    """
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return {name: F.coalesce(*[filled(d[name]) for d in (given, paired) if name in d], pattern) for name, pattern in extract_fields(text).items()}

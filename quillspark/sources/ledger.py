@@ -101,7 +101,7 @@ VIEWS = {
           CASE WHEN k % 31 = 0 THEN '' ELSE
             CASE WHEN k % 3 = 0 THEN '```json' || chr(10) ELSE 'Here it is: ' END
             || CASE WHEN k % 17 = 0 THEN '{{"invoice_number": "INV' ELSE
-              '{{"invoice_number": "INV-' || k || '", "date": "' || CAST(day AS STRING) || '", "vendor_name": ' || CASE WHEN k % 13 = 0 THEN 'null' ELSE '"' || vendor || '"' END || ', "subtotal": "' || CAST(subtotal AS STRING) || '", "tax": "' || CAST(tax AS STRING) || '", "total_amount": "' || CAST(CAST(subtotal + tax AS DECIMAL(18,2)) AS STRING) || '"}}' END
+              '{{"invoice_number": "INV-' || k || '", "date": "' || CAST(day AS STRING) || '", "vendor_name": ' || CASE WHEN k % 13 = 0 THEN 'null' ELSE '"' || vendor || '"' END || ', "subtotal": "' || CAST(subtotal AS STRING) || '", "tax": "' || CAST(tax AS STRING) || '", "total_amount": "' || CAST(CAST(subtotal + tax AS DECIMAL(18,2)) AS STRING) || '"' || CASE WHEN k % 2 = 0 THEN ', "line_items": [{{"description": "a", "total": "1.00"}}, {{"description": "b"}}]' ELSE '' END || '}}' END
             || CASE WHEN k % 3 = 0 THEN chr(10) || '```' ELSE '' END END AS reply
         FROM {ap_invoices}""",
 }
