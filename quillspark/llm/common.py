@@ -41,10 +41,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *partition_by: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, *partition_by: str, compression: str = "zstd", **options: str) -> DataFrame:
     """df written to a new table in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
+    df.write.options(compression=compression, **options).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, stored, text_of
+from .common import alnum_words, slices, stored, text_of
 
 Words = tuple[bytes, ...]
 
@@ -80,7 +80,7 @@ def _scan(docs: DataFrame, rows: list, n: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, searches = shared.value
         hit_type, item_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
-        for batch in batches:
+        for batch in slices(batches):
             n_words, hits, found = [], [], []
             for text, old, known in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items")), strict=True):
                 words = tuple(alnum_words(text))
@@ -97,25 +97,25 @@ def _scan(docs: DataFrame, rows: list, n: int) -> DataFrame:
     return docs.mapInArrow(scan, docs.schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, slice_bytes: int = 32 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, slice_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of documents inside any occurrence of a benchmark window, and whether they are too many.
 
     Returns per input row: the id, ``n_words``, ``hits`` (merged word spans, end exclusive), ``items``
     (ids as strings, sorted), ``n_hit``, ``n_items`` and ``contaminated``: n_hit > 0 and share * n_hit >= n_words;
     and the columns to ``keep``.
 
-    The search tables are broadcast in slices of at most ``slice_bytes`` of benchmark text, sized by a
-    count first; a larger benchmark takes one pass per slice, with the hits carried along in a stored
+    The search tables are broadcast in slices of about ``slice_bytes`` of benchmark text (as Python objects they take some 150
+    times that), sized by a count first; a larger benchmark takes one pass per slice, with the hits carried along in a stored
     table. Null or empty texts have no words and no hits; an empty benchmark finds nothing; repeated
     benchmark rows act as one and a null item id is named ''. Each input row is judged on its own.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_of(text_col).cast("binary").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-total // slice_bytes))
+    passes = max(1, -(-total // slice_bytes))
     out = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"), F.struct(F.lit(0).alias("_"), *keep).alias("held"))
-    for k in range(slices):
-        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).collect()
+    for k in range(passes):
+        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
         out = _scan(stored(out, "decontam-pass") if k else out, [tuple(r) for r in rows], window)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return (

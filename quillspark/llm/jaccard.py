@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_of, white_words
+from .common import arrow_rows, slices, stored, text_of, white_words
 
 #: Counters of the frequency sketch: fixed size, 2 MB when broadcast.
 SKETCH = 1 << 18
@@ -246,12 +246,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comparison a node with the bucket's first one; the work grows with the square only in nodes of a bucket that
     don't link to it. Shingles are compared by 64 bits of hash.
     """
+    with arrow_rows(docs.sparkSession, 1000):
+        return _components(docs, id_col, text_col, words, share)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, share: int) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).cast("binary").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int64)
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             counts += np.bincount((np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([_digest(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32())], names=["doc_id", "tag", "n", "set", "counter"])
@@ -270,13 +275,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stored(nodes, "jaccard-nodes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             grams = [_ranked(s, rank.value)[: prefix_length(len(s), share)].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "grams"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             sets = [np.sort(s.view(np.int64)) for s in shingle_sets(batch.column(2).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "tag", "members"])
 

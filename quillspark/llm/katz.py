@@ -369,7 +369,8 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         yield from ended(held)
 
     dealt = base.mapInPandas(deal, _OUT + ", bucket long").repartition("bucket").sortWithinPartitions("bucket")
-    met = stored(dealt.mapInArrow(meet, _OUT), "katz-bigrams", "kind")
+    # Words repeat, and dictionaries of their keys may be larger than usual before plain 8-byte keys take over.
+    met = stored(dealt.mapInArrow(meet, _OUT), "katz-bigrams", "kind", **{"parquet.dictionary.page.size": str(8 << 20)})
     r, c = np.nonzero(known.hot_counts)
     hot_hist = _histories(np.append(START, hot_keys)[r], known.hot_counts[r, c], known.p1(_counts_of(known, hot_keys)[c]))
     hist = met.where("kind = 'history'").select("h", "n", "known", *_KS, "x", "y")

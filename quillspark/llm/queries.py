@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, jaccard, katz, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
+from .common import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, payloads = warc.content_addressed(_table(spark, sf_dir, "pages"))
-    found = warc.read_warc(spark, warc.write_warc(spark, records, payloads), payload=False)
+    found = stored(warc.read_warc(spark, warc.write_warc(spark, records, payloads), payload=False).drop("header", "payload"), "warc-index")
+    if not warc.revisits_agree(found):
+        raise ValueError("a revisit and its response differ in payload")
     page = lambda c: F.regexp_extract(c, r"<urn:x-page:(-?\d+)>", 1).try_cast("long")
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 

@@ -94,7 +94,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Which rows is decided by the hash of their ids, on the labels table, so the sample's ids can be
     broadcast (a few hundred kB at most) and the documents aren't shuffled. Words' document counts per label are made by
     Spark over the sample; the ``vocabulary`` features with the largest G2 statistic, of ``least_g2`` at least,
-    and all identity terms are what the model may use. Null labels, ids and labels other than 0 and 1 are left out; without both
+    and all identity terms are what the model may use. Texts are used whole, null ones as empty. Rows that repeat an id are
+    all used, each with all of the id's labels: ids with both labels count once for each, rows of labels that repeat count once. Other
+    columns of docs and labels are never read. Null labels, ids and labels other than 0 and 1 are left out; without both
     labels the model is a constant, the share of positives (a half for no rows at all).
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
@@ -140,7 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the model's score of each whole text; null and empty texts score as the bias says."""
+    """docs with the model's score of each whole text, however long; null and empty texts score as the bias says.
+
+    Rows alike in text score alike. A column that is already called ``out`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -91,12 +93,17 @@ def content_addressed(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
 
 def rebuilt(records: DataFrame, payloads: DataFrame, parts: int = 0) -> DataFrame:
-    """Every record's original bytes (page_id, type, record): a response's header joined with its payload; a revisit has none."""
-    response = records.where("type = 'response'")
+    """Every record's original bytes (page_id, type, record): a response's header joined with its payload; a revisit has none.
+
+    With parts, responses and revisits are dealt to so many partitions each: responses by their payload, of which each
+    has few, and revisits, of which one payload may have very many, by page.
+    """
+    response, revisit = records.where("type = 'response'"), records.where("type <> 'response'")
     if parts:  # both sides are dealt once, for the join and for what follows
         response, payloads = response.repartition(parts, "key"), payloads.repartition(parts, "key")
+        revisit = revisit.repartition(parts, "page_id", "header")
     whole = response.join(payloads, "key").select("page_id", "type", F.concat(F.col("header").cast("binary"), _unpacked("packed")).alias("record"))
-    return whole.unionByName(records.where("type <> 'response'").select("page_id", "type", F.col("header").cast("binary").alias("record")))
+    return whole.unionByName(revisit.select("page_id", "type", F.col("header").cast("binary").alias("record")))
 
 
 def write_warc(spark: SparkSession, records: DataFrame, payloads: DataFrame, path: str | None = None, file_bytes: int = 16 << 20) -> str:
@@ -121,12 +128,18 @@ def _records(data: bytes) -> Iterator[tuple]:
         http = dict(x.split(b": ", 1) for x in data[end:body].split(b"\r\n")[1:] if x)
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError("a record doesn't end where its Content-Length says")
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(data[body:stop]).digest()).decode()
+        if head["WARC-Type"] == "response" and (digest != head["WARC-Payload-Digest"] or stop - body != int(http[b"Content-Length"])):
+            raise ValueError(f"the payload of {head['WARC-Record-ID']} isn't what its headers say")
         yield head["WARC-Record-ID"], head["WARC-Type"], head["WARC-Target-URI"], head.get("WARC-Refers-To"), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http[b"Content-Length"]), data[at:body], data[body:stop]
         at = stop + 4
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row per record of gzipped archives: headers parsed, exact header bytes, payload bytes (null if not asked for)."""
+    """One row per record of gzipped archives: headers parsed, exact header bytes, payload bytes (null if not asked for).
+
+    A response's payload is hashed and measured as it is read: one that isn't as its headers say fails the job.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,3 +151,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     schema = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, header binary, payload binary"
     # One file a task: a file is bounded when written.
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, schema)
+
+
+def revisits_agree(found: DataFrame) -> bool:
+    """Whether each revisit of read_warc's rows names a response of the same payload digest and size, which was checked on reading."""
+    asked = found.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    given = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    return asked.join(given, ["refers_to", "payload_digest", "payload_bytes"], "left_anti").isEmpty()

@@ -1,5 +1,6 @@
 """Training-data operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import decontam, jaccard, katz, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
+from quillspark.llm import decontam, jaccard, katz, linededup, pieces, queries, secrets, tokenbin, topk, toxicity, warc
 from quillspark.llm.common import alnum_words, white_words
 
 from ..conftest import SF
@@ -364,6 +365,155 @@ def test_encoder_equals_whole_texts():
         assert e.encode(pa.array([t]))[0].tobytes() == e.whole(t.encode())
 
 
+def brute_lines(rows, least=20, docs_least=3):
+    """Kept text by id (ids are distinct)."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders = defaultdict(set)
+    for i, t in rows.items():
+        for line in t.split("\n"):
+            holders[key(line)].add(i)
+    gone = {k: max(ids) for k, ids in holders.items() if len(k) >= least and len(ids) >= docs_least}
+    return {i: "\n".join(line for line in t.split("\n") if gone.get(key(line), i) == i) for i, t in rows.items()}
+
+
+def brute_near_copies(rows, k, share):
+    """The ids that stay: the smallest of each group."""
+    sets, root = {i: shingles(t, k) for i, t in rows.items()}, {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(i for i in rows if sets[i])
+    for x in range(len(ids)):
+        for y in ids[:x]:
+            a, b = sets[ids[x]], sets[y]
+            if 100 * len(a & b) >= share * len(a | b):
+                u, v = find(ids[x]), find(y)
+                root[max(u, v)] = min(u, v)
+    return {i for i in rows if find(i) == i}
+
+
+def brute_contaminated(text, windows, n=13):
+    w = alnum_words(text.encode())
+    hit = {p for k in range(len(w)) for size in range(1, n + 1) if tuple(w[k : k + size]) in windows for p in range(k, min(k + size, len(w)))}
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_against_brute_force(spark):
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    rows = {i: t for i, t in rows.items() if model.score(t.encode()) < 0.3}
+    rows = brute_lines(rows)
+    stay = brute_near_copies(rows, 5, 80)
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = alnum_words((r.text or "").encode())
+        windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} if w else set()
+    rows = {i: t for i, t in rows.items() if i in stay and not brute_contaminated(t, windows)}
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<i4") for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got.keys() == rows.keys() and 0 < len(rows) < 200
+    m = pieces.Pieces(P.path("piece_bpe_32k.model"))
+    for i, t in rows.items():
+        assert m.encode(pa.array([t]), 1)[0].tolist() == got[i].tolist() and m.decode(got[i]).tobytes().decode()[1:] == t
+
+
+def test_pipeline_edges(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label int, id string, row_hash int"
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, None), (2, ""), (None, long), (None, long + " and more"), (3, long + " and more"), (3, long), (4, "x" * 200000), (5, "short"), (5, "short"), (None, None), (None, None)]
+    made = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "k", 2) for i, t in rows], schema)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs_in, alone in ((made, False), (made.limit(0), True)):
+        df = docs_in
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = corpus_pipeline.stored(stage(spark, df, SF), "test-stage")
+            assert df.columns == columns
+        out = corpus_pipeline.STAGES[-1][1](spark, df, SF).collect()
+        assert (not out) if alone else Counter(r.doc_id for r in out) == Counter([1, 2, 3, 4, 5, None])
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, made, SF).collect()}
+    assert kept == {(1, None), (2, ""), (3, min((long, long + " and more"), key=lambda t: spark.sql("select xxhash64(:t) h", args={"t": t}).first().h)), (4, "x" * 200000), (5, "short"), (None, None)}
+
+
+def test_toxicity_on_tables(spark):
+    rng = random.Random(4)
+    plain = ["day", "sun", "tree", "walk", "book", "woman", "man"]
+    rows = [(i, " ".join(rng.choices(plain, k=8) + (["idiot"] if i % 3 == 0 else []))) for i in range(300)]
+    rows += [(None, "idiot sun"), (500, None), (501, ""), (7, "a second text of an id"), (502, "idiot " * 30000)]
+    schema = "doc_id long, text string, score string, label string, x binary"
+    table = spark.createDataFrame([(i, t, "s", "l", None) for i, t in rows], schema)
+    marks = [(i, int(i % 3 == 0), "m") for i in range(250)] + [(1, 1, "m"), (2, 0, "m"), (2, 0, "n"), (3, None, "m"), (None, 1, "m"), (4, 7, "m")]
+    labels = spark.createDataFrame(marks, "doc_id long, label int, text string")
+    model = toxicity.train(table, labels)
+
+    # The rows it was fitted on, by hand: each text of an id with each of the id's labels.
+    pairs = {(i, y) for i, y, _ in marks if i is not None and y in (0, 1)}
+    data = [(alnum_words((t or "").encode()), y) for i, t in rows for j, y in pairs if i == j]
+    counts = defaultdict(lambda: [0, 0])
+    for w, y in data:
+        for f in toxicity.features(w):
+            counts[f][y] += 1
+    n, n1 = len(data), sum(y for _, y in data)
+
+    def g2(a, b):
+        expect = ((a + b) * n1 / n, (a + b) * (n - n1) / n, (n - a - b) * n1 / n, (n - a - b) * (n - n1) / n)
+        return 2 * sum(o * math.log(o / e) for o, e in zip((a, b, n1 - a, n - n1 - b), expect, strict=True) if o)
+
+    chosen = {f for f, (b, a) in counts.items() if a + b > 1 and g2(a, b) >= 12}
+    assert set(model.vocabulary) == chosen | set(toxicity.SWAP)
+
+    # The loss is flat at the weights: its gradient, by hand.
+    place = {f: k for k, f in enumerate(model.vocabulary)}
+    x, x2 = np.zeros((n, len(place))), np.zeros((n, len(place)))
+    for k, (w, _) in enumerate(data):
+        x[k, [place[f] for f in toxicity.features(w) if f in place]] = 1
+        x2[k, [place[f] for f in toxicity.features(toxicity.swapped(w)) if f in place]] = 1
+    y, weights = np.array([y for _, y in data]), np.array(model.weights)
+    p = 1 / (1 + np.exp(-(x @ weights + model.bias)))
+    moved = (x != x2).any(axis=1)
+    gap = 2 * ((x - x2)[moved] * ((x - x2)[moved] @ weights)[:, None]).mean(axis=0)
+    assert np.abs(x.T @ (p - y) / n + weights / n + gap).max() < 1e-3 and abs((p - y).mean()) < 1e-3
+
+    got = toxicity.score(table, model)
+    assert got.columns == table.columns
+    want = Counter((i, round(model.score((t or "").encode()), 9)) for i, t in rows)
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got.collect()) == want
+    assert model.score(b"idiot sun") > 0.5 > model.score(b"sun tree") and abs(model.score(b"the woman") - model.score(b"the man")) < 0.02
+
+
+def test_toxicity_query(spark):
+    sf = SF.replace("sf0.001", "sf0.01")  # enough toxic rows for a held-out figure
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, sf).collect()}
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+    pos, neg = ([got[i].score for i, y in marks.items() if y == k and i in got and got[i].held_out] for k in (1, 0))
+    assert pos and np.mean([a > b for a in pos for b in neg]) > 0.9
+
+
+def test_long_texts_empty_benchmark_and_repeats(spark):
+    long = "\n".join(["a line of twenty characters or more"] * 3000 + ["password=abcdefghijkl0123"] * 2000)
+    rows = [(1, long), (2, "a line of twenty characters or more"), (3, "a line of twenty characters or more\nx"), (3, "y")]
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in decontam.find_contamination(docs(spark, rows), none).collect()} == {(0, 0, False)}
+    lines = {(r.doc_id, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert lines == {(1, 5000, 3000), (2, 1, 1), (3, 2, 0), (3, 1, 0)}
+    spans = {r.doc_id: len(r.spans) for r in secrets.find_secrets(docs(spark, [(1, long)])).collect()}
+    assert spans == {1: len(brute_spans(long))}
+    pages = spark.createDataFrame([(1, "u", "same", "k")] * 3 + [(k, f"u{k}", "same", "k") for k in range(2, 400)], "page_id long, url string, html string, key string")
+    records, payloads = warc.content_addressed(pages)
+    path = warc.write_warc(spark, records, payloads, file_bytes=16384)
+    found = warc.read_warc(spark, path)
+    assert Counter(r.record_type for r in found.collect()) == Counter({"response": 3, "revisit": 398}) and warc.revisits_agree(found)
+    # Revisits of one payload are in many files.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    assert sum(b"revisit" in gzip.decompress(bytes(f.content)) for f in files) > 4
+    assert not warc.revisits_agree(found.withColumn("payload_digest", F.when(F.col("record_type") == "revisit", "X").otherwise(F.col("payload_digest"))))
+
+
 def test_pipeline(spark):
     stages = {}
     df = spark.read.parquet(f"{SF}/documents.parquet")
