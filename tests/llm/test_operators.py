@@ -484,7 +484,7 @@ def test_toxicity_on_tables(spark):
 
 
 def test_toxicity_query(spark):
-    sf = SF.replace("sf0.001", "sf0.01")  # enough toxic rows for a held-out figure
+    sf = SF.replace("sf0.001", "sf0.1")  # enough toxic rows for a held-out figure
     got = {r.doc_id: r for r in queries.op8_toxicity(spark, sf).collect()}
     marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
