@@ -49,15 +49,21 @@ def stored(df: DataFrame, name: str, *partition_by: str, compression: str = "zst
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of at most so many rows for the jobs run inside: whole texts make the usual 10,000 rows too large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings for the jobs that are run inside."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """Batches of at most so many rows for the jobs run inside: whole texts make the usual 10,000 rows too large."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": rows})
 
 
 def text_of(col: str = "text") -> Column:

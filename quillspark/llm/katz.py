@@ -24,10 +24,8 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from .common import arrow_rows, slices, stored, text_of, white_words
+from .common import arrow_rows, settings, slices, stored, text_of, white_words
 from .jaccard import _NO_ID, _mixed
 
 #: Counts up to K are discounted by Good-Turing, larger ones are trusted.
@@ -110,6 +108,27 @@ _OUT = "kind string, doc_id long, tag long, h long, n long, known long, k1 long,
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 
+_KS = [f"k{r}" for r in range(1, K + 1)]
+#: The columns that rows of a kind use. Buckets' results are stored as few rows of arrays, so a million bigrams aren't a million rows on the way.
+_USED = {"row": ["doc_id", "tag", "n", "known"], "text": ["doc_id", "tag", "n", "known", *_KS, "x", "y"], "back": ["doc_id", "tag", "h", "n", "known"], "history": ["h", "n", "known", *_KS, "x", "y"], "counts": ["h", "n", "known"]}
+_ARRAYS = "kind string, " + ", ".join(f"{c} array<{t}>" for c, t in (x.split() for x in _OUT.split(", ")) if c not in ("kind", "payload"))
+_ARROW = pa.schema([("kind", pa.string()), *((c, pa.list_(pa.float64() if t == "double" else pa.int64())) for c, t in (x.split() for x in _OUT.split(", ")) if c not in ("kind", "payload"))])
+_TOGETHER = 1 << 16
+
+
+def _arrays(pdf: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+    """Rows of one or more kinds as rows of arrays."""
+    for kind, rows in pdf.groupby("kind", sort=False):
+        for at in range(0, len(rows), _TOGETHER):
+            part = rows.iloc[at : at + _TOGETHER]
+            cols = [pa.array([part[f.name].to_numpy()], f.type) if f.name in _USED[kind] else pa.nulls(1, f.type) for f in _ARROW if f.name != "kind"]
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), *cols], schema=_ARROW)
+
+
+def _rows(met: DataFrame, kind: str) -> DataFrame:
+    return met.where(F.col("kind") == kind).selectExpr(f"inline(arrays_zip({', '.join(_USED[kind])}))")
+
+
 def _frame(kind: str, **cols) -> pd.DataFrame:
     n = len(next(iter(cols.values())))
     out = pd.DataFrame({c: cols.get(c, np.zeros(n, np.int64) if c not in ("x", "y") else np.zeros(n)) for c in _COLUMNS if c not in ("kind", "payload")})
@@ -252,7 +271,10 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Model:
-    """Tables of a fitted model: unigrams (w, c), bigrams (h, w, c) and histories (h, c, alpha), and the discounts. Words are 64-bit keys."""
+    """Tables of a fitted model: unigrams (w, c), bigrams (h, w, c) and histories (h, c, alpha), and the discounts. Words are 64-bit keys.
+
+    ``texts`` has what the texts it was fitted with need to be scored without another lookup.
+    """
 
     unigrams: DataFrame
     bigrams: DataFrame
@@ -344,22 +366,19 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
             for part in _batches(pdf, PART):
                 yield _deal(shared.value, buckets, part)
 
-    schema = to_arrow_schema(StructType.fromDDL(_OUT))
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket: packed ones are held until their bucket ends, settled ones pass."""
 
         def ended(held: list[bytes]) -> Iterator[pa.RecordBatch]:
             for pdf in _meet(shared.value, held) if held else ():
-                if len(pdf):
-                    yield pa.RecordBatch.from_pandas(pdf, schema=schema, preserve_index=False)
+                yield from _arrays(pdf)
 
         at, held = None, []
         for batch in batches:
             is_packed = pc.equal(batch.column("kind"), "bigrams")
             rest = batch.filter(pc.invert(is_packed))
             if rest.num_rows:
-                yield rest.select(_COLUMNS).cast(schema)
+                yield from _arrays(rest.to_pandas())
             packed = batch.filter(is_packed)
             for b, data in zip(packed.column("bucket").to_pylist(), packed.column("payload").to_pylist(), strict=True):
                 if b != at:
@@ -369,11 +388,12 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         yield from ended(held)
 
     dealt = base.mapInPandas(deal, _OUT + ", bucket long").repartition("bucket").sortWithinPartitions("bucket")
-    # Words repeat, and dictionaries of their keys may be larger than usual before plain 8-byte keys take over.
-    met = stored(dealt.mapInArrow(meet, _OUT), "katz-bigrams", "kind", **{"parquet.dictionary.page.size": str(8 << 20)})
+    # Words repeat, and dictionaries of their keys may be larger than usual before plain 8-byte keys take over; a writer for each kind spares a sort.
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": len(_USED)}):
+        met = stored(dealt.mapInArrow(meet, _ARRAYS), "katz-bigrams", "kind", **{"parquet.dictionary.page.size": str(4 << 20), "parquet.block.size": str(16 << 20)})
     r, c = np.nonzero(known.hot_counts)
     hot_hist = _histories(np.append(START, hot_keys)[r], known.hot_counts[r, c], known.p1(_counts_of(known, hot_keys)[c]))
-    hist = met.where("kind = 'history'").select("h", "n", "known", *_KS, "x", "y")
+    hist = _rows(met, "history")
     if len(hot_hist):
         hist = hist.unionByName(spark.createDataFrame(hot_hist[["h", "n", "known", *_KS, "x", "y"]]))
     hist = stored(hist.groupBy("h").agg(*[F.sum(k).alias(k) for k in ("n", "known", *_KS, "x", "y")]), "katz-history-sums")
@@ -383,13 +403,10 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     kept = sum((float(r * d2[r - 1]) * F.col(f"k{r}") for r in range(1, K + 1)), F.col("known") - TRUST * F.col("n"))
     histories = hist.select("h", plain.alias("c"), ((1 - kept / plain) / (1 - F.col("x"))).alias("alpha"), F.pmod("h", F.lit(FOLDERS)).alias("folder"))
     histories = stored(histories, "katz-histories", "folder").drop("folder")
-    bigrams = met.where("kind = 'counts'").select("h", F.col("n").alias("w"), F.col("known").alias("c"))
+    bigrams = _rows(met, "counts").select("h", F.col("n").alias("w"), F.col("known").alias("c"))
     if len(r):  # HOT squared rows at most
         bigrams = bigrams.unionByName(spark.createDataFrame(pd.DataFrame({"h": np.append(START, hot_keys)[r], "w": hot_keys[c], "c": known.hot_counts[r, c]})))
-    return Model(unigrams, bigrams, histories, known, d2, met.where("kind in ('row', 'text', 'back')").drop("payload"))
-
-
-_KS = [f"k{r}" for r in range(1, K + 1)]
+    return Model(unigrams, bigrams, histories, known, d2, met)
 
 
 def _counts_of(known: Known, keys: np.ndarray) -> np.ndarray:
@@ -402,14 +419,14 @@ def score(model: Model, id_col: str = "doc_id") -> DataFrame:
     rows, known = model.texts, model.known
     text = ["doc_id", "tag"]
     # log10 alpha(h) of each token that backs off; a rare history's count for those that don't.
-    asked = rows.where("kind = 'back'").select(*text, "h", "n", "known").join(model.histories, "h", "left")
+    asked = _rows(rows, "back").join(model.histories, "h", "left")
     backed = asked.select(*text, (F.col("n") * F.log10(F.coalesce("alpha", F.lit(1.0))) - F.col("known") * F.log10(F.coalesce("c", F.lit(1)))).alias("x"))
     zero = [F.lit(0).cast("long").alias(c) for c in ("n", "known", "held", "copies")]
     discounts = sum((F.col(f"k{r}") * float(np.log10(model.d2[r - 1])) for r in range(1, K + 1)), F.col("x"))
     sums = (
-        rows.where("kind = 'text'").select(*text, discounts.alias("x"), "y", "n", "known", *zero[2:])
+        _rows(rows, "text").select(*text, discounts.alias("x"), "y", "n", "known", *zero[2:])
         .unionByName(backed.select(*text, "x", F.lit(0.0).alias("y"), *zero))
-        .unionByName(rows.where("kind = 'row'").select(*text, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), *zero[:2], F.col("n").alias("held"), F.col("known").alias("copies")))
+        .unionByName(_rows(rows, "row").select(*text, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), *zero[:2], F.col("n").alias("held"), F.col("known").alias("copies")))
         .groupBy(*text)
         .agg(*[F.sum(c).alias(c) for c in ("x", "y", "n", "known", "held", "copies")])
     )
