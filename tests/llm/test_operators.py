@@ -494,6 +494,28 @@ def test_toxicity_query(spark):
     assert pos and np.mean([a > b for a in pos for b in neg]) > 0.9
 
 
+def test_penalty_spares_neutral_mentions():
+    """Where insults and mentions of a group go together in the labels, the penalty keeps neutral mentions from being rejected."""
+    rng = random.Random(1)
+    plain, groups = ["day", "sun", "tree", "walk", "book", "road", "green", "table", "river", "stone"], ["woman", "muslim", "gay"]
+
+    def text(y):
+        w = rng.choices(plain, k=6)
+        w += [rng.choice(groups)] if rng.random() < (0.7 if y else 0.1) else [rng.choice(["man", "christian", "straight"])] if rng.random() < 0.2 else []
+        return w + ([rng.choice(["idiot", "fool", "scum"])] if y and rng.random() < 0.7 else [])
+
+    rows = [([w.encode() for w in text(y)], y) for y in (rng.random() < 0.3 for _ in range(2000))]
+    vocab = sorted({f for w, _ in rows for f in toxicity.features(w)} | set(toxicity.SWAP))
+    place = {w: i for i, w in enumerate(vocab)}
+    ids = lambda ws: np.array(sorted(place[f] for f in toxicity.features(ws) & place.keys()), "<i4")
+    data = [(ids(w), ids(toxicity.swapped(w)), int(y)) for w, y in rows]
+    neutral = [" ".join([*rng.choices(plain, k=6), rng.choice(groups)]).encode() for _ in range(300)]
+    rejected = lambda m: np.mean([m.score(t) >= 0.3 for t in neutral])
+    plain_model, fair = toxicity.fit(data, vocab, gap=0.0), toxicity.fit(data, vocab, gap=1.0)
+    assert rejected(plain_model) > 0.9 and rejected(fair) < 0.35
+    assert all(m.score(b"sun tree idiot") > 0.5 for m in (plain_model, fair))
+
+
 def test_long_texts_empty_benchmark_and_repeats(spark):
     long = "\n".join(["a line of twenty characters or more"] * 3000 + ["password=abcdefghijkl0123"] * 2000)
     rows = [(1, long), (2, "a line of twenty characters or more"), (3, "a line of twenty characters or more\nx"), (3, "y")]
