@@ -66,6 +66,21 @@ def arrow_rows(spark: SparkSession, rows: int):
     return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": rows})
 
 
+#: Bits of a mark of keys: 2,048 rows of 4 kB at most when broadcast.
+MARK_BITS, _ROW_BITS = 1 << 26, 1 << 15
+
+
+def flagged(rows: DataFrame, keys: DataFrame, cols: list[str], name: str) -> DataFrame:
+    """rows with a column that is true where the key in cols is among the keys, and for a few others: keys are one bit each in a
+    bitmap of fixed size, which is broadcast. So it may only save work."""
+    bit = F.pmod(F.xxhash64(*cols), F.lit(MARK_BITS))
+    where = lambda df: df.withColumns({"_row": (bit / _ROW_BITS).cast("int"), "_bit": (bit % _ROW_BITS).cast("int")})
+    bits = where(keys).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = where(rows).join(F.broadcast(bits), "_row", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
+    return held.select(*rows.columns, F.expr("(_byte >> (_bit % 8)) & 1 = 1").alias(name))
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, stored, text_of, white_words
+from .common import arrow_rows, flagged, slices, stored, text_of, white_words
 
 #: Counters of the frequency sketch: fixed size, 2 MB when broadcast.
 SKETCH = 1 << 18
@@ -26,8 +26,6 @@ SKETCH = 1 << 18
 _NO_ID = (1 << 63) - 1
 #: Buckets of up to so many nodes give pairs; of larger ones, nodes not linked to the bucket's first are cut into chunks of about so many nodes or set members.
 SMALL, CHUNK_NODES, CHUNK_MEMBERS = 64, 256, 200_000
-#: Bits of the mark of node keys: 2,048 rows of 4 kB at most when broadcast. It only saves work: what it lets through is joined exactly.
-MARK_BITS, _ROW_BITS = 1 << 26, 1 << 15
 _NODE = ["doc_id", "tag"]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
@@ -126,13 +124,8 @@ class Forest:
 
 
 def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose (doc_id, tag) is among the keys, and a few more: keys are one bit each in a bitmap of fixed size."""
-    bit = F.pmod(F.xxhash64(*_NODE), F.lit(MARK_BITS))
-    where = lambda df: df.withColumns({"_row": (bit / _ROW_BITS).cast("int"), "_bit": (bit % _ROW_BITS).cast("int")})
-    bits = where(keys).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = where(rows).join(F.broadcast(bits), "_row").withColumn("_byte", byte)
-    return held.where("(_byte >> (_bit % 8)) & 1 = 1").select(rows.columns)
+    """The rows whose (doc_id, tag) is among the keys, and a few more, which exact joins drop later."""
+    return flagged(rows, keys, _NODE, "_marked").where("_marked").drop("_marked")
 
 
 def _within(share: int):

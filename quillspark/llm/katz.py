@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, settings, slices, stored, text_of, white_words
+from .common import arrow_rows, flagged, settings, slices, stored, text_of, white_words
 from .jaccard import _NO_ID, _mixed
 
 #: Counts up to K are discounted by Good-Turing, larger ones are trusted.
@@ -110,10 +110,10 @@ _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 _KS = [f"k{r}" for r in range(1, K + 1)]
 #: The columns that rows of a kind use. Buckets' results are stored as few rows of arrays, so a million bigrams aren't a million rows on the way.
-_USED = {"row": ["doc_id", "tag", "n", "known"], "text": ["doc_id", "tag", "n", "known", *_KS, "x", "y"], "back": ["doc_id", "tag", "h", "n", "known"], "history": ["h", "n", "known", *_KS, "x", "y"], "counts": ["h", "n", "known"]}
+_USED = {"row": ["doc_id", "tag", "n", "known", "k1", "k2", "y"], "text": ["doc_id", "tag", "known", *_KS, "x", "y"], "back": ["doc_id", "tag", "h", "n", "known"], "history": ["h", "n", "known", *_KS, "x", "y"], "counts": ["h", "n", "known"]}
 _ARRAYS = "kind string, " + ", ".join(f"{c} array<{t}>" for c, t in (x.split() for x in _OUT.split(", ")) if c not in ("kind", "payload"))
 _ARROW = pa.schema([("kind", pa.string()), *((c, pa.list_(pa.float64() if t == "double" else pa.int64())) for c, t in (x.split() for x in _OUT.split(", ")) if c not in ("kind", "payload"))])
-_TOGETHER = 1 << 16
+_TOGETHER = 1 << 12
 
 
 def _arrays(pdf: pd.DataFrame) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def _settle(known: Known, ids: np.ndarray, tags: np.ndarray, train: np.ndarray,
     """What each text gets from tokens with known counts.
 
     d: the token's text; h, hc: its history's key and frequent code (-1: rare); c1, c2: training counts of word
-    and bigram. Row kinds: ``text`` has sums for a text; ``back`` has a held-out text's tokens whose history's
+    and bigram. Row kinds: ``text`` has sums for a text (of known words and base scores only for rare words: others' are in its ``row``); ``back`` has a held-out text's tokens whose history's
     figures are still unknown: n of them back off, known of them are seen after a rare history.
     """
     size, seen, held = len(ids), c2 > 0, ~train[d]
@@ -155,8 +155,8 @@ def _settle(known: Known, ids: np.ndarray, tags: np.ndarray, train: np.ndarray,
     x -= np.where(rare_w & train[d], np.log10(np.maximum(c1, 1)), 0.0)
     low = np.where(seen, c2, 0)
     used = np.flatnonzero(np.bincount(d, minlength=size))
-    sums = {c: np.bincount(d, w, size)[used] for c, w in (("x", x), ("y", np.log10(c1 + 1.0)), ("known", c1 > 0))}
-    out = [_frame("text", doc_id=ids[used], tag=tags[used], n=np.bincount(d, minlength=size)[used], known=sums["known"].astype(np.int64), x=sums["x"], y=sums["y"], **{k: v[used] for k, v in _classes(d, size, low).items()})]
+    sums = {c: np.bincount(d, w, size)[used] for c, w in (("x", x), ("y", np.where(rare_w, np.log10(c1 + 1.0), 0.0)), ("known", rare_w & (c1 > 0)))}
+    out = [_frame("text", doc_id=ids[used], tag=tags[used], known=sums["known"].astype(np.int64), x=sums["x"], y=sums["y"], **{k: v[used] for k, v in _classes(d, size, low).items()})]
     ask = np.flatnonzero(held & (~seen | (hc < 0)))
     if len(ask):
         pair, first, inv = np.unique(_mixed((d[ask].astype(np.uint64) << np.uint64(40)) ^ _mixed(h[ask].view(np.uint64))), return_index=True, return_inverse=True)
@@ -173,22 +173,28 @@ def _histories(h: np.ndarray, c2: np.ndarray, p1: np.ndarray) -> pd.DataFrame:
     return _frame("history", h=keys, n=np.bincount(g, big, len(keys)).astype(np.int64), known=np.bincount(g, np.where(big, c2, 0), len(keys)).astype(np.int64), x=np.bincount(g, p1, len(keys)), y=np.bincount(g, c2 == K + 1, len(keys)).astype(float), **_classes(g, len(keys), c2))
 
 
-#: Ids, tags and training marks of texts; rare words' keys; histories, words and texts of bigrams.
+#: Ids, tags and training marks of texts; rare words' keys; histories (each less the one before), words and texts of bigrams.
 _PACKED = ("<i8", "<i8", "?", "<i8", "<i4", "<i4", "<i4")
 
 
+def _planes(a: np.ndarray, kind: str) -> bytes:
+    """The members' first bytes, then their second ones, and so on: alike bytes stand together."""
+    return np.ascontiguousarray(a, dtype=kind).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
+
+
 def _pack(arrays: list[np.ndarray], kinds: tuple[str, ...] = _PACKED) -> bytes:
     """Arrays of these kinds as one compressed block: their lengths first."""
     head = np.array([len(a) for a in arrays], dtype="<i8")
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a, dtype=k).tobytes() for a, k in zip(arrays, kinds, strict=True)))
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(_planes(a, k) for a, k in zip(arrays, kinds, strict=True)))
 
 
 def _unpack(data: bytes, kinds: tuple[str, ...] = _PACKED) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     at, out = 8 * len(kinds), []
     for n, k in zip(np.frombuffer(raw, "<i8", len(kinds)).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(k).reshape(n))
+        at += n * size
     return out
 
 
@@ -207,7 +213,10 @@ def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
     is_hot[known.hot] = is_hot[start] = True
     both = is_hot[h] & is_hot[w]
     key_of = np.concatenate([known.keys, [START], keys])
-    out = [_frame("row", doc_id=ids, tag=tags, n=(~train).astype(np.int64), known=np.ones(len(ids), np.int64))]
+    count = np.append(known.counts, np.zeros(1 + len(keys), np.int64))[w]
+    each = lambda v: np.bincount(d, v, len(ids))
+    sums = {"k1": each(None).astype(np.int64), "k2": each(count > 0).astype(np.int64), "y": each(np.where(w < start, np.log10(count + 1.0), 0.0))}
+    out = [_frame("row", doc_id=ids, tag=tags, n=(~train).astype(np.int64), known=np.ones(len(ids), np.int64), **sums)]
     if both.any():
         row = np.zeros(start + 1, dtype=np.int64)
         row[known.hot] = np.arange(1, len(known.hot) + 1)  # START is row 0
@@ -220,7 +229,7 @@ def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
     wide = np.concatenate([known.counts, [known.texts], np.full(len(keys), least)]) >= BUCKET // 16
     by = np.where(w >= rare, mix[w], np.where(wide[h], _mixed(mix[h] + mix[w]), mix[h]))
     bucket = (by % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((h, w, bucket))
+    order = np.lexsort((w, h, bucket))
     present, first = np.unique(bucket[order], return_index=True)
     rows = []
     for b, x, y in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
@@ -229,9 +238,9 @@ def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
         names, inv = np.unique(np.concatenate([h[o], w[o]]), return_inverse=True)
         far = names >= rare
         local = np.where(far, rare + np.cumsum(far) - 1, names).astype(np.int32)[inv]
-        rows.append((b, _pack([ids[texts], tags[texts], train[texts], key_of[names[far]], local[: len(o)], local[len(o) :], dd])))
+        rows.append((b, _pack([ids[texts], tags[texts], train[texts], key_of[names[far]], np.diff(local[: len(o)], prepend=0), local[len(o) :], dd])))
     settled = pd.concat(out)
-    settled["bucket"] = settled["tag"] % buckets
+    settled["bucket"] = (settled["tag"] + settled["doc_id"] % buckets) % buckets
     packed = _frame("bigrams", doc_id=np.zeros(len(rows), np.int64), payload=[r[1] for r in rows])
     packed["bucket"] = np.array([r[0] for r in rows], np.int64)
     return pd.concat([settled, packed])
@@ -243,7 +252,8 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
     ids, tags, train, far, h, w, d = [], [], [], [], [], [], []
     texts, extra = 0, 0
     for data in payloads:
-        i, t, on, keys, hs, ws, ds = _unpack(data)
+        i, t, on, keys, steps, ws, ds = _unpack(data)
+        hs = np.cumsum(steps, dtype=np.int32)
         shift = lambda c: np.where(c > fixed, c + np.int32(extra), c).astype(np.int32)  # noqa: B023, E731  # rare codes follow those of the parts before
         for list_, x in ((ids, i), (tags, t), (train, on), (far, keys), (h, shift(hs)), (w, shift(ws)), (d, (ds + np.int32(texts)).astype(np.int32))):
             list_.append(x)
@@ -306,11 +316,13 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"),
-        F.xxhash64(text_of(text_col)).alias("tag"),
         F.coalesce(held_out, F.lit(False)).alias("held"),
         text_of(text_col).cast("binary").alias("text"),
     )
-    train = base.where("not held").select("text", F.xxhash64("doc_id", "tag").alias("at"))
+    # Only texts whose id repeats need a tag beside it.
+    repeated = stored(base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "katz-repeated")
+    base = flagged(base, repeated, ["doc_id"], "again").select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("tag"), "held", "text")
+    train = base.where("not held").select("text", F.xxhash64("doc_id", "text").alias("at"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,9 +400,9 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         yield from ended(held)
 
     dealt = base.mapInPandas(deal, _OUT + ", bucket long").repartition("bucket").sortWithinPartitions("bucket")
-    # Words repeat, and dictionaries of their keys may be larger than usual before plain 8-byte keys take over; a writer for each kind spares a sort.
+    # A writer for each kind spares a sort.
     with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": len(_USED)}):
-        met = stored(dealt.mapInArrow(meet, _ARRAYS), "katz-bigrams", "kind", **{"parquet.dictionary.page.size": str(4 << 20), "parquet.block.size": str(16 << 20)})
+        met = stored(dealt.mapInArrow(meet, _ARRAYS), "katz-bigrams", "kind", **{"parquet.block.size": str(16 << 20)})
     r, c = np.nonzero(known.hot_counts)
     hot_hist = _histories(np.append(START, hot_keys)[r], known.hot_counts[r, c], known.p1(_counts_of(known, hot_keys)[c]))
     hist = _rows(met, "history")
@@ -424,9 +436,9 @@ def score(model: Model, id_col: str = "doc_id") -> DataFrame:
     zero = [F.lit(0).cast("long").alias(c) for c in ("n", "known", "held", "copies")]
     discounts = sum((F.col(f"k{r}") * float(np.log10(model.d2[r - 1])) for r in range(1, K + 1)), F.col("x"))
     sums = (
-        _rows(rows, "text").select(*text, discounts.alias("x"), "y", "n", "known", *zero[2:])
+        _rows(rows, "text").select(*text, discounts.alias("x"), "y", zero[0], "known", *zero[2:])
         .unionByName(backed.select(*text, "x", F.lit(0.0).alias("y"), *zero))
-        .unionByName(_rows(rows, "row").select(*text, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), *zero[:2], F.col("n").alias("held"), F.col("known").alias("copies")))
+        .unionByName(_rows(rows, "row").select(*text, F.lit(0.0).alias("x"), "y", F.col("k1").alias("n"), F.col("k2").alias("known"), F.col("n").alias("held"), F.col("known").alias("copies")))
         .groupBy(*text)
         .agg(*[F.sum(c).alias(c) for c in ("x", "y", "n", "known", "held", "copies")])
     )
