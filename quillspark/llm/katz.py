@@ -38,8 +38,9 @@ FREQUENT = 1 << 18
 HOT = 1024
 #: Bytes of text that are dealt together, and folders of the stored tables.
 PART, FOLDERS = 4 << 20, 16
-#: Occurrences a bucket holds about.
-BUCKET = 1 << 20
+#: Occurrences a bucket holds about, and buckets at least. A text has a row of sums for each bucket that it meets: with few buckets
+#: these rows would grow with the square of the input until there are more buckets than a text has words.
+BUCKET, BUCKETS = 1 << 20, 128
 #: What a count over K gives up, so that every history leaves mass for backing off.
 TRUST = 0.01
 
@@ -370,7 +371,7 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     # One bucket takes about BUCKET of the corpus's tokens.
     share = base.agg(F.count_if("held"), F.count("*")).first()
-    buckets = int(max(1, -(-(tokens * share[1] // max(share[1] - share[0], 1) or share[1] * 1000) // BUCKET)))
+    buckets = int(max(BUCKETS, -(-(tokens * share[1] // max(share[1] - share[0], 1) or share[1] * 1000) // BUCKET)))
     shared = spark.sparkContext.broadcast(known)
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
