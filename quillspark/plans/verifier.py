@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import parse_amount, parse_date_any
 from ..operators.quality import best_threshold, ece, ranking_metrics, recall_by_operator
 from ..sources.ledger import FIELDS
+from ..sources.shared import shared_folder
 
 #: The features, in order.
 FEATURES = (
@@ -101,49 +102,57 @@ AMOUNTS = ("subtotal", "tax", "total_amount")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _corruptions(u: Column) -> dict[str, tuple[Column, dict[str, Column]]]:
-    """Each operator: whether it applies, and what it makes of which columns. u is a hash that decides all choices."""
+def _corruptions(df: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, dict[str, Column]]]]:
+    """df (with a hash _u that decides all choices) with helper columns, in layers so that nothing is written out twice; and of
+    each operator whether it applies, and what it makes of which columns."""
+    u, c = F.col("_u"), F.col
     pick = lambda n, salt: F.pmod(F.xxhash64(u, F.lit(salt)), F.greatest(n if isinstance(n, Column) else F.lit(n), F.lit(1))).cast("int")
     one_of = lambda values, salt: F.get(F.array(*map(F.lit, values)), pick(len(values), salt))
-    filled = lambda c: F.coalesce(c, F.lit("")) != ""
-    names = lambda cs: F.array_compact(F.array(*[F.when(filled(F.col(c)), F.lit(c)) for c in cs]))
-    plain = lambda c: F.regexp_replace(c, r"[^0-9.\-]", "")
+    filled = lambda x: F.coalesce(x, F.lit("")) != ""
+    plain = lambda x: F.regexp_replace(x, r"[^0-9.\-]", "")
     two = lambda v: F.bround(v, 2).cast("decimal(38,2)").cast("string")
-
-    def chosen(cs: tuple[str, ...], salt: int) -> tuple[Column, Column]:
-        name = F.get(names(cs), pick(F.size(names(cs)), salt))
-        return name, F.coalesce(*[F.when(name == c, F.col(c)) for c in cs])
-
-    def put(name: Column, cs: tuple[str, ...], value: Column) -> dict[str, Column]:
-        return {c: F.when(name == c, value).otherwise(F.col(c)) for c in cs}
-
-    def digits(raw: Column) -> Column:
-        return F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(raw), F.lit(1))), lambda i: F.substring(raw, i, F.lit(1)).rlike(r"\d"))
-
-    slip_of, slip_raw = chosen(AMOUNTS, 1)
-    ratio = one_of(SLIPS, 2)
-    slipped = parse_amount(slip_raw) * ratio.cast("decimal(6,2)")
-    slipped = F.when(F.contains(slip_raw, F.lit(".")) | ratio.isin("0.1", "0.01"), two(slipped)).otherwise(slipped.cast("decimal(38,0)").cast("string"))
-    drop_of, drop_raw = chosen(AMOUNTS, 3)
-    drop_at = F.get(digits(drop_raw), pick(F.size(digits(drop_raw)), 4))
-    dropped = F.concat(F.substring(drop_raw, F.lit(1), drop_at - 1), F.substring(drop_raw, drop_at + 1, F.lit(1000)))
-    put_of, put_raw = chosen(AMOUNTS, 5)
-    put_at = F.get(digits(put_raw), pick(F.size(digits(put_raw)), 6))
-    inserted = F.concat(F.substring(put_raw, F.lit(1), put_at - 1), pick(10, 7).cast("string"), F.substring(put_raw, put_at, F.lit(1000)))
-    some = names(AMOUNTS)
-    first = pick(F.size(some), 8)
-    x, y = F.get(some, first), F.get(some, F.pmod(first + 1 + pick(F.size(some) - 1, 9), F.greatest(F.size(some), F.lit(1))).cast("int"))
-    value = lambda name: F.coalesce(*[F.when(name == c, F.col(c)) for c in AMOUNTS])
-    tax = F.col("tax")
-    flipped = F.when(parse_amount(tax) > 0, F.concat(F.lit("-"), plain(tax))).otherwise(F.replace(plain(tax), F.lit("-"), F.lit("")))
+    digits = lambda raw: F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(raw), F.lit(1))), lambda i: F.substring(raw, i, F.lit(1)).rlike(r"\d"))
+    value = lambda name, cs: F.coalesce(*[F.when(name == x, c(x)) for x in cs])
+    put = lambda name, cs, new: {x: F.when(c(name) == x, c(new)).otherwise(c(x)) for x in cs}
     seen = (*AMOUNTS, "vendor_name", "invoice_number")
-    mix_of, mix_raw = chosen(seen, 10)
-    once = lambda raw, a, b: F.overlay(raw, F.lit(b), F.instr(raw, F.lit(a)), F.lit(len(a)))
-    swaps = [F.struct(F.xxhash64(u, F.lit(a), F.lit(b)).alias("h"), F.when(F.contains(mix_raw, F.lit(a)), once(mix_raw, a, b)).when(F.contains(mix_raw, F.lit(b)), once(mix_raw, b, a)).alias("new")) for a, b in CONFUSED]
-    mixed = F.get(F.array_sort(F.filter(F.array(*swaps), lambda s: s["new"].isNotNull())), F.lit(0))["new"]
-    day = F.trim("date")
-    turned = F.regexp_replace(day, r"^(\d{1,2})([/\-.])(\d{1,2})([/\-.])(\d{2,4})$", "$3$2$1$4$5")
-    vendor = F.col("vendor_name")
+    names = lambda cs: F.array_compact(F.array(*[F.when(filled(c(x)), F.lit(x)) for x in cs]))
+    items, vendor, tax = c("items"), c("vendor_name"), c("tax")
+
+    df = df.withColumns({"_some": names(AMOUNTS), "_seen": names(seen), "_day": F.trim("date")})
+    n = F.size("_some")
+    of = {"_slip": 1, "_drop": 3, "_put": 5, "_mark": 20}
+    df = df.withColumns(
+        {
+            **{f"{k}_of": F.get("_some", pick(n, salt)) for k, salt in of.items()},
+            "_mix_of": F.get("_seen", pick(F.size("_seen"), 10)),
+            "_first": pick(n, 8),
+            "_ratio": one_of(SLIPS, 2),
+            "_mark": one_of(MARKS, 21),
+            "_able": F.filter(F.transform(items, lambda x, i: F.when((filled(x["quantity"]) | filled(x["unit_price"])) & filled(x["total"]), i)), lambda i: i.isNotNull()),
+        }
+    )
+    df = df.withColumns(
+        {
+            **{f"{k}_raw": value(c(f"{k}_of"), AMOUNTS) for k in of},
+            "_mix_raw": value(c("_mix_of"), seen),
+            "_x": F.get("_some", c("_first")),
+            "_y": F.get("_some", F.pmod(c("_first") + 1 + pick(n - 1, 9), F.greatest(n, F.lit(1))).cast("int")),
+            "_skew_at": F.get("_able", pick(F.size("_able"), 17)),
+        }
+    )
+    df = df.withColumns({"_drop_digits": digits(c("_drop_raw")), "_put_digits": digits(c("_put_raw")), "_item": F.get(items, c("_skew_at")), "_slip_amount": parse_amount(c("_slip_raw")) * c("_ratio").cast("decimal(6,2)"), "_x_value": value(c("_x"), AMOUNTS), "_y_value": value(c("_y"), AMOUNTS)})
+    item = c("_item")
+    df = df.withColumns(
+        {
+            "_drop_at": F.get("_drop_digits", pick(F.size("_drop_digits"), 4)),
+            "_put_at": F.get("_put_digits", pick(F.size("_put_digits"), 6)),
+            "_by_quantity": F.when(pick(2, 18) == 0, filled(item["quantity"])).otherwise(~filled(item["unit_price"])),
+        }
+    )
+    df = df.withColumn("_skew_raw", F.when(c("_by_quantity"), item["quantity"]).otherwise(item["unit_price"]))
+    once = lambda raw, x, y: F.overlay(raw, F.lit(y), F.instr(raw, F.lit(x)), F.lit(len(x)))
+    mix = c("_mix_raw")
+    swaps = [F.struct(F.xxhash64(u, F.lit(x), F.lit(y)).alias("h"), F.when(F.contains(mix, F.lit(x)), once(mix, x, y)).when(F.contains(mix, F.lit(y)), once(mix, y, x)).alias("new")) for x, y in CONFUSED]
     n_edits = 1 + pick(F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.char_length(vendor) / 4).cast("int"))), 11)
 
     def edit(text: Column, i: Column) -> Column:
@@ -153,32 +162,35 @@ def _corruptions(u: Column) -> dict[str, tuple[Column, dict[str, Column]]]:
         letter = lambda n: F.substring(F.lit(_LETTERS), roll(F.lit(n), 14) + 1, F.lit(1))
         return F.when(F.char_length(text) == 0, text).when(kind == 0, F.concat(head, letter(52), after)).when(kind == 1, F.concat(head, after)).otherwise(F.concat(head, letter(26), rest))
 
-    perturbed = F.aggregate(F.sequence(F.lit(1), n_edits), vendor, edit)
-    items = F.col("items")
+    df = df.withColumns(
+        {
+            "_slipped": F.when(F.contains(c("_slip_raw"), F.lit(".")) | c("_ratio").isin("0.1", "0.01"), two(c("_slip_amount"))).otherwise(c("_slip_amount").cast("decimal(38,0)").cast("string")),
+            "_dropped": F.concat(F.substring(c("_drop_raw"), F.lit(1), c("_drop_at") - 1), F.substring(c("_drop_raw"), c("_drop_at") + 1, F.lit(1000))),
+            "_inserted": F.concat(F.substring(c("_put_raw"), F.lit(1), c("_put_at") - 1), pick(10, 7).cast("string"), F.substring(c("_put_raw"), c("_put_at"), F.lit(1000))),
+            "_flipped": F.when(parse_amount(tax) > 0, F.concat(F.lit("-"), plain(tax))).otherwise(F.replace(plain(tax), F.lit("-"), F.lit(""))),
+            "_mixed": F.get(F.array_sort(F.filter(F.array(*swaps), lambda x: x["new"].isNotNull())), F.lit(0))["new"],
+            "_turned": F.regexp_replace("_day", r"^(\d{1,2})([/\-.])(\d{1,2})([/\-.])(\d{2,4})$", "$3$2$1$4$5"),
+            "_perturbed": F.when(F.char_length(vendor) >= 3, F.aggregate(F.sequence(F.lit(1), n_edits), vendor, edit)),
+            "_skewed": two(parse_amount(c("_skew_raw")) * one_of(SKEWS, 19).cast("decimal(6,2)")),
+            "_marked": F.concat(c("_mark"), plain(c("_mark_raw"))),
+        }
+    )
     gone, twin = pick(F.size(items), 15), pick(F.size(items), 16) + 1
-    able = F.filter(F.transform(items, lambda x, i: F.when((filled(x["quantity"]) | filled(x["unit_price"])) & filled(x["total"]), i)), lambda i: i.isNotNull())
-    skew_at = F.get(able, pick(F.size(able), 17))
-    item = F.get(items, skew_at)
-    by_quantity = F.when(pick(2, 18) == 0, filled(item["quantity"])).otherwise(~filled(item["unit_price"]))
-    skew_raw = F.when(by_quantity, item["quantity"]).otherwise(item["unit_price"])
-    skewed = two(parse_amount(skew_raw) * one_of(SKEWS, 19).cast("decimal(6,2)"))
-    bent = F.transform(items, lambda x, i: F.when((i == skew_at) & by_quantity, x.withField("quantity", skewed)).when(i == skew_at, x.withField("unit_price", skewed)).otherwise(x))
-    mark_of, mark_raw = chosen(AMOUNTS, 20)
-    mark = one_of(MARKS, 21)
-    differs = lambda new, old: new.isNotNull() & (new != "") & (new != old)
-    return {
-        "decimal_slip": (differs(slipped, slip_raw), put(slip_of, AMOUNTS, slipped)),
-        "digit_drop": (differs(dropped, drop_raw), put(drop_of, AMOUNTS, dropped)),
-        "digit_insert": (differs(inserted, put_raw), put(put_of, AMOUNTS, inserted)),
-        "field_swap": ((F.size(some) >= 2) & (value(x) != value(y)), {c: F.when(x == c, value(y)).when(y == c, value(x)).otherwise(F.col(c)) for c in AMOUNTS}),
-        "tax_sign_flip": (F.coalesce(parse_amount(tax), F.lit(0)) != 0, {"tax": flipped}),
-        "ocr_confusion": (differs(mixed, mix_raw), put(mix_of, seen, mixed)),
-        "date_format_swap": (differs(turned, day), {"date": turned}),
-        "vendor_perturb": ((F.char_length(vendor) >= 3) & differs(perturbed, vendor), {"vendor_name": perturbed}),
+    bent = F.transform(items, lambda x, i: F.when((i == c("_skew_at")) & c("_by_quantity"), x.withField("quantity", c("_skewed"))).when(i == c("_skew_at"), x.withField("unit_price", c("_skewed"))).otherwise(x))
+    differs = lambda new, old: c(new).isNotNull() & (c(new) != "") & (c(new) != c(old))
+    return df, {
+        "decimal_slip": (differs("_slipped", "_slip_raw"), put("_slip_of", AMOUNTS, "_slipped")),
+        "digit_drop": (differs("_dropped", "_drop_raw"), put("_drop_of", AMOUNTS, "_dropped")),
+        "digit_insert": (differs("_inserted", "_put_raw"), put("_put_of", AMOUNTS, "_inserted")),
+        "field_swap": ((n >= 2) & (c("_x_value") != c("_y_value")), {x: F.when(c("_x") == x, c("_y_value")).when(c("_y") == x, c("_x_value")).otherwise(c(x)) for x in AMOUNTS}),
+        "tax_sign_flip": (F.coalesce(parse_amount(tax), F.lit(0)) != 0, {"tax": c("_flipped")}),
+        "ocr_confusion": (differs("_mixed", "_mix_raw"), put("_mix_of", seen, "_mixed")),
+        "date_format_swap": (differs("_turned", "_day"), {"date": c("_turned")}),
+        "vendor_perturb": (differs("_perturbed", "vendor_name"), {"vendor_name": c("_perturbed")}),
         "line_item_drop": (F.size(items) >= 2, {"items": F.filter(items, lambda _, i: i != gone)}),
         "line_item_duplicate": (F.size(items) >= 1, {"items": F.concat(F.slice(items, F.lit(1), twin), F.slice(items, twin, F.lit(1)), F.slice(items, twin + 1, F.size(items)))}),
-        "quantity_price_skew": (F.coalesce(parse_amount(skew_raw), F.lit(0)) != 0, {"items": bent}),
-        "currency_mismatch": (parse_amount(mark_raw).isNotNull() & ~F.contains(mark_raw, mark), put(mark_of, AMOUNTS, F.concat(mark, plain(mark_raw)))),
+        "quantity_price_skew": (F.coalesce(parse_amount(c("_skew_raw")), F.lit(0)) != 0, {"items": bent}),
+        "currency_mismatch": (parse_amount(c("_mark_raw")).isNotNull() & ~F.contains(c("_mark_raw"), c("_mark")), put("_mark_of", AMOUNTS, "_marked")),
     }
 
 
@@ -188,17 +200,21 @@ OPERATORS = ("decimal_slip", "digit_drop", "digit_insert", "field_swap", "tax_si
 def corrupt(wide: DataFrame, k: int = 1, seed: int = 7) -> DataFrame:
     """k corrupted copies of each row, by the first operator that applies of the first TRIED in a hash-shuffled order (none: no copy);
     columns copy and operator are added."""
-    df = wide.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))
     u = F.xxhash64("document_id", "copy", F.lit(seed))
-    ops = _corruptions(u)
-    order = F.array_sort(F.array(*[F.struct(F.xxhash64(u, F.lit(n)).alias("h"), F.lit(n).alias("n"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, (ok, _) in ops.items()]))
-    df = df.withColumn("operator", F.get(F.filter(F.slice(order, 1, TRIED), lambda x: x["ok"]), F.lit(0))["n"])
+    df, ops = _corruptions(wide.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_u", u))
+    # The helper columns are written once: as expressions they would be repeated in every condition and column.
+    path = shared_folder(df.sparkSession, "corruptions")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    order = F.array_sort(F.array(*[F.struct(F.xxhash64("_u", F.lit(n)).alias("h"), F.lit(n).alias("n"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, (ok, _) in ops.items()]))
+    # concat keeps the optimizer from writing the choice out in every column: it takes a mere field of a struct for cheap.
+    df = df.withColumn("operator", F.concat(F.get(F.filter(F.slice(order, 1, TRIED), lambda x: x["ok"]), F.lit(0))["n"], F.lit("")))
     changed = {}
     for c in (*FIELDS, "items"):
         cases = [(n, new[c]) for n, (_, new) in ops.items() if c in new]
         if cases:
             changed[c] = F.coalesce(*[F.when(F.col("operator") == n, v) for n, v in cases], F.col(c))
-    return df.where("operator is not null").withColumns(changed)
+    return df.where("operator is not null").withColumns(changed).select(*wide.columns, "copy", "operator")
 
 
 def training_set(clean: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None, k: int = 3, share: float = 0.2, seed: int = 7) -> DataFrame:
