@@ -157,3 +157,16 @@ def test_late_events_are_ignored(spark, tmp_path):
     stream = spark.readStream.schema("key long, ts long, seq long, status string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     got = [(r.seq, r.before, r.status) for r in ran(jobs.invalid_transitions(stream), "append").collect()]
     assert got == [(1, "preprocessed", "verified")]
+
+
+def test_verifier_is_saved_with_its_metrics(spark, tmp_path):
+    rows = [(f"d{k}", k % 2, 1.0, k % 5 == 0, "clean" if k % 2 else "digit_drop", *[float((k % 2) * 3 + (k * 7 + j) % 3) for j in range(len(verifier.FEATURES))]) for k in range(200)]
+    schema = "document_id string, label int, weight double, validation boolean, operator string, " + ", ".join(f"{f} double" for f in verifier.FEATURES)
+    table = spark.createDataFrame(rows, schema)
+    model = verifier.train_verifier(table, rounds=2, depth=2)
+    assert model.metrics["auroc"] > 0.95 and set(model.recalls) == {"digit_drop"} and model.metrics["positives"] == 100
+    verifier.save_verifier(model, spark, f"{tmp_path}/v")
+    again = verifier.load_verifier(spark, f"{tmp_path}/v")
+    assert (again.threshold, again.means, again.metrics, again.recalls) == (model.threshold, model.means, model.metrics, model.recalls)
+    scored = [[(r.document_id, r.p, r.ok) for r in verifier.score(table, m).orderBy("document_id").collect()] for m in (model, again)]
+    assert scored[0] == scored[1] and {ok for _, _, ok in scored[0]} == {True, False}
