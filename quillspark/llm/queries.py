@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, katz, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
+from . import decontam, hardneg, jaccard, katz, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
 from .common import stored
 
 
@@ -79,8 +79,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_katz_backoff, op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_katz_backoff, op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup, op12_hard_negatives)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -93,6 +99,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND q.vec_id % 100 = 0))
 WHERE rank <= 10"""
 
+_OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS vec_id, a.label = v.label AS same, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id <> v.vec_id AND a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10"""
+
 _OP4 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
@@ -120,4 +135,4 @@ FROM k LEFT JOIN shared USING (key) GROUP BY doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the query on whole tables; the others are tested against brute force."""
-    return {"op3_exact_top_k": _OP3, "op4_benchmark_decontamination": _OP4, "op6_warc": _OP6, "op10_line_dedup": _OP10}
+    return {"op3_exact_top_k": _OP3, "op4_benchmark_decontamination": _OP4, "op6_warc": _OP6, "op10_line_dedup": _OP10, "op12_hard_negatives": _OP12}
