@@ -24,11 +24,11 @@ class Best:
     def __init__(self, n: int, k: int, kind=np.int64):
         self.n, self.k = n, k
         self.low = np.iinfo(kind).min if np.issubdtype(kind, np.integer) else -np.inf
-        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+        self.query, self.ids, self.notes, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
         self.floor = np.full(n, self.low, kind)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> None:
-        """scores and ok of (queries, candidates): candidates where ok is true take part."""
+    def add(self, scores: np.ndarray, ids: np.ndarray, ok: np.ndarray, notes: np.ndarray | None = None) -> None:
+        """scores and ok of (queries, candidates): candidates where ok is true take part. A candidate's note is kept with it."""
         pick = ok & (scores >= self.floor[:, None])
         extra = scores.shape[1] - self.k
         if extra > 0 and np.count_nonzero(pick) > 2 * self.k * self.n:
@@ -36,12 +36,13 @@ class Best:
         q, c = np.nonzero(pick)
         if not len(q):
             return
+        note = np.append(self.notes, np.zeros(len(c), np.int64) if notes is None else notes[c])
         query, id_, score = np.append(self.query, q), np.append(self.ids, ids[c]), np.append(self.scores, scores[q, c])
         order = np.lexsort((id_, -score, query))
-        query, id_, score = query[order], id_[order], score[order]
+        query, id_, note, score = query[order], id_[order], note[order], score[order]
         first = np.searchsorted(query, np.arange(self.n))
         keep = np.arange(len(query)) - first[query] < self.k
-        self.query, self.ids, self.scores = query[keep], id_[keep], score[keep]
+        self.query, self.ids, self.notes, self.scores = query[keep], id_[keep], note[keep], score[keep]
         size = np.bincount(self.query, minlength=self.n)
         full = np.flatnonzero(size == self.k)
         self.floor[full] = self.scores[np.cumsum(size)[full] - 1]

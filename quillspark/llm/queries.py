@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hardneg, jaccard, katz, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
+from . import decontam, hardneg, jaccard, katz, kmtree, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
 from .common import stored
 
 
@@ -85,8 +85,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.ann(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_katz_backoff, op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_katz_backoff, op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup, op12_hard_negatives, op13_nearest_neighbours)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
