@@ -128,7 +128,7 @@ def ann(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95,
     Vectors that are null, zero or hold null or non-finite components take no part, null ids neither. Vectors of other lengths than the query's
     aren't candidates. Rows with the query's id are its own; a repeated query id is asked once, with its smallest vector. Rows alike in id and
     vector count once. Of rows alike in vector only the k + 1 smallest ids can be among the first k, so the others aren't
-    indexed beside them; queries alike in vector are searched together. Visits go on until k others are found; fewer than k
+    indexed beside them; queries alike in vector are searched together, but for ids with several vectors. Visits go on until k others are found; fewer than k
     candidates: all.
     """
     spark = vectors.sparkSession
@@ -137,15 +137,15 @@ def ann(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95,
     copies = Window.partitionBy("v").orderBy("vec_id")
     one = rows.select("vec_id", "v", "dim", F.dense_rank().over(copies).alias("place"), F.lag("vec_id").over(copies).alias("before"))
     one = stored(one.where((F.col("place") <= k + 1) & ~F.col("vec_id").eqNullSafe(F.col("before"))).select("vec_id", "v", "dim"), "ann-rows", "dim")
-    asked = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    alike = Window.partitionBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
-    asked = stored(asked.withColumns({"class": F.min("vec_id").over(alike), "dim": F.size("v")}), "ann-queries", "dim")
+    asked = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v"), (F.min("v") != F.max("v")).alias("several"))
+    alike = Window.partitionBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)), F.when(F.col("several"), F.col("vec_id")))
+    asked = stored(asked.withColumns({"class": F.min("vec_id").over(alike), "alone": F.count("*").over(alike) == 1, "dim": F.size("v")}), "ann-queries", "dim")
     schema = "class long, vec_id long, score double"
     path, written = new_path(spark, "ann-found"), False
     # A row per vector length; lengths without queries are never indexed.
     for (dim,) in sorted(asked.select("dim").distinct().collect()):
         held = one.where(F.col("dim") == dim)
-        queries = asked.where((F.col("dim") == dim) & (F.col("class") == F.col("vec_id"))).select("vec_id", "v")
+        queries = asked.where((F.col("dim") == dim) & (F.col("class") == F.col("vec_id"))).select("vec_id", "v", "alone")
         tree = _fitted(held, dim)
         shared = spark.sparkContext.broadcast(tree)
         index = stored(held.select("vec_id", "v").mapInArrow(_indexed(shared, dim), f"vec_id long, v {held.schema['v'].dataType.simpleString()}, leaf int"), "ann-index")
@@ -225,6 +225,7 @@ def _searched(index: DataFrame, queries: DataFrame, shared, dim: int, k: int, vi
             cell, room = cell + int(parts[leaf]) - 1, 0
         room -= min(room, int(size[leaf]))
     plan = spark.sparkContext.broadcast((first, parts, size))
+    names = ["cell", "asks", "vec_id", "v", "leaves", "alone"]
 
     def rows_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, parts, _ = plan.value
@@ -232,7 +233,7 @@ def _searched(index: DataFrame, queries: DataFrame, shared, dim: int, k: int, vi
             leaf, ids = batch.column("leaf").to_numpy().astype(np.int64), batch.column("vec_id").to_numpy()
             cells = first[leaf] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[leaf]
             leaves = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32)), batch.column("leaf"))
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.zeros(batch.num_rows, bool)), batch.column("vec_id"), batch.column("v"), leaves], names=["cell", "asks", "vec_id", "v", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.zeros(batch.num_rows, bool)), batch.column("vec_id"), batch.column("v"), leaves, pa.array(np.zeros(batch.num_rows, bool))], names=names)
 
     def queries_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, parts, size = plan.value
@@ -250,9 +251,9 @@ def _searched(index: DataFrame, queries: DataFrame, shared, dim: int, k: int, vi
                         cells.append(c)
                         leaves.append(found)
                 take = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.ones(len(rows), bool)), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(leaves, pa.list_(pa.int32()))], names=["cell", "asks", "vec_id", "v", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.ones(len(rows), bool)), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(leaves, pa.list_(pa.int32())), batch.column("alone").take(take)], names=names)
 
-    schema = f"cell long, asks boolean, vec_id long, v {index.schema['v'].dataType.simpleString()}, leaves array<int>"
+    schema = f"cell long, asks boolean, vec_id long, v {index.schema['v'].dataType.simpleString()}, leaves array<int>, alone boolean"
     met = index.mapInArrow(rows_out, schema).unionByName(queries.mapInArrow(queries_out, schema))
     met = met.repartition("cell").sortWithinPartitions("cell", "asks")
 
@@ -307,6 +308,7 @@ class Cell:
                 if leaf in where:
                     a, b = where[leaf]
                     scores[who, a:b] = q[who] @ v[a:b].T
+            scores[part.column("alone").to_numpy(zero_copy_only=False)[:, None] & (asked[:, None] == ids[None, :])] = -np.inf
             least = np.full(len(q), -np.inf)
             if len(ids) > self.k:  # a little below the kth: a product's last digits depend on where in a matrix it stands
                 least = np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - 1e-9 * norm * np.sqrt((q * q).sum(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hardneg, jaccard, katz, kmtree, linededup, pieces, secrets, tokenbin, topk, toxicity, warc
+from . import decontam, hardneg, jaccard, katz, kmtree, linededup, pieces, secrets, tokenbin, topk, toxicity, trie, warc
 from .common import stored
 
 
@@ -79,6 +79,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("conv_id")
+    turns = trie.with_borrowed_heads(trie.numbered_turns(_table(spark, sf_dir, "conversations")), own - own % 100, F.crc32(own.cast("string")) % 6, 5, own % 100 == 0)
+    return trie.prefix_trie(turns)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -90,7 +96,7 @@ def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_katz_backoff, op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup, op12_hard_negatives, op13_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_katz_backoff, op2_ngram_jaccard_join, op3_exact_top_k, op4_benchmark_decontamination, op5_secret_scan, op6_warc, op7_sentencepiece, op8_toxicity, op9_token_binary, op10_line_dedup, op11_prefix_trie, op12_hard_negatives, op13_nearest_neighbours)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -103,6 +109,21 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND q.vec_id % 100 = 0))
 WHERE rank <= 10"""
 
+_OP11 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, turn, length(text) AS chars, sha256(strlen(role) || ':' || role || text)[:32] AS id FROM c),
+own AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(chars ORDER BY turn NULLS FIRST, id) AS chars FROM t GROUP BY conv_id),
+h AS (SELECT *, CAST(xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda a, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS INTEGER) AS h FROM own),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ids, [])[:h], h.ids[h + 1:]) AS ids, list_concat(coalesce(b.chars, [])[:h], h.chars[h + 1:]) AS chars FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, d, ids[:d] AS k, d = len(ids) AS ended, coalesce(chars[d], 0) AS last FROM (SELECT *, unnest(range(len(ids) + 1)) AS d FROM r)),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(last) AS last, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM m GROUP BY d, k),
+ch AS (SELECT d - 1 AS d, k[:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (d, k)),
+s AS (SELECT len(p) AS d, p AS k, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * last) AS BIGINT) AS saved_tokens FROM (SELECT *, k[:unnest(range(d + 1))] AS p FROM f) GROUP BY p)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN s USING (d, k) LEFT JOIN n p ON p.d = f.d - 1 AND p.k = f.k[:f.d - 1]"""
+
 _OP12 = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -139,4 +160,4 @@ FROM k LEFT JOIN shared USING (key) GROUP BY doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the query on whole tables; the others are tested against brute force."""
-    return {"op3_exact_top_k": _OP3, "op4_benchmark_decontamination": _OP4, "op6_warc": _OP6, "op10_line_dedup": _OP10, "op12_hard_negatives": _OP12}
+    return {"op3_exact_top_k": _OP3, "op4_benchmark_decontamination": _OP4, "op6_warc": _OP6, "op10_line_dedup": _OP10, "op11_prefix_trie": _OP11, "op12_hard_negatives": _OP12}
