@@ -53,8 +53,12 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(r, h) / F.when(F.char_length(r) > 0, F.char_length(r)).otherwise(F.greatest(F.char_length(h), F.lit(1)))
 
 
+#: White space that parts words, within and outside ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
 def _cells(a: Column, b: Column) -> Column:
@@ -98,69 +102,122 @@ def edit_ops(a: Column, b: Column) -> Column:
     return F.struct(walked["s"].alias("s"), walked["d"].alias("d"), walked["n"].alias("i"), walked["c"].alias("c"))
 
 
-def _path_counts(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Rows (s, d, i, c) of edit_ops, of pairs of texts that fit one table together."""
+#: One substitution, deletion and insertion in a packed count: 21 bits each, for texts of up to two million characters.
+_SUB, _DEL, _INS = 1, 1 << 21, 1 << 42
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+def _path_counts(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows (s, d, i, c) of edit_ops, of pairs of number sequences (not negative) that are gone through together.
+
+    A path's next step is decided at the cell where it stands, so a cell's counts are those of the cell that its step leads to, and one more. Going
+    forward, a row of costs and one of packed counts are all that is kept: memory grows with one text's length.
+    """
     n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
-    a, b = np.full((len(pairs), n.max() + 1), -1, np.int64), np.full((len(pairs), m.max() + 1), -2, np.int64)
+    a, b = np.full((len(pairs), n.max()), -1, np.int32), np.full((len(pairs), m.max()), -2, np.int32)
     for r, (x, y) in enumerate(pairs):
-        a[r, : len(x)], b[r, : len(y)] = list(map(ord, x)), list(map(ord, y))
+        a[r, : len(x)], b[r, : len(y)] = x, y
     rows, at = np.arange(len(pairs)), np.arange(m.max() + 1, dtype=np.int32)
-    table = np.empty((n.max() + 1, len(pairs), m.max() + 1), np.int32)
-    table[0] = at
+    cost, count = np.repeat(at[None, :], len(pairs), axis=0), np.repeat(at[None, :].astype(np.int64) * _INS, len(pairs), axis=0)
+    found = np.where(n == 0, count[rows, m], 0)
     for i in range(1, n.max() + 1):
-        table[i, :, 0] = i
-        table[i, :, 1:] = np.minimum(table[i - 1, :, 1:] + 1, table[i - 1, :, :-1] + (a[:, i - 1, None] != b[:, :-1]))
-        table[i] = np.minimum.accumulate(table[i] - at, axis=1) + at  # insertions
-    out = np.zeros((len(pairs), 4), np.int32)
-    i, j = n.copy(), m.copy()
-    while (left := (i > 0) | (j > 0)).any():
-        here, both = table[i, rows, j], (i > 0) & (j > 0)
-        diag, up = table[i - 1, rows, j - 1], table[i - 1, rows, j]
-        match = both & (a[rows, i - 1] == b[rows, j - 1]) & (diag == here)
-        sub = both & ~match & (diag + 1 == here)
-        dele = ~match & ~sub & (i > 0) & (up + 1 == here)
-        ins = left & ~match & ~sub & ~dele
-        out += np.stack([sub, dele, ins, match], axis=1)
-        i, j = i - (match | sub | dele), j - (match | sub | ins)
-    return out
-
-
-@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in "sdic"]))
-def _text_ops(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    pairs = list(zip(reference, hypothesis, strict=True))
-    out = np.array([(0, 0, 0, len(a)) for a, _ in pairs], np.int32).reshape(-1, 4)
-    # Pairs of like lengths share a table of about 16 MB; equal texts need none.
-    todo = sorted((k for k, (a, b) in enumerate(pairs) if a != b), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+        other = a[:, i - 1, None] != b
+        new, diagonal, up = np.empty_like(cost), cost[:, :-1] + other, cost[:, 1:] + 1
+        new[:, 0] = i
+        np.minimum(diagonal, up, out=new[:, 1:])
+        new = np.minimum.accumulate(new - at, axis=1) + at  # insertions
+        counted = np.empty_like(count)
+        counted[:, 0] = i * _DEL
+        kept = diagonal == new[:, 1:]  # a match where the characters agree, else a substitution
+        counted[:, 1:] = np.where(kept, count[:, :-1] + other * _SUB, count[:, 1:] + _DEL)
+        inserted = ~kept & (up != new[:, 1:])
+        if inserted.any():  # steps along the row, from the last cell that is none
+            place = np.zeros(new.shape, np.int32)
+            place[:, 1:] = np.where(inserted, 0, at[1:])
+            place = np.maximum.accumulate(place, axis=1)
+            counted = np.take_along_axis(counted, place, axis=1) + (at - place).astype(np.int64) * _INS
+        cost, count = new, counted
+        done = n == i
+        found[done] = count[rows[done], m[done]]
+    s, d, k = found & (_DEL - 1), found // _DEL & (_DEL - 1), found // _INS
+    return np.stack([s, d, k, n - s - d], axis=1).astype(np.int32)
+
+
+def _all_counts(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """_path_counts of all pairs: a common ending is matched first, and pairs of like lengths go together, up to some 16 MB of rows."""
+    out, todo = np.zeros((len(pairs), 4), np.int32), []
+    for k, (a, b) in enumerate(pairs):
+        n = min(len(a), len(b))
+        apart = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
+        same = n - 1 - int(apart[-1]) if len(apart) else n
+        out[k, 3] = same
+        if len(a) > same or len(b) > same:
+            todo.append((k, a[: len(a) - same], b[: len(b) - same]))
+    todo.sort(key=lambda x: (len(x[1]), len(x[2])))
     while todo:
         size, widest = 0, 0
         while size < len(todo):
-            a, b = pairs[todo[size]]
-            widest = max(widest, len(b))
-            if size and (size + 1) * (len(a) + 1) * (widest + 1) > 1 << 22:
+            widest = max(widest, len(todo[size][1]), len(todo[size][2]))
+            if size and (size + 1) * (widest + 1) > 1 << 18:
                 break
             size += 1
         now, todo = todo[:size], todo[size:]
-        out[now] = _path_counts([pairs[k] for k in now])
-    return pd.DataFrame(out, columns=list("sdic"))
+        out[[x[0] for x in now]] += _path_counts([x[1:] for x in now])
+    return out
+
+
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in "sdic"]))
+def _text_ops(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(_all_counts([(_points(a), _points(b)) for a, b in zip(reference, hypothesis, strict=True)]), columns=list("sdic"))
+
+
+@F.pandas_udf(IntegerType())
+def _word_distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Edits between lists of words, which are numbered."""
+    pairs = []
+    for a, b in zip(reference, hypothesis, strict=True):
+        known: dict[str, int] = {}
+        pairs.append(tuple(np.array([known.setdefault(w, len(known)) for w in x], np.int32) for x in (a, b)))
+    return pd.Series(_all_counts(pairs)[:, :3].sum(axis=1))
 
 
 def text_edit_ops(reference: Column, hypothesis: Column) -> Column:
-    """edit_ops of two texts' characters, for many rows: tables of a batch are filled together."""
+    """edit_ops of two texts' characters, for many rows: those of a batch are gone through together, in memory that grows with a text's length."""
     return _text_ops(F.coalesce(reference, F.lit("")), F.coalesce(hypothesis, F.lit("")))
 
 
+def normalized_cer(reference: Column, hypothesis: Column) -> Column:
+    """Edits over edits and matches of the edit path; two empty texts: 0.
+
+    With at most one edit more than the lengths differ by, all paths have the same matches: the longer length less the edits. Only other pairs are walked.
+    """
+    r, h = F.coalesce(reference, F.lit("")), F.coalesce(hypothesis, F.lit(""))
+    n, m, e = F.char_length(r), F.char_length(h), F.levenshtein(r, h)
+    plain = e - F.abs(n - m) <= 1
+    c = F.when(plain, F.greatest(n, m) - e).otherwise(_text_ops(F.when(plain, F.lit("")).otherwise(r), F.when(plain, F.lit("")).otherwise(h))["c"])
+    return F.coalesce(e / F.nullif(e + c, F.lit(0)), F.lit(0.0))
+
+
 def chars(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
 
 
+#: Pairs of more distinct words are numbered in Python: a place in an array is found by going through it.
+WORDS_IN_PLACE = 1000
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Edits between two word lists. Each distinct word is written as one character, so that levenshtein counts words."""
     bound = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  # v is computed once
     code = lambda ws, known: F.decode(F.unhex(F.concat_ws("", F.transform(ws, lambda w: F.hex(F.array_position(known, w) + 0x4E00)))), "UTF-16BE")
-    # Beyond 20,000 words, codes would meet surrogates.
-    edits = lambda p, known: F.when(F.size(known) <= 20000, F.levenshtein(code(p["a"], known), code(p["b"], known))).otherwise(F.element_at(F.element_at(_cells(p["a"], p["b"]), -1), -1))
-    pair = F.struct(words(reference).alias("a"), words(hypothesis).alias("b"))
-    return bound(pair, lambda p: bound(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: edits(p, known)))
+    a, b = words(reference), words(hypothesis)
+    few = F.size(F.array_distinct(F.concat(a, b))) <= WORDS_IN_PLACE
+    in_place = bound(F.struct(a.alias("a"), b.alias("b")), lambda p: bound(F.array_distinct(F.concat(p["a"], p["b"])), lambda known: F.levenshtein(code(p["a"], known), code(p["b"], known))))
+    none = F.array().cast("array<string>")
+    return F.when(few, in_place).otherwise(_word_distance(F.when(few, none).otherwise(a), F.when(few, none).otherwise(b)))
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:

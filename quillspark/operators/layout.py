@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.amounts import parse_amount
 from ..functions.extract import block_amount, block_label
@@ -35,45 +41,83 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Each page's text in lines: a block joins the line while its middle is near that line's first block.
 
-    The rule depends on each line's first block, so it is a fold over the page's blocks in order; pages are independent.
+    The rule depends on each line's first block, so it is one pass over a page's blocks in order; pages are independent. A task
+    holds one line and the text so far. Blocks without a box come first, each a line of its own; null pages are a page.
     """
-    cy = (F.col("y1") + F.col("y2")) / 2
-    h = F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0))
-    page = blocks.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(F.struct(cy.alias("cy"), "x1", "pos", "text"))).alias("bs"), F.avg(h).alias("h"))
-    near = F.greatest(F.lit(8.0), 0.6 * F.col("h"))
-    kind = "array<array<struct<x1:double,pos:int,text:string>>>"
-    start = F.struct(F.array().cast(kind).alias("lines"), F.lit(None).cast("double").alias("anchor"))
-    word = lambda b: F.struct(b["x1"].cast("double").alias("x1"), b["pos"].cast("int").alias("pos"), b["text"].alias("text"))
-
-    def step(a: Column, b: Column) -> Column:
-        same = a["anchor"].isNotNull() & (F.abs(b["cy"] - a["anchor"]) <= near)
-        last = F.element_at(a["lines"], -1)
-        joined = F.concat(F.slice(a["lines"], 1, F.size(a["lines"]) - 1), F.array(F.concat(last, F.array(word(b)))))
-        new = F.concat(a["lines"], F.array(F.array(word(b))))
-        return F.struct(F.when(same, joined).otherwise(new).alias("lines"), F.when(same, a["anchor"]).otherwise(b["cy"].cast("double")).alias("anchor"))
-
-    lines = F.aggregate("bs", start, step, lambda a: a["lines"])
-    text = F.array_join(F.transform(lines, lambda line: F.array_join(F.transform(F.sort_array(line), lambda w: w["text"]), " ")), "\n")
-    return page.select("document_id", "page", text.alias("text"))
+    page = Window.partitionBy("document_id", "page")
+    df = blocks.select("document_id", "page", ((F.col("y1") + F.col("y2")) / 2).cast("double").alias("cy"), F.col("x1").cast("double").alias("x1"), "pos", "text", F.avg(F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0))).over(page).alias("h"))
+    df = df.select("document_id", "page", "cy", "x1", "pos", "text", F.greatest(F.lit(8.0), 0.6 * F.col("h")).alias("near"))
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    return df.sortWithinPartitions("document_id", "page", "cy", "x1", "pos", "text").mapInArrow(_lines, f"document_id {types['document_id']}, page {types['page']}, text string")
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    here, anchor, line, lines, done = None, None, [], [], []
+
+    def ended() -> None:
+        if line:
+            lines.append(" ".join(w[2] for w in sorted(line, key=lambda w: (w[0] is not None, w[0] or 0.0, w[1])) if w[2] is not None))
+
+    for batch in batches:
+        for doc, page, cy, x1, pos, text, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if here != (doc, page):
+                if here is not None:
+                    ended()
+                    done.append((*here, "\n".join(lines)))
+                here, anchor, line, lines = (doc, page), None, [], []
+            if not (anchor is not None and cy is not None and abs(cy - anchor) <= near):
+                ended()
+                line, anchor = [], cy
+            line.append((x1, pos, text))
+        if len(done) > 1000:
+            yield _pages(done, batch)
+            done = []
+    if here is not None:
+        ended()
+        done.append((*here, "\n".join(lines)))
+        yield _pages(done, batch)
+
+
+def _pages(done: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+    types = [like.schema.field(0).type, like.schema.field(1).type, pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["document_id", "page", "text"])
 
 
 def pair_candidates(blocks: DataFrame) -> DataFrame:
-    """Values for each label, best first: the nearest to its right in the row, else the nearest below in its column."""
+    """Values for each label, best first: the nearest to its right in the row, else the nearest below in its column.
+
+    A page has bands of twice its mean block height, and of twice its mean block width. A value is in the two bands of its middle; a label meets
+    those in the rows and in the columns that it reaches, not all blocks of the page.
+    """
     b = classify_blocks(blocks)
-    cols = ["pos", "text", "label", "amount", "x1", "y1", "x2", "y2"]
-    lab = b.where("label is not null").select("document_id", "page", *[F.col(c).alias(f"l_{c}") for c in cols])
-    val = b.select("document_id", "page", *[F.col(c).alias(f"v_{c}") for c in cols])
-    df = lab.join(val, ["document_id", "page"]).where("l_pos <> v_pos")
-    h, w = F.greatest(F.col("l_y2") - F.col("l_y1"), F.lit(1.0)), F.greatest(F.col("l_x2") - F.col("l_x1"), F.lit(1.0))
-    money = F.col("l_label").isin("total_amount", "subtotal", "tax")
-    fits = F.when(money, F.col("v_amount").isNotNull()).otherwise(F.col("v_label").isNull() & (F.trim("v_text") != ""))
-    dy = F.abs((F.col("v_y1") + F.col("v_y2")) / 2 - (F.col("l_y1") + F.col("l_y2")) / 2)
-    dx = F.abs((F.col("v_x1") + F.col("v_x2")) / 2 - (F.col("l_x1") + F.col("l_x2")) / 2)
-    right = (dy <= 0.9 * h) & (F.col("v_x1") >= F.col("l_x2") - 0.25 * w)
-    wide = F.when(money, F.greatest(3 * w, 6 * h)).otherwise(F.greatest(2 * w, 4 * h))
-    below = ~right & (F.col("v_y1") >= F.col("l_y2") - 0.225 * h) & (dx <= wide)
-    cost = F.when(right, F.col("v_x1") - F.col("l_x2")).otherwise(F.col("v_y1") - F.col("l_y2") + 0.25 * dx)
-    df = df.where(fits & (right | below)).select("document_id", "page", "l_pos", F.col("l_label").alias("field_name"), "v_pos", F.coalesce("v_amount", F.trim("v_text")).alias("value"), F.when(right, 0).otherwise(1).alias("way"), cost.alias("cost"))
+    h, w = F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)), F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0))
+    b = b.withColumns({"cy": (F.col("y1") + F.col("y2")) / 2, "cx": (F.col("x1") + F.col("x2")) / 2, "h": h, "w": w})
+    page = b.groupBy("document_id", "page").agg((2 * F.avg("h")).alias("row"), (2 * F.avg("w")).alias("column"), *[f(c).alias(f"{n}_{c}") for c in ("cy", "cx") for n, f in (("least", F.min), ("most", F.max))])
+    same = F.col("b.document_id").eqNullSafe(F.col("p.document_id")) & F.col("b.page").eqNullSafe(F.col("p.page"))
+    b = b.alias("b").join(page.alias("p"), same).select("b.*", "row", "column", "least_cy", "most_cy", "least_cx", "most_cx")
+    cols = ["pos", "text", "label", "amount", "x1", "y1", "x2", "y2", "cx", "cy"]
+    money = F.col("label").isin("total_amount", "subtotal", "tax")
+    wide = F.when(money, F.greatest(3 * F.col("w"), 6 * F.col("h"))).otherwise(F.greatest(2 * F.col("w"), 4 * F.col("h")))
+    lab = b.where("label is not null").withColumn("reach", wide)
+    band = lambda c, size: F.floor(F.col(c) / F.col(size)).cast("long")
+
+    def bands(c: str, by: Column, size: str) -> Column:
+        """The bands between middle - by and middle + by that the page's blocks have."""
+        low, high = F.greatest(F.col(c) - by, F.col(f"least_{c}")), F.least(F.col(c) + by, F.col(f"most_{c}"))
+        return F.sequence(F.floor(low / F.col(size)).cast("long"), F.greatest(F.floor(low / F.col(size)), F.floor(high / F.col(size))).cast("long"))
+
+    def met(c: str, by: Column, size: str) -> DataFrame:
+        left = lab.select("document_id", "page", F.col("h").alias("l_h"), F.col("w").alias("l_w"), "reach", *[F.col(x).alias(f"l_{x}") for x in cols], F.explode(bands(c, by, size)).alias("band"))
+        right = b.select(F.col("document_id").alias("v_document"), F.col("page").alias("v_page"), *[F.col(x).alias(f"v_{x}") for x in cols], band(c, size).alias("v_band"))
+        return left.join(right, F.col("document_id").eqNullSafe(F.col("v_document")) & F.col("page").eqNullSafe(F.col("v_page")) & (F.col("band") == F.col("v_band"))).where("l_pos <> v_pos")
+
+    dy, dx = F.abs(F.col("v_cy") - F.col("l_cy")), F.abs(F.col("v_cx") - F.col("l_cx"))
+    right = (dy <= 0.9 * F.col("l_h")) & (F.col("v_x1") >= F.col("l_x2") - 0.25 * F.col("l_w"))
+    below = ~right & (F.col("v_y1") >= F.col("l_y2") - 0.225 * F.col("l_h")) & (dx <= F.col("reach"))
+    of_money = F.col("l_label").isin("total_amount", "subtotal", "tax")
+    fits = F.when(of_money, F.col("v_amount").isNotNull()).otherwise(F.col("v_label").isNull() & (F.trim("v_text") != ""))
+    out = lambda df, way, cost: df.select("document_id", "page", "l_pos", F.col("l_label").alias("field_name"), "v_pos", F.coalesce("v_amount", F.trim("v_text")).alias("value"), F.lit(way).alias("way"), cost.alias("cost"))
+    df = out(met("cy", 0.9 * F.col("h"), "row").where(fits & right), 0, F.col("v_x1") - F.col("l_x2")).unionByName(out(met("cx", F.col("reach"), "column").where(fits & below), 1, F.col("v_y1") - F.col("l_y2") + 0.25 * dx))
     best = Window.partitionBy("document_id", "page", "l_pos").orderBy("way", "cost", "v_pos")
     return df.withColumn("rank", F.row_number().over(best))
 
@@ -93,19 +137,35 @@ def pair_labels(blocks: DataFrame) -> DataFrame:
     return doc.select("document_id", F.explode(claimed).alias("c")).select("document_id", "c.field_name", "c.value")
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _triangle(values: pd.Series, places: pd.Series) -> pd.Series:
+    """Of sorted distinct amounts the places of total, subtotal and tax: a search for total - subtotal, largest ones first."""
+
+    def search(v: list, pos: np.ndarray) -> list[int] | None:
+        units = [int(x.scaleb(6)) for x in v]  # millionths, exact
+        v = np.array(units, np.int64 if units[-1] < 1 << 62 else object)
+        for t in range(len(v) - 1, 0, -1):
+            low = np.searchsorted(v, v[t] - v[:t] - 20_000)
+            high = np.minimum(t, np.searchsorted(v, v[t] - v[:t] + 20_000, "right"))
+            if (low < high).any():
+                s = int(np.flatnonzero(low < high)[-1])
+                return [t, s, int(low[s]) + int(np.argmin(pos[low[s] : high[s]]))]
+        return None
+
+    return pd.Series([search(v, p) for v, p in zip(values, places, strict=True)], dtype=object)
+
+
 def triangulate(amounts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """amounts (document_id, pos, value): total, subtotal and tax of documents with three distinct positive amounts or more,
     where total - subtotal is within .02 of a smaller amount: the largest total wins, then subtotal, then the first tax.
 
     With known (document_id, total_amount, subtotal, tax) only missing fields are filled: a row per known document.
     """
-    a = amounts.withColumn("v", parse_amount(F.col("value"))).where("v > 0").groupBy("document_id", "v").agg(F.min("pos").alias("pos"))
-    many = a.groupBy("document_id").agg(F.count("*").alias("n")).where("n >= 3").select("document_id")
-    a = a.join(many, "document_id", "left_semi")
-    side = lambda s: a.select("document_id", F.col("v").alias(s), F.col("pos").alias(f"{s}_pos"))
-    df = side("total").join(side("subtotal"), "document_id").where("total > subtotal").join(side("tax"), "document_id").where("tax < total and abs(tax - (total - subtotal)) <= 0.02")
-    best = F.min_by(F.struct("total", "subtotal", "tax"), F.struct((-F.col("total")).alias("a"), (-F.col("subtotal")).alias("b"), "tax_pos")).alias("b")
-    found = df.groupBy("document_id").agg(best).select("document_id", "b.*")
+    a = amounts.withColumn("v", parse_amount(F.col("value"))).where("v > 0").groupBy("document_id", "v").agg(F.min("pos").cast("long").alias("pos"))
+    sets = a.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("v", "pos"))).alias("a")).where("size(a) >= 3")
+    best = _triangle(F.col("a.v"), F.col("a.pos"))
+    pick = lambda i: F.get("a", F.get("best", i))["v"]
+    found = sets.withColumn("best", best).where("best is not null").select("document_id", pick(0).alias("total"), pick(1).alias("subtotal"), pick(2).alias("tax"))
     if known is None:
         return found
     have = known.select("document_id", *[F.col(c).alias(f"known_{n}") for n, c in (("total", "total_amount"), ("subtotal", "subtotal"), ("tax", "tax"))])

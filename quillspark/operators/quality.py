@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import at_place, counted
 
 
 def _safe(num, den):
@@ -24,13 +25,20 @@ def corpus_cer(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum(F.levenshtein(r, h)) / F.when(n > 0, n).otherwise(F.greatest(F.sum(F.char_length(h)), F.lit(1))), 6).alias("cer"))
 
 
-def corpus_rates(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Number, micro-averaged CER and WER, and mean normalised CER; all references empty: over the hypotheses' length."""
+def _measured(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Of each pair its edits and lengths in characters (e, n, m) and words (we, wn, wm) and its normalised CER (norm)."""
     r, h = F.coalesce("reference", F.lit("")), F.coalesce("hypothesis", F.lit(""))
-    e = F.levenshtein(r, h)
-    df = pairs.select(*keys, e.alias("e"), F.char_length(r).alias("n"), F.char_length(h).alias("m"), T.word_edits(F.col("reference"), F.col("hypothesis")).alias("we"), F.size(T.words(F.col("reference"))).alias("wn"), F.size(T.words(F.col("hypothesis"))).alias("wm"), _safe(e, F.greatest(F.char_length(r), F.char_length(h))).alias("norm"))
+    return pairs.select(*keys, F.levenshtein(r, h).alias("e"), F.char_length(r).alias("n"), F.char_length(h).alias("m"), T.word_edits(F.col("reference"), F.col("hypothesis")).alias("we"), F.size(T.words(F.col("reference"))).alias("wn"), F.size(T.words(F.col("hypothesis"))).alias("wm"), T.normalized_cer(F.col("reference"), F.col("hypothesis")).alias("norm"))
+
+
+def _rates() -> list[Column]:
     over = lambda n, m: F.when(F.sum(n) > 0, F.sum(n)).otherwise(F.greatest(F.sum(m), F.lit(1)))
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("e") / over("n", "m"), 6).alias("cer"), F.round(F.sum("we") / over("wn", "wm"), 6).alias("wer"), F.round(F.avg("norm"), 6).alias("norm_cer"))
+    return [F.count("*").alias("n"), F.round(F.sum("e") / over("n", "m"), 6).alias("cer"), F.round(F.sum("we") / over("wn", "wm"), 6).alias("wer"), F.round(F.avg("norm"), 6).alias("norm_cer")]
+
+
+def corpus_rates(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Number, micro-averaged CER and WER, and mean normalised CER; all references empty: over the hypotheses' length."""
+    return _measured(pairs, *keys).groupBy(*keys).agg(*_rates())
 
 
 def tier_verdict(pairs: DataFrame, a: str = "local", b: str = "vlm") -> DataFrame:
@@ -42,12 +50,8 @@ def tier_verdict(pairs: DataFrame, a: str = "local", b: str = "vlm") -> DataFram
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:
-    """By tier and field, and by tier (field null): number, CER, WER, mean normalised CER."""
-    r, h = F.coalesce("reference", F.lit("")), F.coalesce("hypothesis", F.lit(""))
-    e = F.levenshtein(r, h)
-    df = pairs.select("tier", "field_name", e.alias("e"), F.char_length(r).alias("n"), T.word_edits(F.col("reference"), F.col("hypothesis")).alias("we"), F.size(T.words(F.col("reference"))).alias("wn"), _safe(e, F.greatest(F.char_length(r), F.char_length(h))).alias("norm"))
-    aggs = [F.count("*").alias("n"), F.round(_safe(F.sum("e"), F.sum("n")), 6).alias("cer"), F.round(_safe(F.sum("we"), F.sum("wn")), 6).alias("wer"), F.round(F.avg("norm"), 6).alias("norm_cer")]
-    return df.groupingSets([["tier", "field_name"], ["tier"]], "tier", "field_name").agg(*aggs)
+    """The rates of corpus_rates by tier and field, and by tier (field null)."""
+    return _measured(pairs, "tier", "field_name").groupingSets([["tier", "field_name"], ["tier"]], "tier", "field_name").agg(*_rates())
 
 
 def field_error_rates(pairs: DataFrame) -> DataFrame:
@@ -85,14 +89,9 @@ def exact_and_f1(aligned: DataFrame) -> DataFrame:
 
 
 def latency_profile(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Percentiles as the value at place round(p (n - 1)) of the sorted non-zero values, not interpolated.
-
-    Values are counted first, so what is sorted is distinct values per group.
-    """
-    counts = df.where(F.col(value) > 0).groupBy(by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
-    at = lambda p: F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("total") - 1), 0), F.col(value))).alias(f"p{round(p * 100)}")
+    """Percentiles as the value at place round(p (n - 1)) of the sorted non-zero values, not interpolated."""
+    upto = counted(df.where(F.col(value) > 0), value, by)
+    at = lambda p: at_place(value, F.bround(F.lit(p) * (F.col("total") - 1), 0)).alias(f"p{round(p * 100)}")
     return upto.groupBy(by).agg(F.sum("n").alias("n"), F.min(value).alias("min"), *[at(p) for p in (0.5, 0.9, 0.95, 0.99)], F.max(value).alias("max"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 4).alias("mean"))
 
 
@@ -115,7 +114,7 @@ def field_coverage(truth: DataFrame) -> DataFrame:
 
 def worst_pairs(pairs: DataFrame, k: int, *ids: str) -> DataFrame:
     ranked = pairs.withColumn("cer", F.round(T.cer(F.col("reference"), F.col("hypothesis")), 6)).orderBy(F.desc("cer"), *ids).limit(k)
-    return ranked.withColumn("ops", T.edit_ops(T.chars(F.col("reference")), T.chars(F.col("hypothesis"))))
+    return ranked.withColumn("ops", T.text_edit_ops(F.col("reference"), F.col("hypothesis")))
 
 
 def failure_examples(aligned: DataFrame, n: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import amt_float
 from ..sources.ledger import REQUIRED, Ledger
 from .documents import correction_counts, document_items, field_values, upsert
+from .ranks import counted, percentile
 
 MONTH_STATES = ("approved", "review_pending", "rejected")
 PRIORITIES = ("Auto-Approve Candidate", "Needs Human Review", "Escalate", "Reject / Incomplete")
@@ -328,8 +329,11 @@ TRACE = "array<struct<stage:string,ok:boolean,reason:string,detail:map<string,st
 
 def trace_stats(ap: Ledger) -> DataFrame:
     """Per stage of the traceability logs: entries, ok share, reasons, median elapsed time."""
-    t = ap.documents.select(F.explode(F.from_json("traceability_log", TRACE)).alias("t")).select("t.*")
-    return t.groupBy("stage", "reason").agg(F.count("*").alias("entries"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("ok_share"), F.percentile(F.try_element_at("detail", F.lit("elapsed_ms")).try_cast("double"), 0.5).alias("median_ms"))
+    t = ap.documents.select(F.explode(F.from_json("traceability_log", TRACE)).alias("t")).select("t.stage", "t.reason", "t.ok", F.try_element_at("t.detail", F.lit("elapsed_ms")).try_cast("double").alias("ms"))
+    medians = counted(t, "ms", "stage", "reason").groupBy("stage", "reason").agg(percentile("ms", 0.5).alias("median_ms"))
+    all_ = t.groupBy("stage", "reason").agg(F.count("*").alias("entries"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("ok_share"))
+    same = F.col("a.stage").eqNullSafe(F.col("m.stage")) & F.col("a.reason").eqNullSafe(F.col("m.reason"))
+    return all_.alias("a").join(medians.alias("m"), same, "left").select("a.*", "m.median_ms")
 
 
 def last_confidence(ap: Ledger) -> DataFrame:

@@ -375,9 +375,39 @@ def pairs(name: str, run: Query, sql: str) -> None:
     QUERIES[name], SQL[name] = run, _PAIRS_SQL + sql
 
 
+#: Matches on the edit path of a and b. All paths have the same where there is at most one edit more than the lengths differ by, and
+#: the path is the diagonal where each edit is a changed place; else the cells' (edits, matches), as edits x 1,000,000 + matches, row by row.
+_CELLS = """list_reduce(range(1, length(a) + 1), lambda line, i: list_reduce(range(1, length(b) + 1), lambda found, j: list_append(found,
+  CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN line[j] + 1 WHEN line[j] // 1000000 <= least(line[j + 1] // 1000000, found[j] // 1000000) THEN line[j] + 1000000
+       WHEN line[j + 1] // 1000000 <= found[j] // 1000000 THEN line[j + 1] + 1000000 ELSE found[j] + 1000000 END), [CAST(i * 1000000 AS BIGINT)]), list_transform(range(length(b) + 1), lambda x: CAST(x * 1000000 AS BIGINT)))"""
+_MATCHES = f"""CASE WHEN levenshtein(a, b) - abs(length(a) - length(b)) <= 1 THEN greatest(length(a), length(b)) - levenshtein(a, b)
+  WHEN length(a) = length(b) THEN CASE WHEN hamming(a, b) = levenshtein(a, b) THEN length(a) - levenshtein(a, b) ELSE ({_CELLS})[-1] % 1000000 END ELSE ({_CELLS})[-1] % 1000000 END"""
+#: Words of a reference and a hypothesis; in wa and wb each distinct one is one character.
+_WORD = r"[^\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_IN_WORDS = f"SELECT * EXCLUDE (ws, hs), array_to_string(list_transform(ws, lambda x: chr(CAST(39 + list_position(list_distinct(list_concat(ws, hs)), x) AS INTEGER))), '') AS wa, array_to_string(list_transform(hs, lambda x: chr(CAST(39 + list_position(list_distinct(list_concat(ws, hs)), x) AS INTEGER))), '') AS wb FROM (SELECT *, regexp_extract_all(coalesce(reference, ''), '{_WORD}') AS ws, regexp_extract_all(coalesce(hypothesis, ''), '{_WORD}') AS hs FROM ap_pairs)"
+_OVER = "CASE WHEN {0} > 0 THEN {0} ELSE greatest({1}, 1) END"
+_OPS = f"SELECT *, n - c - (e - m + c) AS s, e - m + c AS d, e - n + c AS i FROM (SELECT *, levenshtein(a, b) AS e, length(a) AS n, length(b) AS m, {_MATCHES} AS c FROM ap_pairs)"
+
+
+def _rates(keys: str, where: str = "", group: str | None = None) -> str:
+    """The rates of corpus_rates by keys."""
+    return f"SELECT {keys}, count(*) AS n, round(sum(e) / {_OVER.format('sum(n)', 'sum(m)')}, 6) AS cer, round(sum(we) / {_OVER.format('sum(wn)', 'sum(wm)')}, 6) AS wer, round(avg(coalesce(e / nullif(e + c, 0), 0.0)), 6) AS norm_cer FROM (SELECT *, levenshtein(a, b) AS e, length(a) AS n, length(b) AS m, {_MATCHES} AS c, levenshtein(wa, wb) AS we, length(wa) AS wn, length(wb) AS wm FROM ({_IN_WORDS})) {where} GROUP BY {group or keys}"
+
+
 pairs("f12_cer", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer")), "SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(levenshtein(a, b) / CASE WHEN length(a) > 0 THEN length(a) ELSE greatest(length(b), 1) END, 6) AS cer FROM ap_pairs")
-add("f12_edit_ops", lambda s, d: text_pairs(s, d).withColumn("o", text.text_edit_ops(F.col("reference"), F.col("hypothesis"))).select("doc_id", "pos", "o.*"))
-add("f12_wer", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.wer(F.col("reference"), F.col("hypothesis")), 6).alias("wer")))
+pairs("f12_edit_ops", lambda s, d: text_pairs(s, d).withColumn("o", text.text_edit_ops(F.col("reference"), F.col("hypothesis"))).select("doc_id", "pos", "o.*"), f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(s AS INTEGER) AS s, CAST(d AS INTEGER) AS d, CAST(i AS INTEGER) AS i, CAST(c AS INTEGER) AS c FROM ({_OPS})")
+pairs("f12_wer", lambda s, d: text_pairs(s, d).select("doc_id", "pos", F.round(text.wer(F.col("reference"), F.col("hypothesis")), 6).alias("wer")), f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(levenshtein(wa, wb) / {_OVER.format('length(wa)', 'length(wb)')}, 6) AS wer FROM ({_IN_WORDS})")
+
+
+def _turned_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Field values against themselves with two turns: the first letter last, the next two swapped. So paths matter."""
+    v = F.coalesce("field_value", F.lit(""))
+    turned = F.concat(F.substring(v, 3, 1), F.substring(v, 2, 1), F.substring(v, F.lit(4), F.char_length(v)), F.substring(v, 1, 1))
+    return view(spark, sf, "ap_fields").select("id", v.alias("reference"), turned.alias("hypothesis"))
+
+
+add("f12_normalized_cer", lambda s, d: _turned_values(s, d).select("id", F.round(text.normalized_cer(F.col("reference"), F.col("hypothesis")), 6).alias("norm_cer")),
+    f"SELECT id, round(coalesce(levenshtein(a, b) / nullif(levenshtein(a, b) + {_MATCHES}, 0), 0.0), 6) AS norm_cer FROM (SELECT id, v AS a, substr(v, 3, 1) || substr(v, 2, 1) || substr(v, 4) || substr(v, 1, 1) AS b FROM (SELECT id, coalesce(field_value, '') AS v FROM ap_fields))", "ap_fields")
 _N = r"nullif(replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '(?i)(rs\.?|pkr|inr|usd|\$|€|£|/-)', '', 'g'), '\s+', ' ', 'g')), ',', ''), '')"
 _NUMBER = lambda c: rf"CASE WHEN regexp_matches({c}, '^[+-]?(\d+\.?\d*|\.\d+)$') THEN TRY_CAST({c} AS DECIMAL(38,6)) END"
 _BUCKETS = f"""SELECT doc_id, pos, doc_id || '_' || pos AS sample, field_name, CASE WHEN reference IS NULL AND hypothesis IS NULL THEN 'both_null' WHEN reference IS NULL THEN 'hallucination' WHEN hypothesis IS NULL THEN 'miss' WHEN t IS NOT DISTINCT FROM p THEN 'exact'
@@ -398,13 +428,13 @@ pairs("q5_field_prf", lambda s, d: Q.field_prf(_aligned(s, d)), _PRF)
 pairs("q6_field_verdicts", lambda s, d: Q.field_verdicts(Q.field_prf(_aligned(s, d))), f"SELECT field, f1, CASE WHEN f1 >= 0.8 THEN 'strong' WHEN f1 >= 0.5 THEN 'mid' ELSE 'weak' END AS verdict, CASE WHEN greatest(miss, wrong, hallucination) = 0 THEN NULL WHEN miss = greatest(miss, wrong, hallucination) THEN 'miss' WHEN wrong = greatest(miss, wrong, hallucination) THEN 'wrong' ELSE 'hallucination' END AS dominant_failure FROM ({_PRF})")
 _CERS = "SELECT {0}, count(*) AS n, round(sum(levenshtein(a, b)) / CASE WHEN sum(length(a)) > 0 THEN sum(length(a)) ELSE greatest(sum(length(b)), 1) END, 6) AS cer FROM ap_pairs {1} GROUP BY {0}"
 pairs("q1_corpus_cer", lambda s, d: Q.corpus_cer(text_pairs(s, d), "tier"), _CERS.format("tier", ""))
-add("q1_corpus_rates", lambda s, d: Q.corpus_rates(text_pairs(s, d), "tier"))
-pairs("q2_error_rates", lambda s, d: Q.error_rates(text_pairs(s, d)).drop("wer"), "SELECT tier, field_name, count(*) AS n, round(sum(e) / sum(r), 6) AS cer, round(avg(coalesce(e / nullif(greatest(r, h), 0), 0.0)), 6) AS norm_cer FROM (SELECT tier, field_name, levenshtein(a, b) AS e, length(a) AS r, length(b) AS h FROM ap_pairs) GROUP BY GROUPING SETS ((tier, field_name), (tier))")
-add("q2_error_rates_whole", lambda s, d: Q.error_rates(text_pairs(s, d)))
+pairs("q1_corpus_rates", lambda s, d: Q.corpus_rates(text_pairs(s, d), "tier"), _rates("tier"))
+pairs("q2_error_rates", lambda s, d: Q.error_rates(text_pairs(s, d)), _rates("tier, field_name", "", "GROUPING SETS ((tier, field_name), (tier))"))
+QUERIES["q2_error_rates_whole"], SQL["q2_error_rates_whole"] = QUERIES["q2_error_rates"], SQL["q2_error_rates"]
 _TIER_CER = f"SELECT max(cer) FILTER (tier = 'local') AS cer_a, max(cer) FILTER (tier = 'vlm') AS cer_b FROM ({_CERS.format('tier', '')})"
 pairs("q2_tier_verdict", lambda s, d: Q.tier_verdict(text_pairs(s, d)), f"SELECT cer_a, cer_b, round((cer_a - cer_b) * 100, 4) AS points, CASE WHEN round((cer_a - cer_b) * 100, 4) > 2 THEN 'second is better' WHEN round((cer_a - cer_b) * 100, 4) < -2 THEN 'second is worse' ELSE 'similar' END AS verdict FROM ({_TIER_CER})")
-pairs("q3_field_error_rates", lambda s, d: Q.field_error_rates(text_pairs(s, d)).drop("wer"), f"SELECT *, CASE WHEN cer < 0.02 THEN 'EXCELLENT' WHEN cer < 0.1 THEN 'AVERAGE' ELSE 'POOR' END AS band FROM (SELECT field_name, count(*) AS n, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(avg(coalesce(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 0.0)), 6) AS norm_cer FROM ap_pairs WHERE reference IS NOT NULL GROUP BY 1)")
-add("q3_field_error_rates_whole", lambda s, d: Q.field_error_rates(text_pairs(s, d)))
+pairs("q3_field_error_rates", lambda s, d: Q.field_error_rates(text_pairs(s, d)), f"SELECT *, CASE WHEN cer < 0.02 THEN 'EXCELLENT' WHEN cer < 0.1 THEN 'AVERAGE' ELSE 'POOR' END AS band FROM ({_rates('field_name', 'WHERE reference IS NOT NULL')})")
+QUERIES["q3_field_error_rates_whole"], SQL["q3_field_error_rates_whole"] = QUERIES["q3_field_error_rates"], SQL["q3_field_error_rates"]
 pairs("q4_tier_advantage", lambda s, d: Q.tier_advantage(text_pairs(s, d)), f"SELECT field_name, a.cer AS cer_a, b.cer AS cer_b, round((a.cer - b.cer) * 100, 2) AS points FROM ({_CERS.format('tier, field_name', '')}) a JOIN ({_CERS.format('tier, field_name', '')}) b USING (field_name) WHERE a.tier = 'local' AND b.tier = 'vlm'")
 _TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '(\w+)', 1)"
 _F1 = f"SELECT *, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE coalesce(2.0 * list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda z: z = t)), len(list_filter(y, lambda z: z = t))))), 0) / (len(x) + len(y)) END AS f1 FROM (SELECT *, {_TOK.format('hypothesis')} AS x, {_TOK.format('reference')} AS y FROM ap_pairs)"
@@ -422,8 +452,8 @@ def _items_check(spark: SparkSession, sf: str) -> DataFrame:
 
 add("q10_line_item_match", _items_check, "SELECT document_id AS id, CASE WHEN n % 2 = 0 THEN 'match' ELSE 'under' END AS count_match, CAST(CASE WHEN n % 2 = 0 THEN n ELSE n - 1 END AS INTEGER) AS matched, CAST(CASE WHEN n % 2 = 0 THEN n ELSE n - 1 END AS INTEGER) AS compared FROM (SELECT document_id, count(*) AS n FROM ap_line_items GROUP BY 1)", "ap_line_items")
 add("q11_field_coverage", lambda s, d: Q.field_coverage(view(s, d, "ap_fields").select(F.col("field_name").alias("field"), F.col("field_value").alias("value"))), "SELECT field_name AS field, count(*) AS n, count(*) FILTER (coalesce(field_value, '') <> '') AS present FROM ap_fields GROUP BY 1", "ap_fields")
-pairs("q12_worst_pairs", lambda s, d: Q.worst_pairs(text_pairs(s, d), 20, "doc_id", "pos").select("doc_id", "pos", "cer"), "SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(levenshtein(a, b) / CASE WHEN length(a) > 0 THEN length(a) ELSE greatest(length(b), 1) END, 6) AS cer FROM ap_pairs ORDER BY 3 DESC, 1, 2 LIMIT 20")
-add("q12_worst_pairs_whole", lambda s, d: Q.worst_pairs(text_pairs(s, d), 20, "doc_id", "pos").select("doc_id", "pos", "cer", "ops"))
+pairs("q12_worst_pairs", lambda s, d: Q.worst_pairs(text_pairs(s, d), 20, "doc_id", "pos").select("doc_id", "pos", "cer", "ops.*"), f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(e / {_OVER.format('n', 'm')}, 6) AS cer, CAST(s AS INTEGER) AS s, CAST(d AS INTEGER) AS d, CAST(i AS INTEGER) AS i, CAST(c AS INTEGER) AS c FROM ({_OPS}) ORDER BY 3 DESC, 1, 2 LIMIT 20")
+QUERIES["q12_worst_pairs_whole"], SQL["q12_worst_pairs_whole"] = QUERIES["q12_worst_pairs"], SQL["q12_worst_pairs"]
 pairs("q12_failure_examples", lambda s, d: Q.failure_examples(_aligned(s, d)).select("sample", "field", "bucket", "rank"), f"SELECT sample, field_name AS field, bucket, CAST(row_number() OVER (PARTITION BY field_name ORDER BY sample) AS INTEGER) AS rank FROM ({_BUCKETS}) WHERE bucket IN ('wrong', 'miss', 'hallucination') QUALIFY rank <= 3")
 
 
@@ -462,7 +492,33 @@ add("f19_invalid_transitions", lambda s, d: R.invalid_transitions(_status_log(s,
 _LABELLED = "SELECT *, CASE WHEN pos % 2 = 0 THEN CASE text WHEN 'Vendor:' THEN 'vendor_name' WHEN 'Invoice No:' THEN 'invoice_number' WHEN 'Date:' THEN 'date' WHEN 'Subtotal' THEN 'subtotal' WHEN 'Tax' THEN 'tax' ELSE 'total_amount' END END AS label FROM ap_blocks"
 add("f21_classify_blocks", lambda s, d: L.classify_blocks(view(s, d, "ap_blocks")).select("document_id", "pos", "label", "amount"), f"SELECT document_id, pos, label, CASE WHEN pos IN (9, 11, 13) THEN replace(text, '$', '') END AS amount FROM ({_LABELLED})", "ap_blocks")
 add("w4_reading_order", lambda s, d: L.reading_order(view(s, d, "ap_blocks")), "SELECT document_id, 1 AS page, string_agg(line, chr(10) ORDER BY y1) AS text FROM (SELECT document_id, y1, string_agg(text, ' ' ORDER BY x1) AS line FROM ap_blocks GROUP BY 1, 2) GROUP BY 1", "ap_blocks")
-add("j5_pair_labels", lambda s, d: L.pair_labels(view(s, d, "ap_blocks")), f"SELECT a.document_id, a.label AS field_name, CASE WHEN b.pos IN (9, 11, 13) THEN replace(b.text, '$', '') ELSE b.text END AS value FROM ({_LABELLED}) a JOIN ap_blocks b ON b.document_id = a.document_id AND b.pos = a.pos + 1 WHERE a.label IS NOT NULL", "ap_blocks")
+#: The layout rule in the other engine's SQL, over {0} (blocks with labels and amounts): all pairs of a page, each label's best value, then labels in order.
+_LAYOUT = """SELECT document_id, unnest(got).f AS field_name, unnest(got).x AS value FROM (SELECT document_id, list_reduce(list({{'l': l, 'v': v, 'f': f, 'x': x}} ORDER BY l), lambda acc, p: CASE WHEN len(list_filter(acc, lambda q: q.f = p.f OR q.v = p.v)) > 0 THEN acc ELSE list_append(acc, p) END, []::STRUCT(l INTEGER, v INTEGER, f VARCHAR, x VARCHAR)[]) AS got FROM (
+  SELECT document_id, l, v, f, x FROM (SELECT *, row_number() OVER (PARTITION BY document_id, l ORDER BY way, cost, v) AS r FROM (SELECT document_id, l, v, f, x, CASE WHEN beside THEN 0 ELSE 1 END AS way, CASE WHEN beside THEN gap ELSE drop + 0.25 * dx END AS cost FROM (
+    SELECT l.document_id, l.pos AS l, v.pos AS v, l.label AS f, coalesce(v.amount, trim(v.text)) AS x, l.label IN ('total_amount', 'subtotal', 'tax') AS money, greatest(l.y2 - l.y1, 1) AS h, greatest(l.x2 - l.x1, 1) AS w, v.x1 - l.x2 AS gap, v.y1 - l.y2 AS drop, abs(v.x1 + v.x2 - l.x1 - l.x2) / 2 AS dx,
+      abs(v.y1 + v.y2 - l.y1 - l.y2) / 2 <= 0.9 * h AND gap >= -0.25 * w AS beside, CASE WHEN money THEN v.amount IS NOT NULL ELSE v.label IS NULL AND trim(v.text) <> '' END AS fits
+    FROM {0} l JOIN {0} v ON v.document_id = l.document_id AND v.page = l.page AND v.pos <> l.pos WHERE l.label IS NOT NULL)
+    WHERE fits AND (beside OR (drop >= -0.225 * h AND dx <= CASE WHEN money THEN greatest(3 * w, 6 * h) ELSE greatest(2 * w, 4 * h) END)))) WHERE r = 1) GROUP BY document_id)"""
+_LABELLED_AMOUNTS = f"SELECT *, CASE WHEN pos IN (9, 11, 13) THEN replace(text, '$', '') END AS amount FROM ({_LABELLED})"
+add("j5_pair_labels", lambda s, d: L.pair_labels(view(s, d, "ap_blocks")), _LAYOUT.format(f"({_LABELLED_AMOUNTS})"), "ap_blocks")
+
+
+def _uneven_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of lines that aren't level, some values below their labels instead of beside them."""
+    below, shift = (F.col("pos") % 2 == 1) & ((F.col("k") + F.col("pos")) % 6 == 1), (7 * F.col("pos") + F.col("k")) % 5
+    moved = {"x1": F.when(below, F.lit(12.0)).otherwise(F.col("x1") + F.col("k") % 11), "x2": F.when(below, F.lit(112.0)).otherwise(F.col("x2") + F.col("k") % 11)}
+    y = {"y1": F.when(below, F.col("y1") + 12.0).otherwise(F.col("y1") + shift), "y2": F.when(below, F.col("y1") + 19.0).otherwise(F.col("y2") + shift)}
+    return view(spark, sf, "ap_blocks").withColumns({**moved, **y})
+
+
+_UNEVEN = f"""(SELECT document_id, page, pos, text, label, amount, CASE WHEN u THEN 12.0 ELSE x1 + k % 11 END AS x1, CASE WHEN u THEN 112.0 ELSE x2 + k % 11 END AS x2, CASE WHEN u THEN y1 + 12 ELSE y1 + (7 * pos + k) % 5 END AS y1, CASE WHEN u THEN y1 + 19 ELSE y2 + (7 * pos + k) % 5 END AS y2
+  FROM (SELECT *, pos % 2 = 1 AND (k + pos) % 6 = 1 AS u FROM ({_LABELLED_AMOUNTS})))"""
+add("j5_pair_labels_uneven", lambda s, d: L.pair_labels(_uneven_blocks(s, d)), _LAYOUT.format(_UNEVEN), "ap_blocks")
+#: Lines of {0} by the first block of each, as a fold over a page's blocks in order.
+_FOLD = """SELECT document_id, page, array_to_string(list_transform(ls, lambda l: array_to_string(list_transform(list_sort(l), lambda w: w.text), ' ')), chr(10)) AS text FROM (SELECT document_id, page, list_reduce(bs, lambda acc, b: CASE WHEN acc.a IS NOT NULL AND abs(b.cy - acc.a) <= greatest(8, 0.6 * h) THEN {{'a': acc.a, 'ls': list_append(acc.ls[:len(acc.ls) - 1], list_append(acc.ls[len(acc.ls)], {{'x1': b.x1, 'pos': b.pos, 'text': b.text}}))}}
+    ELSE {{'a': b.cy, 'ls': list_append(acc.ls, [{{'x1': b.x1, 'pos': b.pos, 'text': b.text}}])}} END, {{'a': NULL::DOUBLE, 'ls': []::STRUCT(x1 DOUBLE, pos INTEGER, text VARCHAR)[][]}}).ls AS ls
+  FROM (SELECT document_id, page, avg(greatest(y2 - y1, 1)) AS h, list({{'cy': CAST((y1 + y2) / 2 AS DOUBLE), 'x1': CAST(x1 AS DOUBLE), 'pos': pos, 'text': text}} ORDER BY (y1 + y2) / 2, x1, pos) AS bs FROM {0} GROUP BY ALL))"""
+add("w4_reading_order_uneven", lambda s, d: L.reading_order(_uneven_blocks(s, d)), _FOLD.format(_UNEVEN), "ap_blocks")
 _MONEY = "SELECT document_id, v, min(pos) AS pos FROM (SELECT document_id, pos, CAST(replace(text, '$', '') AS DECIMAL(38,6)) AS v FROM ap_blocks WHERE pos IN (9, 11, 13)) WHERE v > 0 GROUP BY 1, 2"
 add("j6_triangulate", lambda s, d: L.triangulate(L.classify_blocks(view(s, d, "ap_blocks")).where("amount is not null").select("document_id", "pos", F.col("amount").alias("value"))).select("document_id", *[F.col(c).cast("double").alias(c) for c in ("total", "subtotal", "tax")]), f"""SELECT document_id, CAST(total AS DOUBLE) AS total, CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax AS DOUBLE) AS tax FROM (SELECT t.document_id, t.v AS total, s.v AS subtotal, x.v AS tax, row_number() OVER (PARTITION BY t.document_id ORDER BY t.v DESC, s.v DESC, x.pos) AS r
   FROM ({_MONEY}) t JOIN ({_MONEY}) s ON s.document_id = t.document_id AND s.v < t.v JOIN ({_MONEY}) x ON x.document_id = t.document_id AND x.v < t.v AND abs(x.v - (t.v - s.v)) <= 0.02 WHERE t.document_id IN (SELECT document_id FROM ({_MONEY}) GROUP BY 1 HAVING count(*) >= 3)) WHERE r = 1""", "ap_blocks")
@@ -573,8 +629,8 @@ def _documents_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(VIEWS["ap_documents"], orders=_stream(spark, sf, "orders"))
 
 
-add("t1_stream_throughput", lambda s, d: ran(J.throughput(_documents_stream(s, d)), "complete"), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, count(*) AS documents FROM ap_documents GROUP BY 1", "ap_documents")
-add("t2_stream_confidence_drift", lambda s, d: ran(J.confidence_drift(J.with_confidence(_documents_stream(s, d), view(s, d, "ap_fields"))), "complete"), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, CAST((2000 * sum(CAST(CAST(conf AS DECIMAL(10,6)) * 1000000 AS BIGINT)) + 1000000 * count(*)) // (2000000 * count(*)) AS BIGINT) / 1000.0E0 AS avg_confidence, count(*) AS documents FROM (SELECT uploaded_at, coalesce(confidence_score, m) AS conf FROM ap_documents LEFT JOIN (SELECT document_id, avg(confidence) AS m FROM ap_fields GROUP BY 1) f ON f.document_id = id) WHERE conf IS NOT NULL GROUP BY 1", "ap_documents", "ap_fields")
+add("t1_stream_throughput", lambda s, d: ran(J.throughput(_documents_stream(s, d)), "update", ["day"]), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, count(*) AS documents FROM ap_documents GROUP BY 1", "ap_documents")
+add("t2_stream_confidence_drift", lambda s, d: ran(J.confidence_drift(J.with_confidence(_documents_stream(s, d), view(s, d, "ap_fields"))), "update", ["day"]), "SELECT strftime(uploaded_at, '%Y-%m-%d') AS day, CAST((2000 * sum(CAST(CAST(conf AS DECIMAL(10,6)) * 1000000 AS BIGINT)) + 1000000 * count(*)) // (2000000 * count(*)) AS BIGINT) / 1000.0E0 AS avg_confidence, count(*) AS documents FROM (SELECT uploaded_at, coalesce(confidence_score, m) AS conf FROM ap_documents LEFT JOIN (SELECT document_id, avg(confidence) AS m FROM ap_fields GROUP BY 1) f ON f.document_id = id) WHERE conf IS NOT NULL GROUP BY 1", "ap_documents", "ap_fields")
 
 
 def _stream_transitions(spark: SparkSession, sf: str) -> DataFrame:
@@ -588,15 +644,30 @@ add("t3_stream_invalid_transitions", _stream_transitions, SQL["f19_invalid_trans
 add("t3_stream_batch_progress", lambda s, d: ran(J.batch_progress(_documents_stream(s, d).where("batch_id is not null").select("batch_id", F.col("id").alias("document_id"), "status", F.col("k").alias("seq"))), "append"), f"SELECT batch_id, CASE WHEN failed > 0 THEN 'partial_failed' ELSE 'completed' END AS status FROM ({_BATCH}) WHERE uploaded + processing = 0", *_ALL)
 
 
+def _recalibrated(spark: SparkSession, sf: str) -> J.Recalibration:
+    """Thresholds after all corrections have come in a stream, four files at a time."""
+    path, ap = shared_folder(spark, "corrections"), sales_ledger(spark, sf)
+    ap.corrections.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(ap.corrections.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    loop = J.Recalibration(ap, path)
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(loop).start().awaitTermination()
+    return loop
+
+
 def _recalibrations(spark: SparkSession, sf: str) -> DataFrame:
-    """Corrections as they come: how many there are, and how many recalibrations they call for."""
-    path = shared_folder(spark, "corrections")
-    view(spark, sf, "ap_corrections").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    job = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    job.foreachBatch(J.recalibrate_every(10, lambda: None, f"{path}/counts")).start().awaitTermination()
-    n = J.corrections_seen(spark, f"{path}/counts", 1 << 62)
-    return spark.createDataFrame([(n, n // 10)], "corrections long, due long")
+    """How many corrections came, after how many tens of them thresholds were to be fitted, and after how many they were."""
+    loop = _recalibrated(spark, sf)
+    n = loop.corrections()
+    return spark.createDataFrame([(n, n // 10, loop.published() // 10)], "corrections long, due long, published long")
+
+
+add("t4_recalibrations", _recalibrations, "SELECT count(*) AS corrections, count(*) // 10 AS due, count(*) // 10 AS published FROM ap_corrections", "ap_corrections")
+
+
+def _published_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The review queue by the thresholds that the stream published last."""
+    thresholds = _recalibrated(spark, sf).thresholds.read().select("field_name", "threshold")
+    return R.review_queue(sales_ledger(spark, sf), thresholds).groupBy("field_name", "review", "reason").agg(F.count("*").alias("fields"))
 
 
-add("t4_recalibrations", _recalibrations, "SELECT count(*) AS corrections, count(*) // 10 AS due FROM ap_corrections", "ap_corrections")
+add("t4_review_queue", _published_queue)

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.forecast import calibrate
 from ..operators.review import TRANSITIONS
+from ..sources.ledger import Ledger
+from ..sources.tables import KeyedTable
 
 
 def throughput(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Uploads a day (uploaded_at); later arrivals than the watermark allows are left out."""
+    """Uploads a day (uploaded_at), for update mode: a micro-batch gives the days that it changed. What comes later than the watermark
+    allows is left out, and days before it leave the state."""
     days = stream.withWatermark("uploaded_at", late).groupBy(F.window("uploaded_at", "1 day"))
     return days.agg(F.count("*").alias("documents")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "documents")
 
@@ -25,86 +30,140 @@ def with_confidence(stream: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def confidence_drift(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Daily mean of conf over documents that have it."""
+    """Daily mean of conf over documents that have it, for update mode as throughput."""
     days = stream.where("conf is not null").withWatermark("uploaded_at", late).groupBy(F.window("uploaded_at", "1 day"))
     return days.agg(F.round(F.avg(F.col("conf").cast("decimal(10,6)")), 3).cast("double").alias("avg_confidence"), F.count("*").alias("documents")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "avg_confidence", "documents")
 
 
-def _timeout(kept_ms: int | None) -> str:
-    """State is kept for good where kept_ms is null: a run over what is available now would never end otherwise."""
-    return GroupStateTimeout.NoTimeout if kept_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+class _Kept(StatefulProcessor):
+    """State of a key that is forgotten when the key has been silent for kept_ms (null: never). One timer a key: each row moves it on."""
 
+    def __init__(self, kept_ms: int | None):
+        self.kept_ms = kept_ms
 
-def invalid_transitions(stream: DataFrame, kept_ms: int | None = None) -> DataFrame:
-    """stream (key, ts, seq, status): steps that aren't allowed, in the order of (ts, seq).
+    def _again(self, handle: StatefulProcessorHandle, timers) -> None:
+        if self.kept_ms is not None:
+            for t in list(handle.listTimers()):
+                handle.deleteTimer(t)
+            handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.kept_ms)
 
-    The state of a key is its last status and its place in that order; events at or before it are ignored. Keys that are
-    silent for kept_ms, if it is given, are forgotten. A micro-batch's events of one key are sorted in one task.
-    """
+    def close(self) -> None:
+        pass
+
+
+class _Transitions(_Kept):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string, ts long, seq long")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, *at = state.get if state.exists else (None, -(1 << 62), -(1 << 62))
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, *at = self.last.get() if self.last.exists() else (None, -(1 << 62), -(1 << 62))
+        events = []
+        for pdf in rows:  # only what is after the state is kept
+            ts = pdf["ts"].astype("datetime64[us]").astype("int64")
+            events += [e for e in zip(ts.tolist(), pdf["seq"].tolist(), pdf["status"].tolist(), strict=True) if e[:2] > tuple(at)]
         out = []
-        for ts, seq, status in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["seq"], rows["status"], strict=True):
-            if (int(ts), int(seq)) <= tuple(at):
+        for ts, seq, status in sorted(events):
+            if (ts, seq) <= tuple(at):
                 continue
             if last is not None and status not in TRANSITIONS.get(last, ()):
-                out.append((key[0], int(seq), last, status))
-            last, at = status, (int(ts), int(seq))
-        state.update((last, *at))
-        if kept_ms is not None:
-            state.setTimeoutDuration(kept_ms)
+                out.append((key[0], seq, last, status))
+            last, at = status, (ts, seq)
+        if last is not None:
+            self.last.update((last, *at))
+        self._again(self.handle, timerValues)
         yield pd.DataFrame(out, columns=["key", "seq", "before", "status"])
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key long, seq long, before string, status string", "status string, ts long, seq long", "append", _timeout(kept_ms))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["key", "seq", "before", "status"])
+
+
+def invalid_transitions(stream: DataFrame, kept_ms: int | None = None) -> DataFrame:
+    """stream (key, ts, seq, status): steps that aren't allowed, in the order of (ts, seq).
+
+    A key's state is its last status and that status's place in the order, as typed columns; events at or before it are ignored. Keys that are
+    silent for kept_ms, if it is given, are forgotten by a timer. A micro-batch's events of one key are sorted in one task: limit
+    the files of a micro-batch where a key may have very many.
+    """
+    return _stateful(stream.groupBy("key"), _Transitions(kept_ms), "key long, seq long, before string, status string")
+
+
+class _Progress(_Kept):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.documents = handle.getMapState("documents", "document_id string", "status string, seq long")
+        self.counts = handle.getValueState("counts", "running long, failed long, ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        running, failed, ended = self.counts.get() if self.counts.exists() else (0, 0, False)
+        if not ended:
+            for pdf in rows:
+                for d, s, q in zip(pdf["document_id"], pdf["status"], pdf["seq"], strict=True):
+                    before = self.documents.getValue((d,)) if self.documents.containsKey((d,)) else None
+                    if before is not None and q <= before[1]:
+                        continue
+                    self.documents.updateValue((d,), (s, int(q)))
+                    old = before[0] if before is not None else None
+                    running += (s in _RUNNING) - (old in _RUNNING)
+                    failed += (s == "failed") - (old == "failed")
+        done = not ended and running == 0
+        if done:
+            self.documents.clear()
+        self.counts.update((int(running), int(failed), bool(ended or done)))
+        self._again(self.handle, timerValues)
+        yield pd.DataFrame([(key[0], "partial_failed" if failed else "completed")] if done else [], columns=["batch_id", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.documents.clear()
+        self.counts.clear()
+        yield pd.DataFrame([], columns=["batch_id", "status"])
+
+
+_RUNNING = ("uploaded", "processing")
 
 
 def batch_progress(stream: DataFrame, kept_ms: int | None = None) -> DataFrame:
-    """stream (batch_id, document_id, status, seq): the newest status of each document is kept until its batch ends, which gives the
-    batch; later events of it are ignored. Batches that are silent for kept_ms, if it is given, are forgotten."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        docs, ended = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, False)
-        for pdf in batches:
-            for d, s, q in zip(pdf["document_id"], pdf["status"], pdf["seq"], strict=True):
-                if not ended and q > docs.get(d, ["", -1])[1]:
-                    docs[d] = [s, int(q)]
-        states = [s for s, _ in docs.values()]
-        done = not ended and not any(s in ("uploaded", "processing") for s in states)
-        state.update(("{}" if ended or done else json.dumps(docs), bool(ended or done)))
-        if kept_ms is not None:
-            state.setTimeoutDuration(kept_ms)
-        yield pd.DataFrame([(key[0], "partial_failed" if "failed" in states else "completed")] if done else [], columns=["batch_id", "status"])
-
-    return stream.groupBy("batch_id").applyInPandasWithState(run, "batch_id string, status string", "docs string, ended boolean", "append", _timeout(kept_ms))
-
-
-def recalibrate_every(n: int, calibrate: Callable[[], None], path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over corrections: calls calibrate each time another n have come.
-
-    Each micro-batch's number is a small table under path, by the batch's id: a restart goes on from there, and a batch
-    that is given again counts once.
+    """stream (batch_id, document_id, status, seq): the newest status of each document is kept, as an entry of a map, until its batch ends, which gives the
+    batch; later events of it are ignored. Batches that are silent for kept_ms, if it is given, are forgotten by a timer."""
+    return _stateful(stream.groupBy("batch_id"), _Progress(kept_ms), "batch_id string, status string")
+
+
+def _stateful(groups, processor: _Kept, schema: str) -> DataFrame:
+    """Needs the RocksDB state store, which ``run.ran`` and ``run.started`` set."""
+    return groups.transformWithStateInPandas(processor, schema, "append", "ProcessingTime" if processor.kept_ms is not None else "None")
+
+
+class Recalibration:
+    """For foreachBatch over corrections: fits the thresholds anew each time another n corrections have come, and publishes them.
+
+    Which fields were corrected, and how often, is a keyed table that each micro-batch is added to once; so a restart goes on from
+    there, and nothing grows with the number of batches. Thresholds are a keyed table, too: a fit is one version, which readers
+    see whole. Each row says after how many corrections it was fitted, so that a fit that was missed by a crash is made up for.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        now, before = corrections_seen(batch.sparkSession, path, batch_id + 1), corrections_seen(batch.sparkSession, path, batch_id)
-        if now // n > before // n:
-            calibrate()
+    def __init__(self, ledger: Ledger, path: str, n: int = 10):
+        spark = ledger.fields.sparkSession
+        self.ledger, self.n = ledger, n
+        self.seen = KeyedTable(spark, f"{path}/corrected", "field_id string, corrections long", ["field_id"])
+        self.thresholds = KeyedTable(spark, f"{path}/thresholds", THRESHOLDS, ["field_name"], 1)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        new = batch.groupBy("field_id").agg(F.count("*").alias("new"))
+        old = self.seen.read()
+        both = new.join(old, new["field_id"].eqNullSafe(old["field_id"]), "left")
+        self.seen.upsert(both.select(new["field_id"], (F.col("new") + F.coalesce("corrections", F.lit(0))).alias("corrections")), "stream", batch_id)
+        now = self.corrections()
+        if now // self.n > self.published() // self.n:
+            fitted = calibrate(replace(self.ledger, corrections=self.seen.read()))
+            self.thresholds.upsert(fitted.select("field_name", "threshold", "samples", F.lit(now).cast("long").alias("after")))
+
+    def corrections(self) -> int:
+        return self.seen.read().agg(F.coalesce(F.sum("corrections"), F.lit(0))).first()[0]
 
-    return run
+    def published(self) -> int:
+        return self.thresholds.read().agg(F.coalesce(F.max("after"), F.lit(0))).first()[0]
 
 
-def corrections_seen(spark: SparkSession, path: str, below: int) -> int:
-    """Corrections of the micro-batches before this one."""
-    counts = spark.read.schema("n long, batch long").parquet(path).where(F.col("batch") < below)
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+#: What a fit publishes: a row for each field name; a null threshold means the default.
+THRESHOLDS = "field_name string, threshold double, samples long, after long"

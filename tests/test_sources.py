@@ -143,14 +143,6 @@ def test_score_without_model(spark):
     assert all(r.ok and r.reason == "skipped" for r in got)
 
 
-def test_recalibrate_every(spark, tmp_path):
-    calls = []
-    for k, n in enumerate((4, 4, 4, 25, 2)):
-        jobs.recalibrate_every(10, lambda k=k: calls.append(k), f"{tmp_path}/n")(spark.range(n), k)  # a restart each time
-    jobs.recalibrate_every(10, lambda: None, f"{tmp_path}/n")(spark.range(2), 4)  # the last batch given again
-    assert calls == [2, 3] and jobs.corrections_seen(spark, f"{tmp_path}/n", 9) == 39
-
-
 def test_late_events_are_ignored(spark, tmp_path):
     for k, rows in enumerate(([(1, 1, 5, "received"), (1, 3, 3, "preprocessed")], [(1, 2, 9, "verified"), (1, 4, 1, "verified")])):
         spark.createDataFrame(rows, "key long, ts long, seq long, status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
