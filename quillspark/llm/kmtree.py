@@ -30,7 +30,7 @@ SALTS = 64
 class Tree:
     """Nodes in the order of their making, the root first; a node's children stand together.
 
-    Inner products become distances: vectors (divided by ``unit``) get one more component, so that all have the largest norm,
+    Inner products become distances: vectors (divided by ``unit``, the largest norm) get one more component, so that all have norm 1,
     and queries a zero there. Then the nearest is the one of the largest product.
     """
 
@@ -39,7 +39,6 @@ class Tree:
     count: np.ndarray
     leaf: np.ndarray
     unit: float
-    norm2: float
 
     @property
     def leaves(self) -> int:
@@ -47,7 +46,7 @@ class Tree:
 
     def lifted(self, v: np.ndarray) -> np.ndarray:
         v = v / self.unit
-        return np.column_stack([v, np.sqrt(np.maximum(0.0, self.norm2 - np.einsum("ij,ij->i", v, v)))])
+        return np.column_stack([v, np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", v, v)))])
 
     def leaf_of(self, v: np.ndarray) -> np.ndarray:
         """The leaf of each row: from the root to the nearest child, level by level."""
@@ -81,9 +80,9 @@ class Tree:
         return found
 
 
-def fit(sample: np.ndarray, unit: float, norm2: float, seed: int = 0) -> Tree:
+def fit(sample: np.ndarray, unit: float, seed: int = 0) -> Tree:
     """A tree over the sample: nodes of over LEAF_ROWS rows are split by k-means into at most BRANCHES, as long as that parts them."""
-    tree = Tree(np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros(0), unit, norm2)
+    tree = Tree(np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros(0), unit)
     x, rng = tree.lifted(sample), np.random.default_rng(seed)
     centres, first, count, todo = [x.mean(axis=0)], [0], [0], [(0, np.arange(len(x)))]
     while todo:
@@ -109,7 +108,7 @@ def fit(sample: np.ndarray, unit: float, norm2: float, seed: int = 0) -> Tree:
                 count.append(0)
     count = np.array(count)
     leaf = np.where(count == 0, np.cumsum(count == 0) - 1, -1)
-    return Tree(np.array(centres), np.array(first), count, leaf, unit, norm2)
+    return Tree(np.array(centres), np.array(first), count, leaf, unit)
 
 
 def _matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
@@ -134,9 +133,6 @@ def ann(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95,
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
-    copies = Window.partitionBy("v").orderBy("vec_id")
-    one = rows.select("vec_id", "v", "dim", F.dense_rank().over(copies).alias("place"), F.lag("vec_id").over(copies).alias("before"))
-    one = stored(one.where((F.col("place") <= k + 1) & ~F.col("vec_id").eqNullSafe(F.col("before"))).select("vec_id", "v", "dim"), "ann-rows", "dim")
     asked = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v"), (F.min("v") != F.max("v")).alias("several"))
     alike = Window.partitionBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)), F.when(F.col("several"), F.col("vec_id")))
     asked = stored(asked.withColumns({"class": F.min("vec_id").over(alike), "alone": F.count("*").over(alike) == 1, "dim": F.size("v")}), "ann-queries", "dim")
@@ -144,11 +140,14 @@ def ann(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95,
     path, written = new_path(spark, "ann-found"), False
     # A row per vector length; lengths without queries are never indexed.
     for (dim,) in sorted(asked.select("dim").distinct().collect()):
-        held = one.where(F.col("dim") == dim)
+        held = rows.where(F.col("dim") == dim).select("vec_id", "v")
         queries = asked.where((F.col("dim") == dim) & (F.col("class") == F.col("vec_id"))).select("vec_id", "v", "alone")
         tree = _fitted(held, dim)
         shared = spark.sparkContext.broadcast(tree)
-        index = stored(held.select("vec_id", "v").mapInArrow(_indexed(shared, dim), f"vec_id long, v {held.schema['v'].dataType.simpleString()}, leaf int"), "ann-index")
+        copies = Window.partitionBy("v").orderBy("vec_id")
+        one = held.select("vec_id", "v", F.dense_rank().over(copies).alias("place"), F.lag("vec_id").over(copies).alias("before"))
+        one = one.where((F.col("place") <= k + 1) & ~F.col("vec_id").eqNullSafe(F.col("before"))).select("vec_id", "v")
+        index = stored(one.mapInArrow(_indexed(shared, dim), f"vec_id long, v {held.schema['v'].dataType.simpleString()}, leaf int"), "ann-index")
         visits, reached = calibrated(index, queries, tree, dim, k, recall)
         if report is not None:
             report.append((dim, tree.leaves, visits, reached))
@@ -162,10 +161,11 @@ def ann(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95,
 
 
 def _fitted(held: DataFrame, dim: int) -> Tree:
-    unit = held.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
-    norm2 = held.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / unit) * (x.cast("double") / unit)))).first()[0]
+    x = lambda y: y.cast("double")
+    largest = F.array_max(F.transform("v", lambda y: F.abs(x(y))))
+    unit = held.agg(F.max(largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + (x(y) / largest) * (x(y) / largest))))).first()[0]
     sample = held.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(1, min(SAMPLE_ROWS, SAMPLE_COMPONENTS // dim))).select("v").toArrow()
-    return fit(np.concatenate([_matrix(b, "v", dim) for b in sample.to_batches()]), unit, norm2)
+    return fit(np.concatenate([_matrix(b, "v", dim) for b in sample.to_batches()]), unit)
 
 
 def _indexed(shared, dim: int):
@@ -254,7 +254,8 @@ def _searched(index: DataFrame, queries: DataFrame, shared, dim: int, k: int, vi
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.ones(len(rows), bool)), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(leaves, pa.list_(pa.int32())), batch.column("alone").take(take)], names=names)
 
     schema = f"cell long, asks boolean, vec_id long, v {index.schema['v'].dataType.simpleString()}, leaves array<int>, alone boolean"
-    met = index.mapInArrow(rows_out, schema).unionByName(queries.mapInArrow(queries_out, schema))
+    tasks = max(spark.sparkContext.defaultParallelism, queries.rdd.getNumPartitions())  # a traversal takes much longer than reading a query
+    met = index.mapInArrow(rows_out, schema).unionByName(queries.repartition(tasks, "vec_id").mapInArrow(queries_out, schema))
     met = met.repartition("cell").sortWithinPartitions("cell", "asks")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
