@@ -596,20 +596,42 @@ def _training_rows(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
     return V.training_set(clean, *D.corrected_wide(ap), k=k)
 
 
+#: Per session and tables the folders of the labelled features and of the verifier that was trained on them.
+_MADE: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, sf: str, what: str, make: Callable[[str], None]) -> str:
+    """The folder that make wrote, by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _MADE:
+        path = shared_folder(spark, what)
+        make(path)
+        _MADE[key] = path
+    return _MADE[key]
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled rows with their features, as a table: the corruptions are worked out once."""
+    columns = ["document_id", "label", "weight", "validation", "operator", *V.FEATURES]
+    write = lambda path: V.features(_training_rows(spark, sf, k=4), TODAY).select(columns).write.parquet(path)
+    return spark.read.parquet(_once(spark, sf, "labelled", write)).select(columns)
+
+
+def _verifier(spark: SparkSession, sf: str) -> V.Verifier:
+    """The verifier as it is loaded after training with the usual settings, and saving."""
+    return V.load_verifier(spark, _once(spark, sf, "verifier", lambda path: V.save_verifier(V.train_verifier(_labelled(spark, sf)), spark, path)))
+
+
 def _scored_documents(spark: SparkSession, sf: str) -> DataFrame:
-    # The reference's rounds, step and negatives; depth 5 stands for its 31 leaves.
-    model = V.train_verifier(V.features(_training_rows(spark, sf, k=4), TODAY))
-    return V.score(V.features(_wide(spark, sf), TODAY), model).select("document_id", F.round("p", 6).alias("p"), "ok", "reason", F.array_join("top_features", ",").alias("top_features"))
+    return V.score(V.features(_wide(spark, sf), TODAY), _verifier(spark, sf)).select("document_id", F.round("p", 6).alias("p"), "ok", "reason", F.array_join("top_features", ",").alias("top_features"))
 
 
 add("m14_verifier_scores", _scored_documents)
 
 
 def _verifier_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The metrics of a verifier that was trained, saved and loaded again."""
-    path = shared_folder(spark, "verifier")
-    V.save_verifier(V.train_verifier(V.features(_training_rows(spark, sf, k=4), TODAY)), spark, path)
-    card = V.load_verifier(spark, path)
+    """The metrics of the verifier, and its recall of each corruption."""
+    card = _verifier(spark, sf)
     rows = [*card.metrics.items(), ("threshold", card.threshold), *((f"recall of {k}", v) for k, v in sorted(card.recalls.items()))]
     return spark.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
 

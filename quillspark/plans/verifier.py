@@ -6,8 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -18,6 +17,7 @@ from ..functions.amounts import parse_amount, parse_date_any
 from ..operators.quality import best_threshold, ece, ranking_metrics, recall_by_operator
 from ..sources.ledger import FIELDS
 from ..sources.shared import shared_folder
+from .boosting import Boosted, boosted
 
 #: The features, in order.
 FEATURES = (
@@ -158,15 +158,15 @@ def _corruptions(df: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, dict
     def edit(text: Column, i: Column) -> Column:
         roll = lambda n, salt: F.pmod(F.xxhash64(u, i, F.lit(salt)), F.greatest(n, F.lit(1))).cast("int")
         kind, at = roll(F.lit(3), 12), roll(F.char_length(text), 13) + 1
-        head, rest, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.lit(10000)), F.substring(text, at + 1, F.lit(10000))
+        head, rest, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.char_length(text)), F.substring(text, at + 1, F.char_length(text))
         letter = lambda n: F.substring(F.lit(_LETTERS), roll(F.lit(n), 14) + 1, F.lit(1))
         return F.when(F.char_length(text) == 0, text).when(kind == 0, F.concat(head, letter(52), after)).when(kind == 1, F.concat(head, after)).otherwise(F.concat(head, letter(26), rest))
 
     df = df.withColumns(
         {
             "_slipped": F.when(F.contains(c("_slip_raw"), F.lit(".")) | c("_ratio").isin("0.1", "0.01"), two(c("_slip_amount"))).otherwise(c("_slip_amount").cast("decimal(38,0)").cast("string")),
-            "_dropped": F.concat(F.substring(c("_drop_raw"), F.lit(1), c("_drop_at") - 1), F.substring(c("_drop_raw"), c("_drop_at") + 1, F.lit(1000))),
-            "_inserted": F.concat(F.substring(c("_put_raw"), F.lit(1), c("_put_at") - 1), pick(10, 7).cast("string"), F.substring(c("_put_raw"), c("_put_at"), F.lit(1000))),
+            "_dropped": F.concat(F.substring(c("_drop_raw"), F.lit(1), c("_drop_at") - 1), F.substring(c("_drop_raw"), c("_drop_at") + 1, F.char_length(c("_drop_raw")))),
+            "_inserted": F.concat(F.substring(c("_put_raw"), F.lit(1), c("_put_at") - 1), pick(10, 7).cast("string"), F.substring(c("_put_raw"), c("_put_at"), F.char_length(c("_put_raw")))),
             "_flipped": F.when(parse_amount(tax) > 0, F.concat(F.lit("-"), plain(tax))).otherwise(F.replace(plain(tax), F.lit("-"), F.lit(""))),
             "_mixed": F.get(F.array_sort(F.filter(F.array(*swaps), lambda x: x["new"].isNotNull())), F.lit(0))["new"],
             "_turned": F.regexp_replace("_day", r"^(\d{1,2})([/\-.])(\d{1,2})([/\-.])(\d{2,4})$", "$3$2$1$4$5"),
@@ -240,7 +240,7 @@ def training_set(clean: DataFrame, before: DataFrame | None = None, after: DataF
 
 @dataclass
 class Verifier:
-    model: PipelineModel
+    model: Boosted
     calibrator: object
     threshold: float
     means: dict[str, float]
@@ -249,40 +249,32 @@ class Verifier:
     recalls: dict[str, float] = field(default_factory=dict)
 
 
-def _probability(df: DataFrame, model) -> DataFrame:
-    return model.transform(df).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def train_verifier(labelled: DataFrame, rounds: int = 200, step: float = 0.05, depth: int = 5, seed: int = 42) -> Verifier:
-    """Boosted trees on the features; isotonic calibration, the best-F1 threshold and metrics on the validation rows."""
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+def train_verifier(labelled: DataFrame, rounds: int = 200, step: float = 0.05, leaves: int = 31, least_rows: int = 5) -> Verifier:
+    """Boosted trees on the features, rows of both labels weighing alike; isotonic calibration, the best-F1 threshold and metrics on the validation rows."""
     labelled = labelled.select("label", "weight", "validation", "operator", *FEATURES).persist()
     n = labelled.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
-    # Each round is a few jobs over all rows: few rows need few tasks.
-    train, held = labelled.where("not validation").coalesce(max(1, n.n // 20_000)).persist(), labelled.where("validation")
-    positive = (n.n - n.p) / max(n.p, 1)
-    gbt = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, weightCol="w")
-    model = gbt.fit(assembler.transform(train.withColumn("w", F.col("weight") * F.when(F.col("label") == 1, positive).otherwise(1.0))))
-    pipeline = PipelineModel([assembler, model])
-    scored = _probability(held, pipeline)
-    iso = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(scored.withColumn("label", F.col("label").cast("double")))
-    cal = iso.transform(scored.drop("prediction")).withColumn("p", F.col("prediction"))
-    cal = cal.select("p", "raw", "label", "operator").persist()
+    train, held = labelled.where("not validation"), labelled.where("validation")
+    of_train = train.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
+    positive = (of_train.n - of_train.p) / max(of_train.p, 1)
+    weighted = train.withColumn("w", F.col("weight") * F.when(F.col("label") == 1, positive).otherwise(1.0))
+    model = boosted(weighted, list(FEATURES), weight="w", rounds=rounds, step=step, leaves=leaves, least_rows=least_rows)
+    scored = held.withColumn("raw", model.probability(list(FEATURES))).select("raw", F.col("label").cast("double").alias("label"), "weight", "operator").persist()
+    iso = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scored)
+    cal = iso.transform(scored).select(F.col("prediction").alias("p"), "raw", F.col("label").cast("int").alias("label"), "operator").persist()
     t = best_threshold(cal.select("p", "label")).first()
     rank = ranking_metrics(cal.select("p", "label")).first()
     error = lambda c: float(ece(cal.select(F.col(c).alias("p"), "label")).agg(F.coalesce(F.sum("ece_part"), F.lit(0.0))).first()[0])
-    metrics = {"positives": int(n.p), "negatives": int(n.n - n.p), "auroc": rank.auroc, "auprc": rank.auprc, "f1": t.f1, "ece_before": error("raw"), "ece_after": error("p")}
+    metrics = {"positives": int(n.p), "negatives": int(n.n - n.p), "auroc": rank.auroc, "auprc": rank.auprc, "f1": t.f1, "ece_before": error("raw"), "ece_after": error("p"), "trees": len(model.trees)}
     recalls = {r.operator: float(r.recall) for r in recall_by_operator(cal.select("p", "label", "operator"), float(t.threshold)).collect()}  # a row per operator
-    cal.unpersist()
     means = train.where("label = 1").agg(*[F.avg(f).alias(f) for f in FEATURES]).first().asDict()
-    labelled.unpersist()
-    train.unpersist()
-    return Verifier(pipeline, iso, float(t.threshold), {k: float(v or 0.0) for k, v in means.items()}, metrics=metrics, recalls=recalls)
+    for df in (cal, scored, labelled):
+        df.unpersist()
+    return Verifier(model, iso, float(t.threshold), {k: float(v or 0.0) for k, v in means.items()}, metrics=metrics, recalls=recalls)
 
 
 def save_verifier(verifier: Verifier, spark: SparkSession, path: str) -> None:
-    """The model, its calibration and what scoring needs to know, in one folder."""
-    verifier.model.write().overwrite().save(f"{path}/model")
+    """The trees, their calibration and what scoring needs to know, in one folder."""
+    verifier.model.save(spark, f"{path}/model")
     verifier.calibrator.write().overwrite().save(f"{path}/calibration")
     card = {"threshold": verifier.threshold, "means": verifier.means, "schema_hash": verifier.schema_hash, "metrics": verifier.metrics, "recalls": verifier.recalls}
     spark.createDataFrame([(json.dumps(card),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
@@ -290,14 +282,14 @@ def save_verifier(verifier: Verifier, spark: SparkSession, path: str) -> None:
 
 def load_verifier(spark: SparkSession, path: str) -> Verifier:
     card = json.loads(spark.read.text(f"{path}/card").first()[0])
-    return Verifier(PipelineModel.load(f"{path}/model"), IsotonicRegressionModel.load(f"{path}/calibration"), **card)
+    return Verifier(Boosted.load(spark, f"{path}/model"), IsotonicRegressionModel.load(f"{path}/calibration"), **card)
 
 
 def score(df: DataFrame, verifier: Verifier | None) -> DataFrame:
     """Adds p, ok and, for low plausibility, the three features farthest from clean means. No model, or one of another schema: all rows are skipped, ok."""
     if verifier is None or verifier.schema_hash != SCHEMA_HASH:
         return df.withColumns({"p": F.lit(None).cast("double"), "ok": F.lit(True), "reason": F.lit("skipped"), "top_features": F.array().cast("array<string>")})
-    cal = verifier.calibrator.transform(_probability(df, verifier.model)).withColumnRenamed("prediction", "p").drop("raw")
+    cal = verifier.calibrator.transform(df.withColumn("raw", verifier.model.probability(list(FEATURES)))).withColumnRenamed("prediction", "p").drop("raw")
     off = F.array(*[F.struct((-F.abs(F.col(f) - verifier.means[f]) / (abs(verifier.means[f]) + 1.0)).alias("d"), F.lit(f).alias("f")) for f in FEATURES])
     ok = F.col("p") >= verifier.threshold
     return cal.withColumns({"ok": ok, "reason": F.when(~ok, "low_plausibility"), "top_features": F.when(~ok, F.transform(F.slice(F.array_sort(off), 1, 3), lambda x: x["f"])).otherwise(F.array().cast("array<string>"))})

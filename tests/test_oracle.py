@@ -42,6 +42,6 @@ def test_equal(spark, duck, name):
     assert ours == sorted((tuple(plain(r[i]) for i in at) for r in other.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"m13_train_verifier", "m14_verifier_scores"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

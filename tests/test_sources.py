@@ -155,7 +155,7 @@ def test_verifier_is_saved_with_its_metrics(spark, tmp_path):
     rows = [(f"d{k}", k % 2, 1.0, k % 5 == 0, "clean" if k % 2 else "digit_drop", *[float((k % 2) * 3 + (k * 7 + j) % 3) for j in range(len(verifier.FEATURES))]) for k in range(200)]
     schema = "document_id string, label int, weight double, validation boolean, operator string, " + ", ".join(f"{f} double" for f in verifier.FEATURES)
     table = spark.createDataFrame(rows, schema)
-    model = verifier.train_verifier(table, rounds=2, depth=2)
+    model = verifier.train_verifier(table, rounds=5, leaves=4)
     assert model.metrics["auroc"] > 0.95 and set(model.recalls) == {"digit_drop"} and model.metrics["positives"] == 100
     verifier.save_verifier(model, spark, f"{tmp_path}/v")
     again = verifier.load_verifier(spark, f"{tmp_path}/v")
