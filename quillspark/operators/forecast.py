@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ledger import Ledger
+from .ranks import counted, percentile
 
 
 def _ordered(series: DataFrame, *keys: str) -> DataFrame:
@@ -94,7 +95,10 @@ def _lengths(tree: list, rows: np.ndarray) -> np.ndarray:
 
 
 def isolation_forest(stats: DataFrame, trees: int = 100, sample: int = 256, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """The share of documents with the shortest mean paths in isolation trees; each tree grows on its own hash sample in its own task."""
+    """The share of documents with the shortest mean paths in isolation trees; each tree grows on its own hash sample in its own task.
+
+    A document's score is how far its path score is above the cut, the exact percentile at which the share begins.
+    """
     import json
 
     cols = ["amount", "avg_confidence", "n_corrections"]
@@ -125,12 +129,12 @@ def isolation_forest(stats: DataFrame, trees: int = 100, sample: int = 256, shar
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
     scored = base.mapInPandas(lengths, kinds + ", score double")
-    cut = scored.agg(F.percentile_approx("score", 1 - share, 10_000)).first()[0]
+    cut = counted(scored, "score").agg(percentile("score", 1 - share)).first()[0]
     m = base.agg(*[f(c).alias(f"{k}_{c}") for c in cols[:2] for k, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = lambda c: F.abs((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0))) > 1.5
     reasons = F.array_compact(F.array(F.when(z("amount"), "unusual_amount"), F.when(z("avg_confidence"), "unusual_confidence"), F.when(F.col("n_corrections") > 2, "many_corrections")))
     out = scored.where(F.col("score") > cut).crossJoin(F.broadcast(m)).withColumn("reasons", reasons)  # one row
-    return out.select("document_id", F.round("score", 6).alias("score"), F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("isolated"))).alias("reasons"))
+    return out.select("document_id", F.round(F.col("score") - cut, 4).alias("score"), F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("isolated"))).alias("reasons"))
 
 
 def calibrate(ap: Ledger, passes: int = 25) -> DataFrame:

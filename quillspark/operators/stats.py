@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import amt_float
 from ..sources.ledger import REQUIRED, Ledger
+from ..sources.shared import shared_folder
 from .documents import correction_counts, document_items, field_values, upsert
 from .ranks import counted, percentile
 
@@ -43,8 +44,26 @@ def monthly_trend(ap: Ledger, months: int = 12) -> DataFrame:
     return spend_by_month(ap).orderBy(F.desc("month")).limit(months)
 
 
-def document_stats(ap: Ledger) -> DataFrame:
+def document_facts(ap: Ledger) -> DataFrame:
+    """Per document what its fields, items and corrections sum up to, in one aggregate of each: c (mean confidence), n_invalid, invalid_names (the first four
+    by created_at and id), the first values of required fields, valued (it has a vendor's or an amount's field), items and corrections."""
+    first = lambda n: F.min_by(F.when(F.col("field_name") == n, F.col("field_value")), F.when(F.col("field_name") == n, F.struct("created_at", "id")))
+    fields = ap.fields.groupBy("document_id").agg(
+        F.avg("confidence").alias("c"),
+        F.count_if(F.col("status") == "invalid").alias("n_invalid"),
+        F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("status") == "invalid", F.struct("created_at", "id", "field_name")))), 1, 4), lambda x: x["field_name"]).alias("invalid_names"),
+        *[first(n).alias(n) for n in REQUIRED],
+        F.bool_or(F.col("field_name").isin("vendor_name", "total_amount")).alias("valued"),
+    )
+    docs = ap.documents.select(F.col("id").alias("document_id"))
+    out = docs.join(fields, "document_id", "left").join(document_items(ap), "document_id", "left").join(correction_counts(ap), "document_id", "left")
+    return out.fillna({"n_invalid": 0, "n_corrections": 0, "valued": False})
+
+
+def document_stats(ap: Ledger, facts: DataFrame | None = None) -> DataFrame:
     """Mean field confidence, amount and corrections of each document."""
+    if facts is not None:
+        return facts.select("document_id", F.col("c").alias("avg_confidence"), F.when(F.col("valued"), F.coalesce(amt_float(F.col("total_amount")), F.lit(0.0))).alias("amount"), "n_corrections")
     conf = ap.fields.groupBy("document_id").agg(F.avg("confidence").alias("avg_confidence"))
     docs = ap.documents.select(F.col("id").alias("document_id"))
     out = docs.join(conf, "document_id", "left").join(_vendor_amounts(ap).select("document_id", "amount"), "document_id", "left").join(correction_counts(ap), "document_id", "left")
@@ -55,11 +74,11 @@ def validation_breakdown(ap: Ledger) -> DataFrame:
     return ap.fields.where("status = 'invalid'").groupBy("field_name").agg(F.count("*").alias("invalid")).orderBy(F.desc("invalid"), "field_name")
 
 
-def compliance(ap: Ledger) -> DataFrame:
+def compliance(ap: Ledger, facts: DataFrame | None = None) -> DataFrame:
     """One row: correction rate in percent, corrections a document, documents with and without."""
     n = F.count("*")
     with_c = F.count_if(F.col("n_corrections") > 0)
-    return document_stats(ap).agg(
+    return document_stats(ap, facts).agg(
         F.coalesce(F.round(with_c / F.nullif(n, F.lit(0)) * 100, 2), F.lit(0.0)).alias("correction_rate"),
         F.coalesce(F.round(F.sum("n_corrections") / F.nullif(n, F.lit(0)), 2), F.lit(0.0)).alias("avg_corrections"),
         with_c.alias("with_corrections"),
@@ -100,29 +119,14 @@ def supplier_risk(metrics: DataFrame) -> DataFrame:
 PENALTIES = ("p_confidence", "p_very_low", "p_invalid", "p_missing", "p_corrections", "p_mismatch")
 
 
-def trust_scores(ap: Ledger) -> DataFrame:
+def trust_scores(ap: Ledger, facts: DataFrame | None = None) -> DataFrame:
     """Trust of every document, 0 to 100, with penalties (to one decimal), reasons and priority; documents without fields get a row too.
 
     Of invalid fields the first four are named, by (created_at, id).
     """
-    fields = ap.fields.groupBy("document_id").agg(
-        F.avg("confidence").alias("c"),
-        F.count_if(F.col("status") == "invalid").alias("n_invalid"),
-        F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("status") == "invalid", F.struct("created_at", "id", "field_name")))), 1, 4), lambda x: x["field_name"]).alias("invalid_names"),
-    )
-    values = field_values(ap, *REQUIRED)
     missing = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) == "", F.lit(f)) for f in REQUIRED]))
-    df = (
-        ap.documents.select(F.col("id").alias("document_id"))
-        .join(fields, "document_id", "left")
-        .join(values, "document_id", "left")
-        .join(document_items(ap), "document_id", "left")
-        .join(correction_counts(ap), "document_id", "left")
-        .fillna({"n_invalid": 0, "n_corrections": 0})
-        .withColumn("missing_fields", missing)
-        .withColumn("n_missing", F.size("missing_fields"))
-        .withColumn("amount", F.when(F.coalesce("total_amount", F.lit("")) != "", amt_float(F.col("total_amount"))))
-    )
+    df = (document_facts(ap) if facts is None else facts).withColumn("missing_fields", missing)
+    df = df.withColumn("n_missing", F.size("missing_fields")).withColumn("amount", F.when(F.coalesce("total_amount", F.lit("")) != "", amt_float(F.col("total_amount"))))
     off = F.col("n_items").isNotNull() & F.col("amount").isNotNull() & ~F.isnan("amount") & (F.abs(F.col("items_total").cast("double") - F.col("amount")) >= 0.01)
     df = df.withColumn("mismatch", F.coalesce(off, F.lit(False)))
     df = df.withColumns(
@@ -199,9 +203,9 @@ def flagged(trust: DataFrame) -> DataFrame:
     return trust.where(F.col("priority") != PRIORITIES[0]).select("document_id", "trust_score", "priority", rank.alias("pos")).orderBy("pos", "trust_score", "document_id")
 
 
-def vendor_risk(ap: Ledger, trust: DataFrame, with_documents: bool = False) -> DataFrame:
+def vendor_risk(ap: Ledger, trust: DataFrame, with_documents: bool = False, facts: DataFrame | None = None) -> DataFrame:
     """Risk of each (trimmed) vendor, riskiest first. The list of documents is optional: it grows with the vendor."""
-    vendors = field_values(ap, "vendor_name", "total_amount").select("document_id", F.trim("vendor_name").alias("vendor"), amt_float(F.col("total_amount")).alias("amount")).where("vendor <> ''")
+    vendors = (field_values(ap, "vendor_name", "total_amount") if facts is None else facts).select("document_id", F.trim("vendor_name").alias("vendor"), amt_float(F.col("total_amount")).alias("amount")).where("vendor <> ''")
     amount = F.when(F.col("amount") > 0, F.col("amount"))
     aggs = [
         F.count("*").alias("documents"),
@@ -253,16 +257,25 @@ def vendor_risk(ap: Ledger, trust: DataFrame, with_documents: bool = False) -> D
     return df.select(*keep, action.alias("action"), *(["document_ids"] if with_documents else [])).orderBy(F.desc("risk_score"), "vendor")
 
 
+def stored_facts(ap: Ledger) -> DataFrame:
+    """document_facts as a table: what is derived from it is planned apart, and would go over the fields anew."""
+    facts = document_facts(ap)
+    path = shared_folder(facts.sparkSession, "facts")
+    facts.write.parquet(path)
+    return facts.sparkSession.read.schema(facts.schema).parquet(path)
+
+
 def dashboard(ap: Ledger) -> DataFrame:
     """One row of totals, with documents by status and invalid fields by name (arrays of a label and a count), anomalies and compliance."""
     from .forecast import anomalies
 
-    trust = trust_scores(ap)
+    facts = stored_facts(ap)
+    trust = trust_scores(ap, facts)
     listed = lambda df, label, n: df.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), F.col(n).alias("n")))))
     by_status = listed(processing_stats(ap), "status", "documents").toDF("documents_by_status")
     by_field = listed(validation_breakdown(ap), "field_name", "invalid").toDF("validation_failures")
-    odd = anomalies(document_stats(ap)).agg(F.count("*").alias("anomalies"))
-    with_corrections = compliance(ap).select("correction_rate", "avg_corrections", "with_corrections", "without_corrections")
+    odd = anomalies(document_stats(ap, facts)).agg(F.count("*").alias("anomalies"))
+    with_corrections = compliance(ap, facts).select("correction_rate", "avg_corrections", "with_corrections", "without_corrections")
     docs = trust.agg(
         F.count("*").alias("documents"), F.round(F.avg("trust_score"), 1).alias("avg_trust"), F.round(F.coalesce(F.avg("c"), F.lit(0.0)), 3).alias("avg_confidence"),
         F.round(F.coalesce(F.count_if(F.col("n_invalid") == 0) / F.nullif(F.count("*"), F.lit(0)) * 100, F.lit(0.0)), 2).alias("compliance_rate"),
@@ -270,7 +283,7 @@ def dashboard(ap: Ledger) -> DataFrame:
         F.count_if(F.col("n_invalid") > 0).alias("compliance_exceptions"),
     )
     spend = spend_by_vendor(ap).agg(F.round(F.coalesce(F.sum(F.col("total_spend").cast("decimal(28,2)")), F.lit(0)), 2).cast("double").alias("total_spend"))
-    high = vendor_risk(ap, trust).agg(F.count_if(F.col("risk_level") == "high").alias("high_risk_vendors"))
+    high = vendor_risk(ap, trust, facts=facts).agg(F.count_if(F.col("risk_level") == "high").alias("high_risk_vendors"))
     for one in (spend, high, by_status, by_field, odd, with_corrections):
         docs = docs.crossJoin(F.broadcast(one))  # one row each
     return docs

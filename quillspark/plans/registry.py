@@ -17,6 +17,7 @@ from ..operators import stats as A
 from ..sources import files as S
 from ..sources.ledger import VIEWS, sales_ledger, text_pairs, view, view_sql
 from ..sources.shared import shared_folder
+from ..sources.tables import KeyedTable
 from ..streaming import jobs as J
 from ..streaming.run import ran
 from . import verifier as V
@@ -126,7 +127,8 @@ SQL["a15_flagged"] = _with_trust("SELECT document_id, trust_score, priority, CAS
 
 def _vendor_risk(spark: SparkSession, sf: str) -> DataFrame:
     ap = sales_ledger(spark, sf)
-    return A.vendor_risk(ap, A.trust_scores(ap)).withColumn("reasons", F.array_join("reasons", "; "))
+    facts = A.stored_facts(ap)
+    return A.vendor_risk(ap, A.trust_scores(ap, facts), facts=facts).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 _VENDOR_RISK = f"""SELECT vendor, documents, CAST(greatest(0, least(100, round_even(round(p_corrections + p_invalid + p_low_trust + p_variation + p_missing, 6), 0))) AS INTEGER) AS risk_score, avg_trust, total_corrections, p_corrections, p_invalid, p_low_trust, p_variation, p_missing,
@@ -186,14 +188,37 @@ def _manifest(spark: SparkSession, sf: str) -> DataFrame:
 add("s10_admit_batches", lambda s, d: D.admit_batches(_manifest(s, d)), "SELECT batch_id, count(*) AS files, count(*) FILTER (k % 41 = 0 OR file_size * 600 > 52428800) AS rejected, count(*) FILTER (k % 41 = 0 OR file_size * 600 > 52428800) = 0 AND count(*) BETWEEN 1 AND 20 AS admitted FROM ap_documents WHERE batch_id IS NOT NULL GROUP BY batch_id", "ap_documents")
 
 
-def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+def _spend_and_updates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     target = A.spend_by_month(sales_ledger(spark, sf)).select(F.lit("spend").alias("metric_name"), F.when(F.col("month") != "1995-05", F.col("month")).alias("period"), F.col("total_spend").alias("metric_value"))
     updates = A.spend_by_month(sales_ledger(spark, sf)).where("month like '1995%'").select(F.lit("spend").alias("metric_name"), F.when(F.col("month") != "1995-05", F.col("month")).alias("period"), (F.col("documents") * 1.0).alias("metric_value"), F.col("month").alias("at"))
-    return D.upsert(target, updates, ["metric_name", "period"], "at")
+    return target, updates
+
+
+def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return D.upsert(*_spend_and_updates(spark, sf), ["metric_name", "period"], "at")
+
+
+def _committed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, as two writes of a stored table."""
+    target, updates = _spend_and_updates(spark, sf)
+    table = KeyedTable(spark, shared_folder(spark, "spend"), "metric_name string, period string, metric_value double", ["metric_name", "period"])
+    table.upsert(target)
+    table.upsert(updates)
+    return table.read()
+
+
+def _committed_replace(spark: SparkSession, sf: str) -> DataFrame:
+    fields = view(spark, sf, "ap_fields")
+    table = KeyedTable(spark, shared_folder(spark, "fields"), "document_id string, id string, field_value string", ["document_id", "id"], bucket_by=["document_id"])
+    table.upsert(fields)
+    table.replace(fields.where("k % 10 = 3 and i = 1").select("document_id", "id", F.lit("new").alias("field_value")), ["document_id"])
+    return table.read()
 
 
 add("s11_upsert", _upsert, f"SELECT 'spend' AS metric_name, CASE WHEN month <> '1995-05' THEN month END AS period, CASE WHEN month LIKE '1995%' THEN documents * 1.0 ELSE total_spend END AS metric_value FROM ({_MONTH})", "ap_documents", "ap_fields")
 add("s12_replace_for_documents", lambda s, d: D.replace_for_documents(view(s, d, "ap_fields").select("document_id", "id", "field_value"), view(s, d, "ap_fields").where("k % 10 = 3 and i = 1").select("document_id", "id", F.lit("new").alias("field_value"))), "SELECT document_id, id, field_value FROM ap_fields WHERE document_id NOT IN (SELECT document_id FROM ap_fields WHERE k % 10 = 3 AND i = 1) UNION ALL SELECT document_id, id, 'new' FROM ap_fields WHERE k % 10 = 3 AND i = 1", "ap_fields")
+QUERIES["s11_committed_upsert"], SQL["s11_committed_upsert"] = _committed_upsert, SQL["s11_upsert"]
+QUERIES["s12_committed_replace"], SQL["s12_committed_replace"] = _committed_replace, SQL["s12_replace_for_documents"]
 add("s14_analytics_summaries", lambda s, d: A.analytics_summaries(A.spend_by_month(sales_ledger(s, d)).select(F.lit("spend").alias("metric_name"), F.col("total_spend").alias("metric_value"), F.col("month").alias("period")), "spend"), f"SELECT 'spend' AS metric_name, total_spend AS metric_value, month AS period FROM ({_MONTH})", "ap_documents", "ap_fields")
 add("p1_list_documents", lambda s, d: D.list_documents(sales_ledger(s, d), "usr_7", include_all=True, skip=10, limit=25).withColumn("uploaded_at", _ts("uploaded_at")), f"SELECT id, original_filename, status, {_stamp('uploaded_at')} AS uploaded_at, (SELECT count(*) FROM ap_documents) AS total FROM (SELECT * FROM ap_documents ORDER BY uploaded_at DESC NULLS LAST, id LIMIT 25 OFFSET 10)", "ap_documents")
 add("p2_display_status", lambda s, d: view(s, d, "ap_documents").select("id", D.display_status(F.when(F.col("k") % 13 == 0, "locally_parsed").when(F.col("k") % 13 == 1, "vlm_reconciled").when(F.col("k") % 13 == 2, "preprocessing").when(F.col("k") % 13 != 3, F.col("status"))).alias("shown")), "SELECT id, CASE k % 13 WHEN 0 THEN 'extracting' WHEN 1 THEN 'extracting' WHEN 2 THEN 'preprocessing' WHEN 3 THEN 'failed' ELSE CASE WHEN status = 'verified' THEN 'review_pending' ELSE status END END AS shown FROM ap_documents", "ap_documents")

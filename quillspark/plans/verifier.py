@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import parse_amount, parse_date_any
+from ..operators.documents import upsert
 from ..operators.quality import best_threshold, ece, ranking_metrics, recall_by_operator
+from ..operators.stats import supplier_risk
 from ..sources.ledger import FIELDS
 from ..sources.shared import shared_folder
 from .boosting import Boosted, boosted
@@ -296,16 +298,19 @@ def score(df: DataFrame, verifier: Verifier | None) -> DataFrame:
 
 
 def supplier_risk_ml(metrics: DataFrame, trees: int = 50, seed: int = 42) -> DataFrame:
-    """Forest on the heuristic label (risk of 50 or more), scored as a probability; the heuristic itself with under five suppliers or one label."""
-    from ..operators.stats import supplier_risk
-
+    """Forest on (mean confidence, documents) and the heuristic label (risk of 50 or more), scored as a probability; the heuristic itself with under five suppliers or one label. The method says which."""
     base = supplier_risk(metrics).withColumn("label", (F.col("risk_score") >= 50).cast("int"))
     n = base.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     if n.n < 5 or n.p in (0, n.n):
-        return base.drop("label")
-    x = VectorAssembler(inputCols=["total_documents", "avg_confidence", "total_corrections"], outputCol="features").transform(base)
+        return base.drop("label").withColumn("method", F.lit("heuristic"))
+    x = VectorAssembler(inputCols=["avg_confidence", "total_documents"], outputCol="features").transform(base)
     model = RandomForestClassifier(numTrees=trees, seed=seed).fit(x)
-    return model.transform(x).select(*[c for c in metrics.columns if c != "risk_score"], F.round(vector_to_array("probability")[1] * 100, 2).alias("risk_score"))
+    return model.transform(x).select(*[c for c in metrics.columns if c != "risk_score"], F.round(vector_to_array("probability")[1] * 100, 2).alias("risk_score"), F.lit("random_forest").alias("method"))
+
+
+def update_supplier_risk(target: DataFrame, metrics: DataFrame) -> DataFrame:
+    """target (the columns of metrics) with every supplier's learned risk put in, one row a supplier."""
+    return upsert(target, supplier_risk_ml(metrics).drop("method"), ["supplier_name"], "total_documents")
 
 
 def target_json(wide: DataFrame) -> DataFrame:

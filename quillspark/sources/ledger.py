@@ -60,7 +60,7 @@ VIEWS = {
         FROM {ap_lines} JOIN {part} ON p_partkey = l_partkey""",
     "ap_invoices": """
         SELECT k, subtotal, CASE WHEN k % 3 = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(subtotal * 0.05 AS DECIMAL(18,2)) END AS tax, s_name AS vendor, CAST(uploaded_at AS DATE) AS day, uploaded_at
-        FROM (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS subtotal, min(CASE WHEN rn = 1 THEN l_suppkey END) AS first_supplier FROM {ap_lines} GROUP BY l_orderkey) s
+        FROM (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS subtotal, min_by(l_suppkey, (l_linenumber, l_partkey, l_suppkey)) AS first_supplier FROM {lineitem} GROUP BY l_orderkey) s
         JOIN {ap_documents} ON k = l_orderkey JOIN {supplier} ON s_suppkey = first_supplier""",
     "ap_fields": """
         SELECT 'fld_' || k || '_' || i AS id, 'doc_' || k AS document_id, k, i,

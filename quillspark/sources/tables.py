@@ -20,13 +20,13 @@ class KeyedTable:
     Null keys are keys.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 16):
-        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 16, bucket_by: list[str] | None = None):
+        self.spark, self.path, self.keys, self.buckets, self.bucket_by = spark, path, keys, buckets, bucket_by or keys
         self.schema = spark.createDataFrame([], schema).schema
         self.columns = self.schema.fieldNames()
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
     def manifest(self) -> tuple[int, dict[int, str], dict[str, int]]:
         """Version (0: nothing written), folder of each bucket, and last batch of each writer (kept as rows of bucket -1)."""
@@ -53,7 +53,7 @@ class KeyedTable:
         return self._write(rows, self.keys, writer, batch)
 
     def replace(self, rows: DataFrame, by: list[str], writer: str | None = None, batch: int = 0) -> bool:
-        """Puts rows in, and removes all others of the same ``by``, which must be the keys' first columns. Buckets follow all keys, so all are rewritten unless ``by`` is the keys."""
+        """Puts rows in, and removes all others of the same ``by``. Only the buckets of these are rewritten if rows are dealt by columns of ``by``, else all."""
         return self._write(rows, by, writer, batch)
 
     def _write(self, rows: DataFrame, by: list[str], writer: str | None, batch: int) -> bool:
@@ -62,7 +62,7 @@ class KeyedTable:
             return False
         staged = rows.select(*self.columns).withColumn("_bucket", self._bucket())
         touched = {r[0] for r in staged.select("_bucket").distinct().collect()}  # a row for each bucket
-        if by != self.keys:
+        if not set(self.bucket_by) <= set(by):
             touched |= set(folders)
         old = self._rows(sorted(folders[b] for b in touched if b in folders))
         gone = rows.select(*[F.col(k).alias(f"_{k}") for k in by]).distinct()
