@@ -92,7 +92,11 @@ def field_confidence(ap: Ledger) -> DataFrame:
     return df.select("id", "document_id", "field_name", F.round(conf, 3).alias("confidence"))
 
 
-def gate(confidences: DataFrame, tiers: DataFrame, attempts: DataFrame | None = None, verifier: DataFrame | None = None) -> DataFrame:
+#: Fixed value: replies that a document may get before it is a person's.
+MOST_ATTEMPTS = 3
+
+
+def gate(confidences: DataFrame, tiers: DataFrame, attempts: DataFrame | None = None, verifier: DataFrame | None = None, most: int = MOST_ATTEMPTS) -> DataFrame:
     """Decision per document: reason by precedence, then valid, retry or hitl, and the final status.
 
     tiers: (document_id, fallback_tier, ocr_confidence); verifier: (document_id, ok), as its scores have it. An audit failure
@@ -110,7 +114,7 @@ def gate(confidences: DataFrame, tiers: DataFrame, attempts: DataFrame | None =
         .when(first_tier & F.col("audit_reason").eqNullSafe(F.lit("partial_data")), "partial_data")
         .when(first_tier & ~F.coalesce("plausible", F.lit(True)), "low_plausibility")
     )
-    route = F.when(F.col("gate_reason").isNull(), "valid").when((F.col("attempts") >= 3) | (F.coalesce("fallback_tier", F.lit("")) == "hitl"), "hitl").otherwise("retry")
+    route = F.when(F.col("gate_reason").isNull(), "valid").when((F.col("attempts") >= most) | (F.coalesce("fallback_tier", F.lit("")) == "hitl"), "hitl").otherwise("retry")
     df = df.withColumn("gate_reason", reason).withColumn("route", route)
     return df.select("document_id", "gate_reason", "route", F.when(F.col("route") == "valid", "verified").when(F.col("route") == "hitl", "review_pending").otherwise("processing").alias("final_status"))
 

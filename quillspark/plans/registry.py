@@ -14,6 +14,7 @@ from ..operators import layout as L
 from ..operators import quality as Q
 from ..operators import review as R
 from ..operators import stats as A
+from ..operators.retry import reconcile
 from ..sources import files as S
 from ..sources.ledger import VIEWS, sales_ledger, text_pairs, view, view_sql
 from ..sources.shared import shared_folder
@@ -654,6 +655,19 @@ def _scored_documents(spark: SparkSession, sf: str) -> DataFrame:
 add("m14_verifier_scores", _scored_documents)
 
 
+def _retried(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents through audit, verifier, gate and up to three replies; the first reply of some is cut short."""
+    docs = view(spark, sf, "ap_documents").select(F.col("id").alias("document_id"), "fallback_tier", F.col("confidence_score").alias("ocr_confidence"))
+    wide, replies = _wide(spark, sf).join(docs, "document_id"), view(spark, sf, "ap_replies")
+    cut = lambda n: F.when((F.col("k") + n) % 4 == 0, F.substring("reply", 1, 20)).otherwise(F.col("reply"))
+    reply = lambda n: replies.select("document_id", cut(n).alias("reply"), F.lit(0.9).alias("confidence"))
+    model = _verifier(spark, sf)
+    return reconcile(wide, reply, lambda open_: V.score(V.features(open_.select("document_id", *V.FIELDS, "items"), TODAY), model).select("document_id", "ok")).drop("items")
+
+
+add("f18_retry_loop", _retried)
+
+
 def _verifier_report(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics of the verifier, and its recall of each corruption."""
     card = _verifier(spark, sf)
