@@ -161,9 +161,16 @@ def ann(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95,
 
 
 def _fitted(held: DataFrame, dim: int) -> Tree:
-    x = lambda y: y.cast("double")
-    largest = F.array_max(F.transform("v", lambda y: F.abs(x(y))))
-    unit = held.agg(F.max(largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + (x(y) / largest) * (x(y) / largest))))).first()[0]
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch, "v", dim)
+                largest = np.abs(v).max(axis=1)
+                most = max(most, float((largest * np.sqrt(((v / largest[:, None]) ** 2).sum(axis=1))).max()))
+        yield pa.RecordBatch.from_arrays([pa.array([most])], names=["norm"])
+
+    unit = held.select("v").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
     sample = held.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(1, min(SAMPLE_ROWS, SAMPLE_COMPONENTS // dim))).select("v").toArrow()
     return fit(np.concatenate([_matrix(b, "v", dim) for b in sample.to_batches()]), unit)
 
