@@ -87,6 +87,31 @@ def test_decontamination(spark):
     assert small == {i: (r.n_hit, r.items) for i, r in got.items()}
 
 
+def test_decontamination_against_brute_force(spark):
+    """Random texts over few words: overlaps, items alike, several lengths, texts that touch, nulls and repeats, by one pass and by several."""
+    rng = random.Random(4)
+    draw = lambda most: " ".join(rng.choices("abc", k=rng.randint(0, most)))
+    items = [(rng.randint(1, 12), draw(9)) for _ in range(40)] + [(None, "a b"), (3, None), (13, "zz"), (13, "zz"), (14, "é ö é ö é")]
+    rows = [(rng.choice([None, *range(60)]), draw(200)) for _ in range(80)] + [(1, "a b c a"), (1, "a b c a"), (None, None), (7, "b c É é ö é ö é x")]
+    bench, wins = spark.createDataFrame(items, "item_id long, text string"), defaultdict(set)
+    for i, t in items:
+        for w in decontam.windows(tuple(alnum_words((t or "").encode())), 6):
+            wins[w].add("" if i is None else str(i))
+    want = Counter()
+    for i, t in rows:
+        words, hit, ids = tuple(alnum_words((t or "").encode())), set(), set()
+        for k in range(len(words)):
+            for n in range(1, 7):
+                if words[k : k + n] in wins and len(words[k : k + n]) == n:
+                    hit |= set(range(k, k + n))
+                    ids |= wins[words[k : k + n]]
+        want[(i, t, len(words), len(hit), tuple(sorted(ids)))] += 1
+    for size in (1 << 20, 100):
+        found = decontam.find_contamination(docs(spark, rows), bench, window=6, slice_bytes=size, keep=("text",)).collect()
+        assert Counter((r.doc_id, r.text, r.n_words, r.n_hit, tuple(r["items"])) for r in found) == want
+        assert all(a.end < b.start for r in found for a, b in zip(r.hits, r.hits[1:]))
+
+
 def test_wu_manber_finds_all():
     rng = random.Random(1)
     for _ in range(200):
