@@ -1,6 +1,6 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-Words of the benchmark are numbered, and all tables are sorted numpy arrays over these numbers: about 30 bytes a word of
+Words of the benchmark are numbered, and all tables are sorted numpy arrays over these numbers: about 60 bytes a word of
 the benchmark, so tens of megabytes of benchmark text are searched for in one pass over the documents.
 """
 
@@ -20,8 +20,8 @@ from .common import alnum_words, gathered, slices, stored, sums_before, text_of
 
 Words = tuple[bytes, ...]
 
-#: Windows that one cursor of a search goes over: all cursors of a batch move together.
-RUN = 64
+#: Windows that one cursor of a search goes over: all cursors of a batch move together. Bytes of text whose words are coded together.
+RUN, SLICE = 64, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +53,7 @@ class Vocabulary:
 
 def _split(texts: list[list[bytes]] | list[Words]) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of all texts behind each other, and each text's number of words."""
-    return pa.array(chain.from_iterable(texts), pa.binary()).dictionary_encode(), np.fromiter(map(len, texts), np.int64, len(texts))
+    return pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode(), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
 def _hash(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -222,7 +222,7 @@ def _scan(docs: DataFrame, rows: list, n: int, only_hits: bool = False) -> DataF
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             words, sizes = _split([alnum_words(t) for t in batch.column("text").to_pylist()])
             codes, start = bench.vocabulary.codes(words), sums_before(sizes)
             hit = np.zeros(len(codes) + 1, np.int64)
@@ -264,7 +264,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     (ids as strings, sorted), ``n_hit``, ``n_items`` and ``contaminated``: n_hit > 0 and share * n_hit >= n_words;
     and the columns to ``keep``.
 
-    The search tables of about ``slice_bytes`` of distinct benchmark rows (some five times that) are broadcast, sized by a sum first. A
+    The search tables of about ``slice_bytes`` of distinct benchmark rows (some ten times that) are broadcast, sized by a sum first. A
     larger benchmark takes a pass over the documents for each further slice, which writes only the ids, text digests and hits of
     documents that have any; the last pass joins these in. Null or empty texts have no words and no hits; an empty benchmark finds
     nothing; repeated benchmark rows act as one and a null item id is named ''. Each input row is judged on its own, rows with null ids too.
