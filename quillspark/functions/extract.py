@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .amounts import amt_bi, normalize_date
+
 _AMT = r"(?:\$|€|£)?\s*([\d,]+\.\d{1,2})"
 _MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 #: Patterns of each field, the first that gives something wins.
@@ -98,6 +100,76 @@ def extract_receipt(text: Column) -> dict[str, Column]:
     return {"merchant_name": F.get(F.filter(lines, name), F.lit(0)), "total_amount": F.format_string("%.2f", F.array_max(F.array_compact(values))), "currency": F.lit(None).cast("string"), **out}
 
 
+#: The keyword patterns: an invoice number, dates and what stands before them, amounts after their words.
+KEYED_INVOICE = r"(?i)(?:Invoice|INV)[#:\s\-]*([A-Z]{0,4}-?\d{4}-?\d{3,5}|\d{4,10})"
+KEYED_DATES = (r"\d{4}-\d{2}-\d{2}", r"\d{1,2}/\d{1,2}/\d{4}", r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}")
+DATE_WORDS = r"(?:Date|Invoice\s*Date|Due\s*Date|Issued)[:\s]*"
+KEYED_AMOUNT = r"\$?\s*([\d,]+\.\d{2})"
+AMOUNT_WORDS = {
+    "total_amount": r"(?:(?<!\w)Total\s*(?:Amount\s*)?(?:Due)?|Amount\s*Due|Balance\s*Due|Grand\s*Total)",
+    "subtotal": r"(?:Subtotal|Sub\s*Total)",
+    "tax": r"(?:(?<!\w)Tax|VAT|GST|Sales\s*Tax)",
+}
+#: Their confidence; a date's without its keyword is the last.
+KEYED_CONFIDENCE = {"invoice_number": 0.92, "date": 0.93, "amount": 0.88, "lone_date": 0.90}
+#: What a table's header has to hold to be a column of this field.
+HEADERS = {
+    "description": ("description", "item", "product", "service", "name"),
+    "quantity": ("qty", "quantity", "units", "count"),
+    "unit_price": ("price", "unit price", "rate", "unit cost"),
+    "total": ("total", "amount", "line total", "ext"),
+}
+
+
+def extract_keyed(text: Column) -> dict[str, Column]:
+    """Fields by keywords: the whole invoice mark, the date by its keyword (else any), amounts by theirs, and the largest amount where
+    no total has one; with a confidence each, null where nothing is found (as in null and empty texts).
+
+    Dates are tried by form, not by place: any ISO date by a keyword wins over the others. Amounts lose their commas.
+    """
+    match = lambda p, group: F.nullif(F.regexp_extract(text, p, group), F.lit(""))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    near = F.coalesce(*[match(f"(?i){DATE_WORDS}({d})", 1) for d in KEYED_DATES])
+    lone = F.coalesce(*[match(f"(?i){d}", 0) for d in KEYED_DATES])
+    found = {n: F.replace(match(f"(?i){words}[:\\s]*{KEYED_AMOUNT}", 1), F.lit(","), F.lit("")) for n, words in AMOUNT_WORDS.items()}
+    every = F.transform(F.regexp_extract_all(text, F.lit(KEYED_AMOUNT), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double"))
+    largest = F.array_max(F.array_compact(every))
+    found["total_amount"] = F.coalesce(found["total_amount"], F.when(largest.isNotNull(), F.format_string("%.2f", largest)))
+    number, known = trimmed(match(KEYED_INVOICE, 0)), KEYED_CONFIDENCE
+    out = {"invoice_number": number, "date": normalize_date(trimmed(F.coalesce(near, lone))), **found}
+    out["invoice_number_confidence"] = F.when(number.isNotNull(), known["invoice_number"])
+    out["date_confidence"] = F.when(near.isNotNull(), known["date"]).when(lone.isNotNull(), known["lone_date"])
+    return {**out, **{f"{n}_confidence": F.when(c.isNotNull(), known["amount"]) for n, c in found.items()}}
+
+
+def items_from_tables(tables: Column) -> Column:
+    """Line items (description, quantity, unit_price, total) of tables (arrays of rows of cells), in their order.
+
+    The first row of a table is its header: a field's column is the first whose header holds one of the field's words. Rows without a
+    description, tables of one row and those without a description's column give nothing. Cells that are missing or no numbers are 0.0; commas
+    and dollar signs in numbers don't count. Null tables, rows and cells count as empty; null gives an empty array.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    none = F.array().cast("array<string>")
+
+    def rows_of(table: Column) -> Column:
+        header = F.transform(F.coalesce(F.get(table, F.lit(0)), none), lambda c: F.lower(bare(c)))
+        held = lambda words: F.array_position(F.transform(header, lambda h: h.rlike("|".join(words))), True) - 1
+        place = F.struct(*[held(words).cast("int").alias(n) for n, words in HEADERS.items()])
+
+        def items(at: Column) -> Column:
+            def item(row: Column) -> Column:
+                cell = lambda n: bare(F.when(at[n] >= 0, F.get(row, at[n])))
+                return F.struct(cell("description").alias("description"), *[F.coalesce(amt_bi(cell(n)), F.lit(0.0)).alias(n) for n in ("quantity", "unit_price", "total")])
+
+            body = F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(0)))
+            return F.filter(F.transform(body, lambda r: item(F.coalesce(r, none))), lambda x: x["description"] != "")
+
+        return F.flatten(F.transform(F.array(place), items))
+
+    return F.flatten(F.transform(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), lambda t: rows_of(F.coalesce(t, F.array().cast("array<array<string>>")))))
+
+
 def extract_all(text: Column, given: dict[str, Column], paired: dict[str, Column]) -> dict[str, Column]:
     """Each field by precedence: the given value, what stands by its label in the layout, then the patterns. Blank counts as none.
 

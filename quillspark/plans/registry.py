@@ -360,6 +360,33 @@ _MATCH = lambda n: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}',
 _RECEIPT_TOTALS = ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in extract.TOTALS)
 add("f9_extract_receipt", lambda s, d: view(s, d, "ap_receipts").select("document_id", *[c.alias(n) for n, c in extract.extract_receipt(F.col("text")).items()]), f"SELECT document_id, 'ACME STORES' AS merchant_name, CAST(NULL AS VARCHAR) AS currency, printf('%.2f', list_max(list_transform(flatten([{_RECEIPT_TOTALS}]), lambda v: CAST(replace(v, ',', '') AS DOUBLE)))) AS total_amount, " + ", ".join(f"{_MATCH(n)} AS {n}" for n in extract.RECEIPT) + " FROM ap_receipts", "ap_receipts")
 
+_NO_WORD_BEFORE = lambda p: p.replace(r"(?<!\w)", r"(?:^|\W)")  # noqa: E731  # the other engine's patterns don't look behind
+_KEYED = lambda n: f"nullif(replace(regexp_extract(t, '(?i){_NO_WORD_BEFORE(extract.AMOUNT_WORDS[n])}[:\\s]*{extract.KEYED_AMOUNT}', 1), ',', ''), '')"
+#: Receipts of which some have lost the words before their amounts or their date, or have the date in another form.
+_KEYED_TEXTS = "SELECT document_id, CASE k % 4 WHEN 0 THEN replace(replace(replace(text, 'Grand Total', 'Sum'), 'Subtotal', 'Net'), 'Date: ', 'on ') WHEN 1 THEN replace(replace(text, 'Grand Total', 'Balance Due'), 'Invoice No: ', 'Number ') WHEN 2 THEN replace(text, 'Date: ', 'Due Date 3/14/2024 of ') ELSE text END AS t FROM {ap_receipts}"
+add("f9_extract_keyed", lambda s, d: s.sql(_KEYED_TEXTS, ap_receipts=view(s, d, "ap_receipts")).select("document_id", *[c.alias(n) for n, c in extract.extract_keyed(F.col("t")).items()]), f"""SELECT *, CASE WHEN invoice_number IS NOT NULL THEN 0.92E0 END AS invoice_number_confidence, CASE WHEN total_amount IS NOT NULL THEN 0.88E0 END AS total_amount_confidence, CASE WHEN subtotal IS NOT NULL THEN 0.88E0 END AS subtotal_confidence, CASE WHEN tax IS NOT NULL THEN 0.88E0 END AS tax_confidence
+  FROM (SELECT document_id, nullif(regexp_extract(t, '{extract.KEYED_INVOICE}', 0), '') AS invoice_number, CASE WHEN regexp_matches(t, 'Due Date 3/') THEN CASE WHEN regexp_matches(t, '{extract.DATE_WORDS}\\d{{4}}-') THEN NULL ELSE '2024-03-14' END ELSE nullif(regexp_extract(t, '{extract.KEYED_DATES[0]}'), '') END AS date,
+    CASE WHEN regexp_matches(t, '{extract.DATE_WORDS}\\d') THEN 0.93E0 WHEN regexp_matches(t, '{extract.KEYED_DATES[0]}') THEN 0.90E0 END AS date_confidence,
+    coalesce({_KEYED("total_amount")}, printf('%.2f', list_max(list_transform(regexp_extract_all(t, '{extract.KEYED_AMOUNT}', 1), lambda v: CAST(replace(v, ',', '') AS DOUBLE))))) AS total_amount, {_KEYED("subtotal")} AS subtotal, {_KEYED("tax")} AS tax FROM ({_KEYED_TEXTS.format(ap_receipts="ap_receipts")}))""", "ap_receipts")
+
+
+def _table_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items read back from tables of text that stand for each document's items: headers in two orders, one without a description, amounts with marks."""
+    cell = {"description": F.col("description"), "quantity": F.col("quantity").cast("string"), "unit_price": F.format_string("$%.2f", "unit_price"), "total": F.format_number("total", 2)}
+    kind = F.pmod(F.substring("document_id", 5, 20).cast("long"), F.lit(3))
+    row = lambda *names: F.array(*[F.concat(F.lit(" "), cell[n]) if n in cell else F.lit(n) for n in names])
+    cells = F.when(kind == 0, row("description", "quantity", "unit_price", "total")).when(kind == 1, row("1", "total", "unit_price", "x", "description")).otherwise(row("quantity", "total"))
+    heads = {0: ("Description", "Qty", "Unit Price", "Total"), 1: ("No", "Line total", " RATE", "Remark", "Product"), 2: ("Units", "Amount")}
+    head = F.when(F.col("kind") == 0, F.array(*map(F.lit, heads[0]))).when(F.col("kind") == 1, F.array(*map(F.lit, heads[1]))).otherwise(F.array(*map(F.lit, heads[2])))
+    rows = view(spark, sf, "ap_line_items").select("document_id", kind.alias("kind"), "id", cells.alias("cells"))
+    body = rows.groupBy("document_id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "cells"))), lambda x: x["cells"]).alias("body"))
+    tables = body.select("document_id", F.array(F.array(F.array(F.lit("Header only"))), F.concat(F.array(head), F.col("body"))).alias("tables"))
+    return tables.select("document_id", F.posexplode(extract.items_from_tables(F.col("tables"))).alias("pos", "item")).select("document_id", "pos", "item.*")
+
+
+add("f9_table_items", _table_items, """SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY id) - 1 AS INTEGER) AS pos, description, CASE WHEN k % 3 = 0 THEN CAST(quantity AS DOUBLE) ELSE 0.0 END AS quantity, CAST(printf('%.2f', unit_price) AS DOUBLE) AS unit_price, CAST(printf('%.2f', total) AS DOUBLE) AS total
+  FROM (SELECT *, CAST(substr(document_id, 5) AS BIGINT) AS k FROM ap_line_items) WHERE k % 3 <> 2""", "ap_line_items")
+
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     """Fields by precedence over receipts: given values for some, layout pairs for some, patterns, then triangulated amounts."""

@@ -160,3 +160,27 @@ def test_receipt(spark):
     got = one(spark, [(doc,), ("",), (None,)], "a string", **extract.extract_receipt(F.col("a")))
     assert (got[0].merchant_name, got[0].date, got[0].total_amount, got[0].tax_amount, got[0].subtotal, got[0].cash_tendered, got[0].change, got[0].invoice_number) == ("Big Shop Ltd", "03/02/2024", "1010.00", "1.00", "9.00", "20.00", "10.00", "77")
     assert {got[1].merchant_name, got[2].merchant_name} == {None}
+
+
+def test_keyed_fields(spark):
+    """Literal cases of the keyword rules."""
+    texts = ["Invoice #INV-2025-00123", "INV-2025-001 for services", "Invoice: 20250012", "No invoice info here", "Date: 2025-01-15", "Invoice Date: 01/15/2025", "Date: January 15, 2025", "seen 2025-01-15, issued 1/2/2024",
+             "Subtotal: $1,200.00\nTax: $96.00\nTotal Amount Due: $1,296.00", "items: $50.00, $100.00, $200.00", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", *[c.alias(n) for n, c in extract.extract_keyed(F.col("t")).items()])
+    got = {r.k: r for r in df.collect()}
+    assert [got[k].invoice_number for k in range(4)] == ["Invoice #INV-2025-00123", "INV-2025-001", "Invoice: 20250012", None]
+    assert [(got[k].date, got[k].date_confidence) for k in range(3, 8)] == [(None, None), ("2025-01-15", 0.93), ("2025-01-15", 0.93), ("2025-01-15", 0.93), ("2024-01-02", 0.93)]
+    assert (got[8].subtotal, got[8].tax, got[8].total_amount, got[8].total_amount_confidence) == ("1200.00", "96.00", "1296.00", 0.88)
+    assert (got[9].total_amount, got[9].subtotal, got[9].tax_confidence) == ("200.00", None, None)
+    assert all(v is None for k in (10, 11) for v in list(got[k])[1:])
+
+
+def test_items_of_tables(spark):
+    tables = [
+        [[["Description", "Qty", "Unit Price", "Total"], ["Widget A", "10", "100.00", "1000.00"], ["Widget B", "5", "$2,000.50", "x"], [None, "1"], [" "], ["C"], None]],
+        [], [[["Header only"]]], [[["Column A", "Column B"], ["a", "b"]]], None, [None, [None, ["a"]], [["Discount", None, "ITEM total"], ["3", "9", "thing"]]],
+    ]
+    df = spark.createDataFrame(list(enumerate(tables)), "k int, t array<array<array<string>>>").select("k", extract.items_from_tables(F.col("t")).alias("items"))
+    got = {r.k: [tuple(x) for x in r["items"]] for r in df.collect()}
+    assert got[0] == [("Widget A", 10.0, 100.0, 1000.0), ("Widget B", 5.0, 2000.5, 0.0), ("C", 0.0, 0.0, 0.0)]
+    assert got[1] == got[2] == got[3] == got[4] == [] and got[5] == [("thing", 3.0, 0.0, 0.0)]
