@@ -20,8 +20,15 @@ def _columns(docs: DataFrame, text: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 1,000 whole texts at once: the usual 10,000 take hundreds of megabytes in executors. Stages run after they return, so the session keeps this."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, min(1000, int(spark.conf.get(rows))))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score 0.3 or more) go."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train(docs, labels)
     return _columns(toxicity.score(docs, model, out="toxicity").where("toxicity < 0.3"))
@@ -47,6 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words is in 13-word windows of the benchmark go."""
+    _small_batches(spark)
     found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("text", "lang", "source", "n_chars"))
     return _columns(found.where("not contaminated"))
 
@@ -55,6 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text's best segmentation, and the scores of its four best."""
     import public_tokenizers
 
+    _small_batches(spark)
     found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), n=4)
     return found.select("doc_id", "n_tokens", "score", F.transform("nbest", lambda x: x["score"]).alias("nbest_scores"), "ids")
 
