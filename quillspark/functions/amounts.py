@@ -54,6 +54,12 @@ def parse_amount(text: Column) -> Column:
     return _let(_bare(text), lambda bare: _let(_plain(bare), number))
 
 
+def amount_text(text: Column) -> Column:
+    """The digits of a currency text as an exact number is written: no marks, commas or leading zeros; null where it is none."""
+    digits = lambda plain: F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), F.regexp_replace(plain, r"^(-?)0+(?=\d)", "$1"))
+    return _let(_bare(text), lambda bare: _let(_plain(bare), digits))
+
+
 def amount_error(text: Column) -> Column:
     """empty, thousands, or not_a_number; null for a good amount."""
     why = lambda bare: F.when(bare == "", "empty").when(_plain(bare).isNull(), "thousands").when(parse_amount(text).isNull(), "not_a_number")

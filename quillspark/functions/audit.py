@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .amounts import parse_amount
+from .amounts import amount_text, parse_amount
 
 TOLERANCE = "0.01"
 #: Ratios by which an amount may have slipped, and the fields, in order of trial.
@@ -64,3 +64,24 @@ def magnitude_slip(audited: DataFrame, items_total: str | None = None) -> DataFr
             options.append(hit((items != 0) & (F.abs(total - items * r) * 100 <= F.abs(items * r) * 5), "total", ratio, None))
     slip = F.when(F.col("audit_reason") == "math_mismatch", F.coalesce(*options))
     return audited.withColumn("slip", slip).withColumns({f"slip_{c}": F.col(f"slip.{c}") for c in ("field", "ratio", "direction")}).drop("slip")
+
+
+def slip_sentence(slips: DataFrame, items_total: str | None = None) -> DataFrame:
+    """Adds slip_text to the rows of magnitude_slip: guidance on which field to read again, null where nothing slipped.
+
+    Amounts are written as their texts have them, without marks and commas; the items' sum (only named where it gave the slip) with two decimals.
+    """
+    given = {n: amount_text(F.col(c)) for n, c in (("subtotal", "subtotal"), ("tax", "tax"), ("total", "total_amount"))}
+    field, ratio = F.col("slip_field"), F.col("slip_ratio")
+    # The sentences.
+    one = F.concat(
+        F.lit("magnitude_error: likely decimal-point slip in "), field, F.lit(" \u2014 reported "), field, F.lit(" appears "), F.replace(F.col("slip_direction"), F.lit("_"), F.lit(" ")), F.lit(" by a factor of ~"), ratio,
+        F.lit(" relative to the other two fields. Observed: subtotal="), given["subtotal"], F.lit(", tax="), given["tax"], F.lit(", total="), given["total"],
+        F.lit(". Re-scan the "), field, F.lit(" field digit by digit and verify decimal placement before returning a value."),
+    )
+    total = F.col(items_total).cast("decimal(38,2)").cast("string") if items_total else F.lit(None).cast("string")
+    items = F.concat(
+        F.lit("magnitude_error: the reported total ("), given["total"], F.lit(") is ~"), ratio, F.lit("x the sum of line items ("), total,
+        F.lit("). The subtotal+tax triangulation was inconclusive, so a line item may also be mis-extracted. Re-scan every line item's amount and the total field, verifying decimal placement."),
+    )
+    return slips.withColumn("slip_text", F.when(F.col("slip_direction").isNotNull(), one).when(field.isNotNull(), items))

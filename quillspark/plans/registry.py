@@ -334,17 +334,23 @@ _OK = "(audit_reason IS NULL OR audit_reason = 'partial_data')"
 add("f2_audit", lambda s, d: R.audits(sales_ledger(s, d)).select("document_id", F.col("total").cast("double").alias("total"), F.col("delta").cast("double").alias("delta"), "audit_reason", "audit_ok"), f"SELECT document_id, CAST(total AS DOUBLE) AS total, CAST(subtotal_amt + tax_amt - total AS DOUBLE) AS delta, audit_reason, {_OK} AS audit_ok FROM ({_AUDIT})", "ap_fields", "ap_line_items")
 
 
-def _slip_sql() -> str:
+def _slip_sql(fallback: str = "") -> str:
     near = lambda left, right: f"CASE WHEN {right} = 0 THEN abs({left}) <= 0.01 ELSE abs({left} - {right}) * 100 <= abs({right}) END"
     s, t, total = "CAST(subtotal_amt AS DOUBLE)", "CAST(tax_amt AS DOUBLE)", "CAST(total AS DOUBLE)"
     cases = []
     for r in audit.RATIOS:
         cases += [f"WHEN {s} <> 0 AND {near(f'({s} * {r} + {t})', total)} THEN 'subtotal {r}'", f"WHEN {t} <> 0 AND {near(f'({s} + {t} * {r})', total)} THEN 'tax {r}'", f"WHEN {near(f'(({s} + {t}) * {r})', total)} THEN 'total {r}'"]
-    cases += [f"WHEN items_total <> 0 AND abs({total} - items_total * {r}) * 100 <= abs(items_total * {r}) * 5 THEN 'total {r}'" for r in audit.RATIOS]
+    cases += [f"WHEN items_total <> 0 AND abs({total} - items_total * {r}) * 100 <= abs(items_total * {r}) * 5 THEN 'total {r}{fallback}'" for r in audit.RATIOS]
     return f"SELECT document_id, CASE WHEN audit_reason = 'math_mismatch' THEN CASE {' '.join(cases)} END END AS slip FROM ({_AUDIT})"
 
 
 add("f3_magnitude_slip", lambda s, d: R.audits(sales_ledger(s, d)).select("document_id", F.when(F.col("slip_field").isNotNull(), F.concat_ws(" ", "slip_field", "slip_ratio")).alias("slip")), _slip_sql(), "ap_fields", "ap_line_items")
+_SLIPS = {f"{field} {r}": ("too small" if (float(r) > 1) == (field != "total") else "too large") for field in audit.SLIP_FIELDS for r in audit.RATIOS}
+_PLAIN = lambda c: f"replace(replace({c}, '$', ''), ',', '')"
+_TEXTS = " ".join(f"WHEN '{k}' THEN 'magnitude_error: likely decimal-point slip in {k.split()[0]} \u2014 reported {k.split()[0]} appears {way} by a factor of ~{k.split()[1]} relative to the other two fields. Observed: subtotal=' || {_PLAIN('subtotal')} || ', tax=' || {_PLAIN('tax')} || ', total=' || {_PLAIN('total_amount')} || '. Re-scan the {k.split()[0]} field digit by digit and verify decimal placement before returning a value.'" for k, way in _SLIPS.items())
+_TEXTS += " ".join(f" WHEN 'total {r} items' THEN 'magnitude_error: the reported total (' || {_PLAIN('total_amount')} || ') is ~{r}x the sum of line items (' || CAST(CAST(items_total AS DECIMAL(18,2)) AS VARCHAR) || '). The subtotal+tax triangulation was inconclusive, so a line item may also be mis-extracted. Re-scan every line item''s amount and the total field, verifying decimal placement.'" for r in audit.RATIOS)
+_WAYS = " ".join(f"WHEN '{k}' THEN '{way.replace(' ', '_')}'" for k, way in _SLIPS.items())
+add("f3_slip_text", lambda s, d: audit.slip_sentence(R.audits(sales_ledger(s, d)), "items_total").where("slip_field is not null").select("document_id", "slip_field", "slip_ratio", "slip_direction", "slip_text"), f"SELECT document_id, split_part(slip, ' ', 1) AS slip_field, split_part(slip, ' ', 2) AS slip_ratio, CASE slip {_WAYS} END AS slip_direction, CASE slip {_TEXTS} END AS slip_text FROM ({_slip_sql(' items')}) s JOIN ({_VALUES}) v USING (document_id) LEFT JOIN ({_ITEMS}) i USING (document_id) WHERE slip IS NOT NULL", "ap_fields", "ap_line_items")
 _VALID = f"""SELECT id, document_id, field_name, field_value, CASE WHEN field_name IN ('invoice_number', 'date', 'vendor_name', 'total_amount') AND trim(coalesce(field_value, '')) = '' THEN field_name || ' is required' WHEN trim(coalesce(field_value, '')) = '' THEN NULL
   WHEN field_name = 'invoice_number' AND NOT regexp_matches(field_value, '^INV-\\d{{4}}-\\d{{4}}$') THEN 'Invoice number must match INV-YYYY-NNNN' WHEN field_name = 'date' AND TRY_CAST(field_value AS DATE) IS NULL THEN 'Date must be YYYY-MM-DD'
   WHEN field_name IN ('total_amount', 'subtotal', 'tax') AND ({_num('field_value')}) IS NULL THEN field_name || ' must be a number' END AS error_message FROM ap_fields"""

@@ -83,11 +83,20 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
 VERSION = 1
 
 
-def save_thresholds(thresholds: DataFrame, path: str, version: int = VERSION) -> None:
-    """(field_name, threshold) as JSON lines with the table's version."""
-    thresholds.select(F.lit(version).alias("version"), "field_name", "threshold").write.mode("overwrite").json(path)
+def save_thresholds(thresholds: DataFrame, path: str, version: int = VERSION, default: float = 0.5) -> None:
+    """(field_name, threshold, and samples if there are any counts) as JSON lines, each with the version, the default and the time of the fit; a null
+    threshold means the default. Without a field nothing is kept, not the default either."""
+    samples = F.col("samples").cast("long") if "samples" in thresholds.columns else F.lit(None).cast("long")
+    head = [F.lit(version).alias("version"), F.lit(default).alias("default_threshold"), F.current_timestamp().alias("fitted_at")]
+    thresholds.select(*head, "field_name", "threshold", samples.alias("samples")).write.mode("overwrite").json(path)
+
+
+def load_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the current version only (another version counts as none, so readers use their own default): the field, its threshold or else the stored default, and the samples it was fitted on."""
+    saved = spark.read.schema("version int, default_threshold double, fitted_at timestamp, field_name string, threshold double, samples long").json(path).where(F.col("version") == VERSION)
+    return saved.select("field_name", F.coalesce("threshold", "default_threshold").alias("threshold"), F.col("threshold").isNotNull().alias("fitted"), "samples", "default_threshold", "fitted_at")
 
 
 def load_thresholds(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the current version only: another version counts as none, so readers use the default."""
-    return spark.read.schema("version int, field_name string, threshold double").json(path).where(F.col("version") == VERSION).drop("version")
+    """(field_name, threshold) of load_calibration's rows, a null threshold where none was fitted."""
+    return load_calibration(spark, path).select("field_name", F.when(F.col("fitted"), F.col("threshold")).alias("threshold"))

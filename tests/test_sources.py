@@ -91,6 +91,10 @@ def test_prediction_log_and_thresholds(spark, tmp_path):
     assert files.load_thresholds(spark, f"{tmp_path}/t").first().threshold == 0.7
     files.save_thresholds(df, f"{tmp_path}/t", version=0)
     assert files.load_thresholds(spark, f"{tmp_path}/t").count() == 0
+    fitted = spark.createDataFrame([("tax", 0.8, 12), ("date", None, 3)], "field_name string, threshold double, samples int")
+    files.save_thresholds(fitted, f"{tmp_path}/t", default=0.6)
+    assert {(r.field_name, r.threshold, r.fitted, r.samples, r.default_threshold) for r in files.load_calibration(spark, f"{tmp_path}/t").collect()} == {("tax", 0.8, True, 12, 0.6), ("date", 0.6, False, 3, 0.6)}
+    assert {(r.field_name, r.threshold) for r in files.load_thresholds(spark, f"{tmp_path}/t").collect()} == {("tax", 0.8), ("date", None)}
     files.write_csv(df, f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first().field_name == "date"
 
