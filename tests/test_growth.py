@@ -14,3 +14,7 @@ def test_isolation_forest_reads_stored_scores(spark):
     df = QUERIES["m2_isolation_forest"](spark, SF)
     assert not any("testdata" in f for f in df.inputFiles())
     assert any("/isolation-scores-" in f for f in df.inputFiles())
+
+
+def test_training_rows_are_stored_before_they_are_split(spark):
+    assert _rests_on(QUERIES["m12_training_set"](spark, SF), "labelled-rows")
