@@ -18,3 +18,7 @@ def test_isolation_forest_reads_stored_scores(spark):
 
 def test_training_rows_are_stored_before_they_are_split(spark):
     assert _rests_on(QUERIES["m12_training_set"](spark, SF), "labelled-rows")
+
+
+def test_supplier_forest_reads_stored_metrics(spark):
+    assert _rests_on(QUERIES["m4_supplier_risk_ml"](spark, SF), "supplier-risk")
