@@ -1,6 +1,8 @@
 """What is read several times is worked out once: the results rest on stored tables, not on the sales tables again."""
 
+from quillspark.plans.boosting import ROWS_A_PART, parts_of
 from quillspark.plans.registry import QUERIES
+from quillspark.sources.tables import KeyedTable
 
 from .conftest import SF
 
@@ -22,3 +24,26 @@ def test_training_rows_are_stored_before_they_are_split(spark):
 
 def test_supplier_forest_reads_stored_metrics(spark):
     assert _rests_on(QUERIES["m4_supplier_risk_ml"](spark, SF), "supplier-risk")
+
+
+def test_a_write_works_its_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = KeyedTable(spark, str(tmp_path / "t"), "k long, v long", ["k"], 4)
+    new = lambda a, b: spark.range(a, b).selectExpr("id as k", "id * 2 as v").mapInArrow(count, "k long, v long")
+    table.upsert(new(0, 100))
+    table.upsert(new(50, 150))
+    assert seen.value == 200
+    assert sorted(map(tuple, table.read().collect())) == [(k, 2 * k) for k in range(150)]
+
+
+def test_all_cores_get_rows_of_what_is_not_one_task():
+    assert parts_of(ROWS_A_PART, 12) == 1
+    assert parts_of(ROWS_A_PART + 1, 12) == 9
+    assert parts_of(1_270_000, 12) == 12
+    assert parts_of(100 * ROWS_A_PART, 12) == 100
