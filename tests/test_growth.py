@@ -1,5 +1,11 @@
 """What is read several times is worked out once: the results rest on stored tables, not on the sales tables again."""
 
+import time
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
 from quillspark.plans.boosting import ROWS_A_PART, parts_of
 from quillspark.plans.registry import QUERIES
 from quillspark.sources.tables import KeyedTable
@@ -47,3 +53,25 @@ def test_all_cores_get_rows_of_what_is_not_one_task():
     assert parts_of(ROWS_A_PART + 1, 12) == 9
     assert parts_of(1_270_000, 12) == 12
     assert parts_of(100 * ROWS_A_PART, 12) == 100
+
+
+def test_edits_of_texts_that_go_on_need_no_table(spark):
+    long = spark.range(1).select(F.repeat(F.lit("abcdefghij"), 30_000).alias("a"))
+    pairs = [("a", "a"), ("a", F.concat("a", F.lit("xy"))), (F.concat("a", F.lit("xyz")), "a"), ("a", F.lit(""))]
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    start = time.monotonic()
+    row = long.select(*[T.edits(as_col(a), as_col(b)) for a, b in pairs]).first()
+    assert tuple(row) == (0, 2, 3, 300_000)
+    assert time.monotonic() - start < 20
+
+
+def test_pairs_that_go_on_have_the_counts_of_the_walk(spark):
+    texts = ["", "a", "ab", "ab c", "ab c d", "b c", "éa", "éab"]
+    rows = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.text_edit_ops(F.col("a"), F.col("b")).alias("o"), T.word_edits(F.col("a"), F.col("b")).alias("w"), T.edits(F.col("a"), F.col("b")).alias("e"), F.levenshtein("a", "b").alias("plain"))
+    for r in df.collect():
+        walked = T._all_counts([(T._points(r.a), T._points(r.b))])[0]
+        assert tuple(r.o) == tuple(walked)
+        assert r.e == r.plain == walked[:3].sum()
+        words = [tuple(hash(w) % (1 << 30) for w in x.split()) for x in (r.a, r.b)]
+        assert r.w == T._all_counts([tuple(np.array(x, np.int32) for x in words)])[0][:3].sum()
