@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.plans.boosting import ROWS_A_PART, parts_of
-from quillspark.plans.registry import QUERIES
+from quillspark.plans.registry import QUERIES, _recalibrated
 from quillspark.sources.tables import KeyedTable
 
 from .conftest import SF
@@ -75,3 +75,7 @@ def test_pairs_that_go_on_have_the_counts_of_the_walk(spark):
         assert r.e == r.plain == walked[:3].sum()
         words = [tuple(hash(w) % (1 << 30) for w in x.split()) for x in (r.a, r.b)]
         assert r.w == T._all_counts([tuple(np.array(x, np.int32) for x in words)])[0][:3].sum()
+
+
+def test_recalibration_reads_stored_fields(spark):
+    assert _rests_on(_recalibrated(spark, SF).ledger.fields, "fields")
