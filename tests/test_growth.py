@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.plans import verifier
 from quillspark.plans.boosting import ROWS_A_PART, parts_of
 from quillspark.plans.registry import QUERIES, _recalibrated
 from quillspark.sources.tables import KeyedTable
@@ -79,3 +80,31 @@ def test_pairs_that_go_on_have_the_counts_of_the_walk(spark):
 
 def test_recalibration_reads_stored_fields(spark):
     assert _rests_on(_recalibrated(spark, SF).ledger.fields, "fields")
+
+
+def test_corruptions_try_only_what_is_reached(spark, monkeypatch):
+    """An operator that comes after one that applies isn't worked out, and no helper table is written."""
+    base = spark.createDataFrame([(f"d{k}", "INV-1", "01/02/2024", "Acme", "10.00", "1.00", "11.00") for k in range(60)], "document_id string, " + ", ".join(f"{c} string" for c in verifier.FIELDS))
+    wide = base.withColumn("items", F.expr("array(named_struct('id', 'i', 'description', 'x', 'quantity', '2', 'unit_price', '5.00', 'total', '10.00'))"))
+    want = {r.document_id: r.operator for r in verifier.corrupt(wide).collect()}
+    plain = verifier._corruptions
+
+    def failing(df):
+        df, ops, changes = plain(df)
+        return df, {**ops, "decimal_slip": F.raise_error(F.lit("reached")).cast(spark.createDataFrame([], "s struct<operator:string,text:string,items:array<struct<id:string,description:string,quantity:string,unit_price:string,total:string>>>").schema["s"].dataType)}, changes
+
+    monkeypatch.setattr(verifier, "_corruptions", failing)
+    monkeypatch.setattr(verifier, "stored", None)
+    one = lambda d: [r.operator for r in verifier.corrupt(wide.where(F.col("document_id") == d)).collect()]
+    slipped = [d for d, op in want.items() if op == "decimal_slip"][0]
+    spared = [d for d, op in want.items() if op == "vendor_perturb"]
+    got = [d for d in spared[:4] if _gives(lambda d=d: one(d), ["vendor_perturb"])]
+    assert got and not _gives(lambda: one(slipped), ["decimal_slip"])
+
+
+def _gives(run, want) -> bool:
+    try:
+        return run() == want
+    except Exception as e:
+        assert "reached" in str(e)
+        return False
