@@ -149,3 +149,23 @@ def test_recalibration_publishes_what_the_batch_form_fits(spark, tmp_path):
     assert {(r.field_name, r.samples, r.threshold) for r in loop.thresholds.read().collect()} == want and len(want) > 3
     queue = review.review_queue(ap, loop.thresholds.read().select("field_name", "threshold"))
     assert queue.where("review").count() > 0
+
+
+def test_state_is_asked_no_more_than_needed():
+    """A batch that ends at once reads no map and writes no document; one that runs writes each document once."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (False if name in ("exists", "containsKey") else None)
+
+    progress = jobs._Progress(None)
+    progress.documents, progress.counts, progress.handle = State(), State(), None
+    rows = lambda *r: [pd.DataFrame(r, columns=["document_id", "status", "seq"])]
+    done = list(progress.handleInputRows(("a",), iter(rows(("1", "processing", 1), ("1", "verified", 2), ("2", "failed", 1), ("2", "uploaded", 0))), None))
+    assert [tuple(r) for r in done[0].values] == [("a", "partial_failed")] and calls == ["exists", "update"]
+    calls.clear()
+    assert list(progress.handleInputRows(("b",), iter(rows(("1", "uploaded", 1), ("1", "processing", 2), ("2", "failed", 1))), None))[0].empty
+    assert calls == ["exists", "updateValue", "updateValue", "update"]
