@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, flagged, settings, slices, stored, text_of, white_words
+from .common import arrow_rows, flagged, settings, slices, stored, text_of
 from .jaccard import _NO_ID, _mixed
 
 #: Counts up to K are discounted by Good-Turing, larger ones are trusted.
@@ -67,14 +67,50 @@ def _batches(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
         yield x
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, each token's place among them, each token's text): END is key 0 of the list."""
-    split = [white_words(t) for t in texts]
-    coded = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    keys = np.fromiter(((xxhash.xxh3_64_intdigest(w) | 1) - (1 << 63) for w in coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
-    sizes = np.array([len(ws) for ws in split], dtype=np.int64)
-    place = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.cumsum(sizes), 0)
-    return np.append(np.int64(END), keys), place, np.repeat(np.arange(len(texts)), sizes + 1)
+#: Bytes of words that are hashed by eights, all words at once; longer words are hashed one by one.
+_LONG = 256
+
+
+def _keys(words: pa.Array) -> np.ndarray:
+    """Odd 64-bit keys of words: their length, then each eight bytes mixed in."""
+    n, (_, ends, data) = len(words), words.buffers()
+    if not n:
+        return np.zeros(0, np.int64)
+    at = np.frombuffer(ends, np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    padded = np.append(np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))
+    eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = np.diff(at)
+    h = _mixed(size.astype(np.uint64))
+    left = np.flatnonzero(size <= _LONG)
+    for done in range(0, _LONG, 8):
+        left = left[size[left] > done]
+        if not len(left):
+            break
+        kept = np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * np.minimum(size[left] - done, 8).astype(np.uint64))
+        h[left] = _mixed(h[left] ^ (eights[at[left] + done] & kept))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    return (h | np.uint64(1)).view(np.int64)
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, each token's place among them, each token's text): END is key 0 of the list.
+
+    The bytes are taken as text as they are: both functions know ASCII only, and the white space of the contract is theirs.
+    """
+    as_text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(as_text))
+    of = pc.list_parent_indices(split).to_numpy()
+    coded = split.flatten().dictionary_encode()
+    words, place = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64)
+    none = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if none >= 0:  # at the ends of texts with white space there, and of empty ones
+        kept = np.arange(len(words)) != none
+        of, place = of[place != none], (np.cumsum(kept) - 1)[place[place != none]]
+        words = words.filter(pa.array(kept))
+    sizes = np.bincount(of, minlength=len(texts))
+    place = np.insert(place + 1, np.cumsum(sizes), 0)
+    return np.append(np.int64(END), _keys(words)), place, np.repeat(np.arange(len(texts)), sizes + 1)
 
 
 @dataclass
@@ -167,9 +203,10 @@ def _settle(known: Known, ids: np.ndarray, tags: np.ndarray, train: np.ndarray,
 
 
 def _histories(h: np.ndarray, c2: np.ndarray, p1: np.ndarray) -> pd.DataFrame:
-    """Per history of distinct seen bigrams: numbers by count class, number (n) and sum (known) of larger counts,
+    """Per history of distinct seen bigrams, which come history by history: numbers by count class, number (n) and sum (known) of larger counts,
     sum of p1 (x) and number of the counts K + 1 (y)."""
-    keys, g = np.unique(h, return_inverse=True)
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    keys, g = h[new], np.cumsum(new) - 1
     big = c2 > K
     return _frame("history", h=keys, n=np.bincount(g, big, len(keys)).astype(np.int64), known=np.bincount(g, np.where(big, c2, 0), len(keys)).astype(np.int64), x=np.bincount(g, p1, len(keys)), y=np.bincount(g, c2 == K + 1, len(keys)).astype(float), **_classes(g, len(keys), c2))
 
@@ -199,10 +236,27 @@ def _unpack(data: bytes, kinds: tuple[str, ...] = _PACKED) -> list[np.ndarray]:
     return out
 
 
+def _sorted(cols: tuple[np.ndarray, ...], below: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Columns of numbers below these, sorted by the first, then the second and so on: packed into one number a row, if it takes 63 bits at most."""
+    bits = [int(n).bit_length() for n in below]
+    if sum(bits) > 63:
+        order = np.lexsort(cols[::-1])
+        return tuple(c[order] for c in cols)
+    packed = np.zeros(len(cols[0]), dtype=np.int64)
+    for c, n in zip(cols, bits, strict=True):
+        packed = (packed << n) | c
+    packed.sort()
+    out = []
+    for n in reversed(bits):
+        out.append(packed & ((1 << n) - 1))
+        packed = packed >> n
+    return tuple(reversed(out))
+
+
 def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
     """Settle the bigrams of hot words here; pack others for their buckets: of the word, if it is rare, else of the
     history, and for histories that may fill a good part of a bucket of both."""
-    keys, place, d = _tokens(pdf["text"].tolist())
+    keys, place, d = _tokens(pa.array(pdf["text"], pa.binary()))
     ids, tags, train = pdf["doc_id"].to_numpy(), pdf["tag"].to_numpy(), ~pdf["held"].to_numpy().astype(bool)
     start, rare = len(known.keys), len(known.keys) + 1
     codes = known.codes(keys)
@@ -230,16 +284,15 @@ def _deal(known: Known, buckets: int, pdf: pd.DataFrame) -> pd.DataFrame:
     wide = np.concatenate([known.counts, [known.texts], np.full(len(keys), least)]) >= BUCKET // 16
     by = np.where(w >= rare, mix[w], np.where(wide[h], _mixed(mix[h] + mix[w]), mix[h]))
     bucket = (by % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((w, h, bucket))
-    present, first = np.unique(bucket[order], return_index=True)
-    rows = []
-    for b, x, y in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-        o = order[x:y]
-        texts, dd = np.unique(d[o], return_inverse=True)
-        names, inv = np.unique(np.concatenate([h[o], w[o]]), return_inverse=True)
-        far = names >= rare
-        local = np.where(far, rare + np.cumsum(far) - 1, names).astype(np.int32)[inv]
-        rows.append((b, _pack([ids[texts], tags[texts], train[texts], key_of[names[far]], np.diff(local[: len(o)], prepend=0), local[len(o) :], dd])))
+    bucket, h, w, d = _sorted((bucket, h, w, d), (buckets, len(key_of), len(key_of), len(ids)))
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    rows, code = [], np.arange(len(key_of), dtype=np.int32)
+    for x, y in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=False):
+        met = np.zeros(len(ids), dtype=bool)
+        met[d[x:y]] = True
+        far = np.unique(np.concatenate([h[x:y][h[x:y] >= rare], w[x:y][w[x:y] >= rare]]))
+        code[far] = rare + np.arange(len(far))  # rare words by their order in the bucket
+        rows.append((bucket[x], _pack([ids[met], tags[met], train[met], key_of[far], np.diff(code[h[x:y]], prepend=0), code[w[x:y]], (np.cumsum(met) - 1)[d[x:y]]])))
     settled = pd.concat(out)
     settled["bucket"] = (settled["tag"] + settled["doc_id"] % buckets) % buckets
     packed = _frame("bigrams", doc_id=np.zeros(len(rows), np.int64), payload=[r[1] for r in rows])
@@ -251,7 +304,7 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
     """A bucket's bigrams: counted, settled for their texts, summed by history, and listed with their training counts."""
     fixed = len(known.keys)
     ids, tags, train, far, h, w, d = [], [], [], [], [], [], []
-    texts, extra = 0, 0
+    texts, extra, ends = 0, 0, [0]
     for data in payloads:
         i, t, on, keys, steps, ws, ds = _unpack(data)
         hs = np.cumsum(steps, dtype=np.int32)
@@ -259,6 +312,7 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
         for list_, x in ((ids, i), (tags, t), (train, on), (far, keys), (h, shift(hs)), (w, shift(ws)), (d, (ds + np.int32(texts)).astype(np.int32))):
             list_.append(x)
         texts, extra = texts + len(i), extra + len(keys)
+        ends.append(ends[-1] + len(ds))
     ids, tags, train, far, h, w, d = (np.concatenate(x) for x in (ids, tags, train, far, h, w, d))
     # Rare words of several parts get one code each.
     own_keys, place = np.unique(far, return_inverse=True)
@@ -275,7 +329,11 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
     seen = c2 > 0
     yield _histories(key_of[pair_h[seen]], c2[seen], known.p1(count_of[pair_w[seen]]))
     yield _frame("counts", h=key_of[pair_h[seen]], n=key_of[pair_w[seen]], known=c2[seen])
-    for x in np.array_split(np.argsort(d, kind="stable"), max(1, len(d) >> 18)):  # bounded frames; a text in two of them has two rows
+    at = 0
+    for end in ends[1:]:  # frames of some parts, whose texts are apart
+        if end - at < 1 << 18 and end < ends[-1]:
+            continue
+        x, at = slice(at, end), end
         hc = np.where(h[x] <= fixed, h[x], -1)
         yield _settle(known, ids, tags, train, d[x], key_of[h[x]], hc, count_of[w[x]], c2[inv[x]], rare_w[x])
 
@@ -327,8 +385,8 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch.to_pandas()):
-                keys, place, _ = _tokens(part["text"].tolist())
+            for part in slices([batch], most=1 << 20):
+                keys, place, _ = _tokens(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(place, minlength=len(keys)))], names=["w", "c"])
 
     # Hot words are picked from about a hundredth of the texts: which words are hot changes no result, only where their bigrams are counted.
@@ -339,8 +397,8 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((size + 1) * size, dtype=np.int64)
         for batch in batches:
-            for part in _batches(batch.to_pandas()):
-                keys, place, d = _tokens(part["text"].tolist())
+            for part in slices([batch], most=1 << 20):
+                keys, place, d = _tokens(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(np.bincount(place, minlength=len(keys)))], names=["h", "w", "c"])
                 at = np.minimum(np.searchsorted(hot_keys, keys), size - 1)
                 w = np.where(hot_keys[at] == keys, at, -1)[place]
@@ -467,7 +525,7 @@ def score_texts(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            keys, place, d = _tokens(batch.column(2).to_pylist())
+            keys, place, d = _tokens(batch.column(2))
             w = keys[place]
             h = np.append(START, w[:-1])
             h[np.append(True, d[1:] != d[:-1])] = START
