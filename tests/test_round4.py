@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.operators import documents
+from quillspark.operators import documents, retry
 from quillspark.plans import boosting, verifier
 from quillspark.sources.ledger import sales_ledger
 from quillspark.sources.shared import stored
@@ -77,3 +77,17 @@ def test_rows_of_several_partitions_grow_in_one_task_and_alike_when_spread(spark
     assert jobs and np.allclose(one.margins(x), spread.margins(x), atol=1e-6)
     monkeypatch.setattr(boosting, "PARTS_AT_ONCE", 1)
     assert np.allclose(boosting.boosted(df, names, rounds=3, leaves=8).margins(x), boosting.boosted(df, names, rounds=3, leaves=8).margins(x), atol=1e-6)
+
+
+def test_a_round_joins_only_what_the_verifier_says(spark, monkeypatch):
+    """Audit and gate work on the open documents' own rows; what a round reads is stored."""
+    rows = [(f"d{k}", "INV-1", "2024-01-02", "Acme", "10.00", "1.00", "11.00" if k % 2 else "12.00", "local", 0.9) for k in range(6)]
+    docs = spark.createDataFrame(rows, "document_id string, invoice_number string, date string, vendor_name string, subtotal string, tax string, total_amount string, fallback_tier string, ocr_confidence double")
+    docs = docs.withColumn("items", F.expr("cast(array() as array<struct<id:string,description:string,quantity:string,unit_price:string,total:string>>)"))
+    plans = []
+    plain = retry.write_cleanly
+    monkeypatch.setattr(retry, "write_cleanly", lambda df, path: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, path))[1])
+    replies = lambda n: spark.createDataFrame([], "document_id string, reply string, confidence double")
+    got = {r.document_id: (r.route, r.gate_reason, r.attempts) for r in retry.reconcile(docs, replies, lambda open_: open_.select("document_id", (F.col("document_id") != "d1").alias("ok"))).collect()}
+    assert got == {f"d{k}": ("hitl", "math_mismatch", 1) if k % 2 == 0 else ("hitl", "low_plausibility", 1) if k == 1 else ("valid", None, 0) for k in range(6)}
+    assert [p.count("Join") for p in plans[:2]] == [0, 1]
