@@ -3,10 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.operators import documents, retry
+from quillspark.operators import documents, forecast, retry
 from quillspark.plans import boosting, verifier
 from quillspark.sources.ledger import sales_ledger
 from quillspark.sources.shared import stored
+from quillspark.streaming import jobs
 
 from .conftest import SF
 
@@ -91,3 +92,32 @@ def test_a_round_joins_only_what_the_verifier_says(spark, monkeypatch):
     got = {r.document_id: (r.route, r.gate_reason, r.attempts) for r in retry.reconcile(docs, replies, lambda open_: open_.select("document_id", (F.col("document_id") != "d1").alias("ok"))).collect()}
     assert got == {f"d{k}": ("hitl", "math_mismatch", 1) if k % 2 == 0 else ("hitl", "low_plausibility", 1) if k == 1 else ("valid", None, 0) for k in range(6)}
     assert [p.count("Join") for p in plans[:2]] == [0, 1]
+
+
+def test_fits_of_few_counts_take_no_job_a_pass(spark, monkeypatch):
+    rows = [("a", i / 50, int(i < 20 + k), 1 + k) for i in range(50) for k in range(3)] + [("b", 0.5, 1, 3)]
+    table = spark.createDataFrame(rows, "field_name string, x double, y int, n long")
+    sc = spark.sparkContext
+    sc.setJobGroup("fit", "fit")
+    here = forecast.fit_counts(table)
+    sc.setJobGroup("other", "other")
+    assert len(sc.statusTracker().getJobIdsForGroup("fit")) < 12
+    monkeypatch.setattr(forecast, "FEW_COUNTS", 0)
+    assert sorted(map(tuple, here.collect())) == sorted(map(tuple, forecast.fit_counts(table).collect()))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_recalibration_counts_all_fields_once(spark, tmp_path):
+    """Fits take what was corrected from counts; a micro-batch looks up its own fields only. Corrections of unknown fields, or of none, are counted and fit nothing."""
+    ap = sales_ledger(spark, SF)
+    loop = jobs.Recalibration(ap, f"file://{tmp_path}/loop", 2)
+    few = [r for r in ap.corrections.orderBy("id").limit(30).collect()]
+    schema = ap.corrections.schema
+    strange = [few[0].asDict() | {"id": "x", "field_id": "gone"}, few[0].asDict() | {"id": "y", "field_id": None}]
+    for k, part in enumerate((few[:10], few[5:] + [tuple(r[c] for c in schema.fieldNames()) for r in strange])):
+        loop(spark.createDataFrame([tuple(r) for r in part], schema), k)
+        assert not any("lineitem" in f for f in loop.counts().inputFiles())
+    assert loop.corrections() == 37
+    n, bad = loop.counts().agg(F.sum("n"), F.sum(F.when(F.col("y") == 1, F.col("n")))).first()
+    known = ap.fields.where("confidence is not null")
+    assert n == known.count() and bad == known.where(F.col("id").isin([r.field_id for r in few])).count()
