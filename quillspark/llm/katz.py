@@ -41,6 +41,8 @@ PART, FOLDERS = 4 << 20, 16
 #: Occurrences a bucket holds about, and buckets at least. A text has a row of sums for each bucket that it meets: with few buckets
 #: these rows would grow with the square of the input until there are more buckets than a text has words.
 BUCKET, BUCKETS = 1 << 20, 128
+#: Tokens of a bucket that are settled together, at least.
+SETTLED = 1 << 18
 #: What a count over K gives up, so that every history leaves mass for backing off.
 TRUST = 0.01
 
@@ -150,16 +152,20 @@ _KS = [f"k{r}" for r in range(1, K + 1)]
 _USED = {"row": ["doc_id", "tag", "n", "known", "k1", "k2", "y"], "text": ["doc_id", "tag", "known", *_KS, "x", "y"], "back": ["doc_id", "tag", "h", "n", "known"], "history": ["h", "n", "known", *_KS, "x", "y"], "counts": ["h", "n", "known"]}
 _ARRAYS = "kind string, " + ", ".join(f"{c} array<{t}>" for c, t in (x.split() for x in _OUT.split(", ")) if c not in ("kind", "payload"))
 _ARROW = pa.schema([("kind", pa.string()), *((c, pa.list_(pa.float64() if t == "double" else pa.int64())) for c, t in (x.split() for x in _OUT.split(", ")) if c not in ("kind", "payload"))])
-_TOGETHER = 1 << 12
+#: Members of an array, and rows of figures that are passed on together. Parquet's reader decodes 4,096 rows at once, whatever their arrays hold:
+#: with long arrays that is a whole row group of all columns in each task's heap.
+_TOGETHER, _PASSED = 1 << 6, 1 << 12
 
 
 def _arrays(pdf: pd.DataFrame) -> Iterator[pa.RecordBatch]:
     """Rows of one or more kinds as rows of arrays."""
     for kind, rows in pdf.groupby("kind", sort=False):
-        for at in range(0, len(rows), _TOGETHER):
-            part = rows.iloc[at : at + _TOGETHER]
-            cols = [pa.array([part[f.name].to_numpy()], f.type) if f.name in _USED[kind] else pa.nulls(1, f.type) for f in _ARROW if f.name != "kind"]
-            yield pa.RecordBatch.from_arrays([pa.array([kind]), *cols], schema=_ARROW)
+        for at in range(0, len(rows), _PASSED):
+            part = rows.iloc[at : at + _PASSED]
+            ends = pa.array(np.append(np.arange(0, len(part), _TOGETHER), len(part)), pa.int32())
+            n = len(ends) - 1
+            cols = [pa.ListArray.from_arrays(ends, pa.array(part[f.name].to_numpy(), f.type.value_type)) if f.name in _USED[kind] else pa.nulls(n, f.type) for f in _ARROW if f.name != "kind"]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * n), *cols], schema=_ARROW)
 
 
 def _rows(met: DataFrame, kind: str) -> DataFrame:
@@ -304,7 +310,7 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
     """A bucket's bigrams: counted, settled for their texts, summed by history, and listed with their training counts."""
     fixed = len(known.keys)
     ids, tags, train, far, h, w, d = [], [], [], [], [], [], []
-    texts, extra, ends = 0, 0, [0]
+    texts, extra, ends, text_ends = 0, 0, [0], [0]
     for data in payloads:
         i, t, on, keys, steps, ws, ds = _unpack(data)
         hs = np.cumsum(steps, dtype=np.int32)
@@ -313,6 +319,7 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
             list_.append(x)
         texts, extra = texts + len(i), extra + len(keys)
         ends.append(ends[-1] + len(ds))
+        text_ends.append(texts)
     ids, tags, train, far, h, w, d = (np.concatenate(x) for x in (ids, tags, train, far, h, w, d))
     # Rare words of several parts get one code each.
     own_keys, place = np.unique(far, return_inverse=True)
@@ -329,13 +336,13 @@ def _meet(known: Known, payloads: list[bytes]) -> Iterator[pd.DataFrame]:
     seen = c2 > 0
     yield _histories(key_of[pair_h[seen]], c2[seen], known.p1(count_of[pair_w[seen]]))
     yield _frame("counts", h=key_of[pair_h[seen]], n=key_of[pair_w[seen]], known=c2[seen])
-    at = 0
-    for end in ends[1:]:  # frames of some parts, whose texts are apart
-        if end - at < 1 << 18 and end < ends[-1]:
+    at, text_at = 0, 0
+    for end, text_end in zip(ends[1:], text_ends[1:], strict=True):  # frames of some parts, whose texts are apart: only these texts' sums are held
+        if end - at < SETTLED and end < ends[-1]:
             continue
-        x, at = slice(at, end), end
+        x, t, at, text_at = slice(at, end), slice(text_at, text_end), end, text_end
         hc = np.where(h[x] <= fixed, h[x], -1)
-        yield _settle(known, ids, tags, train, d[x], key_of[h[x]], hc, count_of[w[x]], c2[inv[x]], rare_w[x])
+        yield _settle(known, ids[t], tags[t], train[t], d[x] - t.start, key_of[h[x]], hc, count_of[w[x]], c2[inv[x]], rare_w[x])
 
 
 @dataclass
